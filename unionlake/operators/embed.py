@@ -46,6 +46,17 @@ def _dense(sparse: DataFrame, dim: int) -> DataFrame:
                                 / F.element_at("m", F.lit(COUNT_BUCKET))).alias("vec")))
 
 
+def _hashed_feature_rows(tokens: DataFrame, dim: int) -> DataFrame:
+    """Explode each (table, column, token, n) into its n-grams; the md5 bucket
+    and sign are then plain (codegen'd) expressions, one md5 per n-gram."""
+    g = tokens.select(TABLE, COLUMN, "n", F.explode(tx.subword_ngrams(F.col("token"))).alias("g"),
+                      F.size(tx.subword_ngrams(F.col("token"))).cast("double").alias("ng"))
+    h = g.select(TABLE, COLUMN, "n", "ng", F.md5("g").alias("h"))
+    bucket = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    sign = F.when(F.substring("h", 9, 1) >= F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
+    return h.select(TABLE, COLUMN, bucket.alias("bucket"), ((sign / F.col("ng")) * F.col("n")).alias("w"))
+
+
 def embed_columns(cells: DataFrame, dim: int = 64, vocab: DataFrame | None = None,
                   projection: dict | None = None) -> DataFrame:
     """Mean of the cells' word vectors per column (duplicates count).
@@ -56,30 +67,19 @@ def embed_columns(cells: DataFrame, dim: int = 64, vocab: DataFrame | None = Non
     Columns whose cells are all null produce no vector.
     """
     tokens = column_token_counts(cells)
-    feats = hashed_token_features(dim)
-    count_row = F.struct(F.lit(COUNT_BUCKET).alias("bucket"), F.col("n").cast("double").alias("w"))
+    counts = tokens.select(TABLE, COLUMN, F.lit(COUNT_BUCKET).alias("bucket"), F.col("n").cast("double").alias("w"))
     if vocab is None:
-        exploded = tokens.select(
-            TABLE, COLUMN, "n",
-            F.explode(F.concat(F.array(count_row),
-                               F.transform(feats(F.col("token")),
-                                           lambda f: F.struct(f["bucket"].alias("bucket"),
-                                                              f["w"].alias("w"))))).alias("f"))
-        sparse = exploded.select(TABLE, COLUMN, F.col("f.bucket").alias("bucket"),
-                                 F.when(F.col("f.bucket") == COUNT_BUCKET, F.col("f.w"))
-                                 .otherwise(F.col("f.w") * F.col("n")).alias("w"))
+        feats = _hashed_feature_rows(tokens, dim)
     else:
         v = vocab.select(F.col("word").alias("token"), F.col("vec").alias("wvec"))
         joined = tokens.join(v, "token", "left")
-        feat_arr = F.when(F.col("wvec").isNotNull(),
-                          F.transform(F.col("wvec"), lambda x, i: F.struct(i.alias("bucket"), x.alias("w"))))\
-            .otherwise(feats(F.col("token")))
-        exploded = joined.select(TABLE, COLUMN, "n",
-                                 F.explode(F.concat(F.array(count_row), feat_arr)).alias("f"))
-        sparse = exploded.select(TABLE, COLUMN, F.col("f.bucket").alias("bucket"),
-                                 F.when(F.col("f.bucket") == COUNT_BUCKET, F.col("f.w"))
-                                 .otherwise(F.col("f.w") * F.col("n")).alias("w"))
-    summed = sparse.groupBy(TABLE, COLUMN, "bucket").agg(F.sum("w").alias("w"))
+        known = joined.where(F.col("wvec").isNotNull()).select(
+            TABLE, COLUMN, "n", F.posexplode("wvec").alias("bucket", "x"))
+        known = known.select(TABLE, COLUMN, F.col("bucket").cast("int").alias("bucket"),
+                             (F.col("x") * F.col("n")).alias("w"))
+        missing = _hashed_feature_rows(joined.where(F.col("wvec").isNull()).drop("wvec"), dim)
+        feats = known.unionByName(missing)
+    summed = feats.unionByName(counts).groupBy(TABLE, COLUMN, "bucket").agg(F.sum("w").alias("w"))
     out = _dense(summed, dim)
     if projection is not None:
         out = out.withColumn("vec", project_vectors(F.col("vec"), projection))

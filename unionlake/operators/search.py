@@ -137,7 +137,9 @@ def search(query_vecs: DataFrame, lake_vecs: DataFrame | None = None, k: int | N
     if exclude_self:
         hits = [h.where(F.col("q_table") != F.col("c_table")) for h in hits]
     n = len(hits)
-    merged = merge_backends(*hits)
+    # the merged hits are read twice (score distribution and join back):
+    # materialise them once in the checkpoint folder
+    merged = merge_backends(*hits).checkpoint()
     scored, best = table_scores_from_hits(merged, n)
     ranked = rank_tables(scored, k, aggregator)
     out = ranked.select(F.col("q_table").alias("query_table"), "rank", F.col("c_table").alias("cand_table"),

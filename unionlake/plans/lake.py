@@ -23,8 +23,13 @@ def indexable(spark: SparkSession, sf_dir: str, dirty: bool = False, policy: str
     return clean.indexable_cells(cells)
 
 
-def lake_vectors(spark: SparkSession, sf_dir: str, dim: int = DIM, dirty: bool = False) -> DataFrame:
-    return embed.embed_columns(indexable(spark, sf_dir, dirty), dim)
+def lake_vectors(spark: SparkSession, sf_dir: str, dim: int = DIM, dirty: bool = False,
+                 materialize: bool = True) -> DataFrame:
+    """Column vectors of the lake: the index input, read by both sides of the
+    search.  Materialised once (reliable checkpoint in the shared folder) so
+    the plans that use it do not re-embed the lake per reference."""
+    vecs = embed.embed_columns(indexable(spark, sf_dir, dirty), dim)
+    return vecs.checkpoint() if materialize else vecs
 
 
 # ---------------------------------------------------------------------------

@@ -1,4 +1,7 @@
-"""Registered queries: key -> (spark, sf_dir) -> DataFrame, and their DuckDB
+"""Search queries (U1, D2, D3, U3); importing this module also imports
+the other plan modules so that the registry is complete.
+
+Registered queries: key -> (spark, sf_dir) -> DataFrame, and their DuckDB
 oracles (key -> SQL over the driver's views).  Every query reads the given
 tables in full; outputs are scalar columns with aliases equal on both sides.
 """
@@ -12,17 +15,7 @@ from unionlake.functions import vectors as V
 from unionlake.operators import lsh, search as S
 from unionlake.plans import lake as L
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def register(key: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[key] = fn
-        if sql is not None:
-            ORACLES[key] = sql
-        return fn
-    return deco
+from unionlake.plans.registry import ORACLES, QUERIES, register  # noqa: F401
 
 
 def _vec_checksum(df: DataFrame) -> DataFrame:
@@ -87,3 +80,9 @@ SELECT * FROM ({lsh.sql_lsh_hits('vecs', 'vecs', L.THRESHOLD)})
 def lsh_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = L.lake_vectors(spark, sf_dir)
     return lsh.lsh_join(vecs, vecs, L.THRESHOLD)
+
+
+# the other plan modules register on import
+from unionlake.plans import (  # noqa: E402,F401
+    q_text, q_clean, q_search, q_eval,
+)
