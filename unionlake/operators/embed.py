@@ -49,8 +49,11 @@ def _dense(sparse: DataFrame, dim: int) -> DataFrame:
 def _hashed_feature_rows(tokens: DataFrame, dim: int) -> DataFrame:
     """Explode each (table, column, token, n) into its n-grams; the md5 bucket
     and sign are then plain (codegen'd) expressions, one md5 per n-gram."""
-    g = tokens.select(TABLE, COLUMN, "n", F.explode(tx.subword_ngrams(F.col("token"))).alias("g"),
-                      F.size(tx.subword_ngrams(F.col("token"))).cast("double").alias("ng"))
+    # the n-gram list and its size are computed once per token, below the
+    # generator (an expression beside ``explode`` is evaluated per output row)
+    gl = tokens.select(TABLE, COLUMN, "n", tx.subword_ngrams(F.col("token")).alias("gl"))
+    gl = gl.select(TABLE, COLUMN, "n", "gl", F.size("gl").cast("double").alias("ng"))
+    g = gl.select(TABLE, COLUMN, "n", "ng", F.explode("gl").alias("g"))
     h = g.select(TABLE, COLUMN, "n", "ng", F.md5("g").alias("h"))
     bucket = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
     sign = F.when(F.substring("h", 9, 1) >= F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
