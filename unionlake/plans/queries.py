@@ -84,5 +84,5 @@ def lsh_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # the other plan modules register on import
 from unionlake.plans import (  # noqa: E402,F401
-    q_text, q_clean, q_search, q_eval, q_train, q_walks, q_linearize, q_sources,
+    q_text, q_clean, q_search, q_eval, q_train, q_walks, q_linearize, q_sources, q_stream,
 )
