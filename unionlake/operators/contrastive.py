@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from unionlake.functions import vectors as V
 from unionlake.operators import embed, sampling
+from unionlake.session import materialize
 
 TABLE, COLUMN = "table_name", "column_name"
 
@@ -152,7 +153,7 @@ def fit_projection(pairs: DataFrame, params: dict, epochs: int = 20, lr: float =
 
         # one gradient row per batch, averaged on the executors: the driver
         # receives one parameter-sized vector, whatever the number of batches
-        res = src.groupBy("batch_id").applyInPandas(fn, schema).checkpoint()
+        res = materialize(src.groupBy("batch_id").applyInPandas(fn, schema), "batch-grads")
         mean_g = (res.select(F.posexplode("grad").alias("pos", "g")).groupBy("pos").agg(F.avg("g").alias("g"))
                   .orderBy("pos").collect())
         grad_flat = np.asarray([r["g"] for r in mean_g], dtype=np.float64)

@@ -53,7 +53,10 @@ def _hashed_feature_rows(tokens: DataFrame, dim: int) -> DataFrame:
     # generator (an expression beside ``explode`` is evaluated per output row)
     gl = tokens.select(TABLE, COLUMN, "n", tx.subword_ngrams(F.col("token")).alias("gl"))
     gl = gl.select(TABLE, COLUMN, "n", "gl", F.size("gl").cast("double").alias("ng"))
-    g = gl.select(TABLE, COLUMN, "n", "ng", F.explode("gl").alias("g"))
+    # explode_outer: an inner explode makes the optimizer infer size(gl) > 0
+    # and push that filter under the token aggregate, recomputing the n-gram
+    # list per cell instead of per distinct token
+    g = gl.select(TABLE, COLUMN, "n", "ng", F.explode_outer("gl").alias("g")).where(F.col("g").isNotNull())
     h = g.select(TABLE, COLUMN, "n", "ng", F.md5("g").alias("h"))
     bucket = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
     sign = F.when(F.substring("h", 9, 1) >= F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
@@ -93,7 +96,8 @@ def token_vectors(tokens: DataFrame, dim: int = 64, vocab: DataFrame | None = No
     """(token) -> dense vector; vocabulary first, hashed n-grams for misses."""
     distinct = tokens.select("token").distinct()
     feats = hashed_token_features(dim)
-    hashed = distinct.select("token", F.explode(feats(F.col("token"))).alias("f")) \
+    hashed = distinct.select("token", F.explode_outer(feats(F.col("token"))).alias("f")) \
+        .where(F.col("f").isNotNull()) \
         .groupBy("token", F.col("f.bucket").alias("bucket")).agg(F.sum("f.w").alias("w")) \
         .groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))
     hashed = distinct.join(hashed, "token", "left").select(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from unionlake.functions import vectors as V
 from unionlake.operators import lsh
+from unionlake.session import materialize
 
 Q_KEYS = ["q_table", "q_column"]
 PAIR = ["q_table", "q_column", "c_table", "c_column"]
@@ -139,7 +140,7 @@ def search(query_vecs: DataFrame, lake_vecs: DataFrame | None = None, k: int | N
     n = len(hits)
     # the merged hits are read twice (score distribution and join back):
     # materialise them once in the checkpoint folder
-    merged = merge_backends(*hits).checkpoint()
+    merged = materialize(merge_backends(*hits), "hits")
     scored, best = table_scores_from_hits(merged, n)
     ranked = rank_tables(scored, k, aggregator)
     out = ranked.select(F.col("q_table").alias("query_table"), "rank", F.col("c_table").alias("cand_table"),

@@ -6,8 +6,8 @@ the edge table on the current node, and each walk keeps one neighbour by the
 Efraimidis-Spirakis key -ln(u)/w (the smallest key wins, which draws a
 neighbour with probability proportional to its weight).  ``min(struct(key,
 v))`` is a partial aggregate, so a walk at a hub node is reduced map-side
-before the shuffle.  The loop cuts its lineage with ``checkpoint()`` (reliable,
-in the shared checkpoint folder) every few steps.
+before the shuffle.  The loop cuts its lineage every few steps by writing the
+frontier to the shared checkpoint folder (``materialize``).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from unionlake.functions import text as tx
 from unionlake.operators import sampling
+from unionlake.session import materialize
 
 WALK_TYPES = ("base", "row", "tax", "tax-from-ids", "combo")
 
@@ -82,7 +83,7 @@ def graph_walks(adj: DataFrame, number_walks: int, walk_length: int, seed: int =
     for step in range(1, walk_length):
         frontier = walk_step(frontier, adj, step, seed)
         if step % checkpoint_every == 0:
-            frontier = frontier.checkpoint()
+            frontier = materialize(frontier, "walk-frontier")
     return frontier.select("walk_id", F.col("path")[0].alias("start"), "path")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from unionlake.operators import clean, embed
 from unionlake.sources import fixtures as fx
 from unionlake.operators import clean as C
+from unionlake.session import materialize as materialize_df
 
 DIM = 64
 THRESHOLD = 0.7
@@ -26,10 +27,10 @@ def indexable(spark: SparkSession, sf_dir: str, dirty: bool = False, policy: str
 def lake_vectors(spark: SparkSession, sf_dir: str, dim: int = DIM, dirty: bool = False,
                  materialize: bool = True) -> DataFrame:
     """Column vectors of the lake: the index input, read by both sides of the
-    search.  Materialised once (reliable checkpoint in the shared folder) so
+    search.  Materialised once (a Parquet table in the shared checkpoint folder) so
     the plans that use it do not re-embed the lake per reference."""
     vecs = embed.embed_columns(indexable(spark, sf_dir, dirty), dim)
-    return vecs.checkpoint() if materialize else vecs
+    return materialize_df(vecs, "lake-vectors") if materialize else vecs
 
 
 # ---------------------------------------------------------------------------

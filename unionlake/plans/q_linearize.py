@@ -14,6 +14,7 @@ from unionlake.plans import lake as L
 from unionlake.plans import q_train as QT
 from unionlake.plans.registry import register
 from unionlake.sources import fixtures as fx
+from unionlake.session import materialize
 
 TOKEN_DIM = 8
 BATCH = 2
@@ -142,7 +143,7 @@ cv AS (SELECT c.table_name, c.column_name, c.d, sum(c.x) / any_value(nr.n_rows)
        FROM cell_vec c JOIN nr ON nr.table_name = c.table_name GROUP BY ALL)
 SELECT table_name, column_name, round(sum(x), 6) AS vec_sum, round(max(x), 6) AS vec_max FROM cv GROUP BY ALL""")
 def row_pool_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    off = _offsets(spark, sf_dir).checkpoint()
+    off = materialize(_offsets(spark, sf_dir), "offsets")
     cv = LZ.token_pool_columns(off, token_vectors(off))
     rv = LZ.row_pool_columns(cv, off.select("table_name", "row_id"))
     return rv.select("table_name", "column_name",

@@ -13,6 +13,7 @@ from unionlake.plans import lake as L
 from unionlake.plans.registry import register
 from unionlake.session import scratch_path
 from unionlake.sources import fixtures as fx
+from unionlake.session import materialize
 
 LAKE = L.sql_lake_ctes()
 EXACT_HITS = f"hits AS ({lsh.sql_exact_hits('vecs', 'vecs', L.THRESHOLD)})"
@@ -170,7 +171,7 @@ ENC_THRESHOLD = 0.3
 hits AS ({lsh.sql_lsh_hits('vecs', 'vecs', ENC_THRESHOLD)})
 SELECT * FROM ({S.sql_search_from_hits('hits', L.K)})""")
 def table_search_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = fx.embedding_vectors(spark, sf_dir).checkpoint()
+    v = materialize(fx.embedding_vectors(spark, sf_dir), "encoded-vectors")
     return S.search(v, v, k=L.K, threshold=ENC_THRESHOLD, method="lsh")
 
 

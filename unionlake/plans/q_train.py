@@ -13,6 +13,7 @@ from unionlake.plans import lake as L
 from unionlake.plans.q_text import sql_project
 from unionlake.plans.registry import register
 from unionlake.sources import fixtures as fx
+from unionlake.session import materialize
 
 TAU = 0.1
 CLEAN = f"""raw_cells AS ({L.sql_cells()}), cells1 AS ({L.sql_drop_empty_columns('raw_cells')}),
@@ -151,6 +152,6 @@ def infer_projected_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("fit_projection")
 def fit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E13 (rows-only check): loss per epoch of 5 epochs on the lake's pairs."""
-    pairs = CT.pretraining_pairs(_text_cells(spark, sf_dir), 5, BATCH, L.DIM).checkpoint()
+    pairs = materialize(CT.pretraining_pairs(_text_cells(spark, sf_dir), 5, BATCH, L.DIM), "pairs")
     _, hist = CT.fit_projection(pairs, V.init_projection(L.DIM, L.DIM, L.DIM), epochs=5, lr=5e-3)
     return spark.createDataFrame([(int(e), float(loss)) for e, loss in hist], "epoch INT, loss DOUBLE")

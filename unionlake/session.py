@@ -64,3 +64,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "tables", name)
+
+
+def materialize(df, name: str = "t"):
+    """Cut lineage by writing ``df`` once as Parquet under the shared
+    checkpoint folder and reading it back.  Unlike ``checkpoint()`` (which
+    runs the plan once to count and again to save unless it is cached), the
+    plan runs exactly once; a lost executor costs a re-read, not a re-plan."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
