@@ -2,7 +2,9 @@
 (table_name, column_name, col_pos, row_id, value).
 
 Column-level facts are small (one row per column) and are computed by a
-partial hash aggregate, then joined back -- AQE broadcasts them when they fit.
+partial hash aggregate and written to the checkpoint folder; the join back
+then plans on their real size (a broadcast below the broadcast threshold, a
+shuffle join above it) without shuffling the cells to find out.
 Row-level facts use a window partitioned by (table, row): a group is one row
 of one table, bounded by the table's width.
 """
@@ -12,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from unionlake.session import materialize
+
 TABLE, COLUMN, ROW, VALUE = "table_name", "column_name", "row_id", "value"
 
 # Fixed value: a numeric value (optional sign, digits with optional fraction or
@@ -28,7 +32,7 @@ def column_stats(cells: DataFrame) -> DataFrame:
 
 def drop_empty_columns(cells: DataFrame) -> DataFrame:
     """B1: drop columns whose values are all null."""
-    keep = column_stats(cells).where(F.col("n_values") > 0).select(TABLE, COLUMN)
+    keep = materialize(column_stats(cells).where(F.col("n_values") > 0).select(TABLE, COLUMN), "nonempty-cols")
     return cells.join(keep, [TABLE, COLUMN], "left_semi")
 
 
@@ -80,7 +84,7 @@ def numeric_columns(cells: DataFrame) -> DataFrame:
 
 def exclude_numeric_columns(cells: DataFrame) -> DataFrame:
     """Drop numeric columns (they are neither indexed nor queried)."""
-    return cells.join(numeric_columns(cells), [TABLE, COLUMN], "left_anti")
+    return cells.join(materialize(numeric_columns(cells), "numeric-cols"), [TABLE, COLUMN], "left_anti")
 
 
 def text_columns(cells: DataFrame) -> DataFrame:
@@ -100,9 +104,9 @@ def nonnull_columns(cells: DataFrame) -> DataFrame:
 
 def indexable_cells(cells: DataFrame) -> DataFrame:
     """B6 + B7 in one column aggregate: non-numeric columns with values."""
-    keep = (column_stats(cells)
-            .where((F.col("n_values") > 0) & ~F.coalesce(F.col("numeric"), F.lit(False)))
-            .select(TABLE, COLUMN))
+    keep = materialize(column_stats(cells)
+                       .where((F.col("n_values") > 0) & ~F.coalesce(F.col("numeric"), F.lit(False)))
+                       .select(TABLE, COLUMN), "indexable-cols")
     return cells.join(keep, [TABLE, COLUMN], "left_semi")
 
 
