@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unionlake.functions import vectors as V
+from unionlake.session import materialize
 
 TABLE, COLUMN = "table_name", "column_name"
 DEFAULT_BITS = 1024
@@ -51,7 +52,8 @@ def _representatives(vecs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Collapse identical vectors: (key, vec) per distinct vector and the
     member map (key, table_name, column_name)."""
     keyed = vecs.withColumn(key, vector_key("vec"))
-    reps = keyed.groupBy(key).agg(F.first("vec").alias("vec"))
+    # equal keys carry equal vectors: a distinct on both stays a hash aggregate
+    reps = keyed.select(key, "vec").distinct()
     members = keyed.select(key, TABLE, COLUMN)
     return reps, members
 
@@ -112,14 +114,21 @@ def lsh_join(queries: DataFrame, lake: DataFrame, threshold: float, bits: int =
     ``lake_index`` may be a stored index (``build_index``) to skip hashing the
     lake again.  Output like ``cosine_join``."""
     n_bands, rows = V.lsh_params(threshold, bits, fp_fn[0], fp_fn[1])
-    q_reps, q_mem = _representatives(_nonzero(queries), "q_key")
     if lake_index is None:
         c_reps, c_mem = _representatives(_nonzero(lake), "c_key")
-        c_sig = c_reps.withColumn("bits", V.signature_bits(F.col("vec"), bits, dim, seed))
+        # the lake's signatures are the index: hashed once, read by every use
+        c_sig = materialize(c_reps.withColumn("bits", V.signature_bits(F.col("vec"), bits, dim, seed)),
+                            "signatures")
     else:
         c_sig = lake_index.select(F.col("rep_key").alias("c_key"), "vec", "bits").dropDuplicates(["c_key"])
         c_mem = lake_index.select(F.col("rep_key").alias("c_key"), TABLE, COLUMN)
-    q_sig = q_reps.withColumn("bits", V.signature_bits(F.col("vec"), bits, dim, seed))
+    if queries is lake and lake_index is None:
+        # self search (every lake table is a query): reuse the lake's signatures
+        q_sig = c_sig.withColumnRenamed("c_key", "q_key")
+        q_mem = c_mem.withColumnRenamed("c_key", "q_key")
+    else:
+        q_reps, q_mem = _representatives(_nonzero(queries), "q_key")
+        q_sig = q_reps.withColumn("bits", V.signature_bits(F.col("vec"), bits, dim, seed))
 
     qb = bands(q_sig, n_bands, rows, "q_key")
     cb = bands(c_sig, n_bands, rows, "c_key")
