@@ -74,3 +74,28 @@ def test_cleaning_order(spark):
     out = clean.clean_lake(cells, "any").collect()
     # all-null column b goes first, then row 2 (null in c) goes
     assert sorted((r["column_name"], r["row_id"]) for r in out) == [("a", 1), ("c", 1)]
+
+
+def test_name_join_equals_brute_force(spark):
+    import random
+    rnd = random.Random(3)
+    alphabet = "abcde_"
+    names = sorted({"".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 7))) for _ in range(120)})
+    rows = [(f"t{i % 7}", n) for i, n in enumerate(names)] + [("big", "id"), ("big2", "ID"), ("x", "ids")]
+    df = spark.createDataFrame(rows, "table_name STRING, column_name STRING")
+
+    def grams(n):
+        p = "#" + n.lower() + "#"
+        return {p} if len(p) < 3 else {p[i:i + 3] for i in range(len(p) - 2)}
+
+    for t in (0.3, 0.5, 0.8):
+        got = {(r["q_table"], r["q_column"], r["c_table"], r["c_column"], r["score"])
+               for r in S.name_hits(df, df, t).collect()}
+        exp = set()
+        for qt, qc in rows:
+            for ct, cc in rows:
+                a, b = grams(qc), grams(cc)
+                j = round(len(a & b) / len(a | b), 6)
+                if j >= t:
+                    exp.add((qt, qc, ct, cc, j))
+        assert got == exp, t

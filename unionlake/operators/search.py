@@ -182,30 +182,55 @@ def column_search(query_vecs: DataFrame, lake_vecs: DataFrame, k: int | None = 1
 
 
 # --- U8: name backend ---------------------------------------------------------
+def _gram_array(name: Column, q: int) -> Column:
+    padded = F.concat(F.lit("#"), F.lower(name), F.lit("#"))
+    grams = F.when(F.length(padded) < q, F.array(padded)).otherwise(
+        F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.substring(padded, i, q)))
+    return F.array_distinct(grams)
+
+
 def name_grams(names: DataFrame, q: int = 3) -> DataFrame:
     """(table_name, column_name, gram): distinct q-grams of the lower-cased
     name padded with '#'; names shorter than q give the padded name itself."""
-    padded = F.concat(F.lit("#"), F.lower(F.col("column_name")), F.lit("#"))
-    grams = F.when(F.length(padded) < q, F.array(padded)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.substring(padded, i, q)))
-    return names.select("table_name", "column_name", F.explode(F.array_distinct(grams)).alias("gram"))
+    return names.select("table_name", "column_name", F.explode(_gram_array(F.col("column_name"), q)).alias("gram"))
 
 
 def name_hits(query_names: DataFrame, lake_names: DataFrame, threshold: float = 0.7, q: int = 3) -> DataFrame:
-    """U8: Jaccard of name q-gram sets, exact, via an inverted-index equi-join
-    on the gram; pairs >= threshold."""
-    qg = name_grams(query_names.select("table_name", "column_name").distinct(), q)
-    cg = name_grams(lake_names.select("table_name", "column_name").distinct(), q)
-    qn = qg.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("nq"))
-    cn = cg.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("nc"))
-    inter = (qg.withColumnsRenamed({"table_name": "q_table", "column_name": "q_column"})
-             .join(cg.withColumnsRenamed({"table_name": "c_table", "column_name": "c_column"}), "gram")
-             .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("i")))
-    j = (inter.join(qn.withColumnsRenamed({"table_name": "q_table", "column_name": "q_column"}), Q_KEYS)
-         .join(cn.withColumnsRenamed({"table_name": "c_table", "column_name": "c_column"}), ["c_table", "c_column"]))
-    return (j.select(*PAIR, F.round(F.col("i") / (F.col("nq") + F.col("nc") - F.col("i")), V.SCORE_DIGITS)
-                     .alias("score"))
-            .where(F.col("score") >= F.lit(threshold)))
+    """U8: Jaccard of name q-gram sets >= threshold, exact.
+
+    Work is done on *distinct* lower-cased names (a name like 'id' shared by
+    millions of columns is one row), and candidates come from prefix
+    filtering: each name is indexed only under its ``|g| - ceil(t|g|) + 1``
+    rarest grams (global frequency order), which any pair with Jaccard >= t
+    must share -- so common grams never form a hot join key.  Pairs are
+    verified exactly and expanded back to columns at the end."""
+    qn = query_names.select("table_name", "column_name", F.lower("column_name").alias("name")).distinct()
+    cn = lake_names.select("table_name", "column_name", F.lower("column_name").alias("name")).distinct()
+    qd = qn.select("name").distinct().withColumn("g", _gram_array(F.col("name"), q))
+    cd = cn.select("name").distinct().withColumn("g", _gram_array(F.col("name"), q))
+    freq = (qd.select(F.explode("g").alias("gram")).unionAll(cd.select(F.explode("g").alias("gram")))
+            .groupBy("gram").agg(F.count(F.lit(1)).alias("f")))
+
+    def prefix(d):
+        ex = d.select("name", "g", F.explode("g").alias("gram")).join(freq, "gram")
+        ranked = ex.groupBy("name").agg(F.first("g").alias("g"),
+                                        F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("o"))
+        n = F.size("g")
+        plen = n - F.ceil(F.lit(threshold - 1e-9) * n) + 1
+        return ranked.select("name", "g", F.explode(F.slice(F.transform("o", lambda x: x["gram"]), 1, plen))
+                             .alias("gram"))
+
+    cand = (prefix(qd).select(F.col("name").alias("q_name"), F.col("g").alias("qg"), "gram")
+            .join(prefix(cd).select(F.col("name").alias("c_name"), F.col("g").alias("cg"), "gram"), "gram")
+            .select("q_name", "c_name", "qg", "cg").dropDuplicates(["q_name", "c_name"]))
+    inter = F.size(F.array_intersect("qg", "cg"))
+    score = F.round(inter / (F.size("qg") + F.size("cg") - inter), V.SCORE_DIGITS)
+    pairs = cand.select("q_name", "c_name", score.alias("score")).where(F.col("score") >= F.lit(threshold))
+    out = (pairs.join(qn.select(F.col("table_name").alias("q_table"), F.col("column_name").alias("q_column"),
+                                F.col("name").alias("q_name")), "q_name")
+           .join(cn.select(F.col("table_name").alias("c_table"), F.col("column_name").alias("c_column"),
+                           F.col("name").alias("c_name")), "c_name"))
+    return out.select(*PAIR, "score")
 
 
 # ---------------------------------------------------------------------------
