@@ -54,7 +54,8 @@ def macro_metrics(per_query: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def evaluate(results: DataFrame, truth: DataFrame, ks: Sequence[int], queries: DataFrame | None = None) -> DataFrame:
-    """Per-k macro metrics of a ranked result."""
+    """Per-k macro metrics of a ranked result (ranks up to max(ks) are
+    enough: search with ``k=max(ks)`` so the ranking is a group limit)."""
     if queries is None:
         queries = results.select("query_table").distinct()
     return macro_metrics(per_query_metrics(results, truth, ks, queries))

@@ -63,7 +63,7 @@ def ground_truth_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 {_sql_per_query([L.K])}
 SELECT query_table, k, hits, round(precision, 6) AS precision, round(recall, 6) AS recall FROM per_query""")
 def precision_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    res, truth, queries = _setup(spark, sf_dir)
+    res, truth, queries = _setup(spark, sf_dir, k=L.K)
     pq = EV.per_query_metrics(res, truth, [L.K], queries)
     return pq.select("query_table", "k", "hits", F.round("precision", 6).alias("precision"),
                      F.round("recall", 6).alias("recall"))
@@ -78,21 +78,21 @@ FROM per_query GROUP BY k"""
 @register("macro_metrics", f"""WITH {LAKE}, {TRUTH}, {QUERIES}, {_EXACT}, {_sql_ranked()}, {_SQL_FLAGGED},
 {_sql_macro([L.K])}""")
 def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    res, truth, queries = _setup(spark, sf_dir)
+    res, truth, queries = _setup(spark, sf_dir, k=L.K)
     return EV.evaluate(res, truth, [L.K], queries)
 
 
 @register("topk_sweep", f"""WITH {LAKE}, {TRUTH}, {QUERIES}, {_EXACT}, {_sql_ranked()}, {_SQL_FLAGGED},
 {_sql_macro(SWEEP)}""")
 def topk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    res, truth, queries = _setup(spark, sf_dir)
+    res, truth, queries = _setup(spark, sf_dir, k=max(SWEEP))  # ranks beyond the largest k are never read
     return EV.evaluate(res, truth, SWEEP, queries)
 
 
 @register("search_and_evaluate", f"""WITH {LAKE}, {TRUTH}, {QUERIES}, {_LSH}, {_sql_ranked()}, {_SQL_FLAGGED},
 {_sql_macro(SWEEP)}""")
 def search_and_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    res, truth, queries = _setup(spark, sf_dir, method="lsh")
+    res, truth, queries = _setup(spark, sf_dir, k=max(SWEEP), method="lsh")
     return EV.evaluate(res, truth, SWEEP, queries)
 
 
@@ -116,5 +116,5 @@ _REL_HITS = f"""hits AS (
 def related_column_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = clean.clean_lake(L.raw_cells(spark, sf_dir), "any")
     rel = related_columns(cells).select(F.col("query_table").alias("table_name"), "column_name")
-    res, truth, queries = _setup(spark, sf_dir, query_filter=rel)
+    res, truth, queries = _setup(spark, sf_dir, k=L.K, query_filter=rel)
     return EV.evaluate(res, truth, [L.K], queries)

@@ -200,7 +200,7 @@ def search_result_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("metrics_sink")
 def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = L.lake_vectors(spark, sf_dir)
-    res = S.search(v, v, k=None, threshold=L.THRESHOLD, method="exact")
+    res = S.search(v, v, k=20, threshold=L.THRESHOLD, method="exact")
     cells = L.indexable(spark, sf_dir)
     m = EV.evaluate(res, fx.fragment_truth(cells), [10, 20], cells.select(F.col("table_name").alias("query_table")))
     p = _path(spark, "metrics")
