@@ -10,6 +10,6 @@ Every operator is a DataFrame-in, DataFrame-out function.  Sub-packages:
 * ``streaming`` – query tables arriving as a stream, probed against an index
 """
 
-from unionlake.session import get_spark, checkpoint_dir  # noqa: F401
+from unionlake.session import checkpoint_dir, get_spark, prepare  # noqa: F401
 
 __version__ = "0.1.0"

@@ -34,10 +34,44 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    prepare(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``unionlake`` importable by the Python workers (the UDFs refer to
+    its helpers): zip the package once per application and ``addPyFile`` it,
+    as ``--py-files`` would.  Skipped when the submit already ships it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    if "unionlake" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(sc.applicationId)
+        return
+    import zipfile
+    import unionlake
+    pkg = os.path.dirname(os.path.abspath(unionlake.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="unionlake-pkg-"), "unionlake.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
+def prepare(spark: SparkSession) -> str:
+    """Everything a job needs from its session: the package on the workers
+    and the shared checkpoint folder (returned)."""
+    ship_package(spark)
+    return checkpoint_dir(spark)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised intermediates.
 
