@@ -42,8 +42,8 @@ def _dense(sparse: DataFrame, dim: int) -> DataFrame:
             .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))
             .select(TABLE, COLUMN,
                     F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))
-                                / F.element_at("m", F.lit(COUNT_BUCKET))).alias("vec")))
+                                lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))
+                                / F.try_element_at("m", F.lit(COUNT_BUCKET))).alias("vec")))
 
 
 def _hashed_feature_rows(tokens: DataFrame, dim: int) -> DataFrame:
@@ -102,7 +102,7 @@ def token_vectors(tokens: DataFrame, dim: int = 64, vocab: DataFrame | None = No
         .groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))
     hashed = distinct.join(hashed, "token", "left").select(
         "token", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                             lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("hvec"))
+                             lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("hvec"))
     if vocab is None:
         return hashed.select("token", F.col("hvec").alias("vec"), F.lit(False).alias("in_vocab"))
     v = vocab.select(F.col("word").alias("token"), F.col("vec").alias("wvec"))

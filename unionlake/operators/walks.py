@@ -117,7 +117,7 @@ def webtable_rows(tables: DataFrame, min_columns: int) -> DataFrame:
     rows = F.when(F.col("headerPosition") == "FIRST_COLUMN", rel).otherwise(transposed)
     t = tables.select("table_id", rows.alias("rows"))
     nonempty = lambda arr: F.size(F.filter(arr, lambda x: x.isNotNull() & (F.length(x) > 0)))
-    t = t.where(F.coalesce(nonempty(F.element_at("rows", 1)), F.lit(0)) >= min_columns)
+    t = t.where(F.coalesce(nonempty(F.try_element_at("rows", F.lit(1))), F.lit(0)) >= min_columns)
     return t.select("table_id", F.posexplode("rows").alias("row_idx", "cells"))
 
 

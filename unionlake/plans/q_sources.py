@@ -137,7 +137,7 @@ def webtable_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     FF.write_text_lines(meta.unionByName(body), "line", p, order="o", compression="gzip")
     tables, corrupt = corpus.webtable_scan(spark, p)
     return tables.select("table_id", "headerPosition", F.size("relation").alias("n_inner"),
-                         F.size(F.element_at("relation", 1)).alias("first_len"))
+                         F.size(F.try_element_at("relation", F.lit(1))).alias("first_len"))
 
 
 @register("edge_scan", f"WITH {QW._SQL_EDGES} SELECT u, v, w FROM edges")

@@ -79,7 +79,7 @@ def lake_scan_csv(spark: SparkSession, root: str | None = None, paths: list[str]
     cells = data.select(table_name_from_path(F.col("path")).alias("table_name"), F.col("line_id").alias("row_id"),
                         F.posexplode("header").alias("col_pos", "column_name"), "fields")
     return cells.select("table_name", "column_name", F.col("col_pos").cast("int").alias("col_pos"), "row_id",
-                        _na(F.element_at("fields", F.col("col_pos") + 1)).alias("value"))
+                        _na(F.try_element_at("fields", (F.col("col_pos") + 1).cast("int"))).alias("value"))
 
 
 def lake_scan_parquet(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
