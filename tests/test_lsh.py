@@ -63,3 +63,18 @@ def test_recall_by_band_curve(spark):
     p = V.collision_probability(cos_t)
     expect = 1 - (1 - p ** r) ** b
     assert abs(cand / 200 - expect) < 0.12
+
+
+def test_exact_join_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(12, 10))
+    vecs = np.concatenate([base[rng.integers(0, 12, 150)] + 0.6 * rng.normal(size=(150, 10)),
+                           rng.normal(size=(50, 10))])
+    rows = [(f"t{i // 7}", f"c{i}", v.tolist()) for i, v in enumerate(vecs)] + [("z", "zero", [0.0] * 10)]
+    df = spark.createDataFrame(rows, "table_name STRING, column_name STRING, vec ARRAY<DOUBLE>")
+    u = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 6)
+    for t in (0.2, 0.6, 0.9):
+        got = {(r["q_column"], r["c_column"]) for r in lsh.cosine_join(df, df, t).collect()}
+        exp = {(f"c{i}", f"c{j}") for i in range(len(vecs)) for j in range(len(vecs)) if sims[i, j] >= t}
+        assert got == exp, t

@@ -1,9 +1,11 @@
 """Similarity joins between column vectors.
 
-* ``cosine_join`` (D3): exact.  Vectors are exploded to their non-zero
-  buckets and joined on the bucket (an equi-join, no cross product); partial
-  dot products are summed per pair.  Quadratic in the number of columns, so it
-  is the reference answer for small lakes and the oracle.
+* ``cosine_join`` (D3): exact.  Candidates come from an angle grid over a
+  few pivots (a pair above the threshold is never more than one cell apart),
+  each candidate pair is produced once by an equi-join on the cell and then
+  verified.  Dense high-dimensional vectors prune poorly (angles to a random
+  pivot concentrate), so this stays the exact answer for bounded lakes; the
+  band join below is the scalable path.
 * ``lsh_join`` (D2): the scalable path.  Signatures (C10) are cut into bands;
   columns sharing a band key are candidates; candidates are verified with the
   exact cosine.  Identical vectors are collapsed to one representative before
@@ -16,9 +18,10 @@
 
 from __future__ import annotations
 
+import math
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unionlake.functions import vectors as V
@@ -58,37 +61,63 @@ def _representatives(vecs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return reps, members
 
 
-def cosine_join(queries: DataFrame, lake: DataFrame, threshold: float | None = None) -> DataFrame:
-    """D3: exact cosine of every (query column, lake column) pair with a
-    shared non-zero bucket, filtered to ``score >= threshold``.
+def _bucket_join(q: DataFrame, c: DataFrame) -> DataFrame:
+    """Exact dot products of all pairs sharing a non-zero bucket (no
+    threshold to prune with).  -> q_key, c_key."""
+    def unit_entries(df, key):
+        return df.select(key, F.posexplode("vec").alias("bucket", "x")).where(F.col("x") != 0.0)
+    return (unit_entries(q, "q_key").join(unit_entries(c, "c_key").withColumnRenamed("x", "y"), "bucket")
+            .select("q_key", "c_key").distinct())
 
+
+def pivot_cells(vec: str, n_pivots: int, width: float, seed: int) -> Column:
+    """Bin of the angle between ``vec`` and each of ``n_pivots`` +-1 pivots
+    (md5-derived, like the hyperplanes): ARRAY<INT> of floor(angle / width)."""
+    n = V.norm(vec)
+
+    def angle_bin(j):
+        sgn = lambda i: F.when(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:pivot:{j}"), i.cast("string"))),
+                                           1, 1) >= F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
+        dotp = F.aggregate(F.transform(F.col(vec), lambda x, i: x * sgn(i)), F.lit(0.0), lambda a, x: a + x)
+        cos = F.least(F.greatest(dotp / (n * F.sqrt(F.size(vec).cast("double"))), F.lit(-1.0)), F.lit(1.0))
+        return F.floor(F.acos(cos) / F.lit(width)).cast("int")
+
+    return F.array(*[angle_bin(j) for j in range(n_pivots)])
+
+
+def cosine_join(queries: DataFrame, lake: DataFrame, threshold: float | None = None, n_pivots: int = 3,
+                seed: int = DEFAULT_SEED) -> DataFrame:
+    """D3: exact cosine of every (query column, lake column) pair with
+    ``score >= threshold``.
+
+    Candidates come from an angle grid: for k pivots p, a pair with
+    cos >= t has |angle(x,p) - angle(y,p)| <= acos(t) (triangle inequality on
+    angles), so with bins of width acos(t) its cells differ by at most one
+    per pivot.  The lake side sits in one cell, the query side is sent to its
+    3^k neighbouring cells, and the equi-join on the cell yields each
+    candidate pair once (no false negatives); candidates are then verified
+    with the exact cosine.  Identical vectors are collapsed first.
     Output: q_table, q_column, c_table, c_column, score (rounded)."""
-    q = _nonzero(queries)
-    c = _nonzero(lake)
-
-    def unit_entries(df, p):
-        n = V.norm("vec")
-        return df.select(F.col(TABLE).alias(f"{p}_table"), F.col(COLUMN).alias(f"{p}_column"),
-                         F.posexplode(F.transform("vec", lambda x: x / n)).alias("bucket", f"{p}_x")) \
-                 .where(F.col(f"{p}_x") != 0.0)
-
-    qe, ce = unit_entries(q, "q"), unit_entries(c, "c")
-    pairs = (qe.join(ce, "bucket")
-             .groupBy("q_table", "q_column", "c_table", "c_column")
-             .agg(F.sum(F.col("q_x") * F.col("c_x")).alias("dot")))
-    # exact re-score on the full vectors so both join methods give equal scores
-    qk = q.select(F.struct(F.col(TABLE).alias("q_table"), F.col(COLUMN).alias("q_column")).alias("q_key"), "vec")
-    ck = c.select(F.struct(F.col(TABLE).alias("c_table"), F.col(COLUMN).alias("c_column")).alias("c_key"), "vec")
-    # the bucket sum already bounds the score; the vectors give the reported value
-    keyed = pairs.select(F.struct("q_table", "q_column").alias("q_key"),
-                         F.struct("c_table", "c_column").alias("c_key"),
-                         "dot")
-    if threshold is not None:
-        keyed = keyed.where(F.round("dot", V.SCORE_DIGITS) >= F.lit(threshold - 1e-6))
-    scored = _pairs_with_score(qk, ck, keyed.select("q_key", "c_key"), threshold)
-    return scored.select(F.col("q_key.q_table").alias("q_table"), F.col("q_key.q_column").alias("q_column"),
-                         F.col("c_key.c_table").alias("c_table"), F.col("c_key.c_column").alias("c_column"),
-                         "score")
+    q_reps, q_mem = _representatives(_nonzero(queries), "q_key")
+    if queries is lake:
+        c_reps, c_mem = q_reps.withColumnRenamed("q_key", "c_key"), q_mem.withColumnRenamed("q_key", "c_key")
+    else:
+        c_reps, c_mem = _representatives(_nonzero(lake), "c_key")
+    if threshold is None or threshold <= -1.0:
+        cand = _bucket_join(q_reps, c_reps)
+    else:
+        # slightly wider bins: scores are compared after rounding
+        width = math.acos(max(-1.0, threshold - 10 ** -V.SCORE_DIGITS))
+        offsets = [[(k // 3 ** j) % 3 - 1 for j in range(n_pivots)] for k in range(3 ** n_pivots)]
+        qc = q_reps.select("q_key", pivot_cells("vec", n_pivots, width, seed).alias("home"))
+        near = F.array(*[F.array(*[F.col("home")[j] + F.lit(o[j]) for j in range(n_pivots)]) for o in offsets])
+        qn = qc.select("q_key", F.explode(near).alias("cell"))
+        cc = c_reps.select("c_key", pivot_cells("vec", n_pivots, width, seed).alias("cell"))
+        cand = qn.join(cc, "cell").select("q_key", "c_key")
+    scored = _pairs_with_score(q_reps, c_reps, cand, threshold)
+    out = (scored.join(q_mem.withColumnsRenamed({TABLE: "q_table", COLUMN: "q_column"}), "q_key")
+           .join(c_mem.withColumnsRenamed({TABLE: "c_table", COLUMN: "c_column"}), "c_key"))
+    return out.select("q_table", "q_column", "c_table", "c_column", "score")
 
 
 def signatures(vecs: DataFrame, bits: int = DEFAULT_BITS, seed: int = DEFAULT_SEED,
