@@ -47,3 +47,17 @@ def test_symmetrize_last_weight_wins(spark):
     e = spark.createDataFrame([(1, 2, 1.0, 0), (2, 1, 5.0, 1)], "u BIGINT, v BIGINT, w DOUBLE, line_no BIGINT")
     got = {(r["u"], r["v"]): r["w"] for r in W.symmetrize(e).collect()}
     assert got == {(1, 2): 5.0, (2, 1): 5.0}
+
+
+def test_cumulative_weights_two_level(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [(0, v, float(rnd.randint(1, 5))) for v in rnd.sample(range(1, 5000), 400)] + [(7, 3, 2.0), (7, 9, 1.0)]
+    adj = spark.createDataFrame(rows, "u BIGINT, v BIGINT, w DOUBLE")
+    got = {(r["u"], r["v"]): (r["running"], r["total"]) for r in W.cumulative_weights(adj, chunk=64).collect()}
+    for u in (0, 7):
+        nb = sorted((v, w) for uu, v, w in rows if uu == u)
+        run, tot = 0.0, sum(w for _, w in nb)
+        for v, w in nb:
+            run += w
+            assert got[(u, v)] == (run, tot)

@@ -37,11 +37,22 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return both.groupBy("u", "v").agg(F.max_by("w", "o").alias("w"))
 
 
-def cumulative_weights(adj: DataFrame) -> DataFrame:
-    """running weight per node in neighbour order and the node total."""
-    w = Window.partitionBy("u").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return adj.select("u", "v", "w", F.sum("w").over(w).alias("running"),
-                      F.sum("w").over(Window.partitionBy("u")).alias("total"))
+def cumulative_weights(adj: DataFrame, chunk: int = 1024) -> DataFrame:
+    """running weight per node in neighbour order and the node total.
+
+    Two-level prefix sum so a hub node never sits in one window: neighbours
+    are cut into id ranges of ``chunk``; running sums are taken inside each
+    (node, range) -- at most ``chunk`` rows -- and the ranges' totals are
+    prefix-summed per node (one row per non-empty range), then added."""
+    a = adj.withColumn("rng", F.floor(F.col("v") / F.lit(chunk)))
+    inner = Window.partitionBy("u", "rng").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = a.withColumn("local", F.sum("w").over(inner))
+    tot = a.groupBy("u", "rng").agg(F.sum("w").alias("rw"))
+    before = Window.partitionBy("u").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select("u", "rng", F.coalesce(F.sum("rw").over(before), F.lit(0.0)).alias("offset"),
+                     F.sum("rw").over(Window.partitionBy("u")).alias("total"))
+    return local.join(tot, ["u", "rng"]).select("u", "v", "w", (F.col("offset") + F.col("local")).alias("running"),
+                                                 "total")
 
 
 def choice_key(seed: int, walk_id: Column, step: Column, v: Column, w: Column) -> Column:
