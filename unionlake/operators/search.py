@@ -251,6 +251,6 @@ def sql_search_from_hits(hits_view: str, k: int | None) -> str:
       FROM best GROUP BY ALL),
     ranked AS (
       SELECT q_table AS query_table, c_table AS cand_table, round(ts, {d}) AS score, n_matched,
-             row_number() OVER (PARTITION BY q_table ORDER BY round(ts, {d}) DESC, c_table) AS rank
+             CAST(row_number() OVER (PARTITION BY q_table ORDER BY round(ts, {d}) DESC, c_table) AS INTEGER) AS rank
       FROM tab)
     SELECT query_table, rank, cand_table, score, n_matched FROM ranked {lim}"""

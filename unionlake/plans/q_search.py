@@ -141,7 +141,7 @@ COL_K = 5
 
 
 @register("column_search", f"""WITH {LAKE}, {EXACT_HITS},
-r AS (SELECT *, row_number() OVER (PARTITION BY q_table, q_column ORDER BY score DESC, c_table, c_column) AS rank
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_table, q_column ORDER BY score DESC, c_table, c_column) AS INTEGER) AS rank
       FROM hits)
 SELECT q_table, q_column, c_table, c_column, rank, score FROM r WHERE rank <= {COL_K}""")
 def column_search(spark: SparkSession, sf_dir: str) -> DataFrame:
