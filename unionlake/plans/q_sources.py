@@ -82,7 +82,7 @@ def query_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     hdr = spark.createDataFrame([("query_table,recall",)], "line STRING")  # the CSV header line
     body = names.select(F.concat(F.col("table_name"), F.lit(".csv,1")).alias("line"))
     FF.write_text_lines(hdr.withColumn("o", F.lit(0)).unionByName(body.withColumn("o", F.lit(1))), "line", p2,
-                        order="o")
+                        order="o", single_file=True)  # a CSV file starts with its header
     return (LK.query_list_lines(spark, p1).select(F.lit(1).alias("form"), "query_table")
             .unionByName(LK.query_list_csv(spark, p2).select(F.lit(2).alias("form"), "query_table"))
             .unionByName(LK.query_list_dir(spark, root).select(F.lit(3).alias("form"), "query_table")))

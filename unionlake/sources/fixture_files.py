@@ -18,13 +18,20 @@ def csv_field(v: Column) -> Column:
 
 
 def _write_lines(lines: DataFrame, path: str, partition_col: str | None = None, mode: str = "overwrite",
-                 compression: str | None = None) -> None:
+                 compression: str | None = None, single_file: bool = False) -> None:
     """Write pre-rendered lines (column ``line``, ordered by ``ord``) as .csv
-    files: one file per ``partition_col`` value, lines in ``ord`` order."""
+    files: one file per ``partition_col`` value, lines in ``ord`` order.
+    Without a partition column the lines are range-partitioned on ``ord``:
+    part files follow each other in name order, so a reader that numbers
+    lines by (file name, position) sees one ordered file, written by many
+    tasks.  ``single_file`` keeps one file (for formats whose every file
+    starts with a header line)."""
     if partition_col:
         lines = lines.repartition(partition_col).sortWithinPartitions(partition_col, "ord")
-    else:
+    elif single_file:
         lines = lines.coalesce(1).sortWithinPartitions("ord")
+    else:
+        lines = lines.repartitionByRange("ord").sortWithinPartitions("ord")
     w = (lines.drop("ord").write.mode(mode).option("sep", LINE_SEP).option("quote", "\u0000")
          .option("escapeQuotes", "false").option("emptyValue", "").option("header", "false"))
     if compression:
@@ -53,6 +60,6 @@ def write_parquet_lake(wide: DataFrame, root: str, mode: str = "overwrite") -> N
 
 
 def write_text_lines(df: DataFrame, col: str, path: str, order: str | None = None, mode: str = "overwrite",
-                     compression: str | None = None) -> None:
+                     compression: str | None = None, single_file: bool = False) -> None:
     lines = df.select(F.col(col).alias("line"), (F.col(order) if order else F.lit(0)).alias("ord"))
-    _write_lines(lines, path, None, mode, compression)
+    _write_lines(lines, path, None, mode, compression, single_file)
