@@ -97,18 +97,22 @@ def lake_scan_parquet(spark: SparkSession, root: str, glob: str = "*.parquet") -
         import io
         import zlib
 
+        import numpy as np
         import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
         import pyarrow.parquet as pq
         for b in batches:
             for t, p, content in zip(b["table_name"], b["path"], b["content"]):
                 tab = pq.read_table(io.BytesIO(content))
                 base = (zlib.crc32(p.encode()) & 0x7FFFFFFF) << 32
-                n = tab.num_rows
+                rid = base + np.arange(tab.num_rows, dtype=np.int64)
                 for pos, name in enumerate(tab.column_names):
-                    col = tab.column(name).to_pandas()
-                    vals = col.astype(object).where(col.notna(), None).map(lambda x: None if x is None else str(x))
-                    yield pd.DataFrame({"table_name": t, "column_name": name, "col_pos": pos,
-                                        "row_id": [base + i for i in range(n)], "value": vals.values})
+                    col = tab.column(name)
+                    if not pa.types.is_string(col.type):
+                        col = pc.cast(col, pa.string())  # vectorised text form, nulls stay null
+                    yield pd.DataFrame({"table_name": t, "column_name": name, "col_pos": pos, "row_id": rid,
+                                        "value": col.to_pandas()})
 
     return files.mapInPandas(parse, schema)
 
