@@ -67,8 +67,10 @@ def ship_package(spark: SparkSession) -> None:
 
 def prepare(spark: SparkSession) -> str:
     """Everything a job needs from its session: the package on the workers
-    and the shared checkpoint folder (returned)."""
+    and the shared checkpoint folder (returned).  Shuffle files go when their
+    query is over: what a later query needs is written as a table."""
     ship_package(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return checkpoint_dir(spark)
 
 
