@@ -12,13 +12,14 @@ words of a pair of 100-word lines coincide with a chance of 5e-6, which moves th
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unionlake.llm.columns import SPACE_CHARS, SPACE_RUN, ceil_div, fresh, let, ratio, text_of
-from unionlake.session import materialize
+from unionlake.session import materialize, scratch_path
 
 
 @dataclass(frozen=True)
@@ -43,32 +44,34 @@ def word_rarity(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     return materialize(table, "line-rarity")
 
 
-def _parity(words: Column, half: int) -> Column:
-    """64 of the 128 parity bits of a set; each element flips one bit, so differing bits bound the difference of two sets."""
-    one = F.lit(1).cast("long")
-    bit = lambda v: F.call_function("shiftleft", one, v.bitwiseAND(F.lit(63)))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, v: F.when(v.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseXOR(bit(v))).otherwise(a))
+def _parity(words: Column, n: Column) -> list[Column]:
+    """128 parity bits of a set: each word flips one bit, so bits that differ bound the difference of two sets from
+    below.  Sets of up to 64 words keep all in the first half (what the halves of a larger set give when combined)."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    flip = lambda a, v: a.bitwiseXOR(F.call_function("shiftleft", one, v))  # noqa: E731  the shift takes the low six bits
+    half = lambda h: F.aggregate(words, zero, lambda a, v: F.when(v.bitwiseAND(F.lit(64)) == h, flip(a, v)).otherwise(a))
+    return [F.when(n <= 64, F.aggregate(words, zero, flip)).otherwise(half(0)).alias("b0"), F.when(n <= 64, zero).otherwise(half(64)).alias("b1")]
 
 
 def line_sets(docs: DataFrame, rarity: DataFrame, text: str, doc_id: str, p: LineParams) -> DataFrame:
     """(doc, line_no, key, n, words, b0, b1) of every line with a word; words: 32-bit hashes, rarest first."""
     mask = F.lit(p.rarity_buckets - 1)
     low = F.lit(1 << 31).cast("long")
-    # one long per word: its rank above, its hash below
+    trimmed = F.btrim("line", F.lit(SPACE_CHARS))
+    lines = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "line"))
+    # one long per word: its rank above, its hash below; the ranks are read once per word, never copied to the rows
     ranked = lambda h: F.shiftleft(F.get("ranks", h.bitwiseAND(mask)).cast("long"), 32).bitwiseOR(h.cast("long") + low)
-    split = lambda line: F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, SPACE_RUN))
-    one_line = lambda line: F.sort_array(F.array_distinct(F.transform(F.transform(split(F.btrim(line, F.lit(SPACE_CHARS))), lambda w: F.hash(w)), ranked)))
-    by_doc = docs.select(F.col(doc_id).alias("doc"), text_of(text).alias("text")).withColumn("ranks", rarity.scalar())
-    lines = by_doc.select("doc", F.transform(F.split("text", "\n"), one_line).alias("lines")).select("doc", F.posexplode("lines").alias("line_no", "ordered"))
-    words = F.transform("ordered", lambda k: (k.bitwiseAND(F.lit((1 << 32) - 1).cast("long")) - low).cast("int"))
-    sets = lines.where(F.size("ordered") > 0).select("doc", "line_no", words.alias("words"))
-    return sets.select("doc", "line_no", F.xxhash64("words").alias("key"), F.size("words").alias("n"), "words", _parity(F.col("words"), 0).alias("b0"), _parity(F.col("words"), 1).alias("b1"))
+    hashes = F.transform(F.split(trimmed, SPACE_RUN), lambda w: F.hash(w))
+    ordered = lines.where(trimmed != "").withColumn("ranks", rarity.scalar()).select("doc", "line_no", F.sort_array(F.array_distinct(F.transform(hashes, ranked))).alias("ordered"))
+    sets = ordered.select("doc", "line_no", F.transform("ordered", lambda k: (k.bitwiseAND(F.lit((1 << 32) - 1).cast("long")) - low).cast("int")).alias("words"))
+    return sets.select("doc", "line_no", F.xxhash64("words").alias("key"), F.size("words").alias("n"), "words", *_parity(F.col("words"), F.size("words")))
 
 
 def _close(x: str, y: str, num: int, den: int) -> Column:
     """Length filter and parity bound: false only for pairs below the threshold."""
     a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))) + F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1")))
+    d0, d1 = (F.col(f"{x}.{h}").bitwiseXOR(F.col(f"{y}.{h}")) for h in ("b0", "b1"))
+    differ = F.when((a <= 64) == (b <= 64), F.bit_count(d0) + F.bit_count(d1)).otherwise(F.bit_count(d0.bitwiseXOR(d1)))
     return (a * den >= b * num) & (b * den >= a * num) & (differ * (num + den) <= (a + b) * (den - num))
 
 
@@ -83,15 +86,26 @@ def _verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     return both.where(similar).select(F.when(F.col("xo") < F.col("yo"), F.col("y")).otherwise(F.col("x")).alias("key")).distinct()
 
 
+def _classes(docs: DataFrame, text: str, doc_id: str, p: LineParams) -> DataFrame:
+    """The first line of each word set, written once in buckets of its key, so that pairs meet their words without
+    another shuffle of all words."""
+    spark = docs.sparkSession
+    sets = line_sets(docs, word_rarity(docs, text, p.rarity_buckets), text, doc_id, p)
+    first = Window.partitionBy("key").orderBy("doc", "line_no")
+    classes = sets.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    name = f"line_classes_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    classes.write.bucketBy(buckets, "key").option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
 def matched_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: LineParams = LineParams()) -> DataFrame:
     """(doc, line_no, n, similar) of the first line of each class of equal word sets; similar: an earlier line of
     another class matches it.  All other lines with words repeat an earlier one.
 
     Ties: rows that repeat a document id stand at the same place, one of them counts as the first."""
     num, den = ratio(params.threshold)
-    sets = line_sets(docs, word_rarity(docs, text, params.rarity_buckets), text, doc_id, params)
-    first = Window.partitionBy("key").orderBy("doc", "line_no")
-    classes = sets.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    classes = _classes(docs, text, doc_id, params)
     prefix = F.col("n") - ceil_div(F.col("n").cast("long") * num, den) + 1
     me = ["key", "n", "b0", "b1"]
 
@@ -100,7 +114,7 @@ def matched_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     lead = Window.partitionBy("word").orderBy("doc", "line_no")
     led = leads.select(F.struct(*me).alias("y"), F.first(F.struct(*me)).over(lead).alias("x"))
     near = led.where("x.key != y.key").where(_close("x", "y", num, den)).select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
-    settled = _verified(near, classes, num, den)
+    settled = materialize(_verified(near, classes, num, den), "line-settled")
 
     # all candidates of the lines that are still open
     open_ = classes.join(settled.select("key", F.lit(True).alias("settled")), "key", "left")
