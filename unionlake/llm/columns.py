@@ -35,6 +35,11 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def split_words(trimmed: Column) -> Column:
+    """The words of a text without white space at its ends; the usual single spaces are split without a pattern."""
+    return F.when(trimmed.rlike(r"[\x09-\x0D]|\x20\x20"), F.split(trimmed, SPACE_RUN)).otherwise(F.split(trimmed, " "))
+
+
 def words(text: Column) -> Column:
     """The white-space separated words of a text, in order; none for empty or blank text."""
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))

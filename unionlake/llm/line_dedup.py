@@ -12,13 +12,15 @@ words of a pair of 100-word lines coincide with a chance of 5e-6, which moves th
 
 from __future__ import annotations
 
+import functools
+import math
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unionlake.llm.columns import SPACE_CHARS, SPACE_RUN, ceil_div, fresh, let, ratio, text_of
+from unionlake.llm.columns import SPACE_CHARS, SPACE_RUN, ceil_div, fresh, let, ratio, split_words, text_of
 from unionlake.session import materialize, scratch_path
 
 
@@ -26,11 +28,13 @@ from unionlake.session import materialize, scratch_path
 class LineParams:
     """threshold: smallest Jaccard similarity of word sets that makes a later line a match.
     rarity_buckets: size (a power of two) of the table of word counts by hash; it bounds what each task holds.
-    lead_words: rarest words of a line that look for an earliest line."""
+    lead_words: rarest words of a line that look for an earliest line.
+    rounds: parts of the words whose candidates are joined one after the other, which divides the disk they need."""
 
     threshold: float = 0.8
-    rarity_buckets: int = 1 << 16
-    lead_words: int = 3
+    rarity_buckets: int = 1 << 20
+    lead_words: int = 6
+    rounds: int = 2
 
 
 def word_rarity(docs: DataFrame, text: str, buckets: int) -> DataFrame:
@@ -61,7 +65,7 @@ def line_sets(docs: DataFrame, rarity: DataFrame, text: str, doc_id: str, p: Lin
     lines = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "line"))
     # one long per word: its rank above, its hash below; the ranks are read once per word, never copied to the rows
     ranked = lambda h: F.shiftleft(F.get("ranks", h.bitwiseAND(mask)).cast("long"), 32).bitwiseOR(h.cast("long") + low)
-    hashes = F.transform(F.split(trimmed, SPACE_RUN), lambda w: F.hash(w))
+    hashes = F.transform(split_words(trimmed), lambda w: F.hash(w))
     ordered = lines.where(trimmed != "").withColumn("ranks", rarity.scalar()).select("doc", "line_no", F.sort_array(F.array_distinct(F.transform(hashes, ranked))).alias("ordered"))
     sets = ordered.select("doc", "line_no", F.transform("ordered", lambda k: (k.bitwiseAND(F.lit((1 << 32) - 1).cast("long")) - low).cast("int")).alias("words"))
     return sets.select("doc", "line_no", F.xxhash64("words").alias("key"), F.size("words").alias("n"), "words", *_parity(F.col("words"), F.size("words")))
@@ -99,6 +103,28 @@ def _classes(docs: DataFrame, text: str, doc_id: str, p: LineParams) -> DataFram
     return spark.table(name)
 
 
+def _candidates(prefixes: DataFrame, part: int, p: LineParams) -> DataFrame:
+    """(x, y): pairs that share a prefix word (of this part of all words) and pass the positional and length filters.
+
+    The join key holds the word and a size band, two bands to the length filter's ratio: the smaller set goes to its own
+    band and the two above, with as many prefix words as the positional filter leaves against sizes of that band."""
+    num, den = ratio(p.threshold)
+    step = math.sqrt(den / num) if num < den else 2.0
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(step) + 1e-9).cast("int")
+    me = ["key", "n", "b0", "b1", "open"]
+    mine = F.pmod("word", F.lit(p.rounds)) == part
+    floor = F.greatest(F.floor(F.pow(F.lit(step), F.col("band")) + 1e-6).cast("long"), F.col("n").cast("long"))
+    last = F.col("n") - ceil_div((F.col("n") + floor) * num, num + den)
+    lower = prefixes.select(*me, "words", F.explode(F.sequence(band, band + 2)).alias("band")).withColumn("last", last.cast("int")).where("last >= 0")
+    a = lower.select(*me, "band", F.posexplode(F.slice("words", F.lit(1), F.col("last") + 1)).alias("pos", "word")).where(mine).alias("a")
+    b = prefixes.select(*me, band.alias("band"), F.posexplode("words").alias("pos", "word")).where(mine).alias("b")
+    order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.key") < F.col("b.key")))
+    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    enough = left * (num + den) >= (F.col("a.n") + F.col("b.n")) * num
+    near = (F.col("a.word") == F.col("b.word")) & (F.col("a.band") == F.col("b.band")) & order & enough & (F.col("a.open") | F.col("b.open")) & _close("a", "b", num, den)
+    return a.join(b.hint("shuffle_hash"), near).select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
+
+
 def matched_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: LineParams = LineParams()) -> DataFrame:
     """(doc, line_no, n, similar) of the first line of each class of equal word sets; similar: an earlier line of
     another class matches it.  All other lines with words repeat an earlier one.
@@ -116,18 +142,10 @@ def matched_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     near = led.where("x.key != y.key").where(_close("x", "y", num, den)).select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
     settled = materialize(_verified(near, classes, num, den), "line-settled")
 
-    # all candidates of the lines that are still open
-    open_ = classes.join(settled.select("key", F.lit(True).alias("settled")), "key", "left")
-    post = open_.select(*me, F.col("settled").isNull().alias("open"), F.posexplode(F.slice("words", F.lit(1), prefix.cast("int"))).alias("pos", "word"))
-    a, b = post.alias("a"), post.alias("b")
-    order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.key") < F.col("b.key")))
-    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    enough = left * (num + den) >= (F.col("a.n") + F.col("b.n")) * num
-    pairs = (
-        a.join(b.hint("shuffle_hash"), (F.col("a.word") == F.col("b.word")) & order & enough & (F.col("a.open") | F.col("b.open")) & _close("a", "b", num, den))
-        .select(F.col("a.key").alias("x"), F.col("b.key").alias("y"))
-        .distinct()
-    )
+    # all candidates of the lines that are still open, a part of the words at a time
+    open_ = materialize(classes.join(settled.select("key", F.lit(True).alias("settled")), "key", "left").select(*me, F.col("settled").isNull().alias("open"), F.slice("words", F.lit(1), prefix.cast("int")).alias("words")), "line-prefixes")
+    parts = [materialize(_candidates(open_, k, params), "line-pairs") for k in range(params.rounds)]
+    pairs = functools.reduce(DataFrame.unionByName, parts).distinct()
     found = settled.unionByName(_verified(pairs, classes, num, den)).distinct()
     return classes.select("key", "doc", "line_no", "n").join(found.select("key", F.lit(True).alias("similar")), "key", "left").select("doc", "line_no", "n", F.coalesce("similar", F.lit(False)).alias("similar"))
 
