@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unionlake.llm import decontaminate, line_dedup, quality
+from unionlake.llm import decontaminate, line_dedup, near_dup, quality
+from unionlake.llm.queries import packed_documents
 from unionlake.session import materialize, prepare
 
 
@@ -24,12 +25,24 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return recount(line_dedup.drop_lines(docs))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    prepare(spark)
+    return near_dup.drop_near_duplicates(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a leaked benchmark item."""
     prepare(spark)
     return decontaminate.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the training sequences."""
+    prepare(spark)
+    return packed_documents(docs)
+
+
 def recount(docs: DataFrame) -> DataFrame:
     return docs.selectExpr(*["length(text) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns]) if "n_chars" in docs.columns else docs
 
@@ -37,7 +50,9 @@ def recount(docs: DataFrame) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: Similarity classes of documents and best-fit packing can't be stated in SQL.

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlake.llm import decontaminate, line_dedup, pii, quality, url_filter
-from unionlake.llm.columns import text_of
+import public_tokenizers
+
+from unionlake.llm import decontaminate, line_dedup, near_dup, ngram_lm, packing, page_text, pii, quality, token_files, url_filter
 from unionlake.session import prepare
 
 QUERIES: dict = {}
@@ -23,6 +24,18 @@ def query(fn):
     return run
 
 
+@query
+def op1_dart_minhash(spark, table):
+    """The near-duplicate class of every document."""
+    return near_dup.near_classes(table("documents"))
+
+
+@query
+def op2_pfor_token_files(spark, table):
+    """Every document as its token-ID file has it."""
+    return token_files.read_token_files(token_files.write_token_files(table("documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 #: The rules of the URL contract (fixed values).
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -42,6 +55,12 @@ def op4_spaced_seed_leaks(spark, table):
     return decontaminate.leaks(table("documents"), table("benchmark"))
 
 
+@query
+def op5_page_differencing(spark, table):
+    """The main text of every page."""
+    return page_text.extract(table("pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op6_distribution_divergence(spark, table):
     """Base counts and verdict of every document."""
@@ -50,6 +69,26 @@ def op6_distribution_divergence(spark, table):
     return rated.select("doc_id", *[F.col(q)[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    packed = packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packed.select(F.col("doc").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op7_certified_packing(spark, table):
+    """The place of every piece of every document."""
+    return packed_documents(table("documents"))
+
+
+@query
+def op8_kneser_ney(spark, table):
+    """The score of every document, by a model of those that are not held out."""
+    docs = table("documents").select("doc_id", "text", ngram_lm.held_out("doc_id").alias("held_out"))
+    model = ngram_lm.train(docs.where("not held_out"))
+    scored = ngram_lm.score(docs, model, keep=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.words.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query
 def op9_line_similarity_join(spark, table):
     """What is removed from every document."""
