@@ -140,7 +140,7 @@ def main_text(found: list[tuple[str, int]], shared: set[int]) -> str:
 def _neighbours(lined: DataFrame) -> DataFrame:
     """(host, path, other): for each URL the lines of the neighbour in path order with the longer common beginning of the
     path, the one before if they are equal.  Places in the order are numbered by range and by rank inside it, so no host is gathered in one task."""
-    first = lined.groupBy("host", "path").agg(F.min("key").alias("key"))
+    first = lined.groupBy("host", "path").agg(F.min(F.struct("page", "key"))["key"].alias("key"))
     urls = lined.join(first, ["host", "path", "key"]).dropDuplicates(["host", "path"]).select("host", "path", "hashes")
     ordered = urls.repartitionByRange("host", "path").sortWithinPartitions("host", "path").select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n"))
     ordered = materialize(ordered, "page-order")
@@ -165,8 +165,8 @@ def _neighbours(lined: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, content: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
     """One row per row of ``pages``: its id, url and text.
 
-    Null html counts as empty, its text is empty.  Pages of one URL stand at one place of the path order (a page is never
-    compared with another of the same URL); a host with one URL has no neighbour, so nothing is shared; a null url is
+    Null html counts as empty, its text is empty.  Pages of one URL stand at one place of the path order, where the
+    smallest id speaks for them (a page is never compared with another of the same URL); a host with one URL has no neighbour, so nothing is shared; a null url is
     the empty URL.  Rows that repeat are extracted one by one."""
     rows = pages.select(F.col(page_id).alias("page"), F.col(url).cast("string").alias("url"), F.col(content).cast("string").alias("html"))
     keyed = rows.withColumn("key", F.xxhash64("page", "url", "html"))
@@ -174,9 +174,10 @@ def extract(pages: DataFrame, content: str = "html", url: str = "url", page_id:
     def line_up(batches):
         for batch in batches:
             cut = [[line_hash(t) for t, _ in lines(p)] for p in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), batch.column("path"), pa.array(cut, pa.list_(pa.int64()))], names=["key", "host", "path", "hashes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page", "key", "host", "path")), pa.array(cut, pa.list_(pa.int64()))], names=["page", "key", "host", "path", "hashes"])
 
-    lined = keyed.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html").mapInArrow(line_up, "key long, host string, path string, hashes array<long>")
+    page_type = pages.schema[page_id].dataType.simpleString()
+    lined = keyed.select("page", "key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html").mapInArrow(line_up, f"page {page_type}, key long, host string, path string, hashes array<long>")
     lined = materialize(lined.dropDuplicates(["key"]), "page-lines")
 
     def align(batches):
@@ -191,5 +192,5 @@ def extract(pages: DataFrame, content: str = "html", url: str = "url", page_id:
             found = [main_text(lines(p), set(s or [])) for p, s in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), pa.array(found, pa.string())], names=["page", "url", "text"])
 
-    out = keyed.join(shared, "key", "left").select("page", "url", "html", "shared").mapInArrow(text, f"page {pages.schema[page_id].dataType.simpleString()}, url string, text string")
+    out = keyed.join(shared, "key", "left").select("page", "url", "html", "shared").mapInArrow(text, f"page {page_type}, url string, text string")
     return out.select(F.col("page").alias(page_id), F.col("url").alias(url), "text")
