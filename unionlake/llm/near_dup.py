@@ -5,9 +5,9 @@ the element's weight and a coordinate of the signature.  A dart counts if its pl
 coordinate the dart of the lowest rank is kept, so two sets agree in a coordinate with the probability of their weighted
 Jaccard similarity.  A set only throws the darts of low rank it needs, some k ln k, whatever its size.
 
-Texts with the same words are one node.  Nodes that share a band meet; in each band first only the smallest node and the others, and after
-what that links, only nodes of different components.  So a group of copies costs as many pairs as it has
-members, and no pair of different texts is left out.  The exact similarity of word shingles decides.
+Texts with the same words are one node.  Nodes that share a band meet: first only one of them with all others, then, of
+what that leaves in different components, all with all, but only similar pairs leave that join.  So copies that resemble one
+text cost as many pairs as there are, and no pair is left out.  The exact similarity of word shingles decides.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unionlake.llm.arrowtext import mix, slices, text_bytes, word_bounds, word_hashes
@@ -162,13 +162,10 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, p:
     return materialize(sets.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "near-shingles")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
-    """The pairs (a, b) with the similarity."""
+def _similar(left: str, right: str, p: NearParams) -> Column:
+    """Whether two columns of shingle sets have the similarity."""
     num, den = ratio(p.threshold)
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(common * (num + den) >= num * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return F.size(F.array_intersect(left, right)) * (num + den) >= num * (F.size(left) + F.size(right))
 
 
 def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: NearParams = NearParams()) -> DataFrame:
@@ -181,20 +178,23 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
     nodes = signed.groupBy("node").agg(F.min("doc").alias("doc"))
     bands = signed.where(F.size("bands") > 0).select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
     bands = materialize(bands, "near-bands")
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    shared = materialize(bands.join(shared.select("band", "least"), "band"), "near-buckets")
+    crowds = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(bands.join(crowds, "band"), "near-buckets")
     sets = _shingle_sets(docs, nodes.join(shared.select("node").distinct(), "node"), text, doc_id, params)
-    star = materialize(shared.where("least != node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "near-star")
-    links = materialize(_similar(star, sets, params), "near-links")
-    # nodes of one bucket that are still in different components
+    # first the node with the most company leads each bucket: of a group of copies that is likely what they were copied from
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    lead = shared.join(company, "node").groupBy("band").agg(F.max(F.struct("company", "node"))["node"].alias("a"))
+    star = shared.join(lead, "band").where("a != node").select("a", F.col("node").alias("b")).distinct()
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    links = materialize(star.join(left, "a").join(right, "b").where(_similar("sa", "sb", params)).select("a", "b"), "near-links")
+    # then the nodes of a bucket that are still in different components meet; only similar pairs leave the join
     label = components(links)
     part = shared.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     mixed = part.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("band")
-    part = materialize(part.join(mixed, "band"), "near-open")
+    part = materialize(part.join(mixed, "band"), "near-open").join(sets, "node")
     a, b = part.alias("a"), part.alias("b")
-    cross = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")))
-    cross = cross.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = materialize(_similar(cross, sets, params), "near-links")
+    cross = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _similar("a.shingles", "b.shingles", params))
+    more = materialize(cross.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "near-links")
     label = components(links.unionByName(more)) if not more.isEmpty() else label
     of_node = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     rows = signed.select("doc", "node").join(of_node, "node")
