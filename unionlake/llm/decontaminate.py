@@ -30,9 +30,10 @@ class LeakParams:
     broadcast_seeds: int = 2_000_000
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+def token_hashes(text: Column) -> Column:
+    """64-bit hashes of the lower-cased runs of letters and digits."""
+    hashes = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: F.xxhash64(x))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))  # a split leaves empty strings at the ends
 
 
 def _seeds(at) -> Column:
@@ -48,7 +49,7 @@ def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def benchmark_seeds(bench: DataFrame, text: str, item_id: str) -> DataFrame:
     """(item, item_hashes, item_at, seed).  Items of fewer tokens than a mask spans prove nothing and have no seeds."""
-    items = bench.select(F.col(item_id).alias("item"), F.transform(tokens(text_of(text)), lambda x: F.xxhash64(x)).alias("hashes"))
+    items = bench.select(F.col(item_id).alias("item"), token_hashes(text_of(text)).alias("hashes"))
     return _windows(items, ["item"]).select("item", F.col("hashes").alias("item_hashes"), F.col("at").alias("item_at"), "seed")
 
 
@@ -62,7 +63,7 @@ def leaks(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "
     plain = seeds.select(F.col("item"), "item_at", F.col("seed").alias("item_seed"))
     small = seeds.count() <= params.broadcast_seeds
     items = seeds.select("item", "item_hashes").distinct()
-    hashed = docs.select(F.col(doc_id).alias("doc"), F.transform(tokens(text_of(text)), lambda x: F.xxhash64(x)).alias("hashes"))
+    hashed = docs.select(F.col(doc_id).alias("doc"), token_hashes(text_of(text)).alias("hashes"))
     shift = F.col("at") - F.col("item_at")
     # the document's part beside the item is cut out here, so the join's other side stays small
     hits = _windows(hashed, ["doc"]).join(F.broadcast(plain) if small else plain, F.col("seed") == F.col("item_seed")).select("doc", "item", shift.alias("shift"), "hashes")
