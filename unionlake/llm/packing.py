@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unionlake.llm.arrowtext import slices
-from unionlake.llm.tokens import Encoder
+from unionlake.llm.tokens import encoder
 from unionlake.session import materialize
 
 PIECE = "doc long, piece int, start long, length long, crc long"
@@ -28,10 +28,10 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 40
     """(doc, piece, start, length, crc) of every document's ids with the end id; only longer documents are cut.  Null
     text counts as empty: the document is the end id alone."""
     def cut(batches):
-        encoder = Encoder(vocabulary)
+        coder = encoder(vocabulary)
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
-                ids, ends = encoder.encode(part.column("text"))
+                ids, ends = coder.encode(part.column("text"))
                 rows = []
                 for i, d in enumerate(part.column("doc").to_pylist()):
                     mine = np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4")

@@ -40,18 +40,22 @@ class QualityParams:
     min_words: int = 50
     max_repeat_pct: int = 50
     common_words: int = 40
-    min_reference_words: int = 10_000
+    min_reference_words: int = 2_000
     min_chars: int = 200
     min_words_js: int = 50
     max_char_js: float = 0.3
     max_word_js: float = 0.245
 
 
-def class_counts(text: Column) -> list[Column]:
-    """Characters of each class, and of none."""
-    n = F.length(text)
-    known = [n - F.length(F.regexp_replace(text, c + "+", "")) for c in CHAR_CLASSES]
-    return known
+def class_counts(text: Column) -> Column:
+    """Characters of each class, as an array.  A class is taken out of what the ones before it left, so only the first, the
+    small letters, goes through the whole text."""
+    def count(left: Column, rest: list[str]) -> Column:
+        if not rest:
+            return F.array().cast("array<int>")
+        return let(F.regexp_replace(left, rest[0] + "+", ""), lambda new: F.concat(F.array(F.length(left) - F.length(new)), count(new, rest[1:])))
+
+    return count(text, CHAR_CLASSES)
 
 
 def _shares(counts: Column) -> Column:
@@ -69,25 +73,21 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def word_divergence(found: Column, shares: Column) -> Column:
+def word_divergence(found: Column, n: Column, shares: Column) -> Column:
     """Jensen-Shannon distance of a document's common words from the reference shares.
 
-    found: for each word its place in the reference (from 1; 0: none), sorted.  Equal places are counted as runs; a
-    bin without words adds its whole reference share, so only the document's own bins are visited."""
+    found: the places in the reference (from 1) of the document's common words, sorted; n: all its words.  Equal places are
+    counted as runs; a bin without words adds its whole reference share, so only the document's own bins are visited."""
+    def term(p: Column, q: Column) -> Column:
+        return p * F.log2(p * 2 / (p + q)) + F.when(q > 0, q * F.log2(q * 2 / (p + q))).otherwise(0.0) - q
+
     def runs(p: Column) -> Column:
-        n = F.size(p)
+        m = F.size(p)
         starts = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (F.get(p, i - 1) != x), i)), lambda i: i.isNotNull())
-
-        def terms(s: Column) -> Column:
-            def term(i: Column, k: Column) -> Column:
-                place = F.get(p, i)
-                count = F.coalesce(F.get(s, k + 1), n) - i
-                q = F.coalesce(F.get(shares, F.when(place == 0, F.size(shares) - 1).otherwise((place - 1).cast("int"))), F.lit(0.0))
-                return let(F.struct((count / n).alias("p"), q.alias("q")), lambda v: v["p"] * F.log2(v["p"] * 2 / (v["p"] + v["q"])) + F.when(v["q"] > 0, v["q"] * F.log2(v["q"] * 2 / (v["p"] + v["q"]))).otherwise(0.0) - v["q"])
-
-            return F.transform(s, term)
-
-        return F.sqrt(F.greatest((F.aggregate(let(starts, terms), F.lit(0.0), lambda a, x: a + x) + 1) / 2, F.lit(0.0)))
+        share = lambda i: F.coalesce(F.get(shares, (F.get(p, i) - 1).cast("int")), F.lit(0.0))
+        terms = lambda s: F.transform(s, lambda i, k: term((F.coalesce(F.get(s, k + 1), m) - i) / n, share(i)))
+        other = F.when(m < n, term((n - m) / n, F.coalesce(F.element_at(shares, -1), F.lit(0.0)))).otherwise(0.0)
+        return F.sqrt(F.greatest((F.aggregate(let(starts, terms), F.lit(0.0), lambda a, x: a + x) + other + 1) / 2, F.lit(0.0)))
 
     return let(found, runs)
 
@@ -97,8 +97,8 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
     other words) of each language with enough words, and of all languages together as lang ``*``.  Ties of
     word counts go to the word that sorts first.  A null language counts only for ``*``."""
     base = docs.select(F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"))
-    counts = [c.cast("double").alias(f"c{i}") for i, c in enumerate(class_counts(F.col("text")))]
-    chars = base.select("lang", F.length("text").cast("double").alias("n"), *counts)
+    counts = [F.get("classes", F.lit(i)).cast("double").alias(f"c{i}") for i in range(len(CHAR_CLASSES))]
+    chars = base.select("lang", F.length("text").cast("double").alias("n"), class_counts(F.col("text")).alias("classes")).select("lang", "n", *counts)
     sums = chars.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(counts))])
     tokens = base.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''")
     # one pass over the words; the small per-language tables below are built from these counts
@@ -174,8 +174,7 @@ def rate(docs: DataFrame, references: DataFrame, text: str = "text", lang: str =
     known = references.where(F.col("lang") != POOLED).select(F.col("lang").alias(key), F.struct("chars", "words", "word_shares", "longest").alias(ref))
     pooled = references.where(F.col("lang") == POOLED).select(F.struct("chars", "words", "word_shares", "longest").alias("r")).scalar()
     lines = F.filter(F.split(F.col(t), "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    counted = class_counts(F.col(t))
-    counts = F.array(*[c.cast("double") for c in counted])
+    counts = class_counts(F.col(t)).cast("array<double>")
     # only words no longer than the longest common word are looked up
     place = lambda x: F.when(F.length(x) <= F.col(ref)["longest"], F.coalesce(F.array_position(F.col(ref)["words"], F.lower(x)), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
     seen = (
@@ -183,7 +182,7 @@ def rate(docs: DataFrame, references: DataFrame, text: str = "text", lang: str =
         .join(known, F.col(lang).cast("string") == F.col(key), "left")
         .withColumn(ref, F.coalesce(F.col(ref), pooled))
         .withColumns({w: words(F.col(t)), classes: counts})
-        .withColumns({h: F.transform(w, lambda x: F.xxhash64(x)), found: F.sort_array(F.transform(w, place))})
+        .withColumns({h: F.transform(w, lambda x: F.xxhash64(x)), found: F.sort_array(F.array_remove(F.transform(w, place), F.lit(0).cast("long")))})
     )
     p = params
     size = F.size(w).cast("long")
@@ -191,12 +190,12 @@ def rate(docs: DataFrame, references: DataFrame, text: str = "text", lang: str =
     all_classes = F.concat(F.col(classes), F.array(length - F.aggregate(classes, F.lit(0.0), lambda a, x: a + x)))
     facts = F.struct(
         size.alias("n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        (length - F.get(F.col(classes), F.lit(3))).cast("long").alias("word_chars"),
         F.get(F.col(classes), F.lit(5)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col(h)).cast("long").alias("n_repeat_words"),
         F.when(length >= p.min_chars, js_distance(_shares(all_classes), F.col(ref)["chars"])).alias("char_js"),
-        F.when(size >= p.min_words_js, word_divergence(F.col(found), F.col(ref)["word_shares"])).alias("word_js"),
+        F.when(size >= p.min_words_js, word_divergence(F.col(found), size, F.col(ref)["word_shares"])).alias("word_js"),
     )
 
     def judged(f: Column) -> Column:

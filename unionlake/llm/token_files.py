@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from unionlake.llm.arrowtext import slices
 from unionlake.llm.shared import Atomic, shared_dir
-from unionlake.llm.tokens import Encoder
+from unionlake.llm.tokens import encoder
 from unionlake.session import materialize
 
 MAGIC, BLOCK = b"PFORIDS1", 512
@@ -158,7 +158,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, text: s
     folder = shared_dir(docs.sparkSession, "token-files")
 
     def write(batches):
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
+        coder, part = encoder(vocabulary), TaskContext.get().partitionId()
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, text: s
             writer = Writer(file)
             for batch in (b for group in ([first], batches) for b in group):
                 for piece in slices(batch, "text", 8 << 20):
-                    ids, ends = encoder.encode(piece.column("text"))
+                    ids, ends = coder.encode(piece.column("text"))
                     for i, d in enumerate(piece.column("id").to_pylist()):
                         writer.add(d, np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)).astype(np.uint32))
             writer.close()

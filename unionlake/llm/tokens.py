@@ -7,6 +7,7 @@ a row; each different cut of a batch is encoded once.
 
 from __future__ import annotations
 
+import functools
 import os
 from itertools import chain
 
@@ -25,6 +26,12 @@ OPEN = MARK.copy()
 OPEN[0x27] = False
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary, one for all tasks of a worker."""
+    return Encoder(path)
+
+
 class Encoder:
     """path: a file of the tokenizers library.  keep: cuts whose ids are kept from batch to batch."""
 
