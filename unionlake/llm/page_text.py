@@ -192,5 +192,6 @@ def extract(pages: DataFrame, content: str = "html", url: str = "url", page_id:
             found = [main_text(lines(p), set(s or [])) for p, s in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), pa.array(found, pa.string())], names=["page", "url", "text"])
 
-    out = keyed.join(shared, "key", "left").select("page", "url", "html", "shared").mapInArrow(text, f"page {page_type}, url string, text string")
+    # always by a shuffle: a small table would be broadcast, a large one not, and the join should act alike at every size
+    out = keyed.join(shared.hint("merge"), "key", "left").select("page", "url", "html", "shared").mapInArrow(text, f"page {page_type}, url string, text string")
     return out.select(F.col("page").alias(page_id), F.col("url").alias(url), "text")
