@@ -204,4 +204,7 @@ def rate(docs: DataFrame, references: DataFrame, text: str = "text", lang: str =
         near = F.coalesce(f["char_js"] <= p.max_char_js, F.lit(True)) & F.coalesce(F.pow(f["word_js"], F.lit(2)) - noise <= p.max_word_js**2, F.lit(True))
         return F.struct(*[f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_js", "word_js")], failed.alias("base_failed"), (~failed & near).alias("kept"))
 
-    return seen.withColumn(q, let(facts, judged)).select(*docs.columns, q), q
+    # a condition that is not deterministic keeps a filter on the verdict above this projection: pushed below,
+    # it would compute the words and their hashes anew wherever the verdict uses them
+    once = F.monotonically_increasing_id() >= 0
+    return seen.withColumn(q, F.when(once, let(facts, judged))).select(*docs.columns, q), q
