@@ -78,3 +78,15 @@ def test_exact_join_equals_brute_force(spark):
         got = {(r["q_column"], r["c_column"]) for r in lsh.cosine_join(df, df, t).collect()}
         exp = {(f"c{i}", f"c{j}") for i in range(len(vecs)) for j in range(len(vecs)) if sims[i, j] >= t}
         assert got == exp, t
+
+
+def test_index_of_other_parameters_is_an_error(spark, tmp_path):
+    import pytest
+    from unionlake.operators import lsh
+    vecs = spark.createDataFrame([("t", f"c{i}", [1.0, float(i)] + [0.5] * 62) for i in range(4)],
+                                 "table_name string, column_name string, vec array<double>")
+    path = str(tmp_path / "index")
+    built = lsh.load_or_build_index(vecs, path, 0.7, seed=1)
+    assert lsh.load_or_build_index(vecs, path, 0.7, seed=1).count() == built.count() == 4
+    with pytest.raises(ValueError):
+        lsh.load_or_build_index(vecs, path, 0.7, seed=2)

@@ -102,7 +102,7 @@ def encode_prefixed_term(c) -> Column:
     """C5: 'h#x' -> wildcard header code of x, 'd#x' -> wildcard data code of x,
     other prefixes -> null (callers count and drop them)."""
     t = _col(c)
-    rest = F.substring(t, 3, 1 << 30)
+    rest = F.substr(t, F.lit(3))
     return (F.when(t.startswith(HEADER_PREFIX), encode_header(rest, True))
              .when(t.startswith(DATA_PREFIX), encode_data(rest, True)))
 

@@ -78,11 +78,14 @@ def truncated_query_columns(offsets: DataFrame) -> DataFrame:
 
 
 def token_pool_columns(offsets: DataFrame, token_vecs: DataFrame, how: str = "mean") -> DataFrame:
-    """Per (row, column) the mean (or max) of its kept token vectors;
+    """Per (row, column) the mean, the max or the first of its kept token vectors;
     special tokens take no part.  ``token_vecs``: token, vec.  -> table,
     row, col_pos, column_name, vec."""
+    if how not in ("mean", "max", "first"):
+        raise ValueError(f"unknown pooling {how!r}")
+    kept = F.least(F.col("kept"), F.lit(1)) if how == "first" else F.col("kept")
     ex = offsets.select(TABLE, ROW, "col_pos", "column_name",
-                        F.explode(F.slice("tokens", 1, F.col("kept"))).alias("token"))
+                        F.explode(F.slice("tokens", 1, kept)).alias("token"))
     dim_rows = ex.join(token_vecs, "token").select(TABLE, ROW, "col_pos", "column_name",
                                                    F.posexplode("vec").alias("d", "x"))
     agg = F.avg("x") if how == "mean" else F.max("x")

@@ -195,6 +195,9 @@ def index_name(ckpt_name: str, num_samples: int, threshold: float) -> str:
     return f"{ckpt_name}_sample_{num_samples}_lsh_{threshold}"
 
 
+INDEX_PARAMS = "threshold double, bits int, seed long, dim int"
+
+
 def build_index(vecs: DataFrame, path: str, threshold: float, bits: int = DEFAULT_BITS,
                 seed: int = DEFAULT_SEED, dim: int = 64, mode: str = "errorifexists") -> DataFrame:
     """Write (rep_key, table_name, column_name, vec, bits) and the band
@@ -206,20 +209,28 @@ def build_index(vecs: DataFrame, path: str, threshold: float, bits: int = DEFAUL
     stored = vecs.sparkSession.read.parquet(os.path.join(path, "signatures"))
     (bands(stored.dropDuplicates(["rep_key"]), n_bands, rows, "rep_key")
      .write.mode(mode).partitionBy("band_id").parquet(os.path.join(path, "bands")))
+    # written last: an index without its parameters is not complete
+    (vecs.sparkSession.createDataFrame([(float(threshold), bits, seed, dim)], INDEX_PARAMS)
+     .coalesce(1).write.mode(mode).parquet(os.path.join(path, "params")))
     return stored
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "signatures", "_SUCCESS"))
-    return p.getFileSystem(hconf).exists(p)
+    marks = [jvm.org.apache.hadoop.fs.Path(os.path.join(path, part, "_SUCCESS")) for part in ("signatures", "bands", "params")]
+    return all(p.getFileSystem(hconf).exists(p) for p in marks)
 
 
 def load_or_build_index(vecs: DataFrame, path: str, threshold: float, **kw) -> DataFrame:
-    """A13 reuse: read the stored index when its ``_SUCCESS`` marker exists."""
+    """A13 reuse: read the stored index if it is complete.  Signatures of other
+    bits, seed, dimension or threshold can't be compared: that is an error."""
     spark = vecs.sparkSession
     if index_exists(spark, os.path.join(path)):
+        have = tuple(spark.read.parquet(os.path.join(path, "params")).first())
+        want = (float(threshold), kw.get("bits", DEFAULT_BITS), kw.get("seed", DEFAULT_SEED), kw.get("dim", 64))
+        if have != want:
+            raise ValueError(f"the index at {path} has (threshold, bits, seed, dim) = {have}, not {want}")
         return spark.read.parquet(os.path.join(path, "signatures"))
     return build_index(vecs, path, threshold, mode="overwrite", **kw)
 

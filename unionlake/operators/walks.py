@@ -56,9 +56,10 @@ def cumulative_weights(adj: DataFrame, chunk: int = 1024) -> DataFrame:
 
 
 def choice_key(seed: int, walk_id: Column, step: Column, v: Column, w: Column) -> Column:
-    """-ln(u)/w with u = (md5(seed:walk:step:v) + 0.5) / 2^32."""
+    """-ln(u)/w with u = (md5(seed:walk:step:v) + 0.5) / 2^32.  A weight of 0 (or
+    less) is never drawn while another is positive."""
     u = sampling.uniform(seed, walk_id.cast("string"), step.cast("string"), v.cast("string"))
-    return -F.ln(u) / w
+    return F.when(w > 0, -F.ln(u) / w).otherwise(F.lit(float("inf")))
 
 
 def walk_step(frontier: DataFrame, adj: DataFrame, step: int, seed: int) -> DataFrame:

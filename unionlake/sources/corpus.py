@@ -60,6 +60,6 @@ def vector_file_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     d = int(head["value"].split()[1])
     body = lines.where(F.col("line_no") > 0).select("line_no", F.split(F.trim("value"), r"\s+").alias("p"))
     parsed = body.select("line_no", F.col("p")[0].alias("word"),
-                         F.transform(F.slice("p", 2, 1 << 20), lambda x: x.try_cast("double")).alias("vec"))
+                         F.transform(F.slice("p", F.lit(2), F.size("p")), lambda x: x.try_cast("double")).alias("vec"))
     ok = (F.size("vec") == F.lit(d)) & F.forall("vec", lambda x: x.isNotNull())
     return parsed.where(ok).select("word", "vec"), parsed.where(~ok).select("line_no", "word")

@@ -23,11 +23,18 @@ FIELD_SPLIT = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 LINE_SEP = "\u0001"  # a separator no lake line holds: the CSV reader returns whole lines
 
 
-def table_name_from_path(path: Column) -> Column:
-    """``.../table_name=<t>/part-*.csv`` -> t; ``.../<t>.csv`` -> t."""
+def _percent_decoded(name: Column) -> Column:
+    """%xx decoded; a plus sign is itself."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
+def table_name_from_path(path: Column, encoded: bool = False) -> Column:
+    """``.../table_name=<t>/part-*.csv`` -> t; ``.../<t>.csv`` -> t.  Partition
+    folders are escaped by their writer; other names only in the URI that
+    ``_metadata.file_path`` holds (``encoded``)."""
     part = F.regexp_extract(path, r"table_name=([^/]+)/[^/]*$", 1)
     stem = F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
-    return F.url_decode(F.when(part != "", part).otherwise(stem))
+    return F.when(part != "", _percent_decoded(part)).otherwise(_percent_decoded(stem) if encoded else stem)
 
 
 def lake_catalog(spark: SparkSession, root: str, glob: str = CSV_GLOB) -> DataFrame:
@@ -76,7 +83,7 @@ def lake_scan_csv(spark: SparkSession, root: str | None = None, paths: list[str]
     data = lines.join(first, "path").where(F.col("line_id") != F.col("header_id"))
     data = data.withColumn("fields", split_csv_line(F.col("line")))
     data = data.where(F.size("fields") <= F.size("header"))
-    cells = data.select(table_name_from_path(F.col("path")).alias("table_name"), F.col("line_id").alias("row_id"),
+    cells = data.select(table_name_from_path(F.col("path"), encoded=True).alias("table_name"), F.col("line_id").alias("row_id"),
                         F.posexplode("header").alias("col_pos", "column_name"), "fields")
     return cells.select("table_name", "column_name", F.col("col_pos").cast("int").alias("col_pos"), "row_id",
                         _na(F.try_element_at("fields", (F.col("col_pos") + 1).cast("int"))).alias("value"))
