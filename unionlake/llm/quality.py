@@ -27,6 +27,8 @@ CHAR_CLASSES = [
 ]
 SYMBOLS = CHAR_CLASSES[5]
 POOLED = "*"
+#: Slots (a power of two) of the table of hashes that tells most words apart from the common ones without a search.
+SLOTS = 1024
 
 
 @dataclass(frozen=True)
@@ -89,11 +91,15 @@ def word_divergence(found: Column, n: Column, shares: Column) -> Column:
         other = F.when(m < n, term((n - m) / n, F.coalesce(F.element_at(shares, -1), F.lit(0.0)))).otherwise(0.0)
         return F.sqrt(F.greatest((F.aggregate(let(starts, terms), F.lit(0.0), lambda a, x: a + x) + other + 1) / 2, F.lit(0.0)))
 
-    return let(found, runs)
+    return runs(found)
+
+
+def slot(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(SLOTS - 1))
 
 
 def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", params: QualityParams = QualityParams()) -> DataFrame:
-    """(lang, chars, words, longest, word_shares): class shares, the common words and their shares (the last share is all
+    """(lang, chars, words, slots, word_shares): class shares, the common words, the hash slots they take and their shares (the last share is all
     other words) of each language with enough words, and of all languages together as lang ``*``.  Ties of
     word counts go to the word that sorts first.  A null language counts only for ``*``."""
     base = docs.select(F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"))
@@ -105,9 +111,14 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
     counted = materialize(tokens.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "quality-words")
     sums = materialize(sums, "quality-chars")
     both = counted.where("lang is not null").unionByName(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(POOLED)))
-    sizes = both.groupBy("lang").agg(F.sum("n").alias("size"))
+    # how many words have each count: from it the sizes, and the least count a common word can have, so few words are ranked
+    counts_of = materialize(both.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("m")), "quality-count-sizes")
+    above = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    least = F.min(F.when(F.coalesce("before", F.lit(0)) < params.common_words, F.col("n"))).alias("least")
+    sizes = materialize(counts_of.withColumn("before", F.sum("m").over(above)).groupBy("lang").agg(F.sum(F.col("n") * F.col("m")).alias("size"), least), "quality-sizes")
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    common = both.withColumn("r", F.row_number().over(top)).where(F.col("r") <= params.common_words)
+    ranked = both.join(sizes.select("lang", "least"), "lang").where(F.col("n") >= F.col("least")).drop("least")
+    common = ranked.withColumn("r", F.row_number().over(top)).where(F.col("r") <= params.common_words)
     hist = (
         common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
         .join(sizes, "lang")
@@ -115,7 +126,7 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
         .select(
             "lang",
             F.transform("top", lambda x: x["word"]).alias("words"),
-            F.array_max(F.transform("top", lambda x: F.length(x["word"]))).alias("longest"),
+            F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.exists("top", lambda x: slot(x["word"]) == k)).alias("slots"),
             _shares(F.concat(
                 F.transform("top", lambda x: x["n"].cast("double")),
                 F.array((F.col("size") - F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])).cast("double")),
@@ -130,37 +141,32 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
     return materialize(hist.join(chars, "lang"), "quality-references")
 
 
-def repeat_words(h: Column) -> Column:
-    """Words covered by 3-word windows that occur twice or more; h: the words' 64-bit hashes in order.
+def with_repeat_words(df: DataFrame, h: str, out: str) -> DataFrame:
+    """``df`` with the words covered by 3-word windows that occur twice or more; h: the words' 64-bit hashes in order.
 
     O(n log n) per document: window hash and start are packed in one long (the start takes as many low bits as
     n needs) and sorted, so equal neighbours give the repeated starts.  Documents whose windows are all
-    different, as 64-bit hashes, skip the sort."""
-    def windows_of(v: Column) -> Column:
-        n = F.size(v)
-        return F.when(n >= 3, F.transform(F.slice(v, F.lit(1), n - 2), lambda x, i: F.xxhash64(x, F.get(v, i + 1), F.get(v, i + 2)))).otherwise(F.array().cast("array<long>"))
-
-    def covered(w: Column) -> Column:
-        def packed(bits: Column) -> Column:
-            shift = lambda x: F.call_function("shiftleft", x, bits)
-            window = lambda x: F.call_function("shiftright", x, bits)
-            start = shift(F.lit(1).cast("long")) - 1
-            ordered = F.sort_array(F.transform(w, lambda x, i: shift(x).bitwiseOR(i.cast("long"))))
-            same = lambda s: F.filter(
-                F.transform(s, lambda e, k: F.when((window(e) == window(F.get(s, k - 1))) | (window(e) == window(F.get(s, k + 1))), e.bitwiseAND(start))),
-                lambda i: i.isNotNull(),
-            )
-
-            def total(p: Column) -> Column:
-                m = F.size(p)
-                gaps = F.zip_with(F.slice(p, F.lit(1), m - 1), F.slice(p, F.lit(2), m - 1), lambda a, b: F.least(b - a, F.lit(3).cast("long")))
-                return F.when(m > 0, F.aggregate(gaps, F.lit(3).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
-
-            return let(ordered, lambda s: let(F.sort_array(same(s)), total))
-
-        return let(F.length(F.bin(F.size(w).cast("long"))), packed)
-
-    return let(let(h, windows_of), lambda w: F.when(F.size(w) == F.size(F.array_distinct(w)), F.lit(0).cast("long")).otherwise(covered(w)))
+    different, as 64-bit hashes, skip that.  Every step is a column of its own: only the functions over single elements
+    are interpreted, sorting and distinct run on plain longs."""
+    win, rep, bits, packed, starts = fresh(df, "win", "rep", "bits", "packed", "starts")
+    n = F.size(h)
+    none = F.array().cast("array<long>")
+    windows = F.transform(F.slice(h, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+    window = lambda x: F.call_function("shiftright", x, F.col(bits))
+    start = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bits)) - 1
+    same = lambda e, k: F.coalesce(window(e) == window(F.get(packed, k - 1)), F.lit(False)) | F.coalesce(window(e) == window(F.get(packed, k + 1)), F.lit(False))
+    at = F.transform(packed, lambda e, k: F.when(same(e, k), e.bitwiseAND(start)).otherwise(F.lit(-1).cast("long")))
+    m = F.size(starts)
+    gaps = F.zip_with(F.slice(starts, F.lit(1), F.greatest(m - 1, F.lit(0))), F.slice(starts, F.lit(2), F.greatest(m - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(3).cast("long")))
+    steps = (
+        df.withColumn(win, windows)
+        .withColumn(rep, F.when(F.size(win) == F.size(F.array_distinct(win)), none).otherwise(F.col(win)))
+        .withColumn(bits, F.length(F.bin(F.size(rep).cast("long"))))
+        .withColumn(packed, F.sort_array(F.transform(rep, lambda x, i: F.call_function("shiftleft", x, F.col(bits)).bitwiseOR(i.cast("long")))))
+        .withColumn(starts, F.sort_array(F.array_remove(at, F.lit(-1).cast("long"))))
+    )
+    total = F.when(m > 0, F.aggregate(gaps, F.lit(3).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
+    return steps.withColumn(out, total).drop(win, rep, bits, packed, starts)
 
 
 def rate(docs: DataFrame, references: DataFrame, text: str = "text", lang: str = "lang", params: QualityParams = QualityParams(), out: str | None = None) -> tuple[DataFrame, str]:
@@ -170,20 +176,22 @@ def rate(docs: DataFrame, references: DataFrame, text: str = "text", lang: str =
     Null text counts as empty (no words, base rules fail); an unknown or null language is compared with the
     pooled reference; if there is no reference at all (empty corpus) only the base rules judge.  Repeated rows
     are each judged; columns of ``docs`` with any names stay as they are."""
-    t, w, h, classes, ref, key, found, q = fresh(docs, "text", "w", "h", "classes", "ref", "reflang", "found", out or "quality")
-    known = references.where(F.col("lang") != POOLED).select(F.col("lang").alias(key), F.struct("chars", "words", "word_shares", "longest").alias(ref))
-    pooled = references.where(F.col("lang") == POOLED).select(F.struct("chars", "words", "word_shares", "longest").alias("r")).scalar()
-    lines = F.filter(F.split(F.col(t), "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
+    t, w, h, classes, ref, key, found, lines, repeated, q = fresh(docs, "text", "w", "h", "classes", "ref", "reflang", "found", "lines", "repeated", out or "quality")
+    known = references.where(F.col("lang") != POOLED).select(F.col("lang").alias(key), F.struct("chars", "words", "word_shares", "slots").alias(ref))
+    pooled = references.where(F.col("lang") == POOLED).select(F.struct("chars", "words", "word_shares", "slots").alias("r")).scalar()
+    worded = F.filter(F.split(F.col(t), "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     counts = class_counts(F.col(t)).cast("array<double>")
-    # only words no longer than the longest common word are looked up
-    place = lambda x: F.when(F.length(x) <= F.col(ref)["longest"], F.coalesce(F.array_position(F.col(ref)["words"], F.lower(x)), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    # only words in a slot of a common word are looked up
+    nowhere = F.lit(0).cast("long")
+    place = lambda x: F.when(F.get(F.col(ref)["slots"], slot(x)), F.coalesce(F.array_position(F.col(ref)["words"], x), nowhere)).otherwise(nowhere)
     seen = (
         docs.withColumn(t, text_of(text))
         .join(known, F.col(lang).cast("string") == F.col(key), "left")
         .withColumn(ref, F.coalesce(F.col(ref), pooled))
-        .withColumns({w: words(F.col(t)), classes: counts})
-        .withColumns({h: F.transform(w, lambda x: F.xxhash64(x)), found: F.sort_array(F.array_remove(F.transform(w, place), F.lit(0).cast("long")))})
+        .withColumns({w: words(F.col(t)), classes: counts, lines: worded})
+        .withColumns({h: F.transform(w, lambda x: F.xxhash64(x)), found: F.sort_array(F.array_remove(F.transform(F.transform(w, F.lower), place), nowhere))})
     )
+    seen = with_repeat_words(seen, h, repeated)
     p = params
     size = F.size(w).cast("long")
     length = F.length(t)
@@ -193,7 +201,7 @@ def rate(docs: DataFrame, references: DataFrame, text: str = "text", lang: str =
         (length - F.get(F.col(classes), F.lit(3))).cast("long").alias("word_chars"),
         F.get(F.col(classes), F.lit(5)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col(h)).cast("long").alias("n_repeat_words"),
+        F.col(repeated).alias("n_repeat_words"),
         F.when(length >= p.min_chars, js_distance(_shares(all_classes), F.col(ref)["chars"])).alias("char_js"),
         F.when(size >= p.min_words_js, word_divergence(F.col(found), size, F.col(ref)["word_shares"])).alias("word_js"),
     )
