@@ -5,7 +5,8 @@ that a percentile of its values less the minimum fit, all low bits packed at tha
 and high bits.  Behind the blocks stand the index of block starts and the documents' ids and lengths.
 
     file   = magic, block*, u64 start of each block, (i64 id, u8 null, u64 n) of each document, u64 blocks, u64 documents
-    block  = u32 minimum, u16 ids, u16 exceptions, u8 width, packed bits, u16 place of each exception, u32 high bits of each
+    block  = u32 minimum, u16 ids, u16 exceptions, u8 width, packed bits (eight ids to ``width`` bytes), u16 place of each
+             exception, u32 high bits of each
 """
 
 from __future__ import annotations
@@ -31,6 +32,31 @@ _HEAD = struct.Struct("<IHHB")
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
 
 
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each value, row by row, eight values to ``width`` bytes; rows hold a multiple of eight."""
+    eight = values.astype(np.uint64).reshape(-1, 8) & np.uint64((1 << width) - 1)
+    out = np.zeros((len(eight), width + 8), np.uint8)
+    for j in range(8):
+        first, shift = divmod(j * width, 8)
+        shifted = eight[:, j] << np.uint64(shift)
+        for k in range((shift + width + 7) // 8):
+            out[:, first + k] |= (shifted >> np.uint64(8 * k)).astype(np.uint8)
+    return out[:, :width].reshape(len(values), -1)
+
+
+def unpack_bits(packed: np.ndarray, width: int) -> np.ndarray:
+    """The values of rows that ``pack_bits`` made."""
+    groups = packed.reshape(-1, width)
+    out = np.empty((len(groups), 8), np.uint32)
+    for j in range(8):
+        first, shift = divmod(j * width, 8)
+        value = np.zeros(len(groups), np.uint64)
+        for k in range((shift + width + 7) // 8):
+            value |= groups[:, first + k].astype(np.uint64) << np.uint64(8 * k)
+        out[:, j] = (value >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+    return out.reshape(len(packed), -1)
+
+
 def pack_blocks(ids: np.ndarray, percentile: float = 90) -> list[bytes]:
     """The blocks of some ids; only the last may be short."""
     out: list[bytes] = []
@@ -42,38 +68,45 @@ def pack_blocks(ids: np.ndarray, percentile: float = 90) -> list[bytes]:
         bits = np.frexp(rel.astype(np.float64))[1]
         place = min(n - 1, int(np.ceil(n * percentile / 100)) - 1)
         width = np.partition(bits, place, axis=1)[:, place]
+        padded = np.pad(rel, ((0, 0), (0, -n % 8)))
         packed: list = [b""] * rows
-        for w in np.unique(width):
+        for w in np.unique(width[width > 0]):
             chosen = np.flatnonzero(width == w)
-            if w:
-                spread = ((rel[chosen][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-                lines = np.packbits(spread.reshape(len(chosen), -1), axis=1, bitorder="little")
-                for i, line in zip(chosen, lines):
-                    packed[i] = line.tobytes()
-        odd = bits > width[:, None]
-        for i in range(rows):
-            at = np.flatnonzero(odd[i])
-            head = _HEAD.pack(int(least[i]), n, len(at), int(width[i]))
-            out.append(head + packed[i] + at.astype("<u2").tobytes() + (rel[i][at].astype(np.uint64) >> np.uint64(width[i])).astype("<u4").tobytes())
+            for i, line in zip(chosen, pack_bits(padded[chosen], int(w))):
+                packed[i] = line.tobytes()
+        row, at = np.nonzero(bits > width[:, None])
+        places, high = at.astype("<u2"), (rel[row, at].astype(np.uint64) >> width[row].astype(np.uint64)).astype("<u4")
+        cut = np.searchsorted(row, np.arange(rows + 1)).tolist()
+        for i, (low, w) in enumerate(zip(least.tolist(), width.tolist())):
+            odd = slice(cut[i], cut[i + 1])
+            out.append(_HEAD.pack(low, n, cut[i + 1] - cut[i], w) + packed[i] + places[odd].tobytes() + high[odd].tobytes())
     return out
 
 
-def unpack_block(raw: bytes, at: int) -> tuple[np.ndarray, int]:
-    """The ids of the block at a place, and where the next one starts."""
-    least, n, odd, width = _HEAD.unpack_from(raw, at)
-    at += _HEAD.size
-    size = (n * width + 7) // 8
-    ids = np.zeros((n, 32), np.uint8)
-    if width:
-        ids[:, :width] = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    ids = np.packbits(ids, axis=1, bitorder="little").view("<u4")[:, 0].astype(np.uint32)
-    at += size
-    if odd:
-        places = np.frombuffer(raw, "<u2", odd, at)
-        high = np.frombuffer(raw, "<u4", odd, at + 2 * odd)
-        ids[places] |= (high.astype(np.uint64) << np.uint64(width)).astype(np.uint32)
+def unpack_blocks(raw: bytes) -> np.ndarray:
+    """The ids of blocks that follow one another; blocks of the same shape are unpacked together."""
+    at, end, same = 0, 0, {}
+    data = np.frombuffer(raw, np.uint8)
+    while at < len(raw):
+        least, n, odd, width = _HEAD.unpack_from(raw, at)
+        bits = at + _HEAD.size
+        at = bits + (n + 7) // 8 * width
+        same.setdefault((n, width), []).append((end, least, bits, odd, at))
         at += 6 * odd
-    return ids + np.uint32(least), at
+        end += n
+    out = np.empty(end, np.uint32)
+    for (n, width), blocks in same.items():
+        size = (n + 7) // 8 * width
+        ids = np.zeros((len(blocks), n), np.uint32)
+        if width:
+            ids = unpack_bits(np.stack([data[bits : bits + size] for _, _, bits, _, _ in blocks]), width)[:, :n]
+        for mine, (to, least, _, odd, tail) in zip(ids, blocks):
+            if odd:
+                places = np.frombuffer(raw, "<u2", odd, tail)
+                high = np.frombuffer(raw, "<u4", odd, tail + 2 * odd)
+                mine[places] |= (high.astype(np.uint64) << np.uint64(width)).astype(np.uint32)
+            np.add(mine, np.uint32(least), out=out[to : to + n])
+    return out
 
 
 class Writer:
@@ -127,9 +160,7 @@ class Reader:
         if first >= last:
             return np.zeros(0, np.uint32)
         self.file.seek(int(self.starts[first]))
-        raw = self.file.read(int(self.starts[last] - self.starts[first]))
-        base = int(self.starts[first])
-        return np.concatenate([unpack_block(raw, int(s) - base)[0] for s in self.starts[first:last]])
+        return unpack_blocks(self.file.read(int(self.starts[last] - self.starts[first])))
 
     def documents(self, stretch: int = 512) -> Iterator[tuple[int | None, list[np.ndarray]]]:
         """(id, parts of its ids) of each document in the file's order."""

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import functools
 import os
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(data)
@@ -53,22 +53,29 @@ class Encoder:
         cut[offsets] = True
         return np.flatnonzero(cut[:n])
 
-    def _ids(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all cuts in a row, and how many each has."""
-        old = [self.known.get(c) for c in cuts]
-        new = [i for i, x in enumerate(old) if x is None]
+    def _coded(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some cuts in a row, and how many each has."""
+        coded = self.tokenizer.encode(cuts, is_pretokenized=True, add_special_tokens=False)
+        return np.array(coded.ids, np.uint32), np.bincount(np.array(coded.word_ids, np.int64), minlength=len(cuts))
+
+    def _places(self, cuts: list[str]) -> tuple[np.ndarray, pa.ListArray]:
+        """The row of each cut in a list of ids: those kept from earlier batches, then the new ones."""
+        places = list(map(self.known.get, cuts))
+        new = [i for i, x in enumerate(places) if x is None]
+        ids, sizes, rows = [self.ids], [self.sizes], len(self.sizes)
         for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            coded = self.tokenizer.encode([cuts[i] for i in part], is_pretokenized=True, add_special_tokens=False)
-            ids, sizes = coded.ids, np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)).tolist()
-            start = 0
-            for i, n in zip(part, sizes):
-                old[i] = mine = tuple(ids[start : start + n])
-                start += n
-                if len(self.known) < self.keep:
-                    self.known[cuts[i]] = mine
-        sizes = np.fromiter(map(len, old), np.int64, len(old))
-        return np.fromiter(chain.from_iterable(old), np.uint32, int(sizes.sum())), sizes
+            mine, n = self._coded([cuts[i] for i in new[at : at + 50_000]])
+            ids.append(mine)
+            sizes.append(n)
+        for row, i in enumerate(new, rows):
+            places[i] = row
+        flat, n = np.concatenate(ids), np.concatenate(sizes)
+        ends = np.append(0, np.cumsum(n))
+        room = min(len(new), max(0, self.keep - rows))
+        if room:
+            self.known.update((cuts[i], places[i]) for i in new[:room])
+            self.sizes, self.ids = n[: rows + room], flat[: ends[rows + room]].copy()
+        return np.array(places, np.int64), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's start and the last's end; null is empty."""
@@ -79,12 +86,7 @@ class Encoder:
         bounds = np.append(cuts, len(data))
         pieces = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
         coded = pieces.dictionary_encode()
-        flat, sizes = self._ids(coded.dictionary.to_pylist())
-        first = np.cumsum(sizes) - sizes
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        each = sizes[which]
-        ends = np.cumsum(each)
-        begins = ends - each
-        total = int(ends[-1])
-        out = flat[np.repeat(first[which] - begins, each) + np.arange(total)]
-        return out, np.append(begins, total)[np.searchsorted(cuts, offsets)]
+        places, known = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        lists = known.take(pa.array(places[coded.indices.to_numpy(zero_copy_only=False)]))
+        ends = lists.offsets.to_numpy()
+        return lists.values.to_numpy()[ends[0] : ends[-1]], (ends[np.searchsorted(bounds, offsets)] - ends[0]).astype(np.int64)
