@@ -1,11 +1,11 @@
 """Lake sources (A1-A7): catalog, heterogeneous CSV and Parquet lakes into
 long-form ``cells``, rosters, query lists, truth and related-column files.
 
-The CSV lake is read line by line with the CSV reader in single-column mode
-(so any encoding works and big files split across tasks), each line is tied
-to its file through ``_metadata.file_path``, the first line of every file is
-its header, and fields are split JVM-side with a quote-aware pattern.  No
-file is ever held whole by one task.
+The CSV lake is read by Spark's multi-line CSV reader with a schema of one
+column, which hands every wider record over as its raw text; the first record
+of a file is its header, and ``from_csv`` cuts the records with as many columns
+as the widest header has.  A file is streamed by one task, as a record may
+span lines; no file is ever held whole.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from unionlake.session import materialize
+
 CSV_GLOB = "*.[cC][sS][vV]"
 # Strings read as null (the usual NA words of CSV readers).
 NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
-# A comma outside double quotes.
-FIELD_SPLIT = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-LINE_SEP = "\u0001"  # a separator no lake line holds: the CSV reader returns whole lines
 
 
 def _percent_decoded(name: Column) -> Column:
@@ -46,47 +45,87 @@ def lake_catalog(spark: SparkSession, root: str, glob: str = CSV_GLOB) -> DataFr
                         F.col("length").alias("bytes"))
 
 
-def _unquote(c: Column) -> Column:
-    inner = F.regexp_replace(F.regexp_extract(c, r'^"(.*)"$', 1), '""', '"')
-    return F.when(c.rlike(r'^".*"$'), inner).otherwise(c)
+def _na(v: Column) -> Column:
+    return F.when(v.isin(NA_VALUES), F.lit(None).cast("string")).otherwise(v)
+
 
+def _records(spark: SparkSession, paths, encoding: str, glob: str) -> DataFrame:
+    """(path, record_id, record): the raw text of every record; blank lines are
+    none.  A record wider than the one-column schema counts as corrupt, and the
+    reader keeps its text; a one-field record is quoted again."""
+    read = (spark.read.option("multiLine", "true").option("header", "false").option("escape", '"')
+            .option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_wide")
+            .option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+            .schema("field STRING, _wide STRING").csv(paths))
+    single = F.concat(F.lit('"'), F.replace(F.coalesce("field", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    return read.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("record_id"),
+                       F.coalesce(F.rtrim("_wide", F.lit("\r\n")), single).alias("record"))
 
-def split_csv_line(line: Column) -> Column:
-    return F.transform(F.split(line, FIELD_SPLIT), _unquote)
 
+def _fields(record: Column, width: int) -> Column:
+    """The fields of a record as an array; null if it has more than ``width``.
 
-def _na(v: Column) -> Column:
-    return F.when(v.isin(NA_VALUES), F.lit(None).cast("string")).otherwise(v)
+    One more field is appended before the cut: as the last that is not null, it
+    tells empty fields at the end from missing ones.  Only a record with at
+    least ``width`` commas can be too wide: it is filled up to one field more
+    than ``width``, by its supposed number of fields, and must then fit."""
+    names = [f"f{i}" for i in range(width + 1)]
+    schema = ", ".join(f"{n} STRING" for n in [*names, "_misfit"])
+    options = {"escape": '"', "columnNameOfCorruptRecord": "_misfit", "mode": "PERMISSIVE"}
+    cut = F.transform(F.array(F.from_csv(F.concat(record, F.lit(",.")), schema, options)), lambda c: F.array(*[c[n] for n in names]))[0]
+    commas = F.length(record) - F.length(F.replace(record, F.lit(","), F.lit("")))
+
+    def checked(fields: Column) -> Column:
+        n = F.array_max(F.transform(fields, lambda v, i: F.when(v.isNotNull(), i)))
+        filled = F.concat(record, F.repeat(F.lit(","), F.lit(width) - n), F.lit(",."))
+        fits = (commas < width) | F.from_csv(filled, schema, options)["_misfit"].isNull()
+        return F.when(fits, F.slice(fields, F.lit(1), n))
+
+    return F.transform(F.array(cut), checked)[0]
+
+
+def _unique_names(header: Column) -> Column:
+    """Blank names become ``Unnamed: <position>``, repeats ``v.1``, ``v.2``; a
+    name that clashes even so gets its position as well."""
+    named = F.transform(header, lambda h, i: F.coalesce(F.when(F.trim(h) != "", h), F.format_string("Unnamed: %d", i)))
+
+    def numbered(names: Column) -> Column:
+        def one(h, i):
+            earlier = F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == h))
+            return F.when(earlier > 0, F.concat_ws(".", h, earlier.cast("string"))).otherwise(h)
+        return F.transform(names, one)
 
+    def placed(names: Column) -> Column:
+        return F.transform(names, lambda h, i: F.when(F.array_position(names, h) <= i, F.concat_ws(".", h, i.cast("string"))).otherwise(h))
 
-def _lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
-    return (spark.read.option("sep", LINE_SEP).option("quote", "\u0000").option("header", "false")
-            .option("encoding", encoding).option("ignoreLeadingWhiteSpace", "false")
-            .option("ignoreTrailingWhiteSpace", "false").schema("line STRING").csv(paths)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("line_id"), "line"))
+    return F.transform(F.array(F.transform(F.array(named), numbered)[0]), placed)[0]
 
 
-def lake_scan_csv(spark: SparkSession, root: str | None = None, paths: list[str] | DataFrame | None = None,
-                  encoding: str = "UTF-8", glob: str = CSV_GLOB) -> DataFrame:
+def lake_scan_csv(spark: SparkSession, root: str | None = None, paths: list[str] | None = None,
+                  encoding: str = "UTF-8", glob: str = CSV_GLOB, tables: DataFrame | None = None) -> DataFrame:
     """A1: every CSV of the lake -> cells(table_name, column_name, col_pos,
     row_id, value).  K1: a row with more fields than its header is skipped, a
-    shorter one is padded with nulls; NA words read as null."""
-    if paths is None:
-        paths = lake_catalog(spark, root, glob)
-    if isinstance(paths, DataFrame):
-        paths = [r["path"] for r in paths.select("path").collect()]  # file names only
-    lines = _lines(spark, paths, encoding).where(F.col("line").isNotNull())
-    first = (lines.where(F.col("block") == 0).groupBy("path")
-             .agg(F.min(F.struct("line_id", "line")).alias("h"))
-             .select("path", F.col("h.line_id").alias("header_id"), split_csv_line(F.col("h.line")).alias("header")))
-    data = lines.join(first, "path").where(F.col("line_id") != F.col("header_id"))
-    data = data.withColumn("fields", split_csv_line(F.col("line")))
+    shorter one is padded with nulls; NA words read as null.  Quoted cells may
+    span lines.  ``tables`` (table_name) keeps the files of those tables."""
+    records = _records(spark, paths if paths is not None else root, encoding, glob)
+    if tables is not None:
+        names = tables.select(F.col("table_name").alias("_table")).distinct()
+        records = records.join(names, table_name_from_path(F.col("path"), encoded=True) == F.col("_table"), "left_semi")
+    records = materialize(records, "lake-records")  # parsed once: record ids differ if executors come or go between two scans
+    first = materialize(records.groupBy("path").agg(F.min(F.struct("record_id", "record")).alias("h"))
+                        .select("path", F.col("h.record_id").alias("header_id"), F.col("h.record").alias("record")),
+                        "lake-headers")
+    # one number: no header has more fields than one and its commas
+    width = first.agg(F.max(F.length("record") - F.length(F.replace("record", F.lit(","), F.lit(""))) + 1)).first()[0] or 1
+    headers = first.select("path", "header_id", _fields(F.col("record"), width).alias("header"))
+    headers = headers.select("path", "header_id", _unique_names(F.col("header")).alias("header"))
+    data = records.join(headers, "path").where(F.col("record_id") != F.col("header_id"))
+    data = data.withColumn("fields", _fields(F.col("record"), width))
     data = data.where(F.size("fields") <= F.size("header"))
-    cells = data.select(table_name_from_path(F.col("path"), encoded=True).alias("table_name"), F.col("line_id").alias("row_id"),
-                        F.posexplode("header").alias("col_pos", "column_name"), "fields")
+    cells = data.select(table_name_from_path(F.col("path"), encoded=True).alias("table_name"),
+                        F.col("record_id").alias("row_id"), F.posexplode("header").alias("col_pos", "column_name"), "fields")
     return cells.select("table_name", "column_name", F.col("col_pos").cast("int").alias("col_pos"), "row_id",
-                        _na(F.try_element_at("fields", (F.col("col_pos") + 1).cast("int"))).alias("value"))
+                        _na(F.get("fields", F.col("col_pos"))).alias("value"))
 
 
 def lake_scan_parquet(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
@@ -127,9 +166,8 @@ def lake_scan_parquet(spark: SparkSession, root: str, glob: str = "*.parquet") -
 def roster_scan(spark: SparkSession, root: str, roster_path: str, **kw) -> DataFrame:
     """A4: read only the tables named in a roster (one file name per line)."""
     roster = spark.read.text(roster_path).select(F.rtrim("value").alias("file_name")).where(F.col("file_name") != "")
-    cat = lake_catalog(spark, root).withColumn("file_name", F.concat(F.col("table_name"), F.lit(".csv")))
-    chosen = cat.join(roster, "file_name", "left_semi")
-    return lake_scan_csv(spark, paths=chosen, **kw)
+    tables = roster.select(F.regexp_replace("file_name", r"(?i)\.csv$", "").alias("table_name"))
+    return lake_scan_csv(spark, root, tables=tables, **kw)
 
 
 def query_list_lines(spark: SparkSession, path: str) -> DataFrame:
