@@ -104,14 +104,15 @@ def _classes(docs: DataFrame, text: str, doc_id: str, p: LineParams) -> DataFram
 
 
 def _candidates(prefixes: DataFrame, part: int, p: LineParams) -> DataFrame:
-    """(x, y): pairs that share a prefix word (of this part of all words) and pass the positional and length filters.
+    """(x, y): pairs that share a prefix word (of this part of all words), pass the positional and length filters and have an
+    open line as the later one.
 
     The join key holds the word and a size band, two bands to the length filter's ratio: the smaller set goes to its own
     band and the two above, with as many prefix words as the positional filter leaves against sizes of that band."""
     num, den = ratio(p.threshold)
     step = math.sqrt(den / num) if num < den else 2.0
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(step) + 1e-9).cast("int")
-    me = ["key", "n", "b0", "b1", "open"]
+    me = ["key", "n", "b0", "b1", "open", "doc", "line_no"]
     mine = F.pmod("word", F.lit(p.rounds)) == part
     floor = F.greatest(F.floor(F.pow(F.lit(step), F.col("band")) + 1e-6).cast("long"), F.col("n").cast("long"))
     last = F.col("n") - ceil_div((F.col("n") + floor) * num, num + den)
@@ -121,7 +122,9 @@ def _candidates(prefixes: DataFrame, part: int, p: LineParams) -> DataFrame:
     order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.key") < F.col("b.key")))
     left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     enough = left * (num + den) >= (F.col("a.n") + F.col("b.n")) * num
-    near = (F.col("a.word") == F.col("b.word")) & (F.col("a.band") == F.col("b.band")) & order & enough & (F.col("a.open") | F.col("b.open")) & _close("a", "b", num, den)
+    # only a later line that is still open needs the pair
+    wanted = F.when(F.struct("a.doc", "a.line_no") < F.struct("b.doc", "b.line_no"), F.col("b.open")).otherwise(F.col("a.open"))
+    near = (F.col("a.word") == F.col("b.word")) & (F.col("a.band") == F.col("b.band")) & order & enough & wanted & _close("a", "b", num, den)
     return a.join(b.hint("shuffle_hash"), near).select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
 
 
@@ -143,7 +146,7 @@ def matched_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     settled = materialize(_verified(near, classes, num, den), "line-settled")
 
     # all candidates of the lines that are still open, a part of the words at a time
-    open_ = materialize(classes.join(settled.select("key", F.lit(True).alias("settled")), "key", "left").select(*me, F.col("settled").isNull().alias("open"), F.slice("words", F.lit(1), prefix.cast("int")).alias("words")), "line-prefixes")
+    open_ = materialize(classes.join(settled.select("key", F.lit(True).alias("settled")), "key", "left").select(*me, "doc", "line_no", F.col("settled").isNull().alias("open"), F.slice("words", F.lit(1), prefix.cast("int")).alias("words")), "line-prefixes")
     parts = [materialize(_candidates(open_, k, params), "line-pairs") for k in range(params.rounds)]
     pairs = functools.reduce(DataFrame.unionByName, parts).distinct()
     found = settled.unionByName(_verified(pairs, classes, num, den)).distinct()
