@@ -27,7 +27,7 @@ from unionlake.llm.shared import Atomic, shared_dir
 from unionlake.llm.tokens import encoder
 from unionlake.session import materialize
 
-MAGIC, BLOCK = b"PFORIDS1", 512
+MAGIC, BLOCK = b"PFORIDS2", 512
 _HEAD = struct.Struct("<IHHB")
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
 
