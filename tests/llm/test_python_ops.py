@@ -214,6 +214,21 @@ def test_extract(spark):
     assert page_text.extract(df.limit(0)).count() == 0
 
 
+def test_extract_deletes_repeated_lines_of_articles(spark):
+    long = "A paragraph that every page of this host quotes word by word, and that is far too long to be a notice. " * 3
+    body = lambda i: f"<article><p>Share this</p><h1>Title {i}</h1><p>own text number {i} of the page, which nobody else has{' and more of it' * 40}</p><p>{long}</p>{f'<p>more {i}</p>' * i}<p>Quoted.</p>{f'<p>rest {i}</p>' * i}<p>Read more of us</p></article>"
+    pages = [(i, f"http://h.com/a/{i}", body(i)) for i in range(5)]
+    copies = [(10 + i, f"http://copy.com/{i}", "<article><h1>Same</h1><p>the whole article</p></article>") for i in range(4)]
+    df = spark.createDataFrame(pages + copies, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_text.extract(df).collect()}
+    for i in range(5):
+        edge = lambda t: f"{t} " if i in (0, 4) else ""  # noqa: B023, E731  the ends of the host have one neighbour, which proves nothing
+        kept = f"more {i} " * i + "Quoted. " + f"rest {i} " * i
+        assert got[i].startswith(f"{edge('Share this')}Title {i} own text number {i}") and long.strip() in got[i] and kept in f"{got[i]} "
+        assert got[i].endswith("Read more of us") == (i in (0, 4))
+    assert {got[10 + i] for i in range(4)} == {"Same the whole article"}
+
+
 def test_extract_articles_of_the_table(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in queries.QUERIES["op5_page_differencing"](spark, SF).collect()}
     for i, h in duckdb.sql(f"select page_id, html from '{SF}/pages.parquet'").fetchall():

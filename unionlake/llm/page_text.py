@@ -2,9 +2,10 @@
 
 A page is cut into text lines at block tags.  Pages of a host are sorted by URL path; each page is paired with the neighbour
 whose path has the longer common beginning, their lines are aligned by a longest common subsequence, and
-shared lines are deleted: menus, footers and notices repeat from page to page.  Markup says the rest: lines inside the
-article element are kept even if a neighbour repeats them, lines inside elements that are never content (menus, forms,
-adverts, comments) go even if no neighbour has them, and if a page has an article only its lines are the text.
+shared lines are deleted: menus, footers and notices repeat from page to page.  Markup says the rest: lines inside elements
+that are never content (menus, forms, adverts, comments) go even if no neighbour has them, and if a page has an article
+only its lines are the text.  Inside an article a sentence may be quoted, so there a short line is deleted only if it is shared with both
+neighbours at the same place of the article; paragraphs stay, and so does an article that is copied as a whole.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 ARTICLE, AWAY = 1, 2
+#: Characters from which a line of an article is a paragraph, which is never deleted (fixed value).
+PARAGRAPH = 200
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
@@ -131,23 +134,42 @@ def shared_places(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *reversed(middle), *range(n - tail, n)]
 
 
-def main_text(found: list[tuple[str, int]], shared: set[int]) -> str:
-    """The lines that stay, joined by a space."""
-    article = any(f & ARTICLE and not f & AWAY for _, f in found)
-    return " ".join(t for i, (t, f) in enumerate(found) if not f & AWAY and (f & ARTICLE if article else i not in shared))
+def article_places(found: list[tuple[str, int]]) -> list[int]:
+    """Places of the lines of the article."""
+    return [i for i, (_, f) in enumerate(found) if f & ARTICLE and not f & AWAY]
+
+
+def same_places(a: list[int], inside: list[int], b: list[int], other: list[int]) -> set[int]:
+    """Places of article lines in ``a`` that are shared with ``b`` and stand as far from the start or the end of its article."""
+    n, m, shared = len(inside), len(other), set(shared_places(a, b))
+    alike = lambda k, at: 0 <= at < m and a[inside[k]] == b[other[at]]
+    return {i for k, i in enumerate(inside) if i in shared and (alike(k, k) or alike(k, m - n + k))}
+
+
+def main_text(found: list[tuple[str, int]], shared: set[int], repeated: set[int] = frozenset()) -> str:
+    """The lines that stay, joined by a space.  shared: places of lines that the nearest neighbour has too; repeated: of
+    article lines that both neighbours have at the same place."""
+    article = article_places(found)
+    if not article:
+        return " ".join(t for i, (t, f) in enumerate(found) if not f & AWAY and i not in shared)
+    chars = lambda places: sum(len(found[i][0]) for i in places)
+    gone = {i for i in article if i in repeated and len(found[i][0]) < PARAGRAPH}
+    if 2 * chars(i for i in article if i in repeated) >= chars(article):  # a copied article, not its template
+        gone = set()
+    return " ".join(found[i][0] for i in article if i not in gone)
 
 
 def _neighbours(lined: DataFrame) -> DataFrame:
-    """(host, path, other): for each URL the lines of the neighbour in path order with the longer common beginning of the
-    path, the one before if they are equal.  Places in the order are numbered by range and by rank inside it, so no host is gathered in one task."""
+    """(host, path, other, other_inside, far, far_inside): for each URL the lines and article places of the neighbour in path order
+    with the longer common beginning of the path, the one before if they are equal, and those of the neighbour on the other side.  Places in the order are numbered by range and by rank inside it, so no host is gathered in one task."""
     first = lined.groupBy("host", "path").agg(F.min(F.struct("page", "key"))["key"].alias("key"))
-    urls = lined.join(first, ["host", "path", "key"]).dropDuplicates(["host", "path"]).select("host", "path", "hashes")
+    urls = lined.join(first, ["host", "path", "key"]).dropDuplicates(["host", "path"]).select("host", "path", "hashes", "inside")
     ordered = urls.repartitionByRange("host", "path").sortWithinPartitions("host", "path").select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n"))
     ordered = materialize(ordered, "page-order")
     sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n0"))
     before = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = ordered.join(sizes.select("part", "n0", before.alias("before")), "part").select("host", "path", "hashes", (F.col("before") + F.col("n") - F.col("n0")).alias("place"))
-    side = lambda d, s: placed.select(F.col("host").alias(f"{s}host"), F.col("path").alias(f"{s}path"), F.col("hashes").alias(f"{s}hashes"), (F.col("place") + d).alias("place"))
+    placed = ordered.join(sizes.select("part", "n0", before.alias("before")), "part").select("host", "path", "hashes", "inside", (F.col("before") + F.col("n") - F.col("n0")).alias("place"))
+    side = lambda d, s: placed.select(*[F.col(c).alias(f"{s}{c}") for c in ("host", "path", "hashes", "inside")], (F.col("place") + d).alias("place"))
     both = placed.join(side(1, "p"), "place", "left").join(side(-1, "n"), "place", "left")
 
     def choose(batches):
@@ -156,10 +178,15 @@ def _neighbours(lined: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 common = lambda s: len(os.path.commonprefix([r["path"], r[f"{s}path"]])) if r[f"{s}host"] == r["host"] else -1  # noqa: B023, E731
                 p, n = common("p"), common("n")
-                rows.append({"host": r["host"], "path": r["path"], "other": r["phashes"] if p >= max(n, 0) else r["nhashes"] if n >= 0 else None})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("host", pa.string()), ("path", pa.string()), ("other", pa.list_(pa.int64()))]))
+                near, far = ("p", "n") if p >= max(n, 0) else ("n", "p")
+                row = {"host": r["host"], "path": r["path"]}
+                for name, s, there in (("other", near, max(p, n) >= 0), ("far", far, min(p, n) >= 0)):
+                    row |= {name: r[f"{s}hashes"] if there else None, f"{name}_inside": r[f"{s}inside"] if there else None}
+                rows.append(row)
+            places, hashes = pa.list_(pa.int32()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("host", pa.string()), ("path", pa.string()), ("other", hashes), ("other_inside", places), ("far", hashes), ("far_inside", places)]))
 
-    return both.drop("place").mapInArrow(choose, "host string, path string, other array<long>")
+    return both.drop("place").mapInArrow(choose, "host string, path string, other array<long>, other_inside array<int>, far array<long>, far_inside array<int>")
 
 
 def extract(pages: DataFrame, content: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -173,25 +200,32 @@ def extract(pages: DataFrame, content: str = "html", url: str = "url", page_id:
 
     def line_up(batches):
         for batch in batches:
-            cut = [[line_hash(t) for t, _ in lines(p)] for p in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page", "key", "host", "path")), pa.array(cut, pa.list_(pa.int64()))], names=["page", "key", "host", "path", "hashes"])
+            cut = [lines(p) for p in batch.column("html").to_pylist()]
+            hashes, inside = pa.array([[line_hash(t) for t, _ in c] for c in cut], pa.list_(pa.int64())), pa.array([article_places(c) for c in cut], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page", "key", "host", "path")), hashes, inside], names=["page", "key", "host", "path", "hashes", "inside"])
 
     page_type = pages.schema[page_id].dataType.simpleString()
-    lined = keyed.select("page", "key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html").mapInArrow(line_up, f"page {page_type}, key long, host string, path string, hashes array<long>")
+    lined = keyed.select("page", "key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html").mapInArrow(line_up, f"page {page_type}, key long, host string, path string, hashes array<long>, inside array<int>")
     lined = materialize(lined.dropDuplicates(["key"]), "page-lines")
 
     def align(batches):
         for batch in batches:
-            mine, other = batch.column("hashes").to_pylist(), batch.column("other").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([shared_places(a, b or []) for a, b in zip(mine, other)], pa.list_(pa.int32()))], names=["key", "shared"])
+            shared, repeated = [], []
+            for r in batch.drop_columns(["key"]).to_pylist():
+                shared.append(shared_places(r["hashes"], r["other"] or []))
+                both = r["inside"] and r["other_inside"] and r["far_inside"]
+                sides = [same_places(r["hashes"], r["inside"], r[s], r[f"{s}_inside"]) for s in ("other", "far")] if both else [set()]
+                repeated.append(sorted(set.intersection(*sides)))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(x, pa.list_(pa.int32())) for x in (shared, repeated))], names=["key", "shared", "repeated"])
 
-    shared = materialize(lined.join(_neighbours(lined), ["host", "path"], "left").select("key", "hashes", "other").mapInArrow(align, "key long, shared array<int>"), "page-shared")
+    beside = lined.join(_neighbours(lined), ["host", "path"], "left").select("key", "hashes", "inside", "other", "other_inside", "far", "far_inside")
+    shared = materialize(beside.mapInArrow(align, "key long, shared array<int>, repeated array<int>"), "page-shared")
 
     def text(batches):
         for batch in batches:
-            found = [main_text(lines(p), set(s or [])) for p, s in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist())]
+            found = [main_text(lines(p), set(s or []), set(r or [])) for p, s, r in zip(*(batch.column(c).to_pylist() for c in ("html", "shared", "repeated")))]
             yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), pa.array(found, pa.string())], names=["page", "url", "text"])
 
     # always by a shuffle: a small table would be broadcast, a large one not, and the join should act alike at every size
-    out = keyed.join(shared.hint("merge"), "key", "left").select("page", "url", "html", "shared").mapInArrow(text, f"page {page_type}, url string, text string")
+    out = keyed.join(shared.hint("merge"), "key", "left").select("page", "url", "html", "shared", "repeated").mapInArrow(text, f"page {page_type}, url string, text string")
     return out.select(F.col("page").alias(page_id), F.col("url").alias(url), "text")
