@@ -1,9 +1,10 @@
 """Native operators: odd inputs against plain references, and the SQL of their queries on the smallest tables."""
 
 import hashlib
+import itertools
 import os
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -112,6 +113,55 @@ def test_leaks(spark, make_docs):
     assert decontaminate.leaks(make_docs([]), bench).count() == 0 and decontaminate.leaks(make_docs(rows), bench.limit(0)).count() == 0
 
 
+def brute_leaks(docs, items, stretch=13, share=0.8):
+    """(doc, item, token_at, n_same, n_item, n_places) by the leak rule on every alignment, without seeds."""
+    runs = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    items, out = [(i, runs(t)) for i, t in items], set()
+    where = defaultdict(list)
+    for k, (_, w) in enumerate(items):
+        for j, x in enumerate(w):
+            where[x].append((k, j))
+    for d, t in docs:
+        same = defaultdict(set)
+        for p, x in enumerate(runs(t)):
+            for k, j in where.get(x, ()):
+                same[k, p - j].add(j)
+        places = defaultdict(list)
+        for (k, shift), at in same.items():
+            width = min(n := len(items[k][1]), stretch)
+            if any(sum(i + o in at for o in range(width)) >= share * width for i in range(n - width + 1)):
+                places[k].append((-len(at), shift))
+        out |= {(d, items[k][0], min(p)[1], -min(p)[0], len(items[k][1]), len(p)) for k, p in places.items()}
+    return out
+
+
+def test_masks_hit_every_placement():
+    for n in range(1, 14):
+        need = next(k for k in range(1, n + 1) if k >= 0.8 * n)
+        for lost in itertools.combinations(range(n), n - need):
+            hit = lambda m: any(all(a + o not in lost for o, c in enumerate(m) if c == "1") for a in range(n - len(m) + 1))  # noqa: B023, E731
+            assert any(map(hit, decontaminate.stretch_masks(n, 0.8))), (n, lost)
+
+
+def test_leaks_wherever_tokens_are_substituted(spark, make_docs):
+    items = [(n, " ".join(f"i{n}t{k}" for k in range(n))) for n in range(1, 17)]
+    rows = [(0, None), (1, "")]
+    for n, text in items:
+        for lost in range(4 if n < 15 else 3):
+            for at in itertools.combinations(range(n), lost):
+                rows.append((len(rows), " ".join(["a", "b"] + ["XX" if k in at else w for k, w in enumerate(text.split())] + ["c"])))
+    rows += [(len(rows) + k, " ".join(items[13][1].split()[k : k + 11])) for k in range(4)]
+    got = decontaminate.leaks(make_docs(rows), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_leaks(rows, items)
+    assert Counter(map(tuple, got.collect())) == Counter(want) and len({i for _, i, *_ in want}) == 16
+
+
+def test_leaks_of_the_table_by_the_rule(spark):
+    docs, items = (duckdb.sql(f"select {c}, text from '{SF}/{f}.parquet'").fetchall() for c, f in (("doc_id", "documents"), ("item_id", "benchmark")))
+    got = queries.QUERIES["op4_spaced_seed_leaks"](spark, SF)
+    assert Counter(map(tuple, got.collect())) == Counter(brute_leaks(docs, items))
+
+
 # personal data
 
 EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"

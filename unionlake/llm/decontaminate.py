@@ -2,11 +2,13 @@
 
 Fixed masks over token positions leave some positions out, so a seed survives substituted tokens there.  Seeds of the
 benchmark and of every position of every document are joined on their hash.  Around a hit the document is aligned with
-the item token by token; it is a leak if some stretch of the item agrees in enough places.
+the item token by token; it is a leak if some stretch of the item agrees in enough places.  The masks of a stretch are hit
+wherever its substituted tokens stand, so every leak is a candidate.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,9 +17,19 @@ from pyspark.sql import functions as F
 from unionlake.llm.columns import let, text_of
 from unionlake.session import materialize
 
-#: Masks (fixed values): 1 takes the token, 0 leaves it out.
-MASKS = ["11011001011", "11101001101", "10110111001"]
-SPAN = len(MASKS[0])
+#: Masks (fixed values) by tokens of a stretch and substituted tokens in it: 1 takes the token, 0 leaves it out.  Each set
+#: was enumerated: it has a hit for every placement of the substituted tokens.
+MASKS = {
+    (13, 2): ["11110111", "11001001111", "11111101"],
+    (12, 2): ["11101011", "1100100111", "101111001"],
+    (11, 2): ["1110111", "111001011", "110100111", "101101101"],
+    (10, 2): ["111011", "11010011", "111001001"],
+    (9, 1): ["1111011", "110011011"],
+    (8, 1): ["1111101", "1101111", "10110111"],
+    (7, 1): ["111101", "1001111", "111011"],
+    (6, 1): ["11101", "10111"],
+    (5, 1): ["1111", "10111", "11101", "11011"],
+}
 
 
 @dataclass(frozen=True)
@@ -36,21 +48,34 @@ def token_hashes(text: Column) -> Column:
     return F.array_remove(hashes, F.xxhash64(F.lit("")))  # a split leaves empty strings at the ends
 
 
-def _seeds(at) -> Column:
-    """The hashes of all masks; at(o): the token hash o places on."""
-    return F.array(*[F.xxhash64(F.lit(m), *[at(o) for o, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(MASKS)])
+def stretch_masks(width: int, share: float) -> list[str]:
+    """Masks that have a hit in every stretch of ``width`` tokens with enough equal ones.  Without a set of its own a stretch
+    has the run of equal tokens that is left however the others are placed."""
+    lost = width - max(math.ceil(share * width), 1)
+    return MASKS.get((width, lost), ["1" * -(-(width - lost) // (lost + 1))])
 
 
-def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """keep + (at, seed): one row for each position and mask of ``hashes``."""
-    spots = df.where(F.size("hashes") >= SPAN).select(*keep, "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - SPAN)).alias("at"))
-    return spots.select(*keep, "hashes", "at", F.explode(_seeds(lambda o: F.get("hashes", F.col("at") + o))).alias("seed"))
+def _windows(df: DataFrame, keep: list[str], masks: dict[str, Column]) -> DataFrame:
+    """keep + (hashes, at, seed): one row for each position of ``hashes`` and mask whose condition holds; the seed is null
+    where the mask passes the end."""
+    shortest = min(map(len, masks))
+    spots = df.where(F.size("hashes") >= shortest).select(*keep, "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - shortest)).alias("at"))
+    taken = lambda m: F.xxhash64(F.lit(m), *[F.get("hashes", F.col("at") + o) for o, c in enumerate(m) if c == "1"])
+    seeds = [F.when((F.col("at") + len(m) <= F.size("hashes")) & cond, taken(m)) for m, cond in masks.items()]
+    return spots.select(*keep, "hashes", "at", F.explode(F.array(*seeds)).alias("seed"))
 
 
-def benchmark_seeds(bench: DataFrame, text: str, item_id: str) -> DataFrame:
-    """(item, item_hashes, item_at, seed).  Items of fewer tokens than a mask spans prove nothing and have no seeds."""
+def benchmark_seeds(bench: DataFrame, text: str, item_id: str, params: LeakParams = LeakParams()) -> DataFrame:
+    """(item, item_hashes, width, item_at, seed); width: tokens of the stretch that is compared.  An item of fewer tokens has
+    masks of its own length; an item without tokens proves nothing and has no seeds."""
     items = bench.select(F.col(item_id).alias("item"), token_hashes(text_of(text)).alias("hashes"))
-    return _windows(items, ["item"]).select("item", F.col("hashes").alias("item_hashes"), F.col("at").alias("item_at"), "seed")
+    items = items.where(F.size("hashes") > 0).withColumn("width", F.least(F.size("hashes"), F.lit(params.stretch)))
+    widths: dict[str, list[int]] = {}
+    for width in range(1, params.stretch + 1):
+        for m in stretch_masks(width, params.share):
+            widths.setdefault(m, []).append(width)
+    seeds = _windows(items, ["item", "width"], {m: F.col("width").isin(w) for m, w in widths.items()}).where("seed is not null")
+    return seeds.select("item", F.col("hashes").alias("item_hashes"), "width", F.col("at").alias("item_at"), "seed")
 
 
 def leaks(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id", bench_text: str = "text", item_id: str = "item_id", params: LeakParams = LeakParams()) -> DataFrame:
@@ -59,14 +84,16 @@ def leaks(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "
     off) and the number of places.
 
     Null text counts as empty.  Rows that repeat a document id, or an item id, count as one.  Empty tables have no leaks."""
-    seeds = materialize(benchmark_seeds(bench, bench_text, item_id), "benchmark-seeds")
+    seeds = materialize(benchmark_seeds(bench, bench_text, item_id, params), "benchmark-seeds")
     plain = seeds.select(F.col("item"), "item_at", F.col("seed").alias("item_seed"))
-    small = seeds.count() <= params.broadcast_seeds
+    n_seeds = {r["width"]: r["count"] for r in seeds.groupBy("width").count().collect()}
+    small = sum(n_seeds.values()) <= params.broadcast_seeds
+    masks = {m: F.lit(True) for w in n_seeds or [params.stretch] for m in stretch_masks(w, params.share)}
     items = seeds.select("item", "item_hashes").distinct()
     hashed = docs.select(F.col(doc_id).alias("doc"), token_hashes(text_of(text)).alias("hashes"))
     shift = F.col("at") - F.col("item_at")
     # the document's part beside the item is cut out here, so the join's other side stays small
-    hits = _windows(hashed, ["doc"]).join(F.broadcast(plain) if small else plain, F.col("seed") == F.col("item_seed")).select("doc", "item", shift.alias("shift"), "hashes")
+    hits = _windows(hashed, ["doc"], masks).join(F.broadcast(plain) if small else plain, F.col("seed") == F.col("item_seed")).select("doc", "item", shift.alias("shift"), "hashes")
     beside = hits.join(F.broadcast(items) if small else items, "item").select("doc", "item", "shift", "item_hashes", F.slice("hashes", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item_hashes")).alias("part"))
 
     def agreed(same: Column) -> Column:
