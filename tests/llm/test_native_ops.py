@@ -208,6 +208,38 @@ def test_disclosing_terms(spark, make_docs):
     assert "Zorblax" not in clean[0] and "joe@x.org" not in clean[0] and "[email]" in clean[0] and "xxx00" in clean[1] and clean[130] == dict(other)[130]
 
 
+def test_context_is_the_words_of_the_text(spark, make_docs):
+    card = "4111 1111 1111 1111"
+    rows = [(1, f"Zorblax of flat 42 paid with {card} ref 7781 to Quuxley"), (2, "(joe@x.org, amy@x.org; +1 (017)  555-7713.) by\n" + "w" * 900 + " end"), (3, "joe@x.org"), (4, " \n7.7.7.7.8.8.8.8 " + " ".join(f"n{i}" for i in range(12))), (5, None),
+            (6, " ".join(f"q{i} u{i % 3}@x.org" for i in range(8))), (7, f"é\u3000x 1 22 y{card}, 33-a a@b.c.@d.e z")]
+    docs = make_docs(rows, CLASH)
+    found = pii.mentions(docs, "text", "doc_id").where("kind is not null")
+    copies = {r.copy: r.doc for r in found.select("copy", "doc").distinct().collect()}
+    got = {(copies[r.copy], r.kind, r.match, r.term) for r in pii.near_terms(docs, found, "text", 10).collect()}
+    want, seen = set(), set()
+    for r in found.collect():
+        t = dict(rows)[r.doc]
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        touched = [k for k, (a, b) in enumerate(spans) if a < r["to"] and b > r["from"]]
+        assert t[r["from"] : r["to"]] == r.match and (r["first"], r["last"]) == (touched[0], touched[-1])
+        seen.add((r.doc, r.kind))
+        want |= {(r.doc, r.kind, r.match, t[a:b]) for a, b in spans[max(touched[0] - 10, 0) : touched[0]] + spans[touched[-1] + 1 : touched[-1] + 11]}
+    assert got == want and {(1, "card", card, w) for w in ("Zorblax", "42", "7781", "Quuxley")} <= got
+    assert seen == {(1, "card"), (2, "email"), (2, "phone"), (3, "email"), (4, "ip"), (6, "email"), (7, "card"), (7, "email")}
+
+
+def test_terms_beyond_a_number_and_in_many_contexts(spark, make_docs):
+    filler = "the of and to in a is it on as by".split()
+    other = [(100 + i, " ".join([*filler, f"u{i}"])) for i in range(60)]
+    beyond = [(i, f"{filler[i]} Zorblax of flat {10 + i} paid with 4111 1111 1111 1111 ref 77{10 + i} to Quuxley in {filler[-i]}") for i in range(5)]
+    often = [(20 + i, " ".join(f"{i}a{k} " + ("Wexford " if k == 0 else "") + f"joe@x.org {i}b{k} " + " ".join(f"{i}c{k}{j}" for j in range(22)) for k in range(9))) for i in range(4)]
+    rows = dict(other + beyond + often)
+    spans = {r.doc_id: {(s.kind, t[s["from"] : s.to]) for s in r.spans for t in [rows[r.doc_id]]} for r in pii.find(make_docs(list(rows.items()))).collect()}
+    assert all({("remove", "Zorblax"), ("remove", "Quuxley")} <= spans[d] for d, _ in beyond)
+    assert all(("remove", "Wexford") in spans[d] for d, _ in often)
+    assert not any(spans[d] for d, _ in other)
+
+
 # URLs
 
 def test_urls(spark):

@@ -1,8 +1,9 @@
 """PII: information-theoretic sanitisation [native].
 
 Personal data is found by pattern and checksum.  Each value found is a protected entity.  Its disclosure by a term is their
-pointwise mutual information over the documents, as a part of the entity's own information:
-log(n(e,t) N / (n(e) n(t))) / log(N / n(e)), which is 1 if the term occurs only with the entity.  Terms near an entity that disclose it
+pointwise mutual information over the distinct texts, as a part of the entity's own information:
+log(n(e,t) N / (n(e) n(t))) / log(N / n(e)), which is 1 if the term occurs only with the entity.  n(e,t) counts the texts that
+have the term within some words of the entity, whatever else stands between.  Terms near an entity that disclose it
 beyond a threshold are removed, above a lower one generalised, wherever they stand in documents with the entity.
 """
 
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unionlake.llm.columns import SPACE_CHARS, SPACE_RUN, fresh, let, text_of
+from unionlake.llm.columns import SPACE_CHARS, SPACE_RUN, fresh, let, text_of, words
 from unionlake.session import materialize
 
 KINDS = ["email", "ip", "card", "phone", "remove", "generalise"]
@@ -30,8 +31,8 @@ PATTERNS = {
 
 @dataclass(frozen=True)
 class DisclosureParams:
-    """near: words on each side of an entity whose co-occurrence is counted.  min_support: distinct contexts of an entity,
-    and of an entity with a term, from which a disclosure is estimated; fewer can't be told from chance.
+    """near: words on each side of an entity whose co-occurrence is counted.  min_support: distinct texts with an entity,
+    and with an entity beside a term, from which a disclosure is estimated; fewer can't be told from chance.
     remove, generalise: disclosures from which a term is removed, or replaced by its shape."""
 
     near: int = 10
@@ -61,17 +62,26 @@ def _valid(kind: Column, m: Column) -> Column:
 
 
 def _pieces(text: Column, kind: str, may: Column) -> Column:
-    """Matches of a kind with the length of the text between them and the last: (kind, gap, match, before, after)."""
+    """Matches of a kind with the length of the text between them and the last, and the words that begin in that text or
+    with the match: (kind, i, gap, match, begun)."""
     pattern = F.lit(PATTERNS[kind])
+    space = lambda c: F.contains(F.lit(SPACE_CHARS), c)
+
+    def begun(part: Column, i: Column) -> Column:
+        # a match has no white space at its ends, so text beside it goes on with its word
+        goes_on = (i > 0) & (part != "") & ~space(F.left(part, F.lit(1)))
+        fresh_word = F.when(part == "", i == 0).otherwise(space(F.right(part, F.lit(1))))
+        return F.size(words(part)) - goes_on.cast("int") + fresh_word.cast("int")
+
     rows = lambda found: let(F.split(text, PATTERNS[kind], -1), lambda parts: F.transform(found, lambda m, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(parts, i)).alias("gap"), m.alias("match"), F.get(parts, i).alias("before"), F.get(parts, i + 1).alias("after"))))
-    empty = F.array().cast("array<struct<kind:string,i:int,gap:int,match:string,before:string,after:string>>")
+        F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(parts, i)).alias("gap"), m.alias("match"), begun(F.get(parts, i), i).alias("begun"))))
+    empty = F.array().cast("array<struct<kind:string,i:int,gap:int,match:string,begun:int>>")
     return F.when(may, let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.when(F.size(m) > 0, rows(m)).otherwise(empty))).otherwise(empty)
 
 
-def mentions(docs: DataFrame, text: str, doc_id: str, near: int) -> DataFrame:
-    """(row, doc, kind, from, to, match, context): valid matches in code points, with the nearest words of the text
-    between them and the next matches of the kind.  row tells rows with equal ids apart."""
+def mentions(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(row, doc, copy, kind, from, to, match, first, last): valid matches in code points, with the numbers (from 0) of the first and last
+    word of the text that they touch.  row tells rows with equal ids apart, copy is the same for equal texts."""
     t = F.col("text")
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc"), text_of(text).alias("text"))
     digit = t.rlike("[0-9]")
@@ -81,32 +91,40 @@ def mentions(docs: DataFrame, text: str, doc_id: str, near: int) -> DataFrame:
         _pieces(t, "card", digit),
         _pieces(t, "phone", F.contains(t, F.lit("+"))),
     )
-    rows = base.select("row", "doc", F.inline_outer(_slim(found, near)))
+    rows = base.select("row", "doc", F.xxhash64("text").alias("copy"), F.inline_outer(found))
     run = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     to = F.sum(F.col("gap") + F.length("match")).over(run)
-    placed = rows.withColumn("to", to).withColumn("from", F.col("to") - F.length("match"))
-    return placed.select("row", "doc", F.when(F.coalesce(_valid(F.col("kind"), F.col("match")), F.lit(False)), F.col("kind")).alias("kind"), "from", "to", "match", "context")
+    inner = F.size(words(F.col("match"))) - 1
+    last = F.sum(F.col("begun") + inner).over(run) - 1
+    placed = rows.withColumn("to", to).withColumn("last", last).withColumn("from", F.col("to") - F.length("match")).withColumn("first", F.col("last") - inner)
+    return placed.select("row", "doc", "copy", F.when(F.coalesce(_valid(F.col("kind"), F.col("match")), F.lit(False)), F.col("kind")).alias("kind"), "from", "to", "match", "first", "last")
+
 
+def near_terms(docs: DataFrame, found: DataFrame, text: str, near: int) -> DataFrame:
+    """(kind, match, copy, term): the words of each text within ``near`` words of a mention, on each side."""
+    spots = found.dropDuplicates(["copy", "kind", "match", "first", "last"]).groupBy("row", "copy").agg(F.collect_list(F.struct("kind", "match", "first", "last")).alias("spots"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), text_of(text).alias("text"))
 
-def _slim(found: Column, near: int) -> Column:
-    """Matches with only the ``near`` words on each side; a run of at most 64 characters a word is looked at."""
-    blank = lambda s: F.filter(F.split(s, SPACE_RUN), lambda w: w != "")
-    before = lambda s: F.slice(F.reverse(blank(F.right(s, F.lit(64 * near)))), 1, near)
-    after = lambda s: F.slice(blank(F.left(s, F.lit(64 * near))), 1, near)
-    return F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), x["i"].alias("i"), x["gap"].alias("gap"), x["match"].alias("match"),
-                                                 F.array_distinct(F.concat(before(x["before"]), after(x["after"]))).alias("context")))
+    def beside(all_words: Column) -> Column:
+        def around(s: Column) -> Column:
+            start = F.greatest(s["first"] - near, F.lit(0)).cast("int")
+            before = F.slice(all_words, start + 1, s["first"].cast("int") - start)
+            return F.struct(s["kind"].alias("kind"), s["match"].alias("match"), F.array_distinct(F.concat(before, F.slice(all_words, s["last"].cast("int") + 2, near))).alias("terms"))
+
+        return F.transform("spots", around)
+
+    each = base.join(spots, "row").select("copy", F.inline(let(words(F.col("text")), beside)))
+    return each.select("kind", "match", "copy", F.explode("terms").alias("term")).distinct()
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, p: DisclosureParams) -> DataFrame:
-    """(kind, match, term, action): terms that disclose an entity beyond a threshold.  Copies of a context count once, so
-    a copied document proves nothing; corpus counts cover all documents, copies of a text once."""
-    contexts = found.where("kind is not null").select("kind", "match", "context").distinct()
-    entities = contexts.groupBy("kind", "match").agg(F.count(F.lit(1)).alias("ne")).where(F.col("ne") >= p.min_support)
-    pairs = (
-        contexts.join(entities, ["kind", "match"]).select("kind", "match", "ne", F.explode("context").alias("term"))
-        .where(F.col("term") != F.col("match")).groupBy("kind", "match", "ne", "term").agg(F.count(F.lit(1)).alias("net")).where(F.col("net") >= p.min_support)
-    )
-    pairs = materialize(pairs, "pii-pairs")
+    """(kind, match, term, action): terms that disclose an entity beyond a threshold.  All counts are of distinct texts, so
+    a copied document proves nothing and an entity that stands often in a text counts once there."""
+    found = found.where("kind is not null")
+    entities = materialize(found.select("kind", "match", "copy").distinct().groupBy("kind", "match").agg(F.count(F.lit(1)).alias("ne")).where(F.col("ne") >= p.min_support), "pii-entities")
+    beside = near_terms(docs, found.join(entities, ["kind", "match"], "left_semi"), text, p.near).where(F.col("term") != F.col("match"))
+    counted = beside.groupBy("kind", "match", "term").agg(F.count(F.lit(1)).alias("net")).where(F.col("net") >= p.min_support)
+    pairs = materialize(counted.join(entities, ["kind", "match"]), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("kind", "match", "term", F.lit("remove").alias("action"))
     texts = docs.select(text_of(text).alias("text"))
@@ -115,7 +133,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, p: Disclosure
     seen = texts.select(F.xxhash64("text").alias("h"), F.explode(F.split("text", SPACE_RUN)).alias("term"))
     holding = seen.join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
     n = F.lit(float(max(total, 2)))
-    gain = F.log2(F.col("net") * n / (F.col("ne") * F.greatest("nt", "net"))) / F.greatest(F.log2(n / F.col("ne")), F.lit(1e-9))
+    gain = F.log2(F.col("net") * n / (F.col("ne") * F.col("nt"))) / F.greatest(F.log2(n / F.col("ne")), F.lit(1e-9))
     scored = pairs.join(holding, "term").withColumn("gain", gain)
     return scored.where(F.col("gain") >= p.generalise).select("kind", "match", "term", F.when(F.col("gain") >= p.remove, "remove").otherwise("generalise").alias("action"))
 
@@ -135,7 +153,7 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Di
     """One row per row of ``docs``: its id and spans, an array of (from, kind_no, to, kind) in code points, end exclusive, sorted.
 
     Null text counts as empty; empty documents have no spans; rows that repeat an id are judged one by one."""
-    found = mentions(docs, text, doc_id, params.near)
+    found = mentions(docs, text, doc_id)
     terms = disclosing_terms(docs, materialize(found.where("kind is not null"), "pii-mentions"), text, params)
     spans = found.select("row", "doc", "kind", "from", "to")
     if not terms.isEmpty():
