@@ -191,6 +191,26 @@ def test_lines_and_flags():
     assert page_text.main_text(page_text.lines("a<br>b <i>c</i>d"), {1}) == "a"
 
 
+def test_marks_of_layout_wrappers():
+    text = lambda page, shared=(): page_text.main_text(page_text.lines(page), set(shared))
+    body = "<h1>Title</h1><p>The text of the page.</p>"
+    for name in ("content has-sidebar", "post no-comments", "social-studies", "sidebar", "comments"):
+        for page in (f'<div class="{name}"><article>{body}</article></div><div>tail</div>', f'<section id="{name}"><div>{body}</div></section>'):
+            assert text(page) == "Title The text of the page.", page
+    assert text(f'<div class="sidebar"><p>Menu</p>{body}</div>', {0}) == "Title The text of the page."
+    assert text(f'<form action=x><div class=page><article>{body}</article></div></form>') == "Title The text of the page."
+    for mark in ("sidebar", "ad-banner", "x cookie_notice", "comments"):
+        assert text(f'{body}<div class="{mark}">gone <p>too</p></div>') == "Title The text of the page."
+    assert text(f'<article>{body}<div class="comments">{"long " * 50}<article>reply</article></div></article>') == "Title The text of the page."
+    assert text(f"<article>{body}</article><aside><article>other</article></aside>") == "Title The text of the page."
+    assert text(f'<div id=comments><article class=comment>reply</article></div><article>{body}</article>') == "Title The text of the page."
+    for name in ("select", "button", "iframe"):
+        assert text(f"<div><{name}>{body}</div>") == "Title The text of the page."
+    assert text(f"{body}<script>code") == "Title The text of the page."
+    deep = text('<div class="sidebar">' * 3000 + body + "</div>" * 3000)
+    assert deep == "Title The text of the page."
+
+
 def test_shared_places_are_a_longest_common_subsequence():
     r = random.Random(4)
     for _ in range(300):

@@ -4,7 +4,7 @@ A page is cut into text lines at block tags.  Pages of a host are sorted by URL
 whose path has the longer common beginning, their lines are aligned by a longest common subsequence, and
 shared lines are deleted: menus, footers and notices repeat from page to page.  Markup says the rest: lines inside elements
 that are never content (menus, forms, adverts, comments) go even if no neighbour has them, and if a page has an article
-only its lines are the text.  Inside an article a sentence may be quoted, so there a short line is deleted only if it is shared with both
+only its lines are the text.  A mark on a wrapper outside the article, or on one that holds most of the page, decides nothing.  Inside an article a sentence may be quoted, so there a short line is deleted only if it is shared with both
 neighbours at the same place of the article; paragraphs stay, and so does an article that is copied as a whole.
 """
 
@@ -30,34 +30,39 @@ RAW = frozenset("script style template noscript iframe object svg canvas head ti
 ASIDE = frozenset("nav aside footer form dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark what is not the article (fixed values).
+#: Elements whose text is no text for people even if they are never closed (fixed values).
+CODE = frozenset("script style".split())
+#: Tokens of class, id or role that mark what is not the article, alone or joined (``ad-banner``) (fixed values).
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent contentinfo complementary cookie cookies disqus footer menu modal nav "
     "navbar navigation newsletter notice popup promo related replies reply respond search share sidebar social sponsor sponsored subscribe widget".split()
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_JOINT = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
-ARTICLE, AWAY = 1, 2
+ARTICLE, AWAY, MARKED = 1, 2, 4
 #: Characters from which a line of an article is a paragraph, which is never deleted (fixed value).
 PARAGRAPH = 200
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
     """(text, flags) of the lines of a page, in order: white space made single, character references decoded, empty lines left
-    out.  Flags: ARTICLE inside an article or main element, AWAY inside what is never content."""
-    out: list[tuple[str, int]] = []
+    out.  Flags: ARTICLE inside an article or main element, AWAY inside what is never content.
+
+    A mark outside the article is dropped by an article inside, and if its wrapper holds more than half of the page's text."""
+    out: list[tuple[str, int, int]] = []
     page = page or ""
-    stack: list[tuple[str, int]] = []
-    flags, at, held = 0, 0, []
+    stack: list[tuple[str, int, int]] = []
+    up: list[int] = [0]  # by number of a marked wrapper outside the article: the next such wrapper around it, 0 none
+    flags, wrapper, at, held = 0, 0, 0, []
 
     def flush() -> None:
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                out.append((text, flags))
+                out.append((text, flags, wrapper))
 
     for tag in _TAG.finditer(page):
         if tag.start() < at:
@@ -73,32 +78,48 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if tag[1]:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if place is not None:
-                flush() if stack[place][1] != flags else None
-                flags = stack[place][1]
+                flush() if stack[place][1:] != (flags, wrapper) else None
+                _, flags, wrapper = stack[place]
                 del stack[place:]
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else (at if name == "head" else len(page))
+            at = end.end() if end else (len(page) if name in CODE else at)
             continue
         if name in VOID or tag[3].endswith("/"):
             continue
-        new = flags
-        if name in ("article", "main"):
-            new |= ARTICLE
-        marks = {w for m in _ATTR.finditer(tag[3]) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower())} if tag[3] else set()
-        if "main" in marks and "role" in tag[3].lower():
+        new, around = flags, wrapper
+        marks = {w for m in _ATTR.finditer(tag[3]) for w in (m[2] or m[3] or m[4] or "").lower().split()} if tag[3] else set()
+        marked = any(all(w in MARKS for w in _JOINT.split(t)) for t in marks)
+        if name in ("article", "main") or ("main" in marks and "role" in tag[3].lower()):
+            if not flags & ARTICLE and not marked:
+                new, around = new & ~MARKED, 0
             new |= ARTICLE
-        if name in ASIDE or (marks & MARKS and name not in ("html", "body", "article", "main")) or (name == "header" and not flags & ARTICLE):
+        elif name in ASIDE and name != "form" or name == "header" and not flags & ARTICLE:
             new |= AWAY
-        if new != flags:
+        elif name == "form" or (marked and name not in ("html", "body")):
+            new |= AWAY if flags & ARTICLE else MARKED
+            if not flags & ARTICLE:
+                up.append(wrapper)
+                around = len(up) - 1
+        if (new, around) != (flags, wrapper):
             flush()
-        stack.append((name, flags))
-        flags = new
+        stack.append((name, flags, wrapper))
+        flags, wrapper = new, around
     rest = page[at:]
     held.append(rest[: m.start()] if (m := re.search(r"<(?:/?[a-zA-Z]|!)[^>]*\Z", rest)) else rest)
     flush()
-    return out
+    inside, total = [0] * len(up), 0
+    for text, f, w in out:
+        if not f & AWAY:
+            total += len(text)
+            inside[w] += len(text)
+    for w in range(len(up) - 1, 0, -1):  # a wrapper has a larger number than those around it
+        inside[up[w]] += inside[w]
+    drops = [False] * len(up)
+    for w in range(1, len(up)):
+        drops[w] = drops[up[w]] or 2 * inside[w] <= total
+    return [(text, f & ARTICLE | (AWAY if f & AWAY or drops[w] else 0)) for text, f, w in out]
 
 
 def line_hash(text: str) -> int:
