@@ -128,14 +128,20 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, p: Disclosure
     if pairs.isEmpty():
         return pairs.select("kind", "match", "term", F.lit("remove").alias("action"))
     texts = docs.select(text_of(text).alias("text"))
-    total = texts.select(F.xxhash64("text").alias("h")).distinct().count()
-    terms = pairs.select("term").distinct()
-    seen = texts.select(F.xxhash64("text").alias("h"), F.explode(F.split("text", SPACE_RUN)).alias("term"))
-    holding = seen.join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+    copies = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)), F.sum("c")).first()
+    total, repeats = copies[0], copies[1] - copies[0]
     n = F.lit(float(max(total, 2)))
-    gain = F.log2(F.col("net") * n / (F.col("ne") * F.col("nt"))) / F.greatest(F.log2(n / F.col("ne")), F.lit(1e-9))
-    scored = pairs.join(holding, "term").withColumn("gain", gain)
-    return scored.where(F.col("gain") >= p.generalise).select("kind", "match", "term", F.when(F.col("gain") >= p.remove, "remove").otherwise("generalise").alias("action"))
+    gain = lambda nt: F.log2(F.col("net") * n / (F.col("ne") * nt)) / F.greatest(F.log2(n / F.col("ne")), F.lit(1e-9))
+    # rows with a term, less all rows that repeat a text, are no more than its texts: words that can't reach the threshold
+    # go before texts are told apart
+    held = texts.select(F.explode(F.array_distinct(F.split("text", SPACE_RUN))).alias("term")).join(pairs.select("term").distinct(), "term", "left_semi")
+    rows = held.groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+    least = F.greatest(F.col("rows") - repeats, F.col("net"))
+    pairs = materialize(pairs.join(rows, "term").where(gain(least) >= p.generalise - 1e-6).drop("rows"), "pii-likely")
+    seen = texts.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.split("text", SPACE_RUN))).alias("term"))
+    holding = seen.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+    scored = pairs.join(holding, "term").withColumn("gain", gain(F.col("nt"))).where(F.col("gain") >= p.generalise)
+    return materialize(scored.select("kind", "match", "term", F.when(F.col("gain") >= p.remove, "remove").otherwise("generalise").alias("action")), "pii-terms")
 
 
 def term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame, text: str, doc_id: str) -> DataFrame:
