@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from unionlake.llm import decontaminate, line_dedup, near_dup, ngram_lm, packing, page_text, pii, quality, token_files, url_filter
+from unionlake.llm import decontaminate, dictionary_clusters, line_dedup, near_dup, ngram_lm, packing, page_text, pii, pivot_codes, quality, token_files, url_filter
 from unionlake.session import prepare
 
 QUERIES: dict = {}
@@ -106,6 +106,21 @@ def op10_disclosure_sanitisation(spark, table):
         F.sha2(pii.digest(only_base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
+@query
+def op11_subvector_dictionaries(spark, table):
+    """The cluster of every embedding."""
+    rows, centroids = dictionary_clusters.cluster(table("embeddings"))
+    return dictionary_clusters.with_inertia(rows, centroids).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op12_laesa_codes(spark, table):
+    """The code of every embedding."""
+    found = pivot_codes.compress(table("embeddings"))
+    rows = pivot_codes.label_errors(found.rows)
+    return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(pivot_codes.books_digest(found.books)).alias("codebooks_sha256"))
+
+
 ORACLES["op9_line_similarity_join"] = """
 with raw as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 line_no from documents),
 worded as (select * from (select doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) ws from raw) where len(ws) > 0),
@@ -132,3 +147,44 @@ same as (select doc_id, item_id, shift, len(b.w) n, list_transform(range(len(b.w
 ok as (select doc_id, item_id, shift, n, list_sum(e)::bigint k from same where list_max(list_transform(range(n - least(n, 13) + 1), lambda i: list_sum(e[i + 1 : i + least(n, 13)]))) >= 0.8 * least(n, 13))
 select doc_id, item_id, (min(row(-k, shift)))[2]::bigint token_at, max(k)::bigint n_same, any_value(n)::bigint n_item, count(*)::bigint n_places from ok group by 1, 2
 """
+
+
+def _sql_whole(scale: int, where: str) -> str:
+    finite = "embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0"
+    return f"select vec_id, label, list_transform(embedding, lambda v: floor({scale} * v::double)) v from embeddings where {finite}{where}"
+
+
+def _sql_square(a: str, b: str) -> str:
+    """Squared distance of two lists of whole numbers, exact in doubles."""
+    return f"list_inner_product({a}, {a}) - 2 * list_inner_product({a}, {b}) + list_inner_product({b}, {b})"
+
+
+def _sql_op11(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    ctes = [f"x as materialized ({_sql_whole(256, f' and len(embedding) = {dims}')})",
+            f"c0 as materialized (select (row_number() over (order by sha256('2:' || vec_id)) - 1)::int c, v from x order by sha256('2:' || vec_id) limit {k})"]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} as materialized (select vec_id, any_value(x.v) v, min(row({_sql_square('x.v', 'm.v')}, c)) best from x, c{r} m group by vec_id)")
+        ctes.append(f"n{r} as (select c, list(floor(s / n) order by d) v from (select best[2] c, d, sum(v[d]) s, count(*) n from a{r}, range(1, {dims + 1}) t(d) group by all) group by c)")
+        ctes.append(f"c{r + 1} as materialized (select o.c, coalesce(n.v, o.v) v from c{r} o left join n{r} n using (c))")
+    return f"""with {', '.join(ctes)}
+select vec_id, best[2]::int as cluster, best[1]::bigint distance, (sum(best[1]) over (partition by best[2]))::bigint cluster_inertia, (sum(best[1]) over ())::bigint inertia,
+  sha256(array_to_string(list_transform(m.v, lambda i: i::bigint), ',')) centroid_sha256 from a{rounds} join c{rounds} m on m.c = best[2]"""
+
+
+def _sql_op12(entries: int = 16, rounds: int = 6, parts: int = 8, width: int = 8) -> str:
+    ctes = [f"x as materialized ({_sql_whole(4096, '')})",
+            f"p as materialized (select vec_id, label, j, v[j * {width} + 1 : j * {width} + {width}] v from x, range({parts}) t(j))",
+            f"s as (select vec_id, row_number() over (order by vec_id) - 1 e from x order by vec_id limit {entries})",
+            "b0 as materialized (select j, e, v from p join s using (vec_id))"]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} as materialized (select vec_id, p.j, any_value(label) label, any_value(p.v) v, min(row({_sql_square('p.v', 'b.v')}, e)) best from p join b{r} b on p.j = b.j group by vec_id, p.j)")
+        ctes.append(f"n{r} as (select j, e, list(floor(s / n) order by d) v from (select j, best[2] e, d, sum(v[d]) s, count(*) n from a{r}, range(1, {width + 1}) t(d) group by all) group by j, e)")
+        ctes.append(f"b{r + 1} as materialized (select o.j, o.e, coalesce(n.v, o.v) v from b{r} o left join n{r} n using (j, e))")
+    return f"""with {', '.join(ctes)},
+f as (select vec_id, any_value(label) label, string_agg(format('{{:02x}}', best[2]::int), '' order by j) code, sum(best[1])::bigint error from a{rounds} group by vec_id)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error,
+  (select sha256(string_agg(array_to_string(list_transform(v, lambda i: i::bigint), ','), ',' order by j, e)) from b{rounds}) codebooks_sha256 from f"""
+
+
+ORACLES["op11_subvector_dictionaries"] = _sql_op11()
+ORACLES["op12_laesa_codes"] = _sql_op12()
