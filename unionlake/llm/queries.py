@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from unionlake.llm import decontaminate, dictionary_clusters, line_dedup, near_dup, ngram_lm, packing, page_text, pii, pivot_codes, quality, token_files, url_filter
+from unionlake.llm import decontaminate, dictionary_clusters, line_dedup, near_dup, ngram_lm, packing, page_text, pii, pivot_codes, posting_search, quality, token_files, url_filter
 from unionlake.session import prepare
 
 QUERIES: dict = {}
@@ -121,6 +121,16 @@ def op12_laesa_codes(spark, table):
     return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(pivot_codes.books_digest(found.books)).alias("codebooks_sha256"))
 
 
+@query
+def op13_balanced_posting_lists(spark, table):
+    """The ten nearest neighbours of every hundredth embedding."""
+    vectors = table("embeddings").select("vec_id", "embedding")
+    index = posting_search.build_index(vectors)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return posting_search.search(index, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 ORACLES["op9_line_similarity_join"] = """
 with raw as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 line_no from documents),
 worded as (select * from (select doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) ws from raw) where len(ws) > 0),
