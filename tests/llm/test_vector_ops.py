@@ -260,3 +260,11 @@ def test_registered_queries(spark):
         found.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
     want = plain_search(rows)
     assert recall(found, want) >= 0.9 and all([x[0] for x in sorted(v)] == list(range(1, 11)) for v in found.values())
+
+
+def test_boundary_vectors_are_in_several_lists(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(r.random((3000, 2)).astype(np.float32))]
+    got, index = searched(table(spark, rows).repartition(4), every=30)
+    assert recall(got, plain_search(rows, 30)) >= 0.93
+    assert index.sizes.sum() > 1.1 * 3000

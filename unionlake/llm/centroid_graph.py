@@ -14,21 +14,30 @@ class CentroidGraph:
 
     Built from at most ``centroid_bytes`` of centroids (see posting_search), so its size doesn't follow the table's."""
 
-    def __init__(self, points: np.ndarray, degree: int = 20, far_links: int = 4):
+    def __init__(self, points: np.ndarray, degree: int = 16, back: int = 12, far_links: int = 4):
         self.points = np.ascontiguousarray(points, np.float32)
         k = len(points)
         self.entry = np.unique(np.linspace(0, k - 1, min(k, 2 * int(np.ceil(np.sqrt(k))))).astype(np.int64))
         near = min(degree, k - 1)
-        links = np.zeros((k, near + far_links), np.int32)
+        links = np.random.Generator(np.random.PCG64(k)).integers(0, k, (k, near + back + far_links)).astype(np.int32)
+        self.links = links
+        if not near:
+            return
         norms = (self.points.astype(np.float64) ** 2).sum(axis=1)
+        far = np.empty((k, near))
         for at in range(0, k, 1024):
             some = slice(at, min(k, at + 1024))
             gap = norms[some, None] + norms[None, :] - 2.0 * (self.points[some] @ self.points.T)
             gap[np.arange(gap.shape[0]), np.arange(some.start, some.stop)] = np.inf
-            if near:
-                links[some, :near] = np.argpartition(gap, near - 1, axis=1)[:, :near]
-        links[:, near:] = np.random.Generator(np.random.PCG64(k)).integers(0, k, (k, far_links))
-        self.links = links
+            links[some, :near] = np.argpartition(gap, near - 1, axis=1)[:, :near]
+            far[some] = np.take_along_axis(gap, links[some, :near].astype(np.int64), axis=1)
+        # back links: a centroid that is near to many others is found from them, and they from it
+        to, of = links[:, :near].reshape(-1), np.repeat(np.arange(k), near)
+        order = np.lexsort((of, far.reshape(-1), to))
+        to, of = to[order], of[order]
+        place = np.arange(len(to)) - np.searchsorted(to, to)
+        few = place < back
+        links[to[few], near + place[few]] = of[few]
 
     def __len__(self) -> int:
         return len(self.points)
@@ -89,7 +98,7 @@ class CentroidGraph:
             node[touched], dist[touched] = np.take_along_axis(all_c, order, axis=1), np.take_along_axis(all_d, order, axis=1)
             followed[touched] = np.take_along_axis(all_f, order, axis=1)
 
-    def within(self, rows: np.ndarray, ratio: float, at_least: int = 4, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    def within(self, rows: np.ndarray, ratio: float, at_least: int = 4, width: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """(row, centroid) of the ``at_least`` nearest centroids found, and of all found within ``ratio`` times the distance
         of the nearest one (inf: all): starting from the beam, links are followed while they lead to centroids in that range."""
         n, k = len(rows), len(self)
@@ -101,18 +110,20 @@ class CentroidGraph:
         there = node >= 0
         row, c, d = np.nonzero(there)[0], node[there], dist[there]
         seen[row, c] = True
-        inside = d <= reach[row]
-        row, c = row[inside], c[inside]
-        found = [(row, c)]
+        found = []
         while len(row):
-            r = np.repeat(row, self.links.shape[1])
-            c = self.links[c].reshape(-1).astype(np.int64)
-            r, c = np.divmod(np.unique((r * k + c)[~seen[r, c]]), k)
-            seen[r, c] = True
-            inside = self.distance(rows, r, c) <= reach[r]
-            row, c = r[inside], c[inside]
-            found.append((row, c))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            inside = d <= reach[row]
+            found.append((row[inside], c[inside], d[inside]))
+            r = np.repeat(row[inside], self.links.shape[1])
+            c = self.links[c[inside]].reshape(-1).astype(np.int64)
+            row, c = np.divmod(np.unique((r * k + c)[~seen[r, c]]), k)
+            seen[row, c] = True
+            d = self.distance(rows, row, c)
+        row, c, d = (np.concatenate(x) for x in zip(*found))
+        best = np.full(n, np.inf, np.float32)
+        np.minimum.at(best, row, d)  # a nearer one than the beam's may have turned up on the way
+        keep = d <= np.maximum(best * np.float32(ratio), dist[:, at_least - 1])[row]
+        return row[keep], c[keep]
 
     def closure(self, rows: np.ndarray, ratio: float, most: int, width: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """(row, centroid) of the lists that hold each row: the nearest one, and for rows near a boundary others within

@@ -309,6 +309,7 @@ def search(index: Index, queries: DataFrame, vec_id: str = "vec_id", vector: str
     distinct = index.reps.join(asked.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi")
     ratio = fit_ratio(index, distinct) if ratio is None else ratio
     unit, keep = index.unit, p.k + 1
+    exact = np.float32 if index.reps.schema["v"].dataType.simpleString() == "array<float>" else np.float64
     near = _Lists(index.graph, index.sizes, p)
 
     def probe(batches):
@@ -316,7 +317,7 @@ def search(index: Index, queries: DataFrame, vec_id: str = "vec_id", vector: str
             for at in range(0, batch.num_rows, SLICE // 4):
                 part = batch.slice(at, SLICE // 4)
                 row, home = near.lists(_rows(part, dims, unit), ratio)
-                yield pa.RecordBatch.from_arrays([pa.array(home), part.column("rep").take(pa.array(row)), packed(matrix(part.column("v"), dims)).take(pa.array(row))], names=["list", "q", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(home), part.column("rep").take(pa.array(row)), packed(matrix(part.column("v"), dims).astype(exact)).take(pa.array(row))], names=["list", "q", "v"])
 
     def pack(batches):
         held, at = [], None
@@ -334,16 +335,13 @@ def search(index: Index, queries: DataFrame, vec_id: str = "vec_id", vector: str
         if held:
             yield out()
 
-    exact = np.float32 if index.reps.schema["v"].dataType.simpleString() == "array<float>" else np.float64
-
     def compare(batches):
         best = _Nearest(keep)
         for batch in batches:
             qs, points, reps, firsts, vectors = (batch.column(c) for c in ("qs", "points", "reps", "firsts", "vectors"))
             for i in range(batch.num_rows):
                 ids, rep, first = (np.frombuffer(c[i].as_buffer(), np.int64) for c in (qs, reps, firsts))
-                a = np.frombuffer(points[i].as_buffer(), np.float64).reshape(-1, dims)
-                b = np.frombuffer(vectors[i].as_buffer(), exact).reshape(-1, dims).astype(np.float64)
+                a, b = (np.frombuffer(c[i].as_buffer(), exact).reshape(-1, dims).astype(np.float64) for c in (points, vectors))
                 q, v, score = _nearest_in(a, b, keep)
                 best.add(ids[q], score, first[v], rep[v])
                 if best.held > best.room // 2:  # many queries: what is settled here goes out
