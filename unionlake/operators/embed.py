@@ -10,11 +10,13 @@ shuffle carries at most (dim + 1) rows per column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unionlake.functions import text as tx
 from unionlake.functions.vectors import project_vectors
+from unionlake.operators import records as rec
+from unionlake.session import materialize
 
 TABLE, COLUMN = "table_name", "column_name"
 COUNT_BUCKET = -1  # pseudo bucket carrying the number of cells of a column
@@ -72,7 +74,21 @@ def embed_columns(cells: DataFrame, dim: int = 64, vocab: DataFrame | None = Non
     ``projection`` the pooled vector goes through the MLP (C9/U10).
     Columns whose cells are all null produce no vector.
     """
-    tokens = column_token_counts(cells)
+    return embed_token_counts(column_token_counts(cells), dim, vocab, projection)
+
+
+def embed_records(records: DataFrame, dim: int = 64, policy: str = "any", vocab: DataFrame | None = None,
+                  projection: dict | None = None) -> DataFrame:
+    """U3 from raw records: cleaning, column filters and embedding on one read
+    of the lake.  The token counts are written; what the rules drop is decided
+    on them."""
+    counts = materialize(rec.token_counts(records, tx.cell_token), "token-counts")
+    return embed_token_counts(rec.indexable_counts(counts, policy), dim, vocab, projection)
+
+
+def embed_token_counts(tokens: DataFrame, dim: int = 64, vocab: DataFrame | None = None,
+                       projection: dict | None = None) -> DataFrame:
+    """Vectors from (table, column, token, n)."""
     counts = tokens.select(TABLE, COLUMN, F.lit(COUNT_BUCKET).alias("bucket"), F.col("n").cast("double").alias("w"))
     if vocab is None:
         feats = _hashed_feature_rows(tokens, dim)
@@ -110,18 +126,6 @@ def token_vectors(tokens: DataFrame, dim: int = 64, vocab: DataFrame | None = No
         "token", F.coalesce("wvec", "hvec").alias("vec"), F.col("wvec").isNotNull().alias("in_vocab"))
 
 
-def sample_column_cells(cells: DataFrame, n: int, seed: int = 12345) -> DataFrame:
-    """At most ``n`` values per column (n <= 0 keeps all), chosen by the
-    hash order of (seed, table, column, row).  ``row_number <= n`` is planned
-    as WindowGroupLimit, which cuts each map partition to n rows per column
-    before the shuffle."""
-    if n <= 0:
-        return cells
-    u = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(TABLE), F.col(COLUMN), F.col("row_id").cast("string")))
-    w = Window.partitionBy(TABLE, COLUMN).orderBy(u, F.col("row_id"))
-    return cells.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-
-
 # ---------------------------------------------------------------------------
 def sql_embed_columns(cells_view: str, dim: int = 64) -> str:
     """DuckDB twin of ``embed_columns`` (hashed encoder, no projection)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unionlake.operators import clean, embed
+from unionlake.operators import embed, records
 from unionlake.sources import fixtures as fx
 from unionlake.operators import clean as C
 from unionlake.session import materialize as materialize_df
@@ -19,17 +19,25 @@ def raw_cells(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFram
     return fx.fragment_cells(spark, sf_dir, dirty=dirty)
 
 
+def clean_records(spark: SparkSession, sf_dir: str, dirty: bool = False, policy: str = "any") -> DataFrame:
+    return records.clean(fx.fragment_records(spark, sf_dir, dirty), policy)
+
+
+def clean_cells(spark: SparkSession, sf_dir: str, dirty: bool = False, policy: str = "any") -> DataFrame:
+    return records.cells(clean_records(spark, sf_dir, dirty, policy))
+
+
 def indexable(spark: SparkSession, sf_dir: str, dirty: bool = False, policy: str = "any") -> DataFrame:
-    cells = clean.clean_lake(raw_cells(spark, sf_dir, dirty), policy)
-    return clean.indexable_cells(cells)
+    return records.cells(records.indexable(clean_records(spark, sf_dir, dirty, policy)))
 
 
 def lake_vectors(spark: SparkSession, sf_dir: str, dim: int = DIM, dirty: bool = False,
                  materialize: bool = True) -> DataFrame:
     """Column vectors of the lake: the index input, read by both sides of the
-    search.  Materialised once (a Parquet table in the shared checkpoint folder) so
-    the plans that use it do not re-embed the lake per reference."""
-    vecs = embed.embed_columns(indexable(spark, sf_dir, dirty), dim)
+    search.  The lake is read once; the vectors are written (a Parquet table
+    in the shared checkpoint folder) so the plans that use them do not
+    re-embed the lake per reference."""
+    vecs = embed.embed_records(fx.fragment_records(spark, sf_dir, dirty), dim)
     return materialize_df(vecs, "lake-vectors") if materialize else vecs
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlake.operators import clean
+from unionlake.operators import clean, records
 from unionlake.plans import lake as L
 from unionlake.plans.registry import register
 from unionlake.sources import fixtures as fx
@@ -21,19 +21,19 @@ def _dirty(spark, sf_dir):
 
 @register("drop_empty_columns", f"WITH {DIRTY} SELECT {CELL_COLS} FROM ({L.sql_drop_empty_columns('raw_cells')})")
 def drop_empty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.drop_empty_columns(_dirty(spark, sf_dir))
+    return records.cells(records.drop_empty_columns(fx.fragment_records(spark, sf_dir, dirty=True)))
 
 
 @register("drop_rows_any_null", f"""WITH {DIRTY}, c1 AS ({L.sql_drop_empty_columns('raw_cells')})
 SELECT {CELL_COLS} FROM ({L.sql_drop_rows('c1', 'any')})""")
 def drop_rows_any_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.clean_lake(_dirty(spark, sf_dir), "any")
+    return L.clean_cells(spark, sf_dir, dirty=True)
 
 
 @register("drop_rows_all_null", f"""WITH {DIRTY}, c1 AS ({L.sql_drop_empty_columns('raw_cells')})
 SELECT {CELL_COLS} FROM ({L.sql_drop_rows('c1', 'all')})""")
 def drop_rows_all_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.clean_lake(_dirty(spark, sf_dir), "all")
+    return L.clean_cells(spark, sf_dir, dirty=True, policy="all")
 
 
 @register("drop_empty_tables", f"""WITH {DIRTY}, c1 AS ({L.sql_drop_empty_columns('raw_cells')}),
@@ -43,7 +43,7 @@ SELECT table_name, CAST(count(DISTINCT column_name) AS BIGINT) AS n_columns,
        count(DISTINCT column_name) < 1 AS few_columns, count(DISTINCT row_id) < 3 AS few_rows
 FROM c2 GROUP BY table_name""")
 def drop_empty_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.table_flags(clean.clean_lake(_dirty(spark, sf_dir), "any"))
+    return clean.table_flags(L.clean_cells(spark, sf_dir, dirty=True))
 
 
 @register("exclude_numeric_columns", f"""WITH {DIRTY}
@@ -86,8 +86,8 @@ SELECT (SELECT count(DISTINCT table_name) FROM raw_cells) AS n_tables,
        (SELECT count(DISTINCT table_name) FROM raw_cells) - (SELECT count(DISTINCT table_name) FROM c2) AS n_skipped""")
 def lake_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _dirty(spark, sf_dir)
-    c2 = clean.clean_lake(raw, "any")
-    idx = clean.indexable_cells(c2).select("table_name")
+    c2 = L.clean_cells(spark, sf_dir, dirty=True)
+    idx = L.indexable(spark, sf_dir, dirty=True).select("table_name")
     return clean.lake_stats(raw, c2, idx)
 
 

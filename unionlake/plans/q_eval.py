@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlake.operators import clean, evaluate as EV, lsh, search as S
+from unionlake.operators import evaluate as EV, lsh, search as S
 from unionlake.plans import lake as L
 from unionlake.plans.registry import register
 from unionlake.sources import fixtures as fx
@@ -18,7 +18,7 @@ QUERIES = "queries AS (SELECT DISTINCT table_name AS query_table FROM clean_cell
 
 
 def _setup(spark, sf_dir, k=None, method="exact", query_filter=None):
-    cells = clean.clean_lake(L.raw_cells(spark, sf_dir), "any")
+    cells = L.clean_cells(spark, sf_dir)
     vecs = L.lake_vectors(spark, sf_dir)
     qv = vecs if query_filter is None else vecs.join(query_filter, ["table_name", "column_name"], "left_semi")
     res = S.search(qv, vecs, k=k, threshold=L.THRESHOLD, method=method)
@@ -114,7 +114,7 @@ _REL_HITS = f"""hits AS (
 @register("related_column_metrics", f"""WITH {LAKE}, {TRUTH}, {QUERIES}, {_REL_HITS}, {_sql_ranked()}, {_SQL_FLAGGED},
 {_sql_macro([L.K])}""")
 def related_column_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = clean.clean_lake(L.raw_cells(spark, sf_dir), "any")
+    cells = L.clean_cells(spark, sf_dir)
     rel = related_columns(cells).select(F.col("query_table").alias("table_name"), "column_name")
     res, truth, queries = _setup(spark, sf_dir, k=L.K, query_filter=rel)
     return EV.evaluate(res, truth, [L.K], queries)

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlake.operators import clean, evaluate as EV, lsh, search as S, walks as W
+from unionlake.operators import evaluate as EV, lsh, search as S, walks as W
 from unionlake.plans import lake as L
 from unionlake.plans import q_search as QS
 from unionlake.plans import q_walks as QW
@@ -30,8 +30,18 @@ def _csv_lake(spark, sf_dir, dirty=True):
     return root
 
 
-def _counts(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+def _rows(recs: DataFrame) -> DataFrame:
+    """Whole rows with their column places and names, and how often each comes in its table."""
+    cell = lambda c: F.concat(c["col_pos"].cast("string"), F.lit(":"), c["column_name"], F.lit("="), F.coalesce(c["value"], F.lit("<null>")))
+    row = recs.select("table_name", "row_id", F.array_join(F.transform("cells", cell), "|").alias("row"))
+    return row.groupBy("table_name", "row").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("n_ids"))
+
+
+def _sql_rows(cells: str, where: str = "") -> str:
+    """``_rows`` of a cells view: every row has an id of its own."""
+    return f"""SELECT table_name, "row", count(*) AS n, count(*) AS n_ids FROM (
+  SELECT table_name, row_id, string_agg(col_pos || ':' || column_name || '=' || coalesce(value, '<null>'), '|' ORDER BY col_pos) AS "row"
+  FROM {cells} {where} GROUP BY table_name, row_id) GROUP BY ALL"""
 
 
 # single-column rows that are all null render as blank lines: a blank line is no row
@@ -45,30 +55,40 @@ def lake_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LK.lake_catalog(spark, _csv_lake(spark, sf_dir)).select("table_name").distinct()
 
 
-@register("lake_scan_csv", f"""WITH {_SQL_CSV_CELLS}
-SELECT table_name, column_name, value, count(*) AS n FROM csv_cells GROUP BY ALL""")
+@register("lake_scan_csv", f"WITH {_SQL_CSV_CELLS} {_sql_rows('csv_cells')}")
 def lake_scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(LK.lake_scan_csv(spark, _csv_lake(spark, sf_dir)))
+    return _rows(LK.csv_records(spark, _csv_lake(spark, sf_dir)))
 
 
-@register("lake_scan_parquet", f"""WITH raw_cells AS ({L.sql_cells()})
-SELECT table_name, column_name, value, count(*) AS n FROM raw_cells GROUP BY ALL""")
-def lake_scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _parquet_lake(spark, sf_dir):
     root = _path(spark, "parquet-lake")
     for seed, _, _, _ in fx.FRAGMENT_SEEDS:  # one write per fixture seed table
         FF.write_parquet_lake(fx.fragment_wide(spark, sf_dir, seed).drop("row_id"), f"{root}/{seed}")
-    return _counts(LK.lake_scan_parquet(spark, root))
+    return root
+
+
+@register("lake_scan_parquet", f"WITH raw_cells AS ({L.sql_cells()}) {_sql_rows('raw_cells')}")
+def lake_scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(LK.parquet_records(spark, _parquet_lake(spark, sf_dir)))
 
 
-@register("roster_scan", f"""WITH {_SQL_CSV_CELLS}
-SELECT table_name, column_name, value, count(*) AS n FROM csv_cells WHERE table_name LIKE '%\\_\\_0' ESCAPE '\\'
-GROUP BY ALL""")
+def _roster(spark, root, glob, suffix):
+    names = LK.lake_files(spark, root, glob).select("table_name").distinct().where(F.col("table_name").endswith("__0"))
+    roster = _path(spark, "roster")
+    FF.write_text_lines(names.select(F.concat("table_name", F.lit(suffix)).alias("f")), "f", roster)
+    return roster
+
+
+@register("roster_scan", f"WITH {_SQL_CSV_CELLS} {_sql_rows('csv_cells', "WHERE table_name LIKE '%\\_\\_0' ESCAPE '\\'")}")
 def roster_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _csv_lake(spark, sf_dir)
-    roster = _path(spark, "roster")
-    cat = LK.lake_catalog(spark, root).where(F.col("table_name").endswith("__0"))
-    FF.write_text_lines(cat.select(F.concat("table_name", F.lit(".csv")).alias("f")), "f", roster)
-    return _counts(LK.roster_scan(spark, root, roster))
+    return _rows(LK.roster_records(spark, root, _roster(spark, root, LK.CSV_GLOB, ".csv")))
+
+
+@register("roster_scan_parquet", f"WITH raw_cells AS ({L.sql_cells()}) {_sql_rows('raw_cells', "WHERE table_name LIKE '%\\_\\_0' ESCAPE '\\'")}")
+def roster_scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _parquet_lake(spark, sf_dir)
+    return _rows(LK.roster_records(spark, root, _roster(spark, root, "*.parquet", ".parquet")))
 
 
 @register("query_list", f"""WITH {DIRTY}, t AS (SELECT DISTINCT table_name FROM raw_cells)
@@ -191,7 +211,7 @@ SELECT r.query_table, r.rank, r.cand_table, r.score,
 def search_result_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = L.lake_vectors(spark, sf_dir)
     res = S.search(v, v, k=L.K, threshold=L.THRESHOLD, method="exact").drop("n_matched")
-    truth = fx.fragment_truth(clean.clean_lake(L.raw_cells(spark, sf_dir), "any"))
+    truth = fx.fragment_truth(L.clean_cells(spark, sf_dir))
     p = _path(spark, "results")
     sinks.search_result_sink(res, truth, p)
     return spark.read.parquet(p).select("query_table", "rank", "cand_table", "score", "in_ground_truth")

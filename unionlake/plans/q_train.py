@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unionlake.functions import vectors as V
-from unionlake.operators import clean, contrastive as CT, embed, lsh, sampling
+from unionlake.operators import contrastive as CT, embed, lsh, sampling
 from unionlake.plans import lake as L
 from unionlake.plans.q_text import sql_project
 from unionlake.plans.registry import register
@@ -22,7 +22,7 @@ CELL_COLS = "table_name, column_name, col_pos, row_id, value"
 
 
 def _text_cells(spark, sf_dir):
-    return clean.indexable_cells(clean.clean_lake(L.raw_cells(spark, sf_dir), "any"))
+    return L.indexable(spark, sf_dir)
 
 
 @register("sample_rows", f"WITH {CLEAN} SELECT {CELL_COLS} FROM ({sampling.sql_sample_rows('text_cells', 5, 1)})")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from unionlake.operators import records
+
 # Fixed fixture definition: (seed table, key, row id expression, lake columns, fragments).
 FRAGMENT_SEEDS = [
     ("customer", "c_custkey", ["c_name", "c_mktsegment", "c_acctbal"], 5),
@@ -54,31 +56,33 @@ def _as_string(df: DataFrame, c: str):
     return F.col(c).cast("string")
 
 
-def _seed_cells(spark: SparkSession, sf_dir: str, seed: str, key: str, cols: list[str], n: int) -> DataFrame:
+def _seed_records(spark: SparkSession, sf_dir: str, seed: str, key: str, cols: list[str], n: int) -> DataFrame:
     df = read_table(spark, sf_dir, seed)
     row_id = F.expr(ROW_ID_SQL[seed]) if seed in ROW_ID_SQL else F.col(key)
-    packed = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(i).cast("int").alias("col_pos"), _as_string(df, c).alias("value"))
-        for i, c in enumerate(cols)])
-    return (df.select(
-                F.concat(F.lit(seed + "__"), F.pmod(F.col(key), F.lit(n)).cast("string")).alias("table_name"),
-                row_id.cast("long").alias("row_id"),
-                F.inline(packed))
-            .select("table_name", "column_name", "col_pos", "row_id", "value"))
+    return df.select(
+        F.concat(F.lit(seed + "__"), F.pmod(F.col(key), F.lit(n)).cast("string")).alias("table_name"),
+        row_id.cast("long").alias("row_id"), records.pack(cols, [_as_string(df, c) for c in cols]).alias("cells"))
 
 
-def fragment_cells(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
-    """Long-form ``cells`` of the fragment lake (one scan per seed table, unioned)."""
+def fragment_records(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
+    """The fragment lake in record form (one scan per seed table, unioned)."""
     out = None
     for seed, key, cols, n in FRAGMENT_SEEDS:
-        part = _seed_cells(spark, sf_dir, seed, key, cols, n)
+        part = _seed_records(spark, sf_dir, seed, key, cols, n)
         out = part if out is None else out.unionByName(part)
     if dirty:
-        out = out.withColumn("value", dirty_value(F.col("table_name"), F.col("column_name"), F.col("row_id"),
-                                                  F.col("value")))
+        def dirtied(c):
+            value = dirty_value(F.col("table_name"), c["column_name"], F.col("row_id"), c["value"])
+            return F.struct(c["column_name"], c["col_pos"], value.alias("value"))
+        out = out.withColumn("cells", F.transform("cells", dirtied))
     return out
 
 
+def fragment_cells(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
+    """Long-form ``cells`` of the fragment lake."""
+    return records.cells(fragment_records(spark, sf_dir, dirty))
+
+
 def dirty_value(t, c, r, v):
     nulled = ((c.isin(DIRTY_COLUMNS) & (F.pmod(r, F.lit(DIRTY_MOD)) == 0))
               | ((t == ALL_NULL_COLUMN[0]) & (c == ALL_NULL_COLUMN[1]))

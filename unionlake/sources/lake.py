@@ -2,19 +2,24 @@
 long-form ``cells``, rosters, query lists, truth and related-column files.
 
 The CSV lake is read by Spark's multi-line CSV reader with a schema of one
-column, which hands every wider record over as its raw text; the first record
-of a file is its header, and ``from_csv`` cuts the records with as many columns
-as the widest header has.  A file is streamed by one task, as a record may
-span lines; no file is ever held whole.
+column, which hands every wider record over as its raw text.  A first pass
+takes the header of each file; files are then read in classes of header width
+(a power of two), and ``from_csv`` cuts the records of a class with as many
+columns as that.  A file is streamed by one task, as a record may span lines;
+no file is ever held whole, and nothing but the headers is written.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from unionlake.operators import records
 from unionlake.session import materialize
+from unionlake.sources.names import glob_escaped, table_name_from_path, url_path
+from unionlake.sources.parquet_lake import RECORDS, lake_files, lake_scan_parquet, parquet_records  # noqa: F401
 
 CSV_GLOB = "*.[cC][sS][vV]"
 # Strings read as null (the usual NA words of CSV readers).
@@ -22,20 +27,6 @@ NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def _percent_decoded(name: Column) -> Column:
-    """%xx decoded; a plus sign is itself."""
-    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
-
-
-def table_name_from_path(path: Column, encoded: bool = False) -> Column:
-    """``.../table_name=<t>/part-*.csv`` -> t; ``.../<t>.csv`` -> t.  Partition
-    folders are escaped by their writer; other names only in the URI that
-    ``_metadata.file_path`` holds (``encoded``)."""
-    part = F.regexp_extract(path, r"table_name=([^/]+)/[^/]*$", 1)
-    stem = F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
-    return F.when(part != "", _percent_decoded(part)).otherwise(_percent_decoded(stem) if encoded else stem)
-
-
 def lake_catalog(spark: SparkSession, root: str, glob: str = CSV_GLOB) -> DataFrame:
     """A2: (table_name, path, bytes) of every lake file; file contents are
     not read (the binary content column is pruned)."""
@@ -49,11 +40,12 @@ def _na(v: Column) -> Column:
     return F.when(v.isin(NA_VALUES), F.lit(None).cast("string")).otherwise(v)
 
 
-def _records(spark: SparkSession, paths, encoding: str, glob: str) -> DataFrame:
+def _csv_records(spark: SparkSession, paths, encoding: str, glob: str, header: bool) -> DataFrame:
     """(path, record_id, record): the raw text of every record; blank lines are
-    none.  A record wider than the one-column schema counts as corrupt, and the
-    reader keeps its text; a one-field record is quoted again."""
-    read = (spark.read.option("multiLine", "true").option("header", "false").option("escape", '"')
+    none, and with ``header`` the first record of each file is left out.  A
+    record wider than the one-column schema counts as corrupt, and the reader
+    keeps its text; a one-field record is quoted again."""
+    read = (spark.read.option("multiLine", "true").option("header", header).option("escape", '"')
             .option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_wide")
             .option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
             .schema("field STRING, _wide STRING").csv(paths))
@@ -101,73 +93,61 @@ def _unique_names(header: Column) -> Column:
     return F.transform(F.array(F.transform(F.array(named), numbered)[0]), placed)[0]
 
 
-def lake_scan_csv(spark: SparkSession, root: str | None = None, paths: list[str] | None = None,
-                  encoding: str = "UTF-8", glob: str = CSV_GLOB, tables: DataFrame | None = None) -> DataFrame:
-    """A1: every CSV of the lake -> cells(table_name, column_name, col_pos,
-    row_id, value).  K1: a row with more fields than its header is skipped, a
-    shorter one is padded with nulls; NA words read as null.  Quoted cells may
-    span lines.  ``tables`` (table_name) keeps the files of those tables."""
-    records = _records(spark, paths if paths is not None else root, encoding, glob)
+def csv_records(spark: SparkSession, root: str | None = None, paths: list[str] | None = None,
+                encoding: str = "UTF-8", glob: str = CSV_GLOB, tables: DataFrame | None = None) -> DataFrame:
+    """A1: every CSV of the lake in record form.  K1: a row with more fields
+    than its header is skipped, a shorter one is padded with nulls; NA words
+    read as null.  Quoted cells may span lines.  ``tables`` (table_name) keeps
+    the files of those tables; other files are not read.  Row ids are unique,
+    and as stable as the split of the files into tasks."""
     if tables is not None:
-        names = tables.select(F.col("table_name").alias("_table")).distinct()
-        records = records.join(names, table_name_from_path(F.col("path"), encoded=True) == F.col("_table"), "left_semi")
-    records = materialize(records, "lake-records")  # parsed once: record ids differ if executors come or go between two scans
-    first = materialize(records.groupBy("path").agg(F.min(F.struct("record_id", "record")).alias("h"))
-                        .select("path", F.col("h.record_id").alias("header_id"), F.col("h.record").alias("record")),
-                        "lake-headers")
-    # one number: no header has more fields than one and its commas
-    width = first.agg(F.max(F.length("record") - F.length(F.replace("record", F.lit(","), F.lit(""))) + 1)).first()[0] or 1
-    headers = first.select("path", "header_id", _fields(F.col("record"), width).alias("header"))
-    headers = headers.select("path", "header_id", _unique_names(F.col("header")).alias("header"))
-    data = records.join(headers, "path").where(F.col("record_id") != F.col("header_id"))
-    data = data.withColumn("fields", _fields(F.col("record"), width))
-    data = data.where(F.size("fields") <= F.size("header"))
-    cells = data.select(table_name_from_path(F.col("path"), encoded=True).alias("table_name"),
-                        F.col("record_id").alias("row_id"), F.posexplode("header").alias("col_pos", "column_name"), "fields")
-    return cells.select("table_name", "column_name", F.col("col_pos").cast("int").alias("col_pos"), "row_id",
-                        _na(F.get("fields", F.col("col_pos"))).alias("value"))
-
-
-def lake_scan_parquet(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
-    """A3: heterogeneous Parquet tables -> cells.  Schemas differ per file,
-    so each file is decoded by Arrow inside its task (``mapInPandas``) and
-    emitted in long form; one task per file group, no schema merge."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(root).select("path", "content"))
-    files = files.select(table_name_from_path(F.col("path")).alias("table_name"), "path", "content")
-    schema = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("column_name", T.StringType()),
-                           T.StructField("col_pos", T.IntegerType()), T.StructField("row_id", T.LongType()),
-                           T.StructField("value", T.StringType())])
-
-    def parse(batches):
-        import io
-        import zlib
-
-        import numpy as np
-        import pandas as pd
-        import pyarrow as pa
-        import pyarrow.compute as pc
-        import pyarrow.parquet as pq
-        for b in batches:
-            for t, p, content in zip(b["table_name"], b["path"], b["content"]):
-                tab = pq.read_table(io.BytesIO(content))
-                base = (zlib.crc32(p.encode()) & 0x7FFFFFFF) << 32
-                rid = base + np.arange(tab.num_rows, dtype=np.int64)
-                for pos, name in enumerate(tab.column_names):
-                    col = tab.column(name)
-                    if not pa.types.is_string(col.type):
-                        col = pc.cast(col, pa.string())  # vectorised text form, nulls stay null
-                    yield pd.DataFrame({"table_name": t, "column_name": name, "col_pos": pos, "row_id": rid,
-                                        "value": col.to_pandas()})
-
-    return files.mapInPandas(parse, schema)
+        files = lake_files(spark, root, glob).join(tables.select("table_name").distinct(), "table_name", "left_semi")
+        paths = [glob_escaped(r["path"]) for r in files.select("path").collect()]
+        if not paths:
+            return spark.createDataFrame([], RECORDS)
+    source = paths if paths is not None else root
+    first = _csv_records(spark, source, encoding, glob, header=False).groupBy("path").agg(F.min(F.struct("record_id", "record")).alias("h"))
+    commas = F.length("record") - F.length(F.replace("record", F.lit(","), F.lit("")))
+    # no header has more fields than one and its commas
+    first = materialize(first.select("path", F.col("h.record").alias("record")).withColumn("width_class", F.ceil(F.log2(commas + F.lit(1.0))).cast("int")), "lake-headers")
+    out = None
+    for c, files in sorted((r["width_class"], r["files"]) for r in first.groupBy("width_class").agg(F.collect_list("path").alias("files")).collect()):
+        width = 1 << c
+        headers = first.where(F.col("width_class") == c).select("path", _fields(F.col("record"), width).alias("header"))
+        headers = headers.select("path", _unique_names(F.col("header")).alias("header"))
+        data = _csv_records(spark, [glob_escaped(url_path(f)) for f in files], encoding, glob, header=True)
+        data = data.join(headers, "path").withColumn("fields", _fields(F.col("record"), width)).where(F.size("fields") <= F.size("header"))
+        packed = F.transform("header", lambda name, i: F.struct(name.alias("column_name"), i.alias("col_pos"), _na(F.get("fields", i)).alias("value")))
+        part = data.select(table_name_from_path(F.col("path"), encoded=True).alias("table_name"),
+                           (F.shiftleft("record_id", 5) + F.lit(c)).alias("row_id"), packed.alias("cells"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], RECORDS)
+
+
+def lake_scan_csv(spark: SparkSession, root: str | None = None, paths: list[str] | None = None, encoding: str = "UTF-8",
+                  glob: str = CSV_GLOB, tables: DataFrame | None = None) -> DataFrame:
+    """A1: ``csv_records`` as cells(table_name, column_name, col_pos, row_id, value)."""
+    return records.cells(csv_records(spark, root, paths, encoding, glob, tables))
+
+
+def roster_records(spark: SparkSession, root: str, roster_path: str, **kw) -> DataFrame:
+    """A4: the tables named in a roster (one file name per line), in record
+    form: ``.parquet`` names are read as Parquet, all others as CSV."""
+    names = spark.read.text(roster_path).select(F.rtrim("value").alias("file_name")).where(F.col("file_name") != "")
+    is_parquet = F.lower("file_name").endswith(".parquet")
+    tables = names.select(is_parquet.alias("parquet"), F.regexp_replace("file_name", r"(?i)\.(csv|parquet)$", "").alias("table_name"))
+    tables = materialize(tables.distinct(), "roster")
+    out = []
+    if not tables.where("not parquet").isEmpty():
+        out.append(csv_records(spark, root, tables=tables.where("not parquet"), **kw))
+    if not tables.where("parquet").isEmpty():
+        out.append(parquet_records(spark, root, tables=tables.where("parquet")))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], RECORDS)
 
 
 def roster_scan(spark: SparkSession, root: str, roster_path: str, **kw) -> DataFrame:
-    """A4: read only the tables named in a roster (one file name per line)."""
-    roster = spark.read.text(roster_path).select(F.rtrim("value").alias("file_name")).where(F.col("file_name") != "")
-    tables = roster.select(F.regexp_replace("file_name", r"(?i)\.csv$", "").alias("table_name"))
-    return lake_scan_csv(spark, root, tables=tables, **kw)
+    """A4: ``roster_records`` as cells."""
+    return records.cells(roster_records(spark, root, roster_path, **kw))
 
 
 def query_list_lines(spark: SparkSession, path: str) -> DataFrame:
