@@ -294,7 +294,7 @@ def low(t):
     return ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words(t)]
 
 
-@pytest.mark.parametrize("shards", [4_000_000, 3000])
+@pytest.mark.parametrize("shards", [4_000_000, 3000, 30])
 def test_model_against_brute_force(spark, make_docs, shards):
     rows = ODD + [(d + 100, t) for d, t in duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' limit 60").fetchall()]
     docs = make_docs(rows).select("doc_id", "text", ngram_lm.held_out("doc_id").alias("held_out"))

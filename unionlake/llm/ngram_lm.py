@@ -23,7 +23,8 @@ from unionlake.session import materialize
 
 #: The end of a text as a word: a hash of its own.
 END = np.int64(-0x7E57E57E57E57E57)
-DENSE = 1 << 20
+#: Word numbers in a range of the dense statistics, and partial sums of a range that one task adds up.
+DENSE, FAN_IN = 1 << 17, 32
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,8 +145,8 @@ def _unkey(x: np.ndarray) -> np.ndarray:
     return unshift(x, 30)
 
 
-_BLOB = "kind string, shard long, path string, keys binary, a binary, b binary, c binary, d binary"
-_BLOB_SCHEMA = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("path", pa.string()), *((c, pa.binary()) for c in ("keys", "a", "b", "c", "d"))])
+_BLOB = "kind string, shard long, source long, path string, keys binary, a binary, b binary, c binary, d binary"
+_BLOB_SCHEMA = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("source", pa.int64()), ("path", pa.string()), *((c, pa.binary()) for c in ("keys", "a", "b", "c", "d"))])
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -161,23 +162,23 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 def _planes(x: np.ndarray) -> bytes:
     """Small counts, byte planes apart, without differences."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def _unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
 
 
-def _row(kind, shard, path=None, keys=None, a=None, b=None, c=None, d=None) -> dict:
-    return {"kind": kind, "shard": int(shard), "path": path, "keys": keys, "a": a, "b": b, "c": c, "d": d}
+def _row(kind, shard, path=None, keys=None, a=None, b=None, c=None, d=None, source=0) -> dict:
+    return {"kind": kind, "shard": int(shard), "source": int(source), "path": path, "keys": keys, "a": a, "b": b, "c": c, "d": d}
 
 
-def _by_word(kind: str, ids: np.ndarray, *values: np.ndarray) -> Iterator[dict]:
-    """Statistics of words (sorted by number) as one row for each dense range of numbers."""
+def _by_word(kind: str, source: int, ids: np.ndarray, *values: np.ndarray) -> Iterator[dict]:
+    """Statistics of words (sorted by number) as one row for each dense range of numbers; ``source`` numbers who found them."""
     block = ids // DENSE
     for k in np.unique(block):
         m = slice(*np.searchsorted(block, [k, k + 1]))
-        yield _row(kind, k, None, _pack(ids[m]), *(_planes(v[m]) for v in values))
+        yield _row(kind, k, None, _pack(ids[m]), *(_planes(v[m]) for v in values), source=source)
 
 
 def _write_pairs(train: DataFrame, words: Words, folder: str, shards: int, most: int) -> DataFrame:
@@ -201,7 +202,7 @@ def _write_pairs(train: DataFrame, words: Words, folder: str, shards: int, most:
         keys, n = _summed([(_unpack(k.as_py()), _unplanes(a.as_py())) for k, a in zip(table.column("keys"), table.column("a"))])
         path = f"{folder}/pairs-{shard:08d}"
         with Atomic(path) as file:
-            file.write(keys.astype("<u8").tobytes() + n.astype("<u4").tobytes())
+            file.write(keys.astype("<u8").tobytes() + n.astype("<u8").tobytes())
         pair = _unkey(keys)
         context, word = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rows = [_row("file", shard, path, np.array([len(keys), *(int((n == k).sum()) for k in (1, 2, 3, 4))], "<i8").tobytes())]
@@ -209,30 +210,51 @@ def _write_pairs(train: DataFrame, words: Words, folder: str, shards: int, most:
         ids, at = np.unique(context[order], return_index=True)
         m = n[order]
         sums = [np.add.reduceat(v, at) for v in (m, m == 1, m == 2, m > 2)] if len(ids) else [m] * 4
-        rows += _by_word("context", ids, *(s.astype(np.int64) for s in sums))
+        rows += _by_word("context", shard, ids, *(s.astype(np.int64) for s in sums))
         ids, seen = np.unique(word, return_counts=True)
-        rows += _by_word("word", ids, seen)
+        rows += _by_word("word", shard, ids, seen)
         return pa.Table.from_pylist(rows, schema=_BLOB_SCHEMA)
 
     return materialize(train.mapInArrow(count, _BLOB).groupBy("shard").applyInArrow(merge, _BLOB), "lm-pairs")
 
 
-def _write_stats(found: DataFrame, folder: str) -> DataFrame:
-    """Dense statistics by word number, one file for each range of numbers: five u4 rows."""
-    def merge(table: pa.Table) -> pa.Table:
-        block = table.column("shard")[0].as_py()
-        sums = np.zeros((5, DENSE), np.int64)
-        for r in table.to_pylist():
-            at = _unpack(r["keys"]).astype(np.int64) - block * DENSE
-            for k, c in enumerate("abcd" if r["kind"] == "context" else "a"):
-                sums[4 if r["kind"] == "word" else k][at] += _unplanes(r[c])
+def _range_sums(table: pa.Table) -> np.ndarray:
+    """The statistics of one range of numbers, summed over the rows of a table: contexts in rows 0 to 3, continuations in 4."""
+    sums = np.zeros((5, DENSE), np.int64)
+    start = table.column("shard")[0].as_py() * DENSE
+    for i, kind in enumerate(table.column("kind").to_pylist()):
+        at = _unpack(table.column("keys")[i].as_py()).astype(np.int64) - start
+        for k, c in enumerate("abcd" if kind == "context" else "a"):
+            sums[4 if kind == "word" else k][at] += _unplanes(table.column(c)[i].as_py())
+    return sums
+
+
+def _write_stats(found: DataFrame, folder: str, shards: int) -> DataFrame:
+    """Dense statistics by word number, one file for each range of numbers: five u8 rows.
+
+    Every pair shard has a row for each range, so the rows of a range grow with the corpus: FAN_IN of them are added up at a
+    time, in levels, until that many are left."""
+    def add(table: pa.Table) -> pa.Table:
+        block, source, sums = table.column("shard")[0].as_py(), table.column("source")[0].as_py() // FAN_IN, _range_sums(table)
+        rows, ids = [], np.flatnonzero(sums[0])
+        rows += _by_word("context", source, ids + block * DENSE, *(v[ids] for v in sums[:4]))
+        ids = np.flatnonzero(sums[4])
+        rows += _by_word("word", source, ids + block * DENSE, sums[4][ids])
+        return pa.Table.from_pylist(rows, schema=_BLOB_SCHEMA)
+
+    def write(table: pa.Table) -> pa.Table:
+        block, sums = table.column("shard")[0].as_py(), _range_sums(table)
         path = f"{folder}/stats-{block:08d}"
         with Atomic(path) as file:
-            file.write(sums.astype("<u4").tobytes())
+            file.write(sums.astype("<u8").tobytes())
         cont = sums[4]
         return pa.Table.from_pylist([_row("stats", block, path, np.array([int(cont.sum()), *(int((cont == k).sum()) for k in (1, 2, 3, 4)), int((cont > 2).sum())], "<i8").tobytes())], schema=_BLOB_SCHEMA)
 
-    return materialize(found.where("kind in ('context', 'word')").groupBy("shard").applyInArrow(merge, _BLOB), "lm-stats")
+    rows = found.where("kind in ('context', 'word')")
+    while shards > FAN_IN:
+        rows = materialize(rows.groupBy("shard", F.floor(F.col("source") / FAN_IN).alias("part")).applyInArrow(add, _BLOB), "lm-range-sums")
+        shards = -(-shards // FAN_IN)
+    return materialize(rows.groupBy("shard").applyInArrow(write, _BLOB), "lm-stats")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -264,11 +286,12 @@ class Model:
 
     def _stat(self, row: int, ids: np.ndarray) -> np.ndarray:
         if self.maps is None:
-            self.maps = [[(np.memmap(p, np.uint64, "r", shape=(n,)), np.memmap(p, np.uint32, "r", 8 * n, (n,))) if n else None for p, n in self.pairs], [np.memmap(p, np.uint32, "r", shape=(5, DENSE)) for p in self.stats]]
+            self.maps = [[(np.memmap(p, np.uint64, "r", shape=(n,)), np.memmap(p, np.int64, "r", 8 * n, (n,))) if n else None for p, n in self.pairs], [np.memmap(p, np.int64, "r", shape=(5, DENSE)) for p in self.stats]]
         out, block = np.zeros(len(ids), np.int64), ids // DENSE
-        for k, table in enumerate(self.maps[1]):
+        for k in np.unique(block):
             mine = np.flatnonzero(block == k)
-            out[mine] = table[row][ids[mine] - k * DENSE]
+            if k < len(self.maps[1]):  # the start of a text comes after the last word, and may begin a range of its own
+                out[mine] = self.maps[1][k][row][ids[mine] - k * DENSE]
         return out
 
     def _pair_counts(self, keys: np.ndarray) -> np.ndarray:
@@ -313,7 +336,7 @@ def train(texts: DataFrame, text: str = "text", pairs_per_shard: int = 2_000_000
     words = _write_words(rows, folder, most)
     shards = max(1, -(-words.total // pairs_per_shard))
     found = _write_pairs(rows, words, folder, shards, most)
-    stats = sorted(_write_stats(found, folder).collect(), key=lambda r: r.shard)  # one row for each million words
+    stats = sorted(_write_stats(found, folder, shards).collect(), key=lambda r: r.shard)  # one row for each range of numbers
     files = {r.shard: r for r in found.where("kind = 'file'").collect()}  # one row a shard
     sizes = {k: np.frombuffer(r["keys"], "<i8") for k, r in files.items()}
     totals = sum(sizes.values(), np.zeros(5, np.int64))
