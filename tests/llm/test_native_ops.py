@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import CLASH, ODD, SF
 from unionlake.llm import decontaminate, line_dedup, pii, quality, queries, url_filter
@@ -90,6 +91,16 @@ def test_lines_brute_force(spark, make_docs):
     assert line_dedup.line_report(docs.limit(0)).count() == 0
 
 
+def test_words_of_equal_half_hashes_are_different_words(spark, make_docs):
+    both = spark.range(400_000).selectExpr("concat('w', id) w").groupBy(line_dedup.low_half(F.xxhash64("w")).alias("h")).agg(F.collect_list("w").alias("w")).where("size(w) > 1").collect()
+    assert both
+    rows = [(2 * i + k, w) for i, r in enumerate(both) for k, w in enumerate(sorted(r.w)[:2])]
+    rows += [(1000 + d, f"{w} beside other words here") for d, w in rows]
+    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.removed) for r in line_dedup.line_report(make_docs(rows)).collect())
+    assert got == brute_lines(rows)
+    assert not spark.catalog.listTables()  # the written classes leave no table behind
+
+
 def test_drop_lines(spark, make_docs):
     docs = make_docs([(1, "a b\n\nc d\ne f"), (2, "c d\nnew one\n \na b"), (3, None), (4, "e f")], CLASH)
     got = line_dedup.drop_lines(docs)

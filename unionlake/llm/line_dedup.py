@@ -6,8 +6,9 @@ earlier line, by (document id, line number), has the same words or a similarity
 
 Equal word sets collapse to one class before any join.  Most of a large family of similar lines is settled against
 the earliest line that shares a rare word, in linear work; only lines that are still unsettled meet all earlier candidates.
-No bucket or partner is capped.  Words are compared as 32-bit hashes, sets as 64-bit hashes: two different
-words of a pair of 100-word lines coincide with a chance of 5e-6, which moves that pair's similarity by about 1 %.
+No bucket or partner is capped.  Sets are told apart by 64-bit hashes of 64-bit word hashes.  Filters and overlaps use the low
+32 bits of the word hashes; different sets that are equal in those differ in at least one word, and count so.  In other pairs
+two of the few words that differ coincide with a chance of about 4e-9 (4 words of each), which adds one to their overlap.
 """
 
 from __future__ import annotations
@@ -37,11 +38,16 @@ class LineParams:
     rounds: int = 2
 
 
+def low_half(h: Column) -> Column:
+    """The low 32 bits of a 64-bit hash as an int."""
+    return (F.shiftright(F.shiftleft(h, 32), 32)).cast("int")
+
+
 def word_rarity(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     """One row: the rank of each hash bucket, from the corpus count of its words on a log scale, as an array (its
     size is the parameter, not the data).  Any order keeps the join exact; a good one keeps it small."""
     tokens = docs.select(F.explode(F.split(text_of(text), SPACE_RUN)).alias("w")).where("w != ''")
-    counts = tokens.groupBy(F.hash("w").bitwiseAND(F.lit(buckets - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens.groupBy(low_half(F.xxhash64("w")).bitwiseAND(F.lit(buckets - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
     scale = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0).cast("long")) + 1) * 6), F.lit(127)).cast("tinyint")
     table = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", scale.alias("n")))), lambda x: x["n"]).alias("ranks"))
@@ -65,10 +71,12 @@ def line_sets(docs: DataFrame, rarity: DataFrame, text: str, doc_id: str, p: Lin
     lines = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "line"))
     # one long per word: its rank above, its hash below; the ranks are read once per word, never copied to the rows
     ranked = lambda h: F.shiftleft(F.get("ranks", h.bitwiseAND(mask)).cast("long"), 32).bitwiseOR(h.cast("long") + low)
-    hashes = F.transform(split_words(trimmed), lambda w: F.hash(w))
-    ordered = lines.where(trimmed != "").withColumn("ranks", rarity.scalar()).select("doc", "line_no", F.sort_array(F.array_distinct(F.transform(hashes, ranked))).alias("ordered"))
-    sets = ordered.select("doc", "line_no", F.transform("ordered", lambda k: (k.bitwiseAND(F.lit((1 << 32) - 1).cast("long")) - low).cast("int")).alias("words"))
-    return sets.select("doc", "line_no", F.xxhash64("words").alias("key"), F.size("words").alias("n"), "words", *_parity(F.col("words"), F.size("words")))
+    hashed = lines.where(trimmed != "").select("doc", "line_no", F.array_distinct(F.transform(split_words(trimmed), lambda w: F.xxhash64(w))).alias("hashes"))
+    # the same for any order of the words
+    key = F.xxhash64(F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.xxhash64(h))), F.size("hashes"))
+    ordered = hashed.withColumn("ranks", rarity.scalar()).select("doc", "line_no", key.alias("key"), F.sort_array(F.transform(F.transform("hashes", low_half), ranked)).alias("ordered"))
+    sets = ordered.select("doc", "line_no", "key", F.transform("ordered", lambda k: (k.bitwiseAND(F.lit((1 << 32) - 1).cast("long")) - low).cast("int")).alias("words"))
+    return sets.select("doc", "line_no", "key", F.size("words").alias("n"), "words", *_parity(F.col("words"), F.size("words")))
 
 
 def _close(x: str, y: str, num: int, den: int) -> Column:
@@ -86,6 +94,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     right = classes.select(F.col("key").alias("y"), ord_.alias("yo"), F.col("words").alias("yw"))
     both = pairs.join(left, "x").join(right, "y")
     common = F.size(F.array_intersect("xw", "yw"))
+    # two classes are two sets: if their halves of the hashes are all equal, one word at least is not
+    common = common - (common == F.greatest(F.size("xw"), F.size("yw"))).cast("int")
     similar = common * (num + den) >= num * (F.size("xw") + F.size("yw"))
     return both.where(similar).select(F.when(F.col("xo") < F.col("yo"), F.col("y")).otherwise(F.col("x")).alias("key")).distinct()
 
@@ -100,7 +110,9 @@ def _classes(docs: DataFrame, text: str, doc_id: str, p: LineParams) -> DataFram
     name = f"line_classes_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     classes.write.bucketBy(buckets, "key").option("path", scratch_path(spark, name)).saveAsTable(name)
-    return spark.table(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the frame has its files; the catalog keeps nothing
+    return written
 
 
 def _candidates(prefixes: DataFrame, part: int, p: LineParams) -> DataFrame:
@@ -140,8 +152,8 @@ def matched_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
 
     # an earliest line for each of the rarest words
     leads = classes.select("doc", "line_no", *me, F.explode(F.slice("words", F.lit(1), F.least(prefix, F.lit(params.lead_words)).cast("int"))).alias("word"))
-    lead = Window.partitionBy("word").orderBy("doc", "line_no")
-    led = leads.select(F.struct(*me).alias("y"), F.first(F.struct(*me)).over(lead).alias("x"))
+    first = leads.groupBy("word").agg(F.min(F.struct("doc", "line_no", *me)).alias("x"))
+    led = leads.select("word", F.struct(*me).alias("y")).join(first, "word")
     near = led.where("x.key != y.key").where(_close("x", "y", num, den)).select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
     settled = materialize(_verified(near, classes, num, den), "line-settled")
 
