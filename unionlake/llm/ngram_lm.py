@@ -97,7 +97,7 @@ class Words:
 
 def _write_words(train: DataFrame, folder: str, most: int) -> Words:
     def count(batches):
-        arrays = (_tokens(p.column("text"))[0] for b in batches for p in slices(b, "text", 2 << 20))
+        arrays = (_tokens(p.column("text"))[0] for b in batches for p in slices(b, "text", 1 << 20))
         for keys, n in _collect(arrays, most):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["h", "n"])
 
@@ -187,7 +187,7 @@ def _write_pairs(train: DataFrame, words: Words, folder: str, shards: int, most:
     def count(batches):
         def keys():
             for b in batches:
-                for p in slices(b, "text", 2 << 20):
+                for p in slices(b, "text", 1 << 20):
                     context, ids, _, _ = _pairs(p.column("text"), words)
                     yield _key(context, ids)
 
@@ -328,7 +328,7 @@ class Model:
         return np.log10(full)
 
 
-def train(texts: DataFrame, text: str = "text", pairs_per_shard: int = 2_000_000, most: int = 1_000_000) -> Model:
+def train(texts: DataFrame, text: str = "text", pairs_per_shard: int = 1_000_000, most: int = 500_000) -> Model:
     """Counts the texts and writes the model.  pairs_per_shard bounds the tokens behind a shard (and what a task sums); most: different
     keys a task holds before it passes them on.  Null text counts as empty: its end is still a token."""
     folder = shared_dir(texts.sparkSession, "ngram-model")
@@ -354,7 +354,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "__text", 2 << 20):
+            for part in slices(batch, "__text", 1 << 20):
                 column = part.column("__text")
                 context, word, counts, doc = _pairs(column, model.words)
                 base = np.log10((counts + 0.1) / (total + 0.1 * (size + 1)))
