@@ -68,9 +68,12 @@ def ship_package(spark: SparkSession) -> None:
 def prepare(spark: SparkSession) -> str:
     """Everything a job needs from its session: the package on the workers
     and the shared checkpoint folder (returned).  Shuffle files go when their
-    query is over: what a later query needs is written as a table."""
+    query is over: what a later query needs is written as a table.  Arrow
+    batches are bounded in bytes, as a batch is held on both sides of a worker's
+    pipe at a time."""
     ship_package(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return checkpoint_dir(spark)
 
 
