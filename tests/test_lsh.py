@@ -59,7 +59,8 @@ def test_recall_by_band_curve(spark):
                               "table_name STRING, column_name STRING, vec ARRAY<DOUBLE>")
     c = spark.createDataFrame([(f"q{i}", "p", partner[i].tolist()) for i in range(200)],
                               "table_name STRING, column_name STRING, vec ARRAY<DOUBLE>")
-    cand = lsh.candidate_pairs(q, c, 0.7, dim=16).where("q_table = c_table").count()
+    band = lambda df, id_: lsh.band_rows(lsh.signatures(df).withColumn("key", F.col("table_name")), 0.7, lsh.DEFAULT_BITS).withColumnRenamed("key", id_)
+    cand = band(q, "q").join(band(c, "c"), ["band_id", "band_key"]).where("q = c").select("q").distinct().count()
     p = V.collision_probability(cos_t)
     expect = 1 - (1 - p ** r) ** b
     assert abs(cand / 200 - expect) < 0.12
@@ -87,6 +88,6 @@ def test_index_of_other_parameters_is_an_error(spark, tmp_path):
                                  "table_name string, column_name string, vec array<double>")
     path = str(tmp_path / "index")
     built = lsh.load_or_build_index(vecs, path, 0.7, seed=1)
-    assert lsh.load_or_build_index(vecs, path, 0.7, seed=1).count() == built.count() == 4
+    assert lsh.load_or_build_index(vecs, path, 0.7, seed=1).signatures().count() == built.signatures().count() == 4
     with pytest.raises(ValueError):
         lsh.load_or_build_index(vecs, path, 0.7, seed=2)

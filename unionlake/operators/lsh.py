@@ -1,31 +1,31 @@
 """Similarity joins between column vectors.
 
-* ``cosine_join`` (D3): exact.  Candidates come from an angle grid over a
-  few pivots (a pair above the threshold is never more than one cell apart),
-  each candidate pair is produced once by an equi-join on the cell and then
-  verified.  Dense high-dimensional vectors prune poorly (angles to a random
-  pivot concentrate), so this stays the exact answer for bounded lakes; the
-  band join below is the scalable path.
-* ``lsh_join`` (D2): the scalable path.  Signatures (C10) are cut into bands;
-  columns sharing a band key are candidates; candidates are verified with the
-  exact cosine.  Identical vectors are collapsed to one representative before
-  the band join, so a lake full of copies (constant columns, copied tables)
-  does not turn one bucket into a quadratic hot spot; members are expanded
-  only for pairs that pass the threshold.
-* ``build_index`` / ``load_index`` (A13/U4): signatures and bands stored as
-  Parquet, bands partitioned by band id; reused when the folder is complete.
+* ``cosine_join`` (D3): exact, by an inverted index of clusters and products
+  that stop when the remaining norms can't reach the threshold (exact_join).
+* ``lsh_join`` (D2): signatures (C10) are cut into bands; columns sharing a
+  band key are candidates, which the exact cosine verifies.
+* ``build_index`` / ``append_to_index`` / ``lookup`` (A13, U4, U5): signatures
+  and band rows stored as Parquet in generations; a lookup joins the stored
+  bands, and new tables are a new generation.
+
+All of them work on distinct vectors: a lake full of copies (constant columns,
+copied tables) does not turn one bucket into a quadratic hot spot.  ``RepHits``
+holds their pairs and the columns behind them; ``columns`` expands the pairs
+for callers that want pairs of columns.
 """
 
 from __future__ import annotations
 
-import math
 import os
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unionlake.functions import vectors as V
-from unionlake.session import materialize
+from unionlake.operators import exact_join
+from unionlake.session import materialize, scratch_path
 
 TABLE, COLUMN = "table_name", "column_name"
 DEFAULT_BITS = 1024
@@ -37,202 +37,215 @@ def _nonzero(vecs: DataFrame) -> DataFrame:
     return vecs.where(V.norm("vec") > 0)
 
 
-def _pairs_with_score(q: DataFrame, c: DataFrame, pairs: DataFrame, threshold: float | None) -> DataFrame:
-    scored = (pairs.join(q.select(F.col("q_key"), F.col("vec").alias("q_vec")), "q_key")
-              .join(c.select(F.col("c_key"), F.col("vec").alias("c_vec")), "c_key")
-              .select("q_key", "c_key", V.round_score(V.cosine("q_vec", "c_vec")).alias("score")))
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= F.lit(threshold))
-    return scored
-
-
 def vector_key(vec: str):
     """128-bit content key of a vector (two independently seeded xxhash64)."""
     return F.struct(F.xxhash64(F.col(vec)).alias("h1"), F.xxhash64(F.lit(0x5EED), F.col(vec)).alias("h2"))
 
 
-def _representatives(vecs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Collapse identical vectors: (key, vec) per distinct vector and the
-    member map (key, table_name, column_name)."""
-    keyed = vecs.withColumn(key, vector_key("vec"))
-    # equal keys carry equal vectors: a distinct on both stays a hash aggregate
-    reps = keyed.select(key, "vec").distinct()
-    members = keyed.select(key, TABLE, COLUMN)
-    return reps, members
+def representatives(vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct non-zero vectors as (id, vec), numbered once and written, and
+    the columns that hold each: (id, table_name, column_name)."""
+    keyed = _nonzero(vecs).withColumn("key", vector_key("vec"))
+    # one shuffle by key; a vector that many columns share is one row per task before it
+    reps = keyed.groupBy("key").agg(F.first("vec").alias("vec")).withColumn("id", F.monotonically_increasing_id())
+    reps = materialize(reps, "representatives")
+    return reps.select("id", "vec"), keyed.select("key", TABLE, COLUMN).join(reps.select("key", "id"), "key").select("id", TABLE, COLUMN)
+
+
+def scored_pairs(q: DataFrame, c: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(q_id, c_id, score) of the pairs whose rounded exact cosine reaches the threshold."""
+    scored = (pairs.join(q.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec")), "q_id")
+              .join(c.select(F.col("id").alias("c_id"), F.col("vec").alias("c_vec")), "c_id")
+              .select("q_id", "c_id", V.round_score(V.cosine("q_vec", "c_vec")).alias("score")))
+    return scored.where(F.col("score") >= F.lit(threshold))
 
 
-def _bucket_join(q: DataFrame, c: DataFrame) -> DataFrame:
-    """Exact dot products of all pairs sharing a non-zero bucket (no
-    threshold to prune with).  -> q_key, c_key."""
-    def unit_entries(df, key):
-        return df.select(key, F.posexplode("vec").alias("bucket", "x")).where(F.col("x") != 0.0)
-    return (unit_entries(q, "q_key").join(unit_entries(c, "c_key").withColumnRenamed("x", "y"), "bucket")
-            .select("q_key", "c_key").distinct())
+def expand(scored: DataFrame, q_members: DataFrame, c_members: DataFrame) -> DataFrame:
+    """Pairs of representatives -> pairs of columns: q_table, q_column, c_table, c_column, score."""
+    q = q_members.select(F.col("id").alias("q_id"), F.col(TABLE).alias("q_table"), F.col(COLUMN).alias("q_column"))
+    c = c_members.select(F.col("id").alias("c_id"), F.col(TABLE).alias("c_table"), F.col(COLUMN).alias("c_column"))
+    return scored.join(q, "q_id").join(c, "c_id").select("q_table", "q_column", "c_table", "c_column", "score")
 
 
-def pivot_cells(vec: str, n_pivots: int, width: float, seed: int) -> Column:
-    """Bin of the angle between ``vec`` and each of ``n_pivots`` +-1 pivots
-    (md5-derived, like the hyperplanes): ARRAY<INT> of floor(angle / width)."""
-    n = V.norm(vec)
+@dataclass
+class RepHits:
+    """Scored pairs of representatives (q_id, c_id, score) and the columns behind them (id, table_name, column_name)."""
 
-    def angle_bin(j):
-        sgn = lambda i: F.when(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:pivot:{j}"), i.cast("string"))),
-                                           1, 1) >= F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
-        dotp = F.aggregate(F.transform(F.col(vec), lambda x, i: x * sgn(i)), F.lit(0.0), lambda a, x: a + x)
-        cos = F.least(F.greatest(dotp / (n * F.sqrt(F.size(vec).cast("double"))), F.lit(-1.0)), F.lit(1.0))
-        return F.floor(F.acos(cos) / F.lit(width)).cast("int")
+    pairs: DataFrame
+    q_members: DataFrame
+    c_members: DataFrame
 
-    return F.array(*[angle_bin(j) for j in range(n_pivots)])
+    def columns(self) -> DataFrame:
+        return expand(self.pairs, self.q_members, self.c_members)
 
 
-def cosine_join(queries: DataFrame, lake: DataFrame, threshold: float | None = None, n_pivots: int = 3,
-                seed: int = DEFAULT_SEED) -> DataFrame:
+def exact_rep_hits(queries: DataFrame, lake: DataFrame, threshold: float) -> RepHits:
+    """D3 on distinct vectors (see exact_join)."""
+    if threshold is None or not -1.0 < threshold <= 1.0:
+        raise ValueError(f"an exact join needs a threshold in (-1, 1], not {threshold!r}: without one it is every pair")
+    c_reps, c_mem = representatives(lake)
+    q_reps, q_mem = (c_reps, c_mem) if queries is lake else representatives(queries)
+    pairs = exact_join.candidate_pairs(q_reps, c_reps, threshold)
+    return RepHits(scored_pairs(q_reps, c_reps, pairs, threshold), q_mem, c_mem)
+
+
+def cosine_join(queries: DataFrame, lake: DataFrame, threshold: float) -> DataFrame:
     """D3: exact cosine of every (query column, lake column) pair with
-    ``score >= threshold``.
-
-    Candidates come from an angle grid: for k pivots p, a pair with
-    cos >= t has |angle(x,p) - angle(y,p)| <= acos(t) (triangle inequality on
-    angles), so with bins of width acos(t) its cells differ by at most one
-    per pivot.  The lake side sits in one cell, the query side is sent to its
-    3^k neighbouring cells, and the equi-join on the cell yields each
-    candidate pair once (no false negatives); candidates are then verified
-    with the exact cosine.  Identical vectors are collapsed first.
-    Output: q_table, q_column, c_table, c_column, score (rounded)."""
-    q_reps, q_mem = _representatives(_nonzero(queries), "q_key")
-    if queries is lake:
-        c_reps, c_mem = q_reps.withColumnRenamed("q_key", "c_key"), q_mem.withColumnRenamed("q_key", "c_key")
-    else:
-        c_reps, c_mem = _representatives(_nonzero(lake), "c_key")
-    if threshold is None or threshold <= -1.0:
-        cand = _bucket_join(q_reps, c_reps)
-    else:
-        # slightly wider bins: scores are compared after rounding
-        width = math.acos(max(-1.0, threshold - 10 ** -V.SCORE_DIGITS))
-        offsets = [[(k // 3 ** j) % 3 - 1 for j in range(n_pivots)] for k in range(3 ** n_pivots)]
-        qc = q_reps.select("q_key", pivot_cells("vec", n_pivots, width, seed).alias("home"))
-        near = F.array(*[F.array(*[F.col("home")[j] + F.lit(o[j]) for j in range(n_pivots)]) for o in offsets])
-        qn = qc.select("q_key", F.explode(near).alias("cell"))
-        cc = c_reps.select("c_key", pivot_cells("vec", n_pivots, width, seed).alias("cell"))
-        cand = qn.join(cc, "cell").select("q_key", "c_key")
-    scored = _pairs_with_score(q_reps, c_reps, cand, threshold)
-    out = (scored.join(q_mem.withColumnsRenamed({TABLE: "q_table", COLUMN: "q_column"}), "q_key")
-           .join(c_mem.withColumnsRenamed({TABLE: "c_table", COLUMN: "c_column"}), "c_key"))
-    return out.select("q_table", "q_column", "c_table", "c_column", "score")
+    ``score >= threshold`` (in (-1, 1]).  -> q_table, q_column, c_table, c_column, score (rounded)."""
+    return exact_rep_hits(queries, lake, threshold).columns()
 
 
+# --- D2 / A13 / U4: signatures, bands and the stored index ---------------------
 def signatures(vecs: DataFrame, bits: int = DEFAULT_BITS, seed: int = DEFAULT_SEED,
                dim: int | None = None) -> DataFrame:
     """(table_name, column_name, vec, bits ARRAY<BIGINT>)."""
-    if dim is None:
-        dim = len(vecs.select("vec").first()["vec"])  # one row, to size the planes
-    return vecs.withColumn("bits", V.signature_bits(F.col("vec"), bits, dim, seed))
-
-
-def bands(sigs: DataFrame, n_bands: int, rows: int, key: str = None) -> DataFrame:
-    """Explode signatures into (band_id, band_key, <id columns>)."""
-    ids = [key] if key else [TABLE, COLUMN]
-    return sigs.select(*ids, F.inline(V.band_keys(F.col("bits"), n_bands, rows)))
-
-
-def lsh_join(queries: DataFrame, lake: DataFrame, threshold: float, bits: int = DEFAULT_BITS,
-             seed: int = DEFAULT_SEED, dim: int = 64, fp_fn: tuple[float, float] = (0.5, 0.5),
-             score: str = "exact", lake_index: DataFrame | None = None) -> DataFrame:
-    """Band equi-join on signatures, verified by the exact cosine
-    (``score='exact'``) or the signature estimate (``score='signature'``).
-
-    ``lake_index`` may be a stored index (``build_index``) to skip hashing the
-    lake again.  Output like ``cosine_join``."""
-    n_bands, rows = V.lsh_params(threshold, bits, fp_fn[0], fp_fn[1])
-    if lake_index is None:
-        c_reps, c_mem = _representatives(_nonzero(lake), "c_key")
-        # the lake's signatures are the index: hashed once, read by every use
-        c_sig = materialize(c_reps.withColumn("bits", V.signature_bits(F.col("vec"), bits, dim, seed)),
-                            "signatures")
-    else:
-        c_sig = lake_index.select(F.col("rep_key").alias("c_key"), "vec", "bits").dropDuplicates(["c_key"])
-        c_mem = lake_index.select(F.col("rep_key").alias("c_key"), TABLE, COLUMN)
-    if queries is lake and lake_index is None:
-        # self search (every lake table is a query): reuse the lake's signatures
-        q_sig = c_sig.withColumnRenamed("c_key", "q_key")
-        q_mem = c_mem.withColumnRenamed("c_key", "q_key")
-    else:
-        q_reps, q_mem = _representatives(_nonzero(queries), "q_key")
-        q_sig = q_reps.withColumn("bits", V.signature_bits(F.col("vec"), bits, dim, seed))
+    return vecs.withColumn("bits", V.signature_bits(F.col("vec"), bits, dim or dimension(vecs), seed))
 
-    qb = bands(q_sig, n_bands, rows, "q_key")
-    cb = bands(c_sig, n_bands, rows, "c_key")
-    cand = qb.join(cb, ["band_id", "band_key"]).select("q_key", "c_key").distinct()
-    if score == "exact":
-        scored = _pairs_with_score(q_sig, c_sig, cand, threshold)
-    elif score == "signature":
-        scored = (cand.join(q_sig.select("q_key", F.col("bits").alias("q_bits")), "q_key")
-                  .join(c_sig.select("c_key", F.col("bits").alias("c_bits")), "c_key")
-                  .select("q_key", "c_key",
-                          V.round_score(V.signature_similarity("q_bits", "c_bits", bits)).alias("score"))
-                  .where(F.col("score") >= F.lit(threshold)))
-    else:
-        raise ValueError(f"unknown score {score!r}")
-    out = (scored.join(q_mem.withColumnsRenamed({TABLE: "q_table", COLUMN: "q_column"}), "q_key")
-           .join(c_mem.withColumnsRenamed({TABLE: "c_table", COLUMN: "c_column"}), "c_key"))
-    return out.select("q_table", "q_column", "c_table", "c_column", "score")
 
+def dimension(vecs: DataFrame) -> int:
+    """Components of the vectors (0 if there are none); it sizes the planes."""
+    return vecs.agg(F.max(F.size("vec"))).first()[0] or 0
 
-def candidate_pairs(queries: DataFrame, lake: DataFrame, threshold: float, bits: int = DEFAULT_BITS,
-                    seed: int = DEFAULT_SEED, dim: int = 64) -> DataFrame:
-    """Unverified band-join candidates per (query column, lake column)."""
-    n_bands, rows = V.lsh_params(threshold, bits)
-    q = _nonzero(queries).withColumn("bits", V.signature_bits(F.col("vec"), bits, dim, seed))
-    c = _nonzero(lake).withColumn("bits", V.signature_bits(F.col("vec"), bits, dim, seed))
-    qb = q.select(F.col(TABLE).alias("q_table"), F.col(COLUMN).alias("q_column"),
-                  F.inline(V.band_keys(F.col("bits"), n_bands, rows)))
-    cb = c.select(F.col(TABLE).alias("c_table"), F.col(COLUMN).alias("c_column"),
-                  F.inline(V.band_keys(F.col("bits"), n_bands, rows)))
-    return qb.join(cb, ["band_id", "band_key"]).select("q_table", "q_column", "c_table", "c_column").distinct()
 
+INDEX_PARAMS = "threshold double, bits int, seed long, dim int"
 
-# --- A13 / U4: stored index -------------------------------------------------
-def index_name(ckpt_name: str, num_samples: int, threshold: float) -> str:
-    return f"{ckpt_name}_sample_{num_samples}_lsh_{threshold}"
 
+@dataclass
+class Index:
+    """A written index: distinct vectors by content key (key, vec, bits), one
+    band row for each of their bands (band_id, band_key, key), and the columns
+    that hold them (key, table_name, column_name)."""
 
-INDEX_PARAMS = "threshold double, bits int, seed long, dim int"
+    path: str
+    threshold: float
+    bits: int
+    seed: int
+    dim: int
+    reps: DataFrame
+    bands: DataFrame
+    members: DataFrame
+
+    def signatures(self) -> DataFrame:
+        """(table_name, column_name, vec, bits) of every indexed column."""
+        return self.members.join(self.reps, "key").select(TABLE, COLUMN, "vec", "bits")
 
 
-def build_index(vecs: DataFrame, path: str, threshold: float, bits: int = DEFAULT_BITS,
-                seed: int = DEFAULT_SEED, dim: int = 64, mode: str = "errorifexists") -> DataFrame:
-    """Write (rep_key, table_name, column_name, vec, bits) and the band
-    table partitioned by band_id; return the stored signatures."""
+def band_rows(sigs: DataFrame, threshold: float, bits: int) -> DataFrame:
     n_bands, rows = V.lsh_params(threshold, bits)
-    keyed = _nonzero(vecs).withColumn("rep_key", vector_key("vec"))
-    sig = keyed.withColumn("bits", V.signature_bits(F.col("vec"), bits, dim, seed))
-    sig.write.mode(mode).parquet(os.path.join(path, "signatures"))
-    stored = vecs.sparkSession.read.parquet(os.path.join(path, "signatures"))
-    (bands(stored.dropDuplicates(["rep_key"]), n_bands, rows, "rep_key")
-     .write.mode(mode).partitionBy("band_id").parquet(os.path.join(path, "bands")))
-    # written last: an index without its parameters is not complete
-    (vecs.sparkSession.createDataFrame([(float(threshold), bits, seed, dim)], INDEX_PARAMS)
-     .coalesce(1).write.mode(mode).parquet(os.path.join(path, "params")))
-    return stored
-
-
-def index_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    marks = [jvm.org.apache.hadoop.fs.Path(os.path.join(path, part, "_SUCCESS")) for part in ("signatures", "bands", "params")]
-    return all(p.getFileSystem(hconf).exists(p) for p in marks)
-
-
-def load_or_build_index(vecs: DataFrame, path: str, threshold: float, **kw) -> DataFrame:
+    return sigs.select("key", F.inline(V.band_keys(F.col("bits"), n_bands, rows)))
+
+
+def _generation(path: str, n: int) -> str:
+    return os.path.join(path, f"generation-{n:06d}")
+
+
+def generations(spark: SparkSession, path: str) -> list[str]:
+    """The complete generations of an index: their parameters are written last."""
+    jvm, hconf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    while True:
+        mark = jvm.org.apache.hadoop.fs.Path(os.path.join(_generation(path, len(out)), "params", "_SUCCESS"))
+        if not mark.getFileSystem(hconf).exists(mark):
+            return out
+        out.append(_generation(path, len(out)))
+
+
+def _write_generation(vecs: DataFrame, path: str, n: int, threshold: float, bits: int, seed: int, dim: int,
+                      known: DataFrame | None) -> None:
+    here = _generation(path, n)
+    write = lambda df, part: df.write.mode("overwrite").parquet(os.path.join(here, part))
+    keyed = _nonzero(vecs).withColumn("key", vector_key("vec"))
+    new = keyed.groupBy("key").agg(F.first("vec").alias("vec"))
+    if known is not None:
+        new = new.join(known.select("key"), "key", "left_anti")
+    write(new.withColumn("bits", V.signature_bits(F.col("vec"), bits, dim, seed)), "reps")
+    written = vecs.sparkSession.read.parquet(os.path.join(here, "reps"))
+    write(band_rows(written, threshold, bits), "bands")
+    write(keyed.select("key", TABLE, COLUMN), "members")
+    write(vecs.sparkSession.createDataFrame([(float(threshold), bits, seed, dim)], INDEX_PARAMS).coalesce(1), "params")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    """The stored index with all of its complete generations."""
+    parts = generations(spark, path)
+    if not parts:
+        raise FileNotFoundError(f"no complete index at {path}")
+    read = lambda part: spark.read.parquet(*[os.path.join(g, part) for g in parts])
+    return Index(path, *spark.read.parquet(os.path.join(parts[0], "params")).first(), read("reps"), read("bands"), read("members"))
+
+
+def build_index(vecs: DataFrame, path: str, threshold: float, bits: int = DEFAULT_BITS, seed: int = DEFAULT_SEED,
+                dim: int | None = None) -> Index:
+    """Write the index of (table_name, column_name, vec) as the first
+    generation below ``path``, which must hold no complete index."""
+    if generations(vecs.sparkSession, path):
+        raise FileExistsError(f"{path} holds an index: load it, or append to it")
+    _write_generation(vecs, path, 0, threshold, bits, seed, dim or dimension(vecs), None)
+    return load_index(vecs.sparkSession, path)
+
+
+def append_to_index(vecs: DataFrame, path: str) -> Index:
+    """Index further columns as a new generation.  What is written stays
+    as it is; vectors that the index knows get no second signature, only
+    members."""
+    spark = vecs.sparkSession
+    index = load_index(spark, path)
+    _write_generation(vecs, path, len(generations(spark, path)), index.threshold, index.bits, index.seed, index.dim, index.reps)
+    return load_index(spark, path)
+
+
+def load_or_build_index(vecs: DataFrame, path: str, threshold: float, bits: int = DEFAULT_BITS, seed: int = DEFAULT_SEED,
+                        dim: int | None = None) -> Index:
     """A13 reuse: read the stored index if it is complete.  Signatures of other
     bits, seed, dimension or threshold can't be compared: that is an error."""
-    spark = vecs.sparkSession
-    if index_exists(spark, os.path.join(path)):
-        have = tuple(spark.read.parquet(os.path.join(path, "params")).first())
-        want = (float(threshold), kw.get("bits", DEFAULT_BITS), kw.get("seed", DEFAULT_SEED), kw.get("dim", 64))
-        if have != want:
-            raise ValueError(f"the index at {path} has (threshold, bits, seed, dim) = {have}, not {want}")
-        return spark.read.parquet(os.path.join(path, "signatures"))
-    return build_index(vecs, path, threshold, mode="overwrite", **kw)
+    if not generations(vecs.sparkSession, path):
+        return build_index(vecs, path, threshold, bits, seed, dim)
+    index = load_index(vecs.sparkSession, path)
+    have, want = (index.threshold, index.bits, index.seed, index.dim), (float(threshold), bits, seed, dim or index.dim)
+    if have != want:
+        raise ValueError(f"the index at {path} has (threshold, bits, seed, dim) = {have}, not {want}")
+    return index
+
+
+def lookup(queries: DataFrame | None, index: Index, score: str = "exact") -> RepHits:
+    """Hits of query columns in a stored index, on distinct vectors.  The
+    lake's bands are read as they are stored; ``queries`` None makes every
+    indexed column a query, whose bands are stored as well.  Candidates are
+    verified by the exact cosine (``score='exact'``) or the signature estimate
+    (``score='signature'``)."""
+    as_id = lambda df: df.withColumnRenamed("key", "id")
+    members = as_id(index.members)
+    if queries is None:
+        q_sig, q_bands, q_mem = index.reps, index.bands, members
+    else:
+        keyed = _nonzero(queries).withColumn("key", vector_key("vec"))
+        reps = keyed.groupBy("key").agg(F.first("vec").alias("vec"))
+        q_sig = materialize(reps.withColumn("bits", V.signature_bits(F.col("vec"), index.bits, index.dim, index.seed)), "query-signatures")
+        q_bands, q_mem = band_rows(q_sig, index.threshold, index.bits), as_id(keyed.select("key", TABLE, COLUMN))
+    cand = q_bands.withColumnRenamed("key", "q_id").join(index.bands.withColumnRenamed("key", "c_id"), ["band_id", "band_key"]).select("q_id", "c_id").distinct()
+    q, c = as_id(q_sig), as_id(index.reps)
+    if score == "exact":
+        pairs = scored_pairs(q, c, cand, index.threshold)
+    elif score == "signature":
+        both = (cand.join(q.select(F.col("id").alias("q_id"), F.col("bits").alias("q_bits")), "q_id")
+                .join(c.select(F.col("id").alias("c_id"), F.col("bits").alias("c_bits")), "c_id"))
+        pairs = both.select("q_id", "c_id", V.round_score(V.signature_similarity("q_bits", "c_bits", index.bits)).alias("score"))
+        pairs = pairs.where(F.col("score") >= F.lit(index.threshold))
+    else:
+        raise ValueError(f"unknown score {score!r}")
+    return RepHits(pairs, q_mem, members)
+
+
+def lsh_rep_hits(queries: DataFrame, lake: DataFrame, threshold: float, bits: int = DEFAULT_BITS,
+                 seed: int = DEFAULT_SEED, dim: int | None = None, score: str = "exact") -> RepHits:
+    """D2 on distinct vectors: the lake is indexed in the checkpoint folder and looked up."""
+    path = scratch_path(lake.sparkSession, f"index-{uuid.uuid4().hex}")
+    return lookup(None if queries is lake else queries, build_index(lake, path, threshold, bits, seed, dim), score)
+
+
+def lsh_join(queries: DataFrame, lake: DataFrame, threshold: float, **kw) -> DataFrame:
+    """Band equi-join on signatures, verified.  Output like ``cosine_join``."""
+    return lsh_rep_hits(queries, lake, threshold, **kw).columns()
 
 
 # ---------------------------------------------------------------------------

@@ -112,29 +112,112 @@ def table_scores_from_hits(merged: DataFrame, n_backends: int) -> tuple[DataFram
     return ecdf_weighted_score(best, n_backends), best
 
 
-def column_hits(query_vecs: DataFrame, lake_vecs: DataFrame, threshold: float = 0.7, method: str = "lsh",
-                **lsh_kw) -> DataFrame:
-    """Scored lake columns of every query column (one backend)."""
+def rep_hits(query_vecs: DataFrame, lake: DataFrame | lsh.Index, threshold: float = 0.7, method: str = "lsh",
+             **lsh_kw) -> lsh.RepHits:
+    """U5 on distinct vectors; ``lake`` may be a stored index, which has a threshold of its own."""
+    if isinstance(lake, lsh.Index):
+        return lsh.lookup(query_vecs, lake, **lsh_kw)
     if method == "lsh":
-        return lsh.lsh_join(query_vecs, lake_vecs, threshold, **lsh_kw)
+        return lsh.lsh_rep_hits(query_vecs, lake, threshold, **lsh_kw)
     if method == "exact":
-        return lsh.cosine_join(query_vecs, lake_vecs, threshold)
+        return lsh.exact_rep_hits(query_vecs, lake, threshold)
     raise ValueError(f"unknown method {method!r}")
 
 
-def search(query_vecs: DataFrame, lake_vecs: DataFrame | None = None, k: int | None = 10,
+def column_hits(query_vecs: DataFrame, lake: DataFrame | lsh.Index, threshold: float = 0.7, method: str = "lsh",
+                **lsh_kw) -> DataFrame:
+    """Scored lake columns of every query column (one backend)."""
+    return rep_hits(query_vecs, lake, threshold, method, **lsh_kw).columns()
+
+
+# --- search on distinct vectors -------------------------------------------------
+def rep_weights(hits: lsh.RepHits) -> DataFrame:
+    """F1/D10 on distinct vectors: (q_id, c_id, score, weight).  A distinct
+    vector stands for all columns that hold it, so the running counts carry
+    the number of those columns."""
+    pairs = materialize(hits.pairs, "rep-hits")
+    held = hits.c_members.groupBy(F.col("id").alias("c_id")).agg(F.count(F.lit(1)).alias("columns"))
+    dist = pairs.join(held, "c_id").groupBy("q_id", "score").agg(F.sum("columns").alias("n"))
+    w = Window.partitionBy("q_id").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dist = dist.select("q_id", "score", (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy("q_id"))).alias("weight"))
+    return pairs.join(dist, ["q_id", "score"]).select("q_id", "c_id", "score", "weight")
+
+
+def table_classes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables with the same vectors, each as often, are one class:
+    (class, id, columns) and (class, table_name)."""
+    held = members.groupBy("table_name", "id").agg(F.count(F.lit(1)).alias("columns"))
+    sets = held.groupBy("table_name").agg(F.sort_array(F.collect_list(F.struct("id", "columns"))).alias("set"))
+    sets = materialize(sets.withColumn("class", F.struct(F.xxhash64("set").alias("h1"), F.xxhash64(F.lit(7), F.col("set")).alias("h2"))), "table-classes")
+    parts = sets.groupBy("class").agg(F.first("set").alias("set")).select("class", F.inline("set"))
+    return parts, sets.select("class", "table_name")
+
+
+def class_scores(weighted: DataFrame, q_parts: DataFrame, c_parts: DataFrame) -> DataFrame:
+    """E2 + E3 on classes: (q_class, c_class, n_matched, table_scores).  Per
+    query vector and candidate class the best vector counts, once for each of
+    the query's columns that hold it."""
+    q = q_parts.select(F.col("class").alias("q_class"), F.col("id").alias("q_id"), "columns")
+    c = c_parts.select(F.col("class").alias("c_class"), F.col("id").alias("c_id"))
+    best = (weighted.join(c, "c_id").groupBy("q_id", "c_class").agg(F.max(F.struct("score", "weight")).alias("b"))
+            .select("q_id", "c_class", F.col("b.score").alias("s"), F.col("b.weight").alias("w")))
+    sums = best.join(q, "q_id").groupBy("q_class", "c_class").agg(
+        F.sum(F.col("s") * F.col("w") * F.col("columns")).alias("sw"), F.sum(F.col("w") * F.col("columns")).alias("sum_w"), F.sum("columns").alias("n_matched"))
+    return sums.select("q_class", "c_class", "n_matched", F.array(F.round(F.col("sw") / F.col("sum_w"), V.SCORE_DIGITS)).alias("table_scores"))
+
+
+def search_reps(hits: lsh.RepHits, k: int | None, aggregator: Callable[[Column], Column] | None,
+                with_matches: bool) -> DataFrame:
+    """U1 on distinct vectors and classes of equal tables; tables come back
+    only for the k best classes, so that hits don't grow with the square of
+    equal columns or tables."""
+    weighted = rep_weights(hits)
+    q_parts, q_tables = table_classes(hits.q_members)
+    c_parts, c_tables = (q_parts, q_tables) if hits.q_members is hits.c_members else table_classes(hits.c_members)
+    scored = class_scores(weighted, q_parts, c_parts)
+    score = F.col("table_scores") if aggregator is None else F.round(aggregator(F.col("table_scores")), V.SCORE_DIGITS)
+    names = c_tables.select(F.col("class").alias("c_class"), F.col("table_name").alias("cand_table"))
+    if k is not None:  # the k first tables of a class are all that a list of k can need
+        by_name = Window.partitionBy("c_class").orderBy("cand_table")
+        names = names.withColumn("n", F.row_number().over(by_name)).where(F.col("n") <= k).drop("n")
+        first = names.groupBy("c_class").agg(F.min("cand_table").alias("first"))
+        w = Window.partitionBy("q_class").orderBy(score.desc(), "first")
+        scored = scored.join(first, "c_class").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n", "first")
+    w = Window.partitionBy("q_class").orderBy(F.col("score").desc(), "cand_table")
+    ranked = scored.withColumn("score", score).join(names, "c_class").withColumn("rank", F.row_number().over(w))
+    if k is not None:
+        ranked = ranked.where(F.col("rank") <= k)
+    out = ranked.join(q_tables.select(F.col("class").alias("q_class"), F.col("table_name").alias("query_table")), "q_class")
+    out = out.select("query_table", "rank", "cand_table", "score", "n_matched")
+    if not with_matches:
+        return out
+    q = hits.q_members.select(F.col("table_name").alias("query_table"), F.col("column_name").alias("query_column"), F.col("id").alias("q_id"))
+    c = hits.c_members.select(F.col("table_name").alias("cand_table"), F.col("column_name").alias("cand_column"), F.col("id").alias("c_id"))
+    found = out.select("query_table", "cand_table").join(q, "query_table").join(c, "cand_table").join(weighted, ["q_id", "c_id"])
+    best = found.groupBy("query_table", "cand_table", "query_column").agg(F.min(F.struct((-F.col("score")).alias("o"), "cand_column")).alias("b"))
+    one = F.struct("query_column", F.col("b.cand_column").alias("cand_column"), F.array(-F.col("b.o")).alias("scores"))
+    matches = best.groupBy("query_table", "cand_table").agg(F.array_sort(F.collect_list(one)).alias("matches"))
+    return out.join(matches, ["query_table", "cand_table"], "left")
+
+
+def search(query_vecs: DataFrame | None, lake_vecs: DataFrame | lsh.Index | None = None, k: int | None = 10,
            threshold: float = 0.7, method: str = "lsh", backends: Sequence[DataFrame] = (),
            aggregator: Callable[[Column], Column] | None = mean_aggregator, with_matches: bool = False,
            exclude_self: bool = False, **lsh_kw) -> DataFrame:
     """Top-k lake tables for every query table.
 
-    ``query_vecs`` / ``lake_vecs``: (table_name, column_name, vec).  Extra
-    ``backends`` are ready hit frames (e.g. ``name_hits``) merged with the
-    vector backend.  Output: query_table, rank, cand_table, score,
-    n_matched [, matches ARRAY<STRUCT<query_column, cand_column, scores>>].
+    ``query_vecs`` / ``lake_vecs``: (table_name, column_name, vec); the lake
+    may be a stored index.  Extra ``backends`` are ready hit frames (e.g.
+    ``name_hits``) merged with the vector backend.  Backends and
+    ``exclude_self`` need pairs of columns; without them the search stays on
+    distinct vectors to the end.  Output: query_table, rank, cand_table,
+    score, n_matched [, matches ARRAY<STRUCT<query_column, cand_column, scores>>].
     """
     lake_vecs = query_vecs if lake_vecs is None else lake_vecs
-    hits = [column_hits(query_vecs, lake_vecs, threshold, method, **lsh_kw)] + list(backends)
+    found = rep_hits(query_vecs, lake_vecs, threshold, method, **lsh_kw)
+    if not backends and not exclude_self:
+        return search_reps(found, k, aggregator, with_matches)
+    hits = [found.columns()] + list(backends)
     if exclude_self:
         hits = [h.where(F.col("q_table") != F.col("c_table")) for h in hits]
     n = len(hits)
@@ -162,15 +245,36 @@ def topk_with_matches(ranked: DataFrame, best: DataFrame) -> DataFrame:
                        ["query_table", "cand_table"], "left")
 
 
-def column_search(query_vecs: DataFrame, lake_vecs: DataFrame, k: int | None = 10, threshold: float = 0.7,
+def nearest_columns(hits: lsh.RepHits, k: int | None) -> DataFrame:
+    """The k nearest lake columns of every query column (PAIR, score): ranked
+    on distinct vectors, with the first k columns of each."""
+    c = hits.c_members.select(F.col("id").alias("c_id"), F.col("table_name").alias("c_table"), F.col("column_name").alias("c_column"))
+    pairs = hits.pairs
+    if k is not None:
+        by_name = Window.partitionBy("c_id").orderBy("c_table", "c_column")
+        c = c.withColumn("n", F.row_number().over(by_name)).where(F.col("n") <= k).drop("n")
+        first = c.groupBy("c_id").agg(F.min(F.struct("c_table", "c_column")).alias("first"))
+        w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), "first")
+        pairs = pairs.join(first, "c_id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n", "first")
+    out = pairs.join(c, "c_id")
+    if k is not None:
+        w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), "c_table", "c_column")
+        out = out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+    q = hits.q_members.select(F.col("id").alias("q_id"), F.col("table_name").alias("q_table"), F.col("column_name").alias("q_column"))
+    return out.join(q, "q_id").select(*PAIR, "score")
+
+
+def column_search(query_vecs: DataFrame, lake_vecs: DataFrame | lsh.Index, k: int | None = 10, threshold: float = 0.7,
                   method: str = "lsh", backends: Sequence[DataFrame] = (),
                   aggregator: Callable[[Column], Column] | None = None, **lsh_kw) -> DataFrame:
     """Nearest lake columns per query column: top k per backend, merge
     (missing = 0), order by the mean (or ``aggregator``), cut to k."""
-    hits = [column_hits(query_vecs, lake_vecs, threshold, method, **lsh_kw)] + list(backends)
-    if k is not None:
+    hits = [nearest_columns(rep_hits(query_vecs, lake_vecs, threshold, method, **lsh_kw), k)]
+    if k is None:
+        hits += list(backends)
+    else:
         w = Window.partitionBy(*Q_KEYS).orderBy(F.col("score").desc(), F.col("c_table"), F.col("c_column"))
-        hits = [h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r") for h in hits]
+        hits += [h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r") for h in backends]
     merged = merge_backends(*hits)
     agg = aggregator or mean_aggregator
     merged = merged.withColumn("score", F.round(agg(F.col("scores")), V.SCORE_DIGITS))

@@ -1,17 +1,19 @@
 """Token corpora for word vectors: web-table row walks and weighted graph
 walks (B11, B12, D6, D7, E9, F2, F4, H1, H2, I3, I5-I8, E14).
 
-Graph walks are a loop of equi-joins: the frontier (one row per walk) joins
-the edge table on the current node, and each walk keeps one neighbour by the
-Efraimidis-Spirakis key -ln(u)/w (the smallest key wins, which draws a
-neighbour with probability proportional to its weight).  ``min(struct(key,
-v))`` is a partial aggregate, so a walk at a hub node is reduced map-side
-before the shuffle.  The loop cuts its lineage every few steps by writing the
-frontier to the shared checkpoint folder (``materialize``).
+Graph walks draw from running weights.  The neighbours of a node, in id order,
+are cut by rank into ranges of at most ``fan``; the ranges of a hub are cut
+again, level by level, until one range is its root (``neighbour_index``,
+written once).  A step joins each live walk with the root of its node, finds
+the drawn weight among the running weights of that row, and follows at most
+one row per further level: the rows of a step are the live walks, whatever
+the degrees.  A draw of a node that the walk has been to is drawn anew.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,22 +39,63 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return both.groupBy("u", "v").agg(F.max_by("w", "o").alias("w"))
 
 
+def ranked_neighbours(adj: DataFrame) -> DataFrame:
+    """(u, v, w, rank): neighbours numbered from 0 in id order.
+
+    No node is one task: edges are range-partitioned by (u, v), numbered
+    inside their partition, and a hub's partitions are put behind each other
+    by their counts.  Written, as the numbers hold for one evaluation."""
+    dealt = adj.select("u", "v", "w").repartitionByRange("u", "v").sortWithinPartitions("u", "v")
+    placed = materialize(dealt.select("u", "v", "w", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "adjacency")
+    starts = placed.groupBy("u", "part").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("u").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(starts.select("u", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")), "adjacency-starts")
+    return placed.join(starts, ["u", "part"]).select("u", "v", "w", (F.col("place") + F.col("shift")).alias("rank"))
+
+
+def _running(rows: DataFrame, fan: int) -> DataFrame:
+    """(u, idx, child, w, running): children in rank order, with running weights inside ranges of ``fan`` ranks."""
+    cut = rows.select("u", F.floor(F.col("rank") / F.lit(fan)).cast("long").alias("idx"), "rank", "child", "w")
+    inner = Window.partitionBy("u", "idx").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cut.withColumn("running", F.sum("w").over(inner))
+
+
 def cumulative_weights(adj: DataFrame, chunk: int = 1024) -> DataFrame:
     """running weight per node in neighbour order and the node total.
 
-    Two-level prefix sum so a hub node never sits in one window: neighbours
-    are cut into id ranges of ``chunk``; running sums are taken inside each
-    (node, range) -- at most ``chunk`` rows -- and the ranges' totals are
-    prefix-summed per node (one row per non-empty range), then added."""
-    a = adj.withColumn("rng", F.floor(F.col("v") / F.lit(chunk)))
-    inner = Window.partitionBy("u", "rng").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = a.withColumn("local", F.sum("w").over(inner))
-    tot = a.groupBy("u", "rng").agg(F.sum("w").alias("rw"))
-    before = Window.partitionBy("u").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select("u", "rng", F.coalesce(F.sum("rw").over(before), F.lit(0.0)).alias("offset"),
-                     F.sum("rw").over(Window.partitionBy("u")).alias("total"))
-    return local.join(tot, ["u", "rng"]).select("u", "v", "w", (F.col("offset") + F.col("local")).alias("running"),
-                                                 "total")
+    A two-level prefix sum: running sums inside ranges of ``chunk`` neighbours
+    (by rank, so a hub has degree / chunk ranges however its ids lie), and a
+    prefix over the ranges' totals."""
+    local = _running(ranked_neighbours(adj).withColumn("child", F.col("v")), chunk)
+    totals = local.groupBy("u", "idx").agg(F.max("running").alias("range_w"))
+    before = Window.partitionBy("u").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("u", "idx", F.coalesce(F.sum("range_w").over(before), F.lit(0.0)).alias("offset"),
+                           F.sum("range_w").over(Window.partitionBy("u")).alias("total"))
+    return local.join(totals, ["u", "idx"]).select("u", F.col("child").alias("v"), "w", (F.col("offset") + F.col("running")).alias("running"), "total")
+
+
+INDEX = ["u", "level", "idx", "entries"]
+
+
+def neighbour_index(adj: DataFrame, fan: int = 256) -> tuple[DataFrame, int]:
+    """(index, levels) of an adjacency (u, v, w >= 0).
+
+    index(u, level, idx, entries ARRAY<STRUCT<running, child>>, root): at
+    level 0 the children are neighbours, above it the ranges (idx) of the
+    level below.  Each node has one root; ``levels`` is 1 unless a node has
+    more than ``fan`` neighbours."""
+    rows, out, level = ranked_neighbours(adj).withColumnRenamed("v", "child"), None, 0
+    while True:
+        entries = F.array_sort(F.collect_list(F.struct("rank", "running", "child")))
+        ranges = _running(rows, fan).groupBy("u", "idx").agg(F.transform(entries, lambda e: F.struct(e["running"], e["child"])).alias("entries"), F.sum("w").alias("w"))
+        ranges = materialize(ranges.withColumn("level", F.lit(level)), "neighbour-ranges")
+        more = ranges.where("idx > 0").select("u").distinct()
+        part = ranges.join(more.withColumn("more", F.lit(True)), "u", "left").select(*INDEX, F.col("more").isNull().alias("root"))
+        out = part if out is None else out.unionByName(part)
+        level += 1
+        rows = ranges.join(more, "u", "left_semi").select("u", F.col("idx").alias("rank"), F.col("idx").alias("child"), "w")
+        if more.isEmpty():
+            return materialize(out, "neighbour-index"), level
 
 
 def choice_key(seed: int, walk_id: Column, step: Column, v: Column, w: Column) -> Column:
@@ -62,39 +105,93 @@ def choice_key(seed: int, walk_id: Column, step: Column, v: Column, w: Column) -
     return F.when(w > 0, -F.ln(u) / w).otherwise(F.lit(float("inf")))
 
 
-def walk_step(frontier: DataFrame, adj: DataFrame, step: int, seed: int) -> DataFrame:
-    """D7 + I3: one step for every live walk.  ``frontier``: walk_id, cur,
-    path ARRAY<BIGINT>, visited ARRAY<BIGINT>, live BOOLEAN.  A walk whose
-    current node has no unvisited neighbour stops (K13)."""
-    live = frontier.where("live")
-    cand = (live.select("walk_id", "cur", "visited").join(adj.withColumnRenamed("u", "cur"), "cur")
-            .where(~F.array_contains("visited", F.col("v"))))
-    chosen = cand.groupBy("walk_id").agg(
-        F.min(F.struct(choice_key(seed, F.col("walk_id"), F.lit(step), F.col("v"), F.col("w")).alias("k"),
-                       F.col("v").alias("v"))).alias("c"))
-    nxt = frontier.join(chosen.select("walk_id", F.col("c.v").alias("nv")), "walk_id", "left")
-    moved = F.col("live") & F.col("nv").isNotNull()
-    return nxt.select(
-        "walk_id",
-        F.when(moved, F.col("nv")).otherwise(F.col("cur")).alias("cur"),
-        F.when(moved, F.concat("path", F.array("nv"))).otherwise(F.col("path")).alias("path"),
-        F.when(moved, F.concat("visited", F.array("nv"))).otherwise(F.col("visited")).alias("visited"),
-        moved.alias("live"))
+#: Draws of a walk, for each node of its length, after which it ends (fixed value).
+TRIALS_FACTOR = 20
+
+
+def _drawn(entries: Column, u: Column) -> Column:
+    """The child whose running weight is the first above the share ``u`` of the total (all weights 0: the last child)."""
+    total = F.element_at(entries, -1)["running"]
+    above = F.filter(entries, lambda e: e["running"] > u * total)
+    return F.coalesce(F.get(above, F.lit(0)), F.element_at(entries, -1))["child"]
+
+
+def draw_uniform(seed: int, walk_id: Column, draw: Column, level: int) -> Column:
+    """The number in (0, 1) of a walk's draw; levels above the neighbours have numbers of their own."""
+    key = [walk_id.cast("string"), draw.cast("string")]
+    return sampling.uniform(seed, *key, *([F.lit(f"level{level}")] if level else []))
+
+
+WALK = ["walk_id", "path", "draws", "live"]
+
+
+def _been(v: Column) -> Column:
+    """Whether a walk (its ``path``) has been to a node; its start doesn't count."""
+    return F.array_contains(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))), v)
+
+
+def walk_step(frontier: DataFrame, index: DataFrame, levels: int, walk_length: int, seed: int) -> DataFrame:
+    """D7 + I3: one step for every live walk.  ``frontier``: walk_id, path
+    ARRAY<BIGINT>, draws INT, live BOOLEAN.  A walk ends where there is no
+    neighbour, or with its last draw."""
+    trials = TRIALS_FACTOR * walk_length
+    roots = index.where("root").select("u", "level", "entries")
+    at = frontier.withColumn("u", F.when(F.col("live"), F.element_at("path", -1))).join(roots, "u", "left")
+    # where one range holds all neighbours: every draw in the row, up to the first node that the walk has not been to
+    none = F.struct(F.lit(None).cast("long").alias("v"), F.lit(None).cast("int").alias("n"))
+
+    def trial(found, i):
+        v = _drawn(F.col("entries"), draw_uniform(seed, F.col("walk_id"), i, 0))
+        one = F.transform(F.array(v), lambda x: F.when(~_been(x), F.struct(x.alias("v"), (i + 1).alias("n"))).otherwise(none))[0]
+        return F.when(found["n"].isNotNull(), found).otherwise(one)
+
+    near = F.coalesce(F.col("live") & (F.col("level") == 0) & (F.col("draws") < trials), F.lit(False))
+    hit = F.when(near, F.aggregate(F.sequence(F.col("draws"), F.lit(trials - 1)), none, trial))
+    at = at.withColumn("hit", hit).select("walk_id", "path", "draws", "live", "level", F.col("hit.v").alias("v"), F.col("hit.n").alias("n"))
+    at = at.withColumn("hub", F.coalesce(F.col("live") & (F.col("level") > 0), F.lit(False)))
+    path = F.when(F.col("v").isNotNull(), F.concat("path", F.array("v"))).otherwise(F.col("path"))
+    out = at.select("walk_id", path.alias("path"), F.coalesce("n", "draws").alias("draws"), (F.col("v").isNotNull() | F.col("hub")).alias("live"), "hub")
+    if levels == 1:
+        return out.select(*WALK)
+    out = materialize(out, "walk-step")
+    return reduce(DataFrame.unionByName, [out.where("not hub").select(*WALK), *_hub_steps(out.where("hub").select(*WALK), index, levels, trials, seed)])
+
+
+def _hub_steps(waiting: DataFrame, index: DataFrame, levels: int, trials: int, seed: int) -> list[DataFrame]:
+    """The step of walks at hubs: one draw follows a row for each level; draws of nodes that a walk has been to are
+    repeated.  Every round is written."""
+    roots, inner = index.where("root").select("u", "level", "entries"), index.where("not root").select("u", "level", "idx", "entries")
+    done = []
+    while True:
+        at = waiting.withColumn("u", F.element_at("path", -1)).join(roots, "u")
+        for level in range(levels - 1, 0, -1):  # the rows of this level go one down, the others wait
+            idx = F.when(F.col("level") == level, _drawn(F.col("entries"), draw_uniform(seed, F.col("walk_id"), F.col("draws"), level)))
+            at = at.withColumn("idx", idx).withColumn("level", F.least("level", F.lit(level - 1)))
+            below = inner.where(F.col("level") == level - 1).select("u", "idx", F.col("entries").alias("below"))
+            at = at.join(below, ["u", "idx"], "left").withColumn("entries", F.coalesce("below", "entries")).drop("below", "idx")
+        v = _drawn(F.col("entries"), draw_uniform(seed, F.col("walk_id"), F.col("draws"), 0))
+        drawn = materialize(at.withColumn("v", v).select(*WALK, "v", _been(F.col("v")).alias("again")), "hub-draws")
+        next_draw = (F.col("draws") + 1).alias("draws")
+        done.append(drawn.where("not again").select("walk_id", F.concat("path", F.array("v")).alias("path"), next_draw, "live"))
+        again = drawn.where("again").select("walk_id", "path", next_draw, "live")
+        done.append(again.where(F.col("draws") >= trials).withColumn("live", F.lit(False)))
+        waiting = again.where(F.col("draws") < trials)
+        if waiting.isEmpty():
+            return done
 
 
 def graph_walks(adj: DataFrame, number_walks: int, walk_length: int, seed: int = 12345,
-                checkpoint_every: int = 4) -> DataFrame:
+                checkpoint_every: int = 4, fan: int = 256) -> DataFrame:
     """``number_walks`` walks from every node, at most ``walk_length``
     nodes, never stepping onto a node already walked to (the start node is not
     in the refused set).  -> walk_id STRING, start, path ARRAY<BIGINT>."""
-    nodes = adj.select(F.col("u").alias("start")).distinct()
-    walks = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(number_walks - 1))).alias("i"), "start")
+    index, levels = neighbour_index(adj, fan)
+    walks = index.where("root").select(F.col("u").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(number_walks - 1))).alias("i"))
     frontier = walks.select(F.concat_ws(":", F.col("i").cast("string"), F.col("start").cast("string")).alias("walk_id"),
-                            F.col("start").alias("cur"), F.array("start").alias("path"),
-                            F.array().cast("array<bigint>").alias("visited"), F.lit(True).alias("live"))
+                            F.array("start").alias("path"), F.lit(0).alias("draws"), F.lit(True).alias("live"))
     for step in range(1, walk_length):
-        frontier = walk_step(frontier, adj, step, seed)
-        if step % checkpoint_every == 0:
+        frontier = walk_step(frontier, index, levels, walk_length, seed)
+        if step % checkpoint_every == 0 or levels > 1:
             frontier = materialize(frontier, "walk-frontier")
     return frontier.select("walk_id", F.col("path")[0].alias("start"), "path")
 
@@ -179,12 +276,16 @@ def walk_corpus(walk_type: str, *, tables: DataFrame | None = None, adj: DataFra
     return combo_walks(rw, gw).select("walk")
 
 
-def fit_word_vectors(corpus: DataFrame, dim: int = 64, min_count: int = 1, lr: float = 0.025, seed: int = 12345):
+def fit_word_vectors(corpus: DataFrame, dim: int = 64, min_count: int = 1, lr: float = 0.025, seed: int = 12345,
+                     num_partitions: int | None = None, walks_per_task: int = 20_000):
     """Word vectors on the walks (window 10, one pass); Spark's trainer
-    is hierarchical softmax.  -> (word, vec ARRAY<DOUBLE>)."""
+    is hierarchical softmax.  Every task trains on its part of the walks, and
+    the parts' vectors are averaged word by word.  ``num_partitions`` defaults
+    to a task for ``walks_per_task`` walks.  -> (word, vec ARRAY<DOUBLE>)."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
-    toks = corpus.select(F.split("walk", " ").alias("tokens"))
-    model = Word2Vec(vectorSize=dim, minCount=min_count, windowSize=10, maxIter=1, stepSize=lr, seed=seed,
+    toks = materialize(corpus.select(F.split("walk", " ").alias("tokens")), "walk-tokens")
+    parts = num_partitions or max(1, -(-toks.count() // walks_per_task))
+    model = Word2Vec(vectorSize=dim, minCount=min_count, windowSize=10, maxIter=1, stepSize=lr, seed=seed, numPartitions=parts,
                      inputCol="tokens", outputCol="v").fit(toks)
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))

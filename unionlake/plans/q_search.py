@@ -3,6 +3,8 @@ U8, A13) over the fragment lake and the ``embeddings`` table."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,9 +179,12 @@ def table_search_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- stored index (A13/U4/U5) -------------------------------------------------------------
 def _stored_index(spark, sf_dir):
-    import uuid
+    """The lake's index, written in two generations and loaded again."""
     v = _vecs(spark, sf_dir)
     path = scratch_path(spark, f"index-{uuid.uuid4().hex}")
+    late = F.col("table_name").endswith("__1")
+    lsh.build_index(v.where(~late), path, L.THRESHOLD, dim=L.DIM)
+    lsh.append_to_index(v.where(late), path)
     return v, lsh.load_or_build_index(v, path, L.THRESHOLD)
 
 
@@ -192,13 +197,13 @@ SELECT table_name, column_name, CAST(sum(b) AS INTEGER) AS ones FROM bits GROUP
 def signature_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, idx = _stored_index(spark, sf_dir)
     ones = F.aggregate("bits", F.lit(0), lambda a, x: a + F.bit_count(x))
-    return idx.select("table_name", "column_name", ones.alias("ones"))
+    return idx.signatures().select("table_name", "column_name", ones.alias("ones"))
 
 
 @register("index_lookup", f"WITH {LAKE} SELECT * FROM ({lsh.sql_lsh_hits('vecs', 'vecs', L.THRESHOLD)})")
 def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, idx = _stored_index(spark, sf_dir)
-    return lsh.lsh_join(v, None, L.THRESHOLD, lake_index=idx)
+    return lsh.lookup(v, idx).columns()
 
 
 # --- vocabulary (D1, E1) ------------------------------------------------------------------

@@ -91,19 +91,26 @@ def weighted_neighbor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_walks(number_walks: int, walk_length: int, seed: int) -> str:
-    parts = [f"""s0 AS (SELECT CAST(r.i AS VARCHAR) || ':' || CAST(n.u AS VARCHAR) AS walk_id, n.u AS cur,
-      [n.u] AS path, []::BIGINT[] AS visited, true AS live
+    """Draws from running weights; nodes of the fixture have one range of neighbours (see W.neighbour_index)."""
+    trials = W.TRIALS_FACTOR * walk_length
+    parts = [f"""near AS (SELECT u, list(v ORDER BY v) AS vs, list(running ORDER BY v) AS rs, max(running) AS total FROM (
+      SELECT u, v, sum(w) OVER (PARTITION BY u ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM adj) GROUP BY u),
+    s0 AS (SELECT CAST(r.i AS VARCHAR) || ':' || CAST(n.u AS VARCHAR) AS walk_id, [n.u] AS path, 0 AS draws, true AS live
       FROM (SELECT DISTINCT u FROM adj) n, range({number_walks}) r(i))"""]
     for s in range(1, walk_length):
         p = f"s{s - 1}"
-        parts.append(f"""c{s} AS (SELECT walk_id, v FROM (
-        SELECT f.walk_id, a.v, row_number() OVER (PARTITION BY f.walk_id
-               ORDER BY -ln({_sql_u(seed, 'f.walk_id', str(s), 'a.v')}) / a.w, a.v) AS rn
-        FROM {p} f JOIN adj a ON a.u = f.cur WHERE f.live AND NOT list_contains(f.visited, a.v)) WHERE rn = 1),
-    s{s} AS (SELECT f.walk_id, CASE WHEN f.live AND c.v IS NOT NULL THEN c.v ELSE f.cur END AS cur,
-        CASE WHEN f.live AND c.v IS NOT NULL THEN list_append(f.path, c.v) ELSE f.path END AS path,
-        CASE WHEN f.live AND c.v IS NOT NULL THEN list_append(f.visited, c.v) ELSE f.visited END AS visited,
-        f.live AND c.v IS NOT NULL AS live FROM {p} f LEFT JOIN c{s} c ON c.walk_id = f.walk_id)""")
+        draw = f"vs[len(list_filter(rs, lambda r: r <= {_sql_u(seed, 'walk_id', 'i')} * total)) + 1]"
+        # the first draws of every walk, then the others of those that found no node in them
+        parts.append(f"""a{s} AS (SELECT walk_id, i, {draw} AS v, path
+        FROM (SELECT f.walk_id, f.path, n.*, unnest(range(f.draws, least(f.draws + 3, {trials}))) AS i FROM {p} f JOIN near n ON n.u = f.path[-1] WHERE f.live)),
+    b{s} AS (SELECT walk_id, min(i) AS i, arg_min(v, i) AS v FROM a{s} WHERE NOT list_contains(path[2:], v) GROUP BY walk_id),
+    d{s} AS (SELECT walk_id, i, {draw} AS v, path
+        FROM (SELECT f.walk_id, f.path, n.*, unnest(range(f.draws + 3, {trials})) AS i FROM {p} f JOIN near n ON n.u = f.path[-1]
+              WHERE f.live AND f.walk_id NOT IN (SELECT walk_id FROM b{s}))),
+    c{s} AS (SELECT * FROM b{s} UNION ALL
+        SELECT walk_id, min(i) AS i, arg_min(v, i) AS v FROM d{s} WHERE NOT list_contains(path[2:], v) GROUP BY walk_id),
+    s{s} AS (SELECT f.walk_id, CASE WHEN c.v IS NOT NULL THEN list_append(f.path, c.v) ELSE f.path END AS path,
+        CASE WHEN c.v IS NOT NULL THEN c.i + 1 ELSE f.draws END AS draws, f.live AND c.v IS NOT NULL AS live FROM {p} f LEFT JOIN c{s} c ON c.walk_id = f.walk_id)""")
     return ",\n".join(parts) + f",\nwalks AS (SELECT walk_id, path FROM s{walk_length - 1})"
 
 
@@ -145,10 +152,11 @@ def encoded_graph_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("walk_term_join", f"""WITH {_SQL_ADJ}, {_SQL_TERMS}, {_sql_walks(NUMBER_WALKS, WALK_LENGTH, SEED)},
 {_SQL_ENCODED}
-SELECT walk_id, CAST(count(tok) AS INTEGER) AS n_tokens FROM enc GROUP BY walk_id""")
+SELECT walk_id, CAST(count(tok) AS INTEGER) AS n_tokens, coalesce(string_agg(tok, '|' ORDER BY pos) FILTER (WHERE tok IS NOT NULL), '') AS tokens
+FROM enc GROUP BY walk_id""")
 def walk_term_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.walk_terms(_walks(spark, sf_dir), graph_terms(spark, sf_dir))
-    return w.select("walk_id", F.size("tokens").alias("n_tokens"))
+    return w.select("walk_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens"))
 
 
 # --- web tables ----------------------------------------------------------------------
@@ -247,14 +255,28 @@ def row_walks_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.row_walks(r, "base", MIN_COLUMNS, MAX_ROWS)
 
 
-@register("combo_walks")
+_SQL_ROW_TOKENS = f"""t AS (SELECT table_id, row_idx, CASE WHEN row_idx = 0
+        THEN list_transform({_NONEMPTY}, lambda x: {tx.sql_encode_header("replace(x, chr(10), '')")})
+        ELSE list_transform({_NONEMPTY}, lambda x: {tx.sql_normalize_cell("replace(x, chr(10), '')")}) END AS toks
+      FROM wrows WHERE row_idx < {MAX_ROWS}),
+f AS (SELECT table_id, row_idx, list_filter(toks, lambda x: length(x) > 0) AS toks FROM t),
+row_corpus AS (SELECT array_to_string(toks, ' ') AS walk FROM f WHERE len(toks) >= {MIN_COLUMNS})"""
+
+
+def _sql_corpus(number_walks: int) -> str:
+    return f"""WITH {SQL_WEB}, {_SQL_ROWS}, {_SQL_ROW_TOKENS}, {_SQL_ADJ}, {_SQL_TERMS}, {_sql_walks(number_walks, WALK_LENGTH, SEED)},
+{_SQL_ENCODED},
+graph_corpus AS (SELECT coalesce(string_agg(tok, ' ' ORDER BY pos) FILTER (WHERE tok IS NOT NULL), '') AS walk FROM enc GROUP BY walk_id)"""
+
+
+@register("combo_walks", f"{_sql_corpus(NUMBER_WALKS)} SELECT 0 AS part, walk FROM row_corpus UNION ALL SELECT 1, walk FROM graph_corpus")
 def combo_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rw = W.row_walks(W.webtable_rows(web_tables(spark, sf_dir), MIN_COLUMNS), "combo", MIN_COLUMNS, MAX_ROWS)
     gw = W.walk_terms(_walks(spark, sf_dir), graph_terms(spark, sf_dir))
     return W.combo_walks(rw, gw)
 
 
-@register("walk_corpus")
+@register("walk_corpus", f"{_sql_corpus(1)} SELECT walk FROM row_corpus UNION ALL SELECT walk FROM graph_corpus")
 def walk_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     adj = W.symmetrize(W.edge_weight_filter(graph_edges(spark, sf_dir), 1))
     return W.walk_corpus("combo", tables=web_tables(spark, sf_dir), adj=adj, terms=graph_terms(spark, sf_dir),
