@@ -119,7 +119,9 @@ def test_leaks(spark, make_docs):
     assert sorted(((r.doc_id, r.item_id, r.token_at, r.n_same, r.n_item) for r in got.collect()), key=str) == [(1, 7, 1, 30, 30), (2, 7, 0, 27, 30), (4, 7, 28, 16, 30), (None, 7, 0, 30, 30)]
     spread = decontaminate.leaks(make_docs(rows), bench, params=decontaminate.LeakParams(broadcast_seeds=0))
     assert sorted(spread.collect(), key=str) == sorted(got.collect(), key=str)
-    kept = decontaminate.drop_leaked(make_docs(rows, CLASH), bench)
+    wide = [(20, "z " * 60_000 + " ".join(item) + " y" * 40_000), (20, " ".join(off)), *rows]  # a long text, a repeated id
+    assert sorted(decontaminate.leaks(make_docs(wide), bench, params=decontaminate.LeakParams(broadcast_seeds=0)).collect(), key=str) == sorted(decontaminate.leaks(make_docs(wide), bench).collect(), key=str)
+    kept = decontaminate.drop_leaked(make_docs(rows, (*CLASH, "__leaked")), bench)
     assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in rows if d not in (1, 2, 4))
     assert decontaminate.leaks(make_docs([]), bench).count() == 0 and decontaminate.leaks(make_docs(rows), bench.limit(0)).count() == 0
 

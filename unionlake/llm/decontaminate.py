@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unionlake.llm.columns import let, text_of
+from unionlake.llm.columns import fresh, let, text_of
 from unionlake.session import materialize
 
 #: Masks (fixed values) by tokens of a stretch and substituted tokens in it: 1 takes the token, 0 leaves it out.  Each set
@@ -93,7 +93,12 @@ def leaks(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "
     hashed = docs.select(F.col(doc_id).alias("doc"), token_hashes(text_of(text)).alias("hashes"))
     shift = F.col("at") - F.col("item_at")
     # the document's part beside the item is cut out here, so the join's other side stays small
-    hits = _windows(hashed, ["doc"], masks).join(F.broadcast(plain) if small else plain, F.col("seed") == F.col("item_seed")).select("doc", "item", shift.alias("shift"), "hashes")
+    if small:
+        hits = _windows(hashed, ["doc"], masks).join(F.broadcast(plain), F.col("seed") == F.col("item_seed")).select("doc", "item", shift.alias("shift"), "hashes")
+    else:  # seeds alone are shuffled; the tokens of a document come back once, to all of its hits
+        found = _windows(hashed, ["doc"], masks).select("doc", "at", "seed").join(plain, F.col("seed") == F.col("item_seed")).select("doc", "item", shift.alias("shift")).distinct()
+        found = materialize(found.groupBy(F.col("doc").alias("hit_doc")).agg(F.collect_list(F.struct("item", "shift")).alias("hits")), "leak-hits")
+        hits = hashed.join(found, F.col("doc").eqNullSafe(F.col("hit_doc"))).select("doc", "hashes", F.inline("hits"))
     beside = hits.join(F.broadcast(items) if small else items, "item").select("doc", "item", "shift", "item_hashes", F.slice("hashes", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item_hashes")).alias("part"))
 
     def agreed(same: Column) -> Column:
@@ -112,5 +117,6 @@ def leaks(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "
 
 def drop_leaked(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id", bench_text: str = "text", item_id: str = "item_id", params: LeakParams = LeakParams()) -> DataFrame:
     """``docs`` without the documents that hold a leak; a document with a null id can't be told apart and stays."""
-    bad = leaks(docs, bench, text, doc_id, bench_text, item_id, params).select(F.col(doc_id).alias("__leaked")).distinct()
-    return docs.join(bad, F.col(doc_id) == F.col("__leaked"), "left_anti")
+    leaked, = fresh(docs, "leaked")
+    bad = leaks(docs, bench, text, doc_id, bench_text, item_id, params).select(F.col(doc_id).alias(leaked)).distinct()
+    return docs.join(bad, F.col(doc_id) == F.col(leaked), "left_anti")

@@ -39,15 +39,15 @@ class LineParams:
 
 
 def low_half(h: Column) -> Column:
-    """The low 32 bits of a 64-bit hash as an int."""
-    return (F.shiftright(F.shiftleft(h, 32), 32)).cast("int")
+    """The low 32 bits of a 64-bit hash."""
+    return h.bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
 
 
 def word_rarity(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     """One row: the rank of each hash bucket, from the corpus count of its words on a log scale, as an array (its
     size is the parameter, not the data).  Any order keeps the join exact; a good one keeps it small."""
     tokens = docs.select(F.explode(F.split(text_of(text), SPACE_RUN)).alias("w")).where("w != ''")
-    counts = tokens.groupBy(low_half(F.xxhash64("w")).bitwiseAND(F.lit(buckets - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens.groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
     scale = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0).cast("long")) + 1) * 6), F.lit(127)).cast("tinyint")
     table = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", scale.alias("n")))), lambda x: x["n"]).alias("ranks"))
@@ -65,17 +65,16 @@ def _parity(words: Column, n: Column) -> list[Column]:
 
 def line_sets(docs: DataFrame, rarity: DataFrame, text: str, doc_id: str, p: LineParams) -> DataFrame:
     """(doc, line_no, key, n, words, b0, b1) of every line with a word; words: 32-bit hashes, rarest first."""
-    mask = F.lit(p.rarity_buckets - 1)
-    low = F.lit(1 << 31).cast("long")
+    mask = F.lit(p.rarity_buckets - 1).cast("long")
     trimmed = F.btrim("line", F.lit(SPACE_CHARS))
     lines = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "line"))
-    # one long per word: its rank above, its hash below; the ranks are read once per word, never copied to the rows
-    ranked = lambda h: F.shiftleft(F.get("ranks", h.bitwiseAND(mask)).cast("long"), 32).bitwiseOR(h.cast("long") + low)
+    # one long per word: its rank above, half of its hash below; the ranks are read once per word, never copied to the rows
+    ranked = lambda h: F.shiftleft(F.get("ranks", h.bitwiseAND(mask).cast("int")).cast("long"), 32).bitwiseOR(low_half(h))
     hashed = lines.where(trimmed != "").select("doc", "line_no", F.array_distinct(F.transform(split_words(trimmed), lambda w: F.xxhash64(w))).alias("hashes"))
     # the same for any order of the words
-    key = F.xxhash64(F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.xxhash64(h))), F.size("hashes"))
-    ordered = hashed.withColumn("ranks", rarity.scalar()).select("doc", "line_no", key.alias("key"), F.sort_array(F.transform(F.transform("hashes", low_half), ranked)).alias("ordered"))
-    sets = ordered.select("doc", "line_no", "key", F.transform("ordered", lambda k: (k.bitwiseAND(F.lit((1 << 32) - 1).cast("long")) - low).cast("int")).alias("words"))
+    key = F.xxhash64(F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h)), F.size("hashes"))
+    ordered = hashed.withColumn("ranks", rarity.scalar()).select("doc", "line_no", key.alias("key"), F.sort_array(F.transform("hashes", ranked)).alias("ordered"))
+    sets = ordered.select("doc", "line_no", "key", F.transform("ordered", lambda k: (low_half(k) - F.lit(1 << 31).cast("long")).cast("int")).alias("words"))
     return sets.select("doc", "line_no", "key", F.size("words").alias("n"), "words", *_parity(F.col("words"), F.size("words")))
 
 

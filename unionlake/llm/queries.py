@@ -147,14 +147,12 @@ select d.doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_removed, 0)::b
 """
 
 ORACLES["op4_spaced_seed_leaks"] = """
-with masks as (select * from (values (0, [0,1,3,4,7,9,10]), (1, [0,1,2,4,7,8,10]), (2, [0,2,3,5,6,7,10])) m(m, o)),
-d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w from documents),
+with dt as (select doc_id, generate_subscripts(w, 1) - 1 p, unnest(w) t from (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w from documents)),
 b as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w from benchmark),
-dw as (select doc_id, unnest(range(len(w) - 10)) p, w from d where len(w) >= 11), bw as (select item_id, unnest(range(len(w) - 10)) p, w from b where len(w) >= 11),
-dsd as (select doc_id, p, m, list_transform(o, lambda x: w[p + x + 1]) s from dw, masks), bsd as (select item_id, p, m, list_transform(o, lambda x: w[p + x + 1]) s from bw, masks),
-hit as (select distinct doc_id, item_id, dsd.p - bsd.p shift from dsd join bsd on dsd.m = bsd.m and dsd.s = bsd.s),
-same as (select doc_id, item_id, shift, len(b.w) n, list_transform(range(len(b.w)), lambda i: case when i + shift >= 0 and d.w[i + shift + 1] = b.w[i + 1] then 1 else 0 end) e from hit join d using (doc_id) join b using (item_id)),
-ok as (select doc_id, item_id, shift, n, list_sum(e)::bigint k from same where list_max(list_transform(range(n - least(n, 13) + 1), lambda i: list_sum(e[i + 1 : i + least(n, 13)]))) >= 0.8 * least(n, 13))
+bt as (select item_id, len(w) n, least(len(w), 13) width, generate_subscripts(w, 1) - 1 q, unnest(w) t from b),
+-- every alignment of a document and an item by its equal tokens
+al as (select doc_id, item_id, p - q shift, n, width, list(q) qs, count(*) k from dt join bt using (t) group by all having count(*) >= 0.8 * width),
+ok as (select * from al where list_max(list_transform(range(n - width + 1), lambda s: len(list_filter(qs, lambda q: q >= s and q < s + width)))) >= 0.8 * width)
 select doc_id, item_id, (min(row(-k, shift)))[2]::bigint token_at, max(k)::bigint n_same, any_value(n)::bigint n_item, count(*)::bigint n_places from ok group by 1, 2
 """
 
