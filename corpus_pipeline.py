@@ -6,6 +6,7 @@ Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and i
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from unionlake.llm import decontaminate, line_dedup, near_dup, quality
 from unionlake.llm.queries import packed_documents
@@ -44,7 +45,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def recount(docs: DataFrame) -> DataFrame:
-    return docs.selectExpr(*["length(text) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns]) if "n_chars" in docs.columns else docs
+    """``docs`` with the length of the text in n_chars, if it has that column; its type stays."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 STAGES = [
