@@ -77,12 +77,21 @@ class Rotation:
         return home, near[np.arange(len(rows)), home]
 
 
+def spread_out(rows: np.ndarray, k: int) -> np.ndarray:
+    """k of the unit vectors, each next one with the widest angle to those before: narrow cones for what they cover."""
+    chosen, near = [0], rows @ rows[0]
+    while len(chosen) < min(k, len(rows)):
+        chosen.append(int(near.argmin()))
+        np.maximum(near, rows @ rows[chosen[-1]], out=near)
+    return rows[chosen]
+
+
 def fit(lake: DataFrame, n: int, dim: int) -> Rotation:
-    """Axes of the lake, and centroids: a hash sample of at most MAX_LISTS vectors."""
+    """Axes of the lake, and at most MAX_LISTS centroids spread over a hash sample of four times as many vectors."""
     axes = principal_axes(lake, dim)
     k = min(MAX_LISTS, max(1, math.ceil(math.sqrt(n))))
-    rows = lake.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(k).collect()
-    return Rotation(axes, _unit(np.array([r["vec"] for r in rows], np.float64)) @ axes)
+    rows = lake.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(4 * k).collect()
+    return Rotation(axes, spread_out(_unit(np.array([r["vec"] for r in rows], np.float64)) @ axes, k))
 
 
 def _blocks(vecs: DataFrame, rotation: Rotation, n: int) -> DataFrame:
