@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from unionlake.functions import text as tx
+from unionlake.session import materialize
 
 TABLE, ROW = "table_name", "row_id"
 MAX_TOKENS = 512
@@ -56,10 +57,10 @@ def pad_and_mask(lin: DataFrame, batches: DataFrame) -> DataFrame:
     """L4: pad every row to the longest row of its batch; sequence mask,
     segment ids, table mask over the batch's widest row, column ids with the
     filler mapped to that width.  ``batches``: table_name, batch_id."""
-    b = lin.join(batches, TABLE)
-    wb = Window.partitionBy("batch_id")
-    b = b.withColumn("seq_len", F.size("tokens")).withColumn("max_seq_len", F.max("seq_len").over(wb)) \
-         .withColumn("max_col_num", F.max("n_cols").over(wb))
+    b = lin.join(batches, TABLE).withColumn("seq_len", F.size("tokens"))
+    # a row per batch, summed up before the shuffle; rows of a batch never meet in one task
+    widest = materialize(b.groupBy("batch_id").agg(F.max("seq_len").alias("max_seq_len"), F.max("n_cols").alias("max_col_num")), "batch-widths")
+    b = b.join(widest, "batch_id")
     pad = F.col("max_seq_len") - F.col("seq_len")
     return b.select(
         "batch_id", TABLE, ROW, "seq_len", "max_seq_len", "max_col_num",
@@ -79,20 +80,21 @@ def truncated_query_columns(offsets: DataFrame) -> DataFrame:
 
 def token_pool_columns(offsets: DataFrame, token_vecs: DataFrame, how: str = "mean") -> DataFrame:
     """Per (row, column) the mean, the max or the first of its kept token vectors;
-    special tokens take no part.  ``token_vecs``: token, vec.  -> table,
-    row, col_pos, column_name, vec."""
+    special tokens take no part, a token without a vector counts as zero.
+    ``token_vecs``: token, vec.  -> table, row, col_pos, column_name, vec."""
     if how not in ("mean", "max", "first"):
         raise ValueError(f"unknown pooling {how!r}")
     kept = F.least(F.col("kept"), F.lit(1)) if how == "first" else F.col("kept")
+    dim = dimension(token_vecs)
     ex = offsets.select(TABLE, ROW, "col_pos", "column_name",
                         F.explode(F.slice("tokens", 1, kept)).alias("token"))
-    dim_rows = ex.join(token_vecs, "token").select(TABLE, ROW, "col_pos", "column_name",
-                                                   F.posexplode("vec").alias("d", "x"))
-    agg = F.avg("x") if how == "mean" else F.max("x")
-    per_dim = dim_rows.groupBy(TABLE, ROW, "col_pos", "column_name", "d").agg(agg.alias("x"))
-    return (per_dim.groupBy(TABLE, ROW, "col_pos", "column_name")
-            .agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"))
-            .select(TABLE, ROW, "col_pos", "column_name", F.transform("v", lambda e: e["x"]).alias("vec")))
+    agg = F.avg if how == "mean" else F.max
+    pooled = F.array(*[agg(F.coalesce(F.col("vec")[d], F.lit(0.0))) for d in range(dim)])
+    return ex.join(token_vecs.select("token", "vec"), "token", "left").groupBy(TABLE, ROW, "col_pos", "column_name").agg(pooled.alias("vec"))
+
+
+def dimension(vecs: DataFrame) -> int:
+    return vecs.agg(F.max(F.size("vec"))).first()[0] or 0
 
 
 def row_pool_columns(cell_vecs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -100,8 +102,6 @@ def row_pool_columns(cell_vecs: DataFrame, rows: DataFrame) -> DataFrame:
     rows of the table (a column cut from a row counts as zero).
     ``rows``: table_name, row_id (all linearised rows)."""
     n_rows = rows.groupBy(TABLE).agg(F.countDistinct(ROW).alias("n_rows"))
-    ex = cell_vecs.select(TABLE, "column_name", F.posexplode("vec").alias("d", "x"))
-    s = ex.groupBy(TABLE, "column_name", "d").agg(F.sum("x").alias("s")).join(n_rows, TABLE)
-    return (s.groupBy(TABLE, "column_name")
-            .agg(F.array_sort(F.collect_list(F.struct("d", (F.col("s") / F.col("n_rows")).alias("x")))).alias("v"))
-            .select(TABLE, "column_name", F.transform("v", lambda e: e["x"]).alias("vec")))
+    sums = F.array(*[F.sum(F.col("vec")[d]) for d in range(dimension(cell_vecs))])
+    s = cell_vecs.groupBy(TABLE, "column_name").agg(sums.alias("sums")).join(n_rows, TABLE)
+    return s.select(TABLE, "column_name", F.transform("sums", lambda x: x / F.col("n_rows")).alias("vec"))

@@ -99,8 +99,9 @@ NAME_THRESHOLD = 0.5
 
 @register("name_search", f"WITH {LAKE} SELECT * FROM ({_sql_name_hits('vecs', NAME_THRESHOLD)})")
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vecs(spark, sf_dir)
-    return S.name_hits(v, v, NAME_THRESHOLD)
+    """Names need no vectors: the columns that would be indexed."""
+    names = materialize(L.indexable(spark, sf_dir).select("table_name", "column_name").distinct(), "column-names")
+    return S.name_hits(names, names, NAME_THRESHOLD)
 
 
 _SQL_MERGED = f"""merged AS (

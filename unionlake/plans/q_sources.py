@@ -4,6 +4,7 @@ with the source under test and returns what was read."""
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 
 from unionlake.operators import evaluate as EV, lsh, search as S, walks as W
 from unionlake.plans import lake as L
+from unionlake.plans import q_eval as QE
 from unionlake.plans import q_search as QS
 from unionlake.plans import q_walks as QW
 from unionlake.plans.registry import register
-from unionlake.session import scratch_path
+from unionlake.session import materialize, scratch_path
 from unionlake.sources import corpus, fixture_files as FF, fixtures as fx, lake as LK, sinks
 
 DIRTY = f"raw_cells AS ({L.sql_cells(dirty=True)})"
@@ -191,7 +193,8 @@ def vector_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecs.select("word", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vec_sum"))
 
 
-@register("walk_sink")
+@register("walk_sink", f"""WITH {QW.SQL_WEB}, {QW._SQL_ROWS}, {QW._SQL_ROW_TOKENS}
+SELECT walk AS value FROM row_corpus UNION ALL SELECT walk FROM row_corpus""")
 def walk_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     rw = W.row_walks(W.webtable_rows(QW.web_tables(spark, sf_dir), QW.MIN_COLUMNS), "row", QW.MIN_COLUMNS,
                      QW.MAX_ROWS)
@@ -204,25 +207,35 @@ def walk_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("search_result_sink", f"""WITH {L.sql_lake_ctes()},
 truth AS ({fx.sql_fragment_truth('clean_cells')}),
 hits AS ({lsh.sql_exact_hits('vecs', 'vecs', L.THRESHOLD)}),
-ranked AS ({S.sql_search_from_hits('hits', L.K)})
+best AS ({QS._SQL_BEST}),
+ranked AS ({S.sql_search_from_hits('hits', L.K)}),
+matched AS (SELECT q_table, c_table, string_agg(q_column || '>' || c_column, ',' ORDER BY q_column, c_column) AS matches FROM best GROUP BY ALL)
 SELECT r.query_table, r.rank, r.cand_table, r.score,
        EXISTS (SELECT 1 FROM truth t WHERE t.query_table = r.query_table AND t.data_lake_table = r.cand_table)
-       AS in_ground_truth FROM ranked r""")
+       AS in_ground_truth, m.matches FROM ranked r JOIN matched m ON m.q_table = r.query_table AND m.c_table = r.cand_table""")
 def search_result_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = L.lake_vectors(spark, sf_dir)
-    res = S.search(v, v, k=L.K, threshold=L.THRESHOLD, method="exact").drop("n_matched")
+    res = S.search(v, v, k=L.K, threshold=L.THRESHOLD, method="exact", with_matches=True).drop("n_matched")
     truth = fx.fragment_truth(L.clean_cells(spark, sf_dir))
     p = _path(spark, "results")
     sinks.search_result_sink(res, truth, p)
-    return spark.read.parquet(p).select("query_table", "rank", "cand_table", "score", "in_ground_truth")
+    pairs = F.array_join(F.transform("matches", lambda m: F.concat_ws(">", m["query_column"], m["cand_column"])), ",")
+    return spark.read.parquet(p).select("query_table", "rank", "cand_table", "score", "in_ground_truth", pairs.alias("matches"))
 
 
-@register("metrics_sink")
+@register("metrics_sink", f"""WITH {L.sql_lake_ctes()},
+truth AS ({fx.sql_fragment_truth('idx_cells')}), queries AS (SELECT DISTINCT table_name AS query_table FROM idx_cells),
+hits AS ({lsh.sql_exact_hits('vecs', 'vecs', L.THRESHOLD)}), ranked AS ({S.sql_search_from_hits('hits', 20)}), {QE._SQL_FLAGGED},
+m AS (WITH {QE._sql_macro([10, 20])})
+SELECT k, num_queries, precision, recall, 'exact' AS arg_method, '{L.THRESHOLD}' AS arg_threshold, true AS timed FROM m""")
 def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = L.lake_vectors(spark, sf_dir)
-    res = S.search(v, v, k=20, threshold=L.THRESHOLD, method="exact")
+    began = time.monotonic()
+    res = materialize(S.search(v, v, k=20, threshold=L.THRESHOLD, method="exact"), "results")
+    took = time.monotonic() - began
     cells = L.indexable(spark, sf_dir)
     m = EV.evaluate(res, fx.fragment_truth(cells), [10, 20], cells.select(F.col("table_name").alias("query_table")))
     p = _path(spark, "metrics")
-    sinks.metrics_sink(m, {"threshold": L.THRESHOLD, "method": "exact"}, p)
-    return spark.read.json(p)
+    sinks.metrics_sink(m, {"threshold": L.THRESHOLD, "method": "exact"}, p, lookup_seconds=took)
+    return spark.read.json(p).select(F.col("k").cast("int").alias("k"), "num_queries", "precision", "recall", "arg_method", "arg_threshold",
+                                     (F.col("seconds_per_query") > 0).alias("timed"))

@@ -3,10 +3,12 @@ word-vector files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from unionlake.session import materialize
+
 WEBTABLE_SCHEMA = T.StructType([
     T.StructField("table_id", T.StringType()),
     T.StructField("relation", T.ArrayType(T.ArrayType(T.StringType()))),
@@ -30,11 +32,22 @@ def webtable_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their 0-based line number across the files of ``path``
-    (file order by name, then position): a distributed index (zipWithIndex)."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"),
-                                         F.monotonically_increasing_id().alias("i"), "value")
-    ordered = lines.orderBy("f", "i").select("value")
-    return ordered.rdd.zipWithIndex().map(lambda r: (r[1], r[0]["value"])).toDF("line_no BIGINT, value STRING")
+    (file order by name, then position).
+
+    Lines keep the block of their file that they were read from and their
+    place in it; blocks are counted, a prefix sum over the counts (a row per
+    block, then a row per file) says how many lines come before each.  The
+    lines are written once: blocks and places hold for one scan."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("place"), "value")
+    lines = materialize(lines, "lines")
+    blocks = lines.groupBy("file", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = blocks.groupBy("file").agg(F.sum("n").alias("n"))
+    files = files.select("file", ahead(Window.orderBy("file")).alias("files_ahead"))
+    blocks = blocks.withColumn("ahead", ahead(Window.partitionBy("file").orderBy("block"))).join(files, "file")
+    starts = materialize(blocks.select("file", "block", (F.col("files_ahead") + F.col("ahead") - F.col("first")).alias("shift")), "line-starts")
+    return lines.join(starts, ["file", "block"]).select((F.col("place") + F.col("shift")).alias("line_no"), "value")
 
 
 def edge_scan(spark: SparkSession, path: str) -> DataFrame:

@@ -15,17 +15,22 @@ def walk_sink(walks: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def search_result_sink(results: DataFrame, truth: DataFrame, path: str, mode: str = "overwrite",
                        fmt: str = "parquet") -> None:
-    """Ranked results with the in-truth flag, one folder per query."""
+    """Ranked results with the in-truth flag and, if the search gives
+    them, the matched column pairs with their scores.  Rows of a query stand
+    together in files of bounded number; a reader prunes by query_table."""
     t = (truth.select("query_table", F.col("data_lake_table").alias("cand_table")).distinct()
          .withColumn("in_ground_truth", F.lit(True)))
     out = results.join(t, ["query_table", "cand_table"], "left").withColumn(
         "in_ground_truth", F.coalesce("in_ground_truth", F.lit(False)))
-    out.repartition("query_table").write.mode(mode).partitionBy("query_table").format(fmt).save(path)
+    out.repartitionByRange("query_table", "rank").sortWithinPartitions("query_table", "rank").write.mode(mode).format(fmt).save(path)
 
 
-def metrics_sink(metrics: DataFrame, args: dict, path: str, mode: str = "overwrite") -> None:
-    """Run arguments + metrics rows as JSON."""
+def metrics_sink(metrics: DataFrame, args: dict, path: str, mode: str = "overwrite", lookup_seconds: float | None = None) -> None:
+    """Run arguments + metrics rows as JSON, with the lookup time per
+    query if the caller has measured ``lookup_seconds`` for all of them."""
     out = metrics
     for k, v in sorted(args.items()):
         out = out.withColumn(f"arg_{k}", F.lit(str(v)))
+    if lookup_seconds is not None:
+        out = out.withColumn("seconds_per_query", F.lit(float(lookup_seconds)) / F.greatest("num_queries", F.lit(1)))
     out.coalesce(1).write.mode(mode).json(path)
