@@ -79,11 +79,17 @@ def _pieces(text: Column, kind: str, may: Column) -> Column:
     return F.when(may, let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.when(F.size(m) > 0, rows(m)).otherwise(empty))).otherwise(empty)
 
 
-def mentions(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(row, doc, copy, kind, from, to, match, first, last): valid matches in code points, with the numbers (from 0) of the first and last
-    word of the text that they touch.  row tells rows with equal ids apart, copy is the same for equal texts."""
+def text_key(text: str) -> Column:
+    """128 bits that stand for a text.  Spans depend on the text alone, so they are found once for equal texts and come back
+    to rows by this key: it is the same in every plan, which a row number is not."""
+    return F.struct(F.xxhash64(text_of(text)).alias("h1"), F.xxhash64(F.lit(0x5EED), text_of(text)).alias("h2"))
+
+
+def mentions(docs: DataFrame, text: str) -> DataFrame:
+    """(copy, kind, from, to, match, first, last): the valid matches of every distinct text in code points, with the numbers (from 0)
+    of the first and last word of the text that they touch; copy is the text's key."""
     t = F.col("text")
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc"), text_of(text).alias("text"))
+    base = docs.select(text_key(text).alias("copy"), text_of(text).alias("text"))
     digit = t.rlike("[0-9]")
     found = F.concat(
         _pieces(t, "email", F.contains(t, F.lit("@"))),
@@ -91,19 +97,21 @@ def mentions(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         _pieces(t, "card", digit),
         _pieces(t, "phone", F.contains(t, F.lit("+"))),
     )
-    rows = base.select("row", "doc", F.xxhash64("text").alias("copy"), F.inline_outer(found))
-    run = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # rows with equal texts give equal pieces
+    once = base.select("copy", F.inline(found)).groupBy("copy", "kind").agg(F.sort_array(F.collect_set(F.struct("i", "gap", "match", "begun"))).alias("pieces"))
+    rows = once.select("copy", "kind", F.inline("pieces"))
+    run = Window.partitionBy("copy", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     to = F.sum(F.col("gap") + F.length("match")).over(run)
     inner = F.size(words(F.col("match"))) - 1
     last = F.sum(F.col("begun") + inner).over(run) - 1
     placed = rows.withColumn("to", to).withColumn("last", last).withColumn("from", F.col("to") - F.length("match")).withColumn("first", F.col("last") - inner)
-    return placed.select("row", "doc", "copy", F.when(F.coalesce(_valid(F.col("kind"), F.col("match")), F.lit(False)), F.col("kind")).alias("kind"), "from", "to", "match", "first", "last")
+    return placed.where(F.coalesce(_valid(F.col("kind"), F.col("match")), F.lit(False))).select("copy", "kind", "from", "to", "match", "first", "last")
 
 
 def near_terms(docs: DataFrame, found: DataFrame, text: str, near: int) -> DataFrame:
     """(kind, match, copy, term): the words of each text within ``near`` words of a mention, on each side."""
-    spots = found.dropDuplicates(["copy", "kind", "match", "first", "last"]).groupBy("row", "copy").agg(F.collect_list(F.struct("kind", "match", "first", "last")).alias("spots"))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), text_of(text).alias("text"))
+    spots = found.groupBy("copy").agg(F.collect_set(F.struct("kind", "match", "first", "last")).alias("spots"))
+    base = docs.select(text_key(text).alias("copy"), text_of(text).alias("text"))
 
     def beside(all_words: Column) -> Column:
         def around(s: Column) -> Column:
@@ -113,14 +121,13 @@ def near_terms(docs: DataFrame, found: DataFrame, text: str, near: int) -> DataF
 
         return F.transform("spots", around)
 
-    each = base.join(spots, "row").select("copy", F.inline(let(words(F.col("text")), beside)))
+    each = base.join(spots, "copy").select("copy", F.inline(let(words(F.col("text")), beside)))
     return each.select("kind", "match", "copy", F.explode("terms").alias("term")).distinct()
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, p: DisclosureParams) -> DataFrame:
     """(kind, match, term, action): terms that disclose an entity beyond a threshold.  All counts are of distinct texts, so
     a copied document proves nothing and an entity that stands often in a text counts once there."""
-    found = found.where("kind is not null")
     entities = materialize(found.select("kind", "match", "copy").distinct().groupBy("kind", "match").agg(F.count(F.lit(1)).alias("ne")).where(F.col("ne") >= p.min_support), "pii-entities")
     beside = near_terms(docs, found.join(entities, ["kind", "match"], "left_semi"), text, p.near).where(F.col("term") != F.col("match"))
     counted = beside.groupBy("kind", "match", "term").agg(F.count(F.lit(1)).alias("net")).where(F.col("net") >= p.min_support)
@@ -144,30 +151,38 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, p: Disclosure
     return materialize(scored.select("kind", "match", "term", F.when(F.col("gain") >= p.remove, "remove").otherwise("generalise").alias("action")), "pii-terms")
 
 
-def term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(row, kind, from, to) of the words to remove or generalise: wherever a term stands in a document with its entity."""
-    marked = found.where("kind is not null").join(terms, ["kind", "match"]).groupBy("row", "term").agg(F.min(F.struct(F.when(F.col("action") == "remove", 0).otherwise(1).alias("o"), "action"))["action"].alias("action"))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc"), text_of(text).alias("text"))
+def term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame, text: str) -> DataFrame:
+    """(copy, kind, from, to) of the words to remove or generalise: wherever a term stands in a text with its entity."""
+    marked = found.join(terms, ["kind", "match"]).groupBy("copy", "term").agg(F.min(F.struct(F.when(F.col("action") == "remove", 0).otherwise(1).alias("o"), "action"))["action"].alias("action"))
+    marked = materialize(marked, "pii-marked")
+    base = docs.select(text_key(text).alias("copy"), text_of(text).alias("text")).join(marked.select("copy").distinct(), "copy", "left_semi").dropDuplicates(["copy"])
     # each piece is a word with the white space after it, so lengths add up to places
-    pieces = base.join(marked.select("row").distinct(), "row", "left_semi").select("row", F.posexplode(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")).alias("i", "piece"))
-    run = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = base.select("copy", F.posexplode(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")).alias("i", "piece"))
+    run = Window.partitionBy("copy").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = pieces.withColumn("from", F.sum(F.length("piece")).over(run) - F.length("piece")).withColumn("term", F.btrim("piece", F.lit(SPACE_CHARS)))
-    return placed.join(marked, ["row", "term"]).select("row", F.col("action").alias("kind"), "from", (F.col("from") + F.length("term")).alias("to"))
+    return placed.join(marked, ["copy", "term"]).select("copy", F.col("action").alias("kind"), "from", (F.col("from") + F.length("term")).alias("to"))
+
+
+def text_spans(docs: DataFrame, text: str = "text", params: DisclosureParams = DisclosureParams()) -> DataFrame:
+    """(copy, spans) of every distinct text with spans, written: arrays of (from, kind_no, to, kind) in code points, end
+    exclusive, sorted."""
+    found = materialize(mentions(docs, text), "pii-mentions")
+    terms = disclosing_terms(docs, found, text, params)
+    spans = found.select("copy", "kind", "from", "to")
+    if not terms.isEmpty():
+        spans = spans.unionByName(term_spans(docs, found, terms, text))
+    order = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(KINDS)])
+    span = F.struct(F.col("from").cast("long").alias("from"), order.alias("kind_no"), F.col("to").cast("long").alias("to"), "kind")
+    return materialize(spans.groupBy("copy").agg(F.sort_array(F.collect_list(span)).alias("spans")), "pii-spans")
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: DisclosureParams = DisclosureParams()) -> DataFrame:
     """One row per row of ``docs``: its id and spans, an array of (from, kind_no, to, kind) in code points, end exclusive, sorted.
 
-    Null text counts as empty; empty documents have no spans; rows that repeat an id are judged one by one."""
-    found = mentions(docs, text, doc_id)
-    terms = disclosing_terms(docs, materialize(found.where("kind is not null"), "pii-mentions"), text, params)
-    spans = found.select("row", "doc", "kind", "from", "to")
-    if not terms.isEmpty():
-        extra = term_spans(docs, found, terms, text, doc_id)
-        spans = spans.unionByName(extra.withColumn("doc", F.lit(None).cast(docs.schema[doc_id].dataType)))
-    order = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(KINDS)])
-    span = F.when(F.col("kind").isNotNull(), F.struct(F.col("from").cast("long").alias("from"), order.alias("kind_no"), F.col("to").cast("long").alias("to"), "kind"))
-    return spans.groupBy("row").agg(F.max("doc").alias(doc_id), F.sort_array(F.collect_list(span)).alias("spans"))
+    Null text counts as empty; empty documents have no spans; rows that repeat an id each have those of their text."""
+    spans = text_spans(docs, text, params)
+    rows = docs.select(F.col(doc_id).alias("doc"), text_key(text).alias("copy")).join(spans, "copy", "left")
+    return rows.select(F.col("doc").alias(doc_id), F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -175,11 +190,11 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["from"].cast("string"), s["to"].cast("string"))), ",")
 
 
-def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: DisclosureParams = DisclosureParams()) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", params: DisclosureParams = DisclosureParams()) -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in the text: the kind in brackets, nothing for a removed
     term, and a generalised term's shape (letters as x, digits as 0).  Overlapping spans are replaced from the first on; a null text stays null."""
-    row, spans, out = fresh(docs, "pii_row", "pii_spans", "pii_text")
-    found = find(docs, text, doc_id, params).select(F.col("row").alias(row), F.col("spans").alias(spans))
+    key, spans = fresh(docs, "pii_key", "pii_spans")
+    found = text_spans(docs, text, params).select(F.col("copy").alias(key), F.col("spans").alias(spans))
     t = F.col(text)
 
     def put(s: Column) -> Column:
@@ -195,5 +210,5 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params
         return F.struct(F.greatest(a["at"], s["to"]).alias("at"), new.alias("out"))
 
     replaced = F.aggregate(F.col(spans), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(t, a["at"].cast("int") + 1, F.length(t))))
-    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(found, row, "left")
+    joined = docs.withColumn(key, text_key(text)).join(found, key, "left")
     return joined.withColumn(text, F.when(F.size(spans) > 0, replaced).otherwise(t)).select(*docs.columns)
