@@ -108,10 +108,15 @@ def mentions(docs: DataFrame, text: str) -> DataFrame:
     return placed.where(F.coalesce(_valid(F.col("kind"), F.col("match")), F.lit(False))).select("copy", "kind", "from", "to", "match", "first", "last")
 
 
+def may_mention(t: Column) -> Column:
+    """True for every text with a valid match of some kind, and few others."""
+    return F.contains(t, F.lit("@")) | t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){11}")
+
+
 def near_terms(docs: DataFrame, found: DataFrame, text: str, near: int) -> DataFrame:
     """(kind, match, copy, term): the words of each text within ``near`` words of a mention, on each side."""
     spots = found.groupBy("copy").agg(F.collect_set(F.struct("kind", "match", "first", "last")).alias("spots"))
-    base = docs.select(text_key(text).alias("copy"), text_of(text).alias("text"))
+    base = docs.where(may_mention(text_of(text))).select(text_key(text).alias("copy"), text_of(text).alias("text"))
 
     def beside(all_words: Column) -> Column:
         def around(s: Column) -> Column:
@@ -141,7 +146,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, p: Disclosure
     gain = lambda nt: F.log2(F.col("net") * n / (F.col("ne") * nt)) / F.greatest(F.log2(n / F.col("ne")), F.lit(1e-9))
     # rows with a term, less all rows that repeat a text, are no more than its texts: words that can't reach the threshold
     # go before texts are told apart
-    held = texts.select(F.explode(F.array_distinct(F.split("text", SPACE_RUN))).alias("term")).join(pairs.select("term").distinct(), "term", "left_semi")
+    held = texts.select(F.explode(F.array_distinct(F.split("text", SPACE_RUN))).alias("term"))
     rows = held.groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
     least = F.greatest(F.col("rows") - repeats, F.col("net"))
     pairs = materialize(pairs.join(rows, "term").where(gain(least) >= p.generalise - 1e-6).drop("rows"), "pii-likely")
