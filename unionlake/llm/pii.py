@@ -139,19 +139,17 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, p: Disclosure
     pairs = materialize(counted.join(entities, ["kind", "match"]), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("kind", "match", "term", F.lit("remove").alias("action"))
-    texts = docs.select(text_of(text).alias("text"))
-    copies = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)), F.sum("c")).first()
-    total, repeats = copies[0], copies[1] - copies[0]
+    # a text that c rows repeat has its words in c rows, so the rows with a term, grouped by c and divided by it, are the
+    # texts with the term: one pass over the words and no text is told from another word by word
+    texts = docs.select(text_of(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    copies = texts.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    total = copies.count()
+    repeated = materialize(copies.where("c > 1"), "pii-repeated")
     n = F.lit(float(max(total, 2)))
     gain = lambda nt: F.log2(F.col("net") * n / (F.col("ne") * nt)) / F.greatest(F.log2(n / F.col("ne")), F.lit(1e-9))
-    # rows with a term, less all rows that repeat a text, are no more than its texts: words that can't reach the threshold
-    # go before texts are told apart
-    held = texts.select(F.explode(F.array_distinct(F.split("text", SPACE_RUN))).alias("term"))
-    rows = held.groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
-    least = F.greatest(F.col("rows") - repeats, F.col("net"))
-    pairs = materialize(pairs.join(rows, "term").where(gain(least) >= p.generalise - 1e-6).drop("rows"), "pii-likely")
-    seen = texts.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.split("text", SPACE_RUN))).alias("term"))
-    holding = seen.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+    words_of = F.explode(F.array_distinct(F.split("text", SPACE_RUN))).alias("term")
+    rows = texts.join(repeated, "h", "left").select(F.coalesce("c", F.lit(1)).alias("c"), words_of).groupBy("term", "c").agg(F.count(F.lit(1)).alias("rows"))
+    holding = rows.groupBy("term").agg(F.sum(F.expr("rows div c")).alias("nt"))
     scored = pairs.join(holding, "term").withColumn("gain", gain(F.col("nt"))).where(F.col("gain") >= p.generalise)
     return materialize(scored.select("kind", "match", "term", F.when(F.col("gain") >= p.remove, "remove").otherwise("generalise").alias("action")), "pii-terms")
 
