@@ -155,6 +155,27 @@ def test_packing(make_docs):
     assert packing.pack(packing.pieces(docs.limit(0), WORD)).count() == 0
 
 
+@pytest.mark.parametrize("low,high", [(700, 2000), (1000, 1600), (1, 4096)])
+def test_exchange_brings_partitions_near_one_task(spark, low, high):
+    g = np.random.default_rng(low)
+    lengths = g.integers(low, high + 1, 6000)
+    cut = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECE)
+    packed = packing.pack(cut, group=500)
+    used, bound = packing.certificate(packed)
+    alone = sum(len(packing.best_fit(p, 4096)[2]) for p in np.array_split(lengths, 12))  # partitions without an exchange
+    whole = len(packing.best_fit(lengths, 4096)[2])
+    assert packed.count() == 6000 and packed.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 4096").isEmpty()
+    assert bound <= used <= alone and used - whole <= max(2, 0.02 * whole), (bound, whole, used, alone)
+
+
+def test_given_up_sequences():
+    fill, counts = np.array([4096, 10, 4000, 4096, 3000, 3500]), np.array([1, 1, 2, 3, 2, 3])
+    assert np.flatnonzero(packing.given_up(fill, counts, True, 4096)).tolist() == [1]
+    assert np.flatnonzero(packing.given_up(fill, counts, False, 4096)).tolist() == [1, 4, 5]
+    assert not packing.given_up(np.array([4096]), np.array([9]), True, 4096).any()
+    assert packing.given_up(np.array([4000]), np.array([9]), False, 4096).all()
+
+
 def test_bounds_never_exceed_best_packings():
     r = random.Random(2)
     for _ in range(300):

@@ -2,8 +2,8 @@
 
 Documents are cut into pieces of at most ``capacity`` tokens.  Pieces are dealt to partitions of bounded size, each packed by
 best-fit decreasing.  Dual feasible functions give a lower bound of a partition's sequences: a partition that meets it is
-certified and closes all sequences but its emptiest; a partition with a gap gives up all sequences that are not full.  What is
-given up is exchanged: dealt anew to fewer partitions, and packed again.
+certified and closes all sequences but its emptiest; a partition with a gap gives up its emptiest sequences, up to half of its
+pieces.  What is given up is exchanged: dealt anew to fewer partitions, and packed again.
 """
 
 from __future__ import annotations
@@ -88,17 +88,24 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, fill
 
 
+def given_up(fill: np.ndarray, counts: np.ndarray, certified: bool, capacity: int) -> np.ndarray:
+    """Which sequences a partition exchanges: the emptiest, if certified; else from the emptiest on while they hold at most half
+    of the pieces.  Full sequences stay."""
+    order = np.argsort(fill, kind="stable")
+    half = np.cumsum(counts[order]) <= counts.sum() // 2
+    give = np.zeros(len(fill), bool)
+    give[order[0]] = True
+    if not certified:
+        give[order[half]] = True
+    return give & (fill < capacity)
+
+
 def _pack(capacity: int, round_no: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc", "piece", "crc"], ascending=[False, True, True, True], ignore_index=True)
         bins, offsets, fill = best_fit(group["length"].to_numpy(np.int64), capacity)
         certified = len(fill) == lower_bound(group["length"].to_numpy(), capacity)
-        if last:
-            closed = np.ones(len(fill), bool)
-        elif certified:
-            closed = np.arange(len(fill)) != np.argmin(fill)
-        else:
-            closed = fill == capacity
+        closed = np.ones(len(fill), bool) if last else ~given_up(fill, np.bincount(bins), certified, capacity)
         return group.assign(sequence_id=(round_no << 56) + (int(group["part"].iloc[0]) << 24) + bins, offset=offsets, closed=closed[bins], certified=certified).drop(columns="part")
 
     return pack
@@ -107,24 +114,22 @@ def _pack(capacity: int, round_no: int, last: bool) -> Callable[[pd.DataFrame],
 def pack(cut: DataFrame, capacity: int = 4096, group: int = 50_000) -> DataFrame:
     """The pieces with sequence_id and offset: every piece once, sequences gapless from 0.
 
-    group: pieces packed by one task.  The rounds end when one task can take what is left, or an exchange no longer
-    halves it; then all is closed.  Repeated rows are packed one by one.  An empty table gives an empty result."""
+    group: pieces packed by one task.  Every round gives up at most half of the pieces (or one sequence of a partition) and at
+    least halves the partitions, so a task stays within the group or some sequences; the rounds end when one task can take what is
+    left.  Repeated rows are packed one by one.  An empty table gives an empty result."""
     schema = f"{PIECE}, sequence_id long, offset long, closed boolean, certified boolean"
-    pool, n, done, round_no = materialize(cut, "pieces"), None, [], 0
-    n = pool.count()
+    pool, done, round_no = materialize(cut, "pieces"), [], 0
+    parts = max(1, -(-pool.count() // group))
     while True:
-        parts = max(1, -(-n // group))
         last = parts == 1
         dealt = pool.withColumn("part", F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(parts)).cast("long"))
         packed = materialize(dealt.groupBy("part").applyInPandas(_pack(capacity, round_no, last), schema), "packed")
         left = 0 if last else packed.where("not closed").count()
-        if not last and left > n / 2:  # exchanging no longer pays
-            done.append(packed)
-            break
         done.append(packed.where("closed"))
         if not left:
             break
-        pool, n, round_no = packed.where("not closed").select("doc", "piece", "start", "length", "crc"), left, round_no + 1
+        pool = packed.where("not closed").select("doc", "piece", "start", "length", "crc")
+        parts, round_no = max(1, min(-(-left // group), parts // 2)), round_no + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
