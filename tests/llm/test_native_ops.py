@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import os
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -288,3 +289,72 @@ def test_urls(spark):
     assert v[129][3] == "block" and v[229][3] == "allow" and v[1][3] == "allow"
     assert {r["__url_verdict"].verdict for r in url_filter.judge(pages, labels.limit(0), rules).where("page_id in (100, 200)").collect()} == {"allow"}
     assert url_filter.judge(pages.limit(0), labels, rules).count() == 0 and url_filter.judge(pages, labels, rules.limit(0)).count() == len(urls)
+
+
+def brute_reputations(hosts, p, suffixes=url_filter.TWO_LABEL_SUFFIXES):
+    """Posterior mean and lower bound of every host, level by level in plain Python."""
+    def split(h):
+        x = h.split(".")
+        k = 2 if ".".join(x[-2:]) in suffixes else 1
+        return ".".join(x[-k:]), ".".join(x[-k - 1 :])
+
+    def summed(part):
+        out = {}
+        for h, n, bad in hosts:
+            a = out.setdefault(part(h), [0, 0])
+            a[0], a[1] = a[0] + n, a[1] + bad
+        return out
+
+    def weight(groups, m):
+        groups = [(n, b) for n, b in groups if n]
+        if not groups:
+            return p.min_strength
+        n = sum(g[0] for g in groups)
+        beyond = max(sum(k * (b / k - m) ** 2 for k, b in groups) / n - m * (1 - m) * len(groups) / n, 1e-9)
+        return min(max(m * (1 - m) / beyond - 1, p.min_strength), p.max_strength)
+
+    tops, domains = summed(lambda h: split(h)[0]), summed(lambda h: split(h)[1])
+    m0 = (sum(b for _, _, b in hosts) + 1) / (sum(n for _, n, _ in hosts) + 2)
+    s = weight(tops.values(), m0)
+    m1 = {k: (b + m0 * s) / (n + s) for k, (n, b) in tops.items()}
+    up = {split(h)[1]: split(h)[0] for h, _, _ in hosts}
+    s = {t: weight([v for d, v in domains.items() if up[d] == t], m1[t]) for t in tops}
+    m2 = {d: (b + m1[up[d]] * s[up[d]]) / (n + s[up[d]]) for d, (n, b) in domains.items()}
+    s = {d: weight([(n, b) for h, n, b in hosts if split(h)[1] == d], m2[d]) for d in domains}
+    out = {}
+    for h, n, b in hosts:
+        d = split(h)[1]
+        mean = (b + m2[d] * s[d]) / (n + s[d])
+        out[h] = (mean, mean - p.z * (mean * (1 - mean) / (n + s[d] + 1)) ** 0.5)
+    return out
+
+
+def test_reputations_against_plain_python(spark):
+    r = random.Random(8)
+    hosts = [("", 3, 1), ("com", 0, 0), ("co.uk", 5, 5), ("solo.net", 0, 0), ("one.solo.org", 40, 39)]
+    for d in ("evil.com", "fine.com", "mixed.co.uk", "a.b.org", "quiet.net", "thin.org"):
+        share = {"evil.com": 0.95, "fine.com": 0.02, "mixed.co.uk": None}.get(d, 0.3)
+        for i in range(r.randint(1, 9)):
+            n = r.choice([0, 1, 4, 60])
+            q = share if share is not None else r.choice([0.0, 1.0])
+            hosts.append((f"h{i}.{d}", n, sum(r.random() < q for _ in range(n))))
+    p = url_filter.ReputationParams()
+    df = spark.createDataFrame([(h, float(n), float(b)) for h, n, b in hosts], "host string, n double, bad double")
+    got = {x.host: (x.mean, x.lower) for x in url_filter.reputations(df, p).collect()}
+    want = brute_reputations(hosts, p)
+    assert got.keys() == want.keys() and all(got[h] == pytest.approx(want[h], rel=1e-9) for h in want)
+    blocked = {h for h, v in got.items() if v[1] > p.limit}
+    assert blocked and all(b > n / 2 for h, n, b in hosts if h in blocked and n) and not any(h.endswith("fine.com") for h in blocked)
+
+
+def test_reputation_blocks_unseen_pages_of_bad_hosts(spark):
+    """Half of the labels fit the reputations; on the other half the blocked pages are nearly all bad."""
+    r = random.Random(5)
+    share = {f"s{i}.{'spam' if i % 4 == 0 else 'news'}{i // 8}.com": (0.9 if i % 4 == 0 else 0.05) for i in range(48)}
+    rows = [(k, h, r.random() < q) for k, (h, q) in enumerate((h, q) for h, q in share.items() for _ in range(r.choice([4, 30, 80])))]
+    pages = spark.createDataFrame([(k, f"http://{h}/{k}") for k, h, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(k, b) for k, h, b in rows if k % 2 == 0], "page_id long, bad boolean")
+    v = {x.page_id: x["__url_verdict"].verdict for x in url_filter.judge(pages, labels, spark.createDataFrame([], "rule string, action string")).collect()}
+    unseen = [(v[k] == "block", b) for k, h, b in rows if k % 2]
+    caught = sum(x and b for x, b in unseen)
+    assert caught >= 0.8 * sum(x for x, _ in unseen) and caught >= 0.6 * sum(b for _, b in unseen)

@@ -157,6 +157,43 @@ select doc_id, item_id, (min(row(-k, shift)))[2]::bigint token_at, max(k)::bigin
 """
 
 
+def _sql_strength(mean: str, groups: str, by: str = "") -> str:
+    """The prior weight of the groups (n, bad) below each parent."""
+    p, over = url_filter.ReputationParams(), f"any_value({mean}) * (1 - any_value({mean}))"
+    beyond = f"greatest(sum(n * power(bad / n - {mean}, 2)) / sum(n) - {over} * count(*) / sum(n), 1e-9)"
+    return f"select {by + ', ' if by else ''}least(greatest({over} / {beyond} - 1, {p.min_strength}), {p.max_strength}) s from {groups} where n > 0{' group by ' + by if by else ''}"
+
+
+def _sql_op3() -> str:
+    p = url_filter.ReputationParams()
+    labels = "string_split(host, '.')"
+    last = lambda k: f"array_to_string({labels}[greatest(len({labels}) - {k - 1}, 1):], '.')"
+    two = "(" + ", ".join(f"'{x}'" for x in url_filter.TWO_LABEL_SUFFIXES) + ")"
+    rules = ", ".join(f"('{r}', '{a}')" for r, a in URL_RULES)
+    shrunk = lambda prior: f"(bad + {prior} * coalesce(s, {p.min_strength})) / (n + coalesce(s, {p.min_strength}))"
+    return f"""
+with pg as (select row_number() over () rid, page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+  regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') path from pages),
+marks as (select doc_id page_id, max((quality = 0 or toxic = 1)::int) b from labels where (quality = 0 or toxic = 1) is not null group by 1),
+h as (select host, {last(1)} one, {last(2)} two, {last(3)} three, count(b)::double n, coalesce(sum(b), 0)::double bad from pg left join marks using (page_id) group by host),
+hosts as (select host, case when two in {two} then three else two end as domain, case when two in {two} then two else one end as suffix, n, bad from h),
+m as (select (sum(bad) + 1) / (sum(n) + 2) m0 from hosts),
+t0 as (select suffix, sum(n) n, sum(bad) bad, any_value(m0) m0 from hosts, m group by suffix),
+t1 as (select suffix, {shrunk("m0")} m1 from t0 left join ({_sql_strength("m0", "t0")}) on true),
+d0 as (select suffix, domain, sum(n) n, sum(bad) bad, any_value(m1) m1 from hosts join t1 using (suffix) group by all),
+d1 as (select domain, {shrunk("m1")} m2 from d0 left join ({_sql_strength("m1", "d0", "suffix")}) using (suffix)),
+h0 as (select host, domain, n, bad, m2 from hosts join d1 using (domain)),
+h1 as (select host, n + coalesce(s, {p.min_strength}) w, {shrunk("m2")} mean from h0 left join ({_sql_strength("m2", "h0", "domain")}) using (domain)),
+facts as (select host, mean - {p.z} * sqrt(mean * (1 - mean) / (w + 1)) low from h1),
+rules as (select rule, action, split_part(rule, '/', 1) as at_host, substr(rule, instr(rule, '/')) start from (values {rules}) r(rule, action)),
+fit as (select rid, rule, action from pg join rules on (host = at_host or ends_with(host, '.' || at_host)) and starts_with(path, start) qualify row_number() over (partition by rid order by length(rule) desc, length(at_host) desc, action <> 'block', rule) = 1)
+select page_id, host, path, rule, coalesce(action, case when low > {p.limit} then 'block' else 'allow' end) verdict from pg left join facts using (host) left join fit using (rid)
+"""
+
+
+ORACLES["op3_url_reputation"] = _sql_op3()
+
+
 def _sql_whole(scale: int, where: str) -> str:
     finite = "embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0"
     return f"select vec_id, label, list_transform(embedding, lambda v: floor({scale} * v::double)) v from embeddings where {finite}{where}"
