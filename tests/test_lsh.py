@@ -91,3 +91,26 @@ def test_index_of_other_parameters_is_an_error(spark, tmp_path):
     assert lsh.load_or_build_index(vecs, path, 0.7, seed=1).signatures().count() == built.signatures().count() == 4
     with pytest.raises(ValueError):
         lsh.load_or_build_index(vecs, path, 0.7, seed=2)
+
+
+def test_unselective_bands_are_compared_in_blocks(spark, monkeypatch):
+    from unionlake.operators import signature_blocks as B
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(90, 8))
+    base[60:] = base[:30] + 0.05 * rng.normal(size=(30, 8))
+    base[89] = base[0]  # one vector twice
+    rows = [(f"t{i % 7}", f"c{i}", [float(x) for x in v]) for i, v in enumerate(base)] + [("t0", "zero", [0.0] * 8)]
+    df = spark.createDataFrame(rows, "table_name STRING, column_name STRING, vec ARRAY<DOUBLE>").repartition(3)
+    some = df.where("table_name in ('t1', 't3')")
+    both = lambda q, **kw: sorted(map(tuple, lsh.lsh_join(q, df, 0.3, **kw).collect()))
+    cases = [(df, {}), (some, {}), (df, {"score": "signature"}), (df, {"bits": 100})]
+    joined = [both(q, **kw) for q, kw in cases]
+    shapes, compared = [], B.compared
+    monkeypatch.setattr(lsh, "MATCHES", 0)
+    monkeypatch.setattr(lsh, "PRODUCTS", 1 << 40)
+    monkeypatch.setattr(B, "compared", lambda *a: shapes.append(a[1].count()) or compared(*a))
+    for size in (2048, 7):
+        monkeypatch.setattr(B.blocks, "__defaults__", (size,))
+        assert [both(q, **kw) for q, kw in cases] == joined
+    assert len(shapes) == 8 and shapes[-1] >= 89 // 7  # no candidate pair was a row

@@ -6,7 +6,9 @@
   band key are candidates, which the exact cosine verifies.
 * ``build_index`` / ``append_to_index`` / ``lookup`` (A13, U4, U5): signatures
   and band rows stored as Parquet in generations; a lookup joins the stored
-  bands, and new tables are a new generation.
+  bands, and new tables are a new generation.  Bands of few bits (a low
+  threshold) hold large shares of all pairs: then blocks of vectors are
+  compared, and a pair still needs a band in common (signature_blocks).
 
 All of them work on distinct vectors: a lake full of copies (constant columns,
 copied tables) does not turn one bucket into a quadratic hot spot.  ``RepHits``
@@ -24,12 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unionlake.functions import vectors as V
-from unionlake.operators import exact_join
+from unionlake.operators import exact_join, signature_blocks
 from unionlake.session import materialize, scratch_path
 
 TABLE, COLUMN = "table_name", "column_name"
 DEFAULT_BITS = 1024
 DEFAULT_SEED = 12345
+#: Rows that may meet in the bands at any rate, and the products of vectors that are as much work as one of them.
+MATCHES, PRODUCTS = 1_000_000, 400
 
 
 def _nonzero(vecs: DataFrame) -> DataFrame:
@@ -213,27 +217,43 @@ def lookup(queries: DataFrame | None, index: Index, score: str = "exact") -> Rep
     indexed column a query, whose bands are stored as well.  Candidates are
     verified by the exact cosine (``score='exact'``) or the signature estimate
     (``score='signature'``)."""
+    if score not in ("exact", "signature"):
+        raise ValueError(f"unknown score {score!r}")
     as_id = lambda df: df.withColumnRenamed("key", "id")
-    members = as_id(index.members)
+    members = index.members
     if queries is None:
         q_sig, q_bands, q_mem = index.reps, index.bands, members
     else:
         keyed = _nonzero(queries).withColumn("key", vector_key("vec"))
         reps = keyed.groupBy("key").agg(F.first("vec").alias("vec"))
         q_sig = materialize(reps.withColumn("bits", V.signature_bits(F.col("vec"), index.bits, index.dim, index.seed)), "query-signatures")
-        q_bands, q_mem = band_rows(q_sig, index.threshold, index.bits), as_id(keyed.select("key", TABLE, COLUMN))
+        q_bands, q_mem = band_rows(q_sig, index.threshold, index.bits), keyed.select("key", TABLE, COLUMN)
+    if unselective(q_bands, index.bands, q_sig.count(), index.reps.count()):
+        c_blocks, c_ids = signature_blocks.blocks(index.reps)
+        q_blocks, q_ids = (c_blocks, c_ids) if queries is None else signature_blocks.blocks(q_sig)
+        by_id = lambda mem, ids: mem.join(ids, "key").select("id", TABLE, COLUMN)
+        members = by_id(members, c_ids)
+        pairs = signature_blocks.compared(q_blocks, c_blocks, index.threshold, index.bits, index.dim, score)
+        return RepHits(pairs, members if queries is None else by_id(q_mem, q_ids), members)
+    members = as_id(members)
     cand = q_bands.withColumnRenamed("key", "q_id").join(index.bands.withColumnRenamed("key", "c_id"), ["band_id", "band_key"]).select("q_id", "c_id").distinct()
     q, c = as_id(q_sig), as_id(index.reps)
     if score == "exact":
         pairs = scored_pairs(q, c, cand, index.threshold)
-    elif score == "signature":
+    else:
         both = (cand.join(q.select(F.col("id").alias("q_id"), F.col("bits").alias("q_bits")), "q_id")
                 .join(c.select(F.col("id").alias("c_id"), F.col("bits").alias("c_bits")), "c_id"))
         pairs = both.select("q_id", "c_id", V.round_score(V.signature_similarity("q_bits", "c_bits", index.bits)).alias("score"))
         pairs = pairs.where(F.col("score") >= F.lit(index.threshold))
-    else:
-        raise ValueError(f"unknown score {score!r}")
-    return RepHits(pairs, q_mem, members)
+    return RepHits(pairs, members if queries is None else as_id(q_mem), members)
+
+
+def unselective(q_bands: DataFrame, c_bands: DataFrame, n_q: int, n_c: int) -> bool:
+    """Whether so many rows meet in the bands that blocks of vectors are compared instead (signature_blocks)."""
+    count = lambda df, n: df.groupBy("band_id", "band_key").agg(F.count(F.lit(1)).alias(n))
+    both = count(q_bands, "q").withColumn("c", F.col("q")) if q_bands is c_bands else count(q_bands, "q").join(count(c_bands, "c"), ["band_id", "band_key"])
+    met = both.agg(F.sum(F.col("q").cast("double") * F.col("c"))).first()[0] or 0
+    return met > max(MATCHES, n_q * n_c / PRODUCTS)
 
 
 def lsh_rep_hits(queries: DataFrame, lake: DataFrame, threshold: float, bits: int = DEFAULT_BITS,
