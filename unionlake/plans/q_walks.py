@@ -23,13 +23,23 @@ MAX_ROWS = 10
 WEB_ROWS = 100  # rows of a fragment packed into one web table (by row id range)
 
 
+EDGES_PER_TASK = 500_000
+
+
 # --- graph fixture -----------------------------------------------------------------
+def graph_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that the graph is dealt to: order lines are counted in the footers."""
+    return 1 + fx.read_table(spark, sf_dir, "lineitem").count() // EDGES_PER_TASK
+
+
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = graph_parts(spark, sf_dir)
     li = fx.read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     o = fx.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    e = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(
-        F.col("o_custkey").alias("u"), (F.col("l_partkey") + PART_OFFSET).alias("v")).agg(
-        F.count(F.lit(1)).cast("double").alias("w"))
+    if parts > 1:
+        li, o = li.repartition(parts, "l_orderkey"), o.repartition(parts, "o_orderkey")
+    e = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("u"), (F.col("l_partkey") + PART_OFFSET).alias("v"))
+    e = e.repartition(parts, "u", "v").groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
     return e.withColumn("line_no", F.col("u") * 10_000_000 + F.col("v"))
 
 
@@ -56,14 +66,18 @@ def edge_weight_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.edge_weight_filter(graph_edges(spark, sf_dir), WEIGHT_LIMIT).select("u", "v", "w")
 
 
+def _adjacency(spark, sf_dir):
+    return W.symmetrize(graph_edges(spark, sf_dir), graph_parts(spark, sf_dir))
+
+
 @register("edge_symmetrize", f"WITH {_SQL_ADJ} SELECT u, v, w FROM adj")
 def edge_symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.symmetrize(graph_edges(spark, sf_dir))
+    return _adjacency(spark, sf_dir)
 
 
 @register("edge_union", f"WITH {_SQL_ADJ} SELECT u, count(*) AS degree, sum(w) AS weight FROM adj GROUP BY u")
 def edge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adj = W.symmetrize(graph_edges(spark, sf_dir))
+    adj = _adjacency(spark, sf_dir)
     return adj.groupBy("u").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("weight"))
 
 
@@ -71,7 +85,7 @@ def edge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT u, v, w, sum(w) OVER (PARTITION BY u ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running,
        sum(w) OVER (PARTITION BY u) AS total FROM adj""")
 def cumulative_edge_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.cumulative_weights(W.symmetrize(graph_edges(spark, sf_dir)))
+    return W.cumulative_weights(_adjacency(spark, sf_dir), parts=graph_parts(spark, sf_dir))
 
 
 def _sql_u(seed: int, *parts: str) -> str:
@@ -84,7 +98,7 @@ k AS (SELECT u, v, -ln({_sql_u(SEED, "'n' || CAST(u AS VARCHAR)", '1', 'v')}) /
 SELECT u, v AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY key, v) AS rn FROM k) WHERE rn = 1""")
 def weighted_neighbor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One weighted draw per node (walk id 'n<u>', step 1)."""
-    adj = W.symmetrize(graph_edges(spark, sf_dir))
+    adj = _adjacency(spark, sf_dir)
     key = W.choice_key(SEED, F.concat(F.lit("n"), F.col("u").cast("string")), F.lit(1), F.col("v"), F.col("w"))
     return adj.groupBy("u").agg(F.min(F.struct(key.alias("k"), F.col("v"))).alias("c")).select(
         "u", F.col("c.v").alias("chosen"))
@@ -115,8 +129,8 @@ def _sql_walks(number_walks: int, walk_length: int, seed: int) -> str:
 
 
 def _walks(spark, sf_dir):
-    adj = W.symmetrize(graph_edges(spark, sf_dir))
-    return W.graph_walks(adj, NUMBER_WALKS, WALK_LENGTH, SEED)
+    adj = _adjacency(spark, sf_dir)
+    return W.graph_walks(adj, NUMBER_WALKS, WALK_LENGTH, SEED, parts=graph_parts(spark, sf_dir))
 
 
 @register("graph_walks", f"""WITH {_SQL_ADJ}, {_sql_walks(NUMBER_WALKS, WALK_LENGTH, SEED)}
@@ -129,8 +143,8 @@ def graph_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("walk_step_join", f"""WITH {_SQL_ADJ}, {_sql_walks(1, 2, SEED)}
 SELECT walk_id, array_to_string(path, ' ') AS walk FROM walks""")
 def walk_step_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adj = W.symmetrize(graph_edges(spark, sf_dir))
-    w = W.graph_walks(adj, 1, 2, SEED)
+    adj = _adjacency(spark, sf_dir)
+    w = W.graph_walks(adj, 1, 2, SEED, parts=graph_parts(spark, sf_dir))
     return w.select("walk_id", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("walk"))
 
 
@@ -164,31 +178,20 @@ def web_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments of the (null-injected) lake packed into web tables of at most
     ``WEB_ROWS`` row-id range each; even fragments are stored column-major
     (headerPosition FIRST_ROW, transposed on read), odd ones row-major
-    (FIRST_COLUMN).  -> table_id, headerPosition, relation."""
-    c = L.raw_cells(spark, sf_dir, dirty=True).withColumn(
-        "table_id", F.concat_ws("#", "table_name", (F.col("row_id") / WEB_ROWS).cast("long").cast("string")))
-    frag = F.substring_index("table_name", "__", -1).cast("int")
-    cols = (c.groupBy("table_id", "table_name", "col_pos", "column_name")
-            .agg(F.array_sort(F.collect_list(F.struct("row_id", "value"))).alias("vals"))
-            .select("table_id", "table_name", "col_pos",
-                    F.concat(F.array("column_name"), F.transform("vals", lambda x: x["value"])).alias("col")))
-    col_major = (cols.groupBy("table_id", "table_name")
-                 .agg(F.array_sort(F.collect_list(F.struct("col_pos", "col"))).alias("cs"))
-                 .select("table_id", "table_name", F.transform("cs", lambda x: x["col"]).alias("relation")))
-    rows = (c.groupBy("table_id", "table_name", "row_id")
-            .agg(F.array_sort(F.collect_list(F.struct("col_pos", "value"))).alias("vals"))
-            .select("table_id", "table_name", "row_id", F.transform("vals", lambda x: x["value"]).alias("r")))
-    header = (c.select("table_id", "table_name", "col_pos", "column_name").distinct()
-              .groupBy("table_id", "table_name")
-              .agg(F.array_sort(F.collect_list(F.struct("col_pos", "column_name"))).alias("h"))
-              .select("table_id", "table_name", F.lit(-1).cast("long").alias("row_id"),
-                      F.transform("h", lambda x: x["column_name"]).alias("r")))
-    row_major = (rows.unionByName(header).groupBy("table_id", "table_name")
-                 .agg(F.array_sort(F.collect_list(F.struct("row_id", "r"))).alias("rs"))
-                 .select("table_id", "table_name", F.transform("rs", lambda x: x["r"]).alias("relation")))
-    cm = col_major.where(frag % 2 == 0).select("table_id", F.lit("FIRST_ROW").alias("headerPosition"), "relation")
-    rm = row_major.where(frag % 2 == 1).select("table_id", F.lit("FIRST_COLUMN").alias("headerPosition"), "relation")
-    return cm.unionByName(rm)
+    (FIRST_COLUMN).  The rows of a web table meet once, in record form.
+    -> table_id, headerPosition, relation."""
+    r = fx.fragment_records(spark, sf_dir, dirty=True).select(
+        F.concat_ws("#", "table_name", (F.col("row_id") / WEB_ROWS).cast("long").cast("string")).alias("table_id"),
+        F.substring_index("table_name", "__", -1).cast("int").alias("frag"), "row_id",
+        F.transform("cells", lambda c: c["column_name"]).alias("names"), F.transform("cells", lambda c: c["value"]).alias("values"))
+    t = r.groupBy("table_id").agg(F.first("frag").alias("frag"), F.first("names").alias("names"),
+                                  F.sort_array(F.collect_list(F.struct("row_id", "values"))).alias("rows"))
+    # inline: what follows reads the sorted rows, and does not sort them again for every column
+    t = t.select(F.inline(F.array(F.struct("table_id", "frag", "names", F.col("rows.values").alias("rows")))))
+    columns = F.transform("names", lambda name, i: F.concat(F.array(name), F.transform("rows", lambda x: F.get(x, i))))
+    even = F.col("frag") % 2 == 0
+    return t.select(F.inline(F.array(F.struct("table_id", F.when(even, "FIRST_ROW").otherwise("FIRST_COLUMN").alias("headerPosition"),
+                                              F.when(even, columns).otherwise(F.concat(F.array("names"), F.col("rows"))).alias("relation")))))
 
 
 SQL_WEB = f"""c AS (SELECT *, table_name || '#' || CAST(CAST(floor(row_id / {WEB_ROWS}) AS BIGINT) AS VARCHAR) AS table_id,
@@ -278,10 +281,11 @@ def combo_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("walk_corpus", f"{_sql_corpus(1)} SELECT walk FROM row_corpus UNION ALL SELECT walk FROM graph_corpus")
 def walk_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adj = W.symmetrize(W.edge_weight_filter(graph_edges(spark, sf_dir), 1))
+    parts = graph_parts(spark, sf_dir)
+    adj = W.symmetrize(W.edge_weight_filter(graph_edges(spark, sf_dir), 1), parts)
     return W.walk_corpus("combo", tables=web_tables(spark, sf_dir), adj=adj, terms=graph_terms(spark, sf_dir),
                          min_columns=MIN_COLUMNS, max_rows=MAX_ROWS, number_walks=1, walk_length=WALK_LENGTH,
-                         seed=SEED)
+                         seed=SEED, parts=parts)
 
 
 @register("fit_word_vectors")
