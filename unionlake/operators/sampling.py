@@ -28,13 +28,13 @@ def uniform(seed: int, *keys) -> Column:
 
 
 def sample_rows(cells: DataFrame, n: int, seed: int = 12345) -> DataFrame:
-    """At most ``n`` rows per table (the whole table when it has <= n)."""
+    """At most ``n`` rows per table (the whole table when it has <= n).
+    ``cells`` or records: all that has a row's id shares its rank, so no list
+    of rows is made and joined back."""
     if n is None or n <= 0:
         return cells
-    rows = cells.select(TABLE, ROW).distinct()
     w = Window.partitionBy(TABLE).orderBy(hash_order(seed, TABLE, ROW), F.col(ROW))
-    keep = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).select(TABLE, ROW)
-    return cells.join(keep, [TABLE, ROW], "left_semi")
+    return cells.withColumn("_rank", F.dense_rank().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
 def sample_column_values(cells: DataFrame, n: int, seed: int = 12345) -> DataFrame:

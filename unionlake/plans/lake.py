@@ -27,8 +27,12 @@ def clean_cells(spark: SparkSession, sf_dir: str, dirty: bool = False, policy: s
     return records.cells(clean_records(spark, sf_dir, dirty, policy))
 
 
+def indexable_records(spark: SparkSession, sf_dir: str, dirty: bool = False, policy: str = "any") -> DataFrame:
+    return records.indexable(clean_records(spark, sf_dir, dirty, policy))
+
+
 def indexable(spark: SparkSession, sf_dir: str, dirty: bool = False, policy: str = "any") -> DataFrame:
-    return records.cells(records.indexable(clean_records(spark, sf_dir, dirty, policy)))
+    return records.cells(indexable_records(spark, sf_dir, dirty, policy))
 
 
 def lake_vectors(spark: SparkSession, sf_dir: str, dim: int = DIM, dirty: bool = False,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unionlake.functions import vectors as V
-from unionlake.operators import contrastive as CT, embed, lsh, sampling
+from unionlake.operators import contrastive as CT, embed, lsh, records, sampling
 from unionlake.plans import lake as L
 from unionlake.plans.q_text import sql_project
 from unionlake.plans.registry import register
@@ -21,13 +21,18 @@ clean_cells AS ({L.sql_drop_rows('cells1', 'any')}), text_cells AS ({L.sql_index
 CELL_COLS = "table_name, column_name, col_pos, row_id, value"
 
 
+def _text_records(spark, sf_dir):
+    """Records with a text column; one without any has no row in the cells."""
+    return L.indexable_records(spark, sf_dir).where(F.size("cells") > 0)
+
+
 def _text_cells(spark, sf_dir):
     return L.indexable(spark, sf_dir)
 
 
 @register("sample_rows", f"WITH {CLEAN} SELECT {CELL_COLS} FROM ({sampling.sql_sample_rows('text_cells', 5, 1)})")
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.sample_rows(_text_cells(spark, sf_dir), 5, seed=1)
+    return records.cells(sampling.sample_rows(_text_records(spark, sf_dir), 5, seed=1))
 
 
 @register("sample_column_values", f"""WITH {CLEAN}
