@@ -148,7 +148,8 @@ def related_column_filter(query_cells: DataFrame, related: DataFrame, missing: s
     """Keep only annotated query columns.  ``related`` is
     (query_table, column_name); a query without annotation keeps no column
     (``missing='none'``) or all its columns (``missing='all'``)."""
-    rel = related.select(F.col("query_table").alias(TABLE), COLUMN)
+    # a row per column: written, so that the cells need not be dealt by column to find out
+    rel = materialize(related.select(F.col("query_table").alias(TABLE), COLUMN).distinct(), "related-columns")
     kept = query_cells.join(rel, [TABLE, COLUMN], "left_semi")
     if missing == "none":
         return kept

@@ -102,5 +102,6 @@ def related_columns(cells: DataFrame) -> DataFrame:
 @register("related_column_filter", f"""WITH {DIRTY}
 SELECT {CELL_COLS} FROM raw_cells WHERE column_name <> 'c_acctbal'""")
 def related_column_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _dirty(spark, sf_dir)
-    return clean.related_column_filter(c, related_columns(c))
+    # names alone, read from the records: no value is made for them
+    names = fx.fragment_records(spark, sf_dir).select("table_name", F.explode("cells.column_name").alias("column_name"))
+    return clean.related_column_filter(_dirty(spark, sf_dir), related_columns(names))
