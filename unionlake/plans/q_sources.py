@@ -28,7 +28,7 @@ def _path(spark, tag):
 
 def _csv_lake(spark, sf_dir, dirty=True):
     root = _path(spark, "csv-lake")
-    FF.write_csv_lake(L.raw_cells(spark, sf_dir, dirty=dirty), root)
+    FF.write_csv_lake(fx.fragment_records(spark, sf_dir, dirty), root)
     return root
 
 
@@ -196,8 +196,8 @@ def vector_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("walk_sink", f"""WITH {QW.SQL_WEB}, {QW._SQL_ROWS}, {QW._SQL_ROW_TOKENS}
 SELECT walk AS value FROM row_corpus UNION ALL SELECT walk FROM row_corpus""")
 def walk_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rw = W.row_walks(W.webtable_rows(QW.web_tables(spark, sf_dir), QW.MIN_COLUMNS), "row", QW.MIN_COLUMNS,
-                     QW.MAX_ROWS)
+    rw = materialize(W.row_walks(W.webtable_rows(QW.web_tables(spark, sf_dir), QW.MIN_COLUMNS), "row", QW.MIN_COLUMNS,
+                                 QW.MAX_ROWS), "row-walks")
     p = _path(spark, "walks")
     sinks.walk_sink(rw, p)
     sinks.walk_sink(rw, p, mode="append")  # a second corpus part

@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from unionlake.session import materialize
+
 LINE_SEP = "\u0001"  # a separator that no fixture line holds: the CSV writer writes whole lines
+_PLAIN = {"sep": LINE_SEP, "quote": "\u0000", "escapeQuotes": "false", "emptyValue": "", "header": "false"}
 
 
 def csv_field(v: Column) -> Column:
@@ -31,9 +34,9 @@ def _write_lines(lines: DataFrame, path: str, partition_col: str | None = None,
     elif single_file:
         lines = lines.coalesce(1).sortWithinPartitions("ord")
     else:
-        lines = lines.repartitionByRange("ord").sortWithinPartitions("ord")
-    w = (lines.drop("ord").write.mode(mode).option("sep", LINE_SEP).option("quote", "\u0000")
-         .option("escapeQuotes", "false").option("emptyValue", "").option("header", "false"))
+        # lines of equal order are dealt to many tasks as well
+        lines = lines.repartitionByRange("ord", F.xxhash64("line")).sortWithinPartitions("ord")
+    w = lines.drop("ord").write.mode(mode).options(**_PLAIN)
     if compression:
         w = w.option("compression", compression)
     if partition_col:
@@ -41,17 +44,21 @@ def _write_lines(lines: DataFrame, path: str, partition_col: str | None = None,
     w.csv(path)
 
 
-def write_csv_lake(cells: DataFrame, root: str, mode: str = "overwrite") -> None:
-    """cells -> ``root/table_name=<t>/part-*.csv``, header line first."""
-    rows = (cells.groupBy("table_name", "row_id")
-            .agg(F.array_sort(F.collect_list(F.struct("col_pos", "value"))).alias("v"))
-            .select("table_name", F.col("row_id").cast("double").alias("ord"),
-                    F.concat_ws(",", F.transform("v", lambda x: csv_field(x["value"]))).alias("line")))
-    header = (cells.select("table_name", "col_pos", "column_name").distinct()
-              .groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct("col_pos", "column_name"))).alias("h"))
-              .select("table_name", F.lit(float("-inf")).alias("ord"),
-                      F.concat_ws(",", F.transform("h", lambda x: csv_field(x["column_name"]))).alias("line")))
-    _write_lines(header.unionByName(rows), root, "table_name", mode)
+def write_csv_lake(records: DataFrame, root: str, mode: str = "overwrite", rows_per_file: int = 250_000) -> None:
+    """records -> ``root/piece=<n>/table_name=<t>/part-*.csv``, header line first.
+
+    A file is written and read by one task, so a table of more than
+    ``rows_per_file`` rows is several files: tables with the same name.  A row
+    goes to the piece of its row id's hash.  All columns of a table are in the
+    header, as its rows have the same."""
+    sizes = materialize(records.groupBy("table_name").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("pieces"), F.first("cells").alias("h")), "lake-sizes")
+    line = lambda cells, field: F.concat_ws(",", F.transform(cells, lambda c: csv_field(c[field])))
+    rows = records.join(sizes.select("table_name", "pieces"), "table_name").select(
+        "table_name", F.pmod(F.xxhash64("row_id"), F.col("pieces")).alias("piece"), F.lit(1).alias("ord"), line("cells", "value").alias("line"))
+    header = sizes.select("table_name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("ord"), line("h", "column_name").alias("line"))
+    n = sizes.agg(F.sum("pieces")).first()[0] or 1  # a task is a file or so
+    lines = header.unionByName(rows).repartition(n, "table_name", "piece").sortWithinPartitions("piece", "table_name", "ord")
+    lines.drop("ord").write.mode(mode).options(**_PLAIN).partitionBy("piece", "table_name").csv(root)
 
 
 def write_parquet_lake(wide: DataFrame, root: str, mode: str = "overwrite") -> None:
