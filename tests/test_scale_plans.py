@@ -66,3 +66,10 @@ def test_large_tables_are_several_csv_files(spark):
     got = [(x["table_name"], [(c["column_name"], c["value"]) for c in x["cells"]]) for x in LK.csv_records(spark, root).collect()]
     want = [(x["table_name"], [(c["column_name"], c["value"]) for c in x["cells"]]) for x in r.collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_pooling_reads_offsets_and_token_vectors_once(spark):
+    from unionlake.plans import q_linearize as QL
+
+    assert "Window" not in plan(QL.token_pool_columns(spark, SF_SMALL))
+    assert "Generate" not in plan(QL.row_pool_columns(spark, SF_SMALL))

@@ -130,8 +130,8 @@ cell_vec AS (SELECT table_name, row_id, col_pos, column_name, d, avg(x) AS x FRO
 @register("token_pool_columns", f"""WITH {SQL_POOL}
 SELECT table_name, row_id, col_pos, round(sum(x), 6) AS vec_sum, round(max(x), 6) AS vec_max FROM cell_vec GROUP BY ALL""")
 def token_pool_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    off = _offsets(spark, sf_dir)
-    cv = LZ.token_pool_columns(off, token_vectors(off))
+    off = materialize(_offsets(spark, sf_dir), "offsets")
+    cv = LZ.token_pool_columns(off, materialize(token_vectors(off), "token-vectors"))
     return cv.select("table_name", "row_id", "col_pos",
                      F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vec_sum"),
                      F.round(F.array_max("vec"), 6).alias("vec_max"))
@@ -144,7 +144,7 @@ cv AS (SELECT c.table_name, c.column_name, c.d, sum(c.x) / any_value(nr.n_rows)
 SELECT table_name, column_name, round(sum(x), 6) AS vec_sum, round(max(x), 6) AS vec_max FROM cv GROUP BY ALL""")
 def row_pool_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     off = materialize(_offsets(spark, sf_dir), "offsets")
-    cv = LZ.token_pool_columns(off, token_vectors(off))
+    cv = materialize(LZ.token_pool_columns(off, materialize(token_vectors(off), "token-vectors")), "cell-vectors")
     rv = LZ.row_pool_columns(cv, off.select("table_name", "row_id"))
     return rv.select("table_name", "column_name",
                      F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vec_sum"),
