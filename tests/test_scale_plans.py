@@ -24,6 +24,23 @@ def test_symmetrize_is_dealt_to_parts(spark):
     assert W.symmetrize(e, 13).rdd.getNumPartitions() == 13 and plan(W.symmetrize(e, 13)).count("Exchange") == 1
 
 
+def test_ranked_neighbours_are_dealt_to_parts(spark):
+    adj = spark.range(600).selectExpr("IF(id < 300, 0, id % 7) u", "id v", "1.0D w").union(spark.createDataFrame([(None, 5, 1.0)], "u BIGINT, v BIGINT, w DOUBLE"))
+    want = {}
+    for u, v in sorted((r["u"], r["v"]) for r in adj.where("u is not null").collect()):
+        want.setdefault(u, []).append(v)
+    for join in ("-1", "10485760"):  # both joins that Spark may choose
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", join)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", join)
+        ranked = W.ranked_neighbours(adj, 13)
+        assert ranked.rdd.getNumPartitions() == 13
+        got = sorted((r["u"], r["rank"], r["v"]) for r in ranked.collect())
+        assert got == [(u, k, v) for u in sorted(want) for k, v in enumerate(want[u])]
+        assert got == sorted((r["u"], r["rank"], r["v"]) for r in W.ranked_neighbours(adj).collect())
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_web_tables_meet_once(spark):
     web = QW.web_tables(spark, SF_SMALL)
     assert plan(web).count("Exchange") == 1

@@ -54,12 +54,15 @@ def ranked_neighbours(adj: DataFrame, parts: int | None = None) -> DataFrame:
 
     No node is one task: edges are range-partitioned by (u, v), numbered
     inside their partition, and a hub's partitions are put behind each other
-    by their counts.  Written, as the numbers hold for one evaluation."""
+    by their counts, in ``parts`` tasks again.  Written, as the numbers hold
+    for one evaluation."""
     dealt = adj.select("u", "v", "w").repartitionByRange(*([parts] if parts else []), "u", "v").sortWithinPartitions("u", "v")
     placed = materialize(dealt.select("u", "v", "w", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "adjacency")
     starts = placed.groupBy("u", "part").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("u").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(starts.select("u", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")), "adjacency-starts")
+    if parts and parts > 1:
+        placed, starts = placed.repartition(parts, "u", "part"), starts.repartition(parts, "u", "part")
     return placed.join(starts, ["u", "part"]).select("u", "v", "w", (F.col("place") + F.col("shift")).alias("rank"))
 
 
