@@ -102,6 +102,27 @@ def test_words_of_equal_half_hashes_are_different_words(spark, make_docs):
     assert not spark.catalog.listTables()  # the written classes leave no table behind
 
 
+def test_ranks_are_not_copied_to_the_rows(spark, make_docs):
+    """The table of ranks is read inside the step that sorts the words; as a column it would be copied for every line."""
+    p = line_dedup.LineParams()
+    docs = make_docs(ODD)
+    sets = line_dedup.line_sets(docs, line_dedup.word_rarity(docs, "text", p.rarity_buckets), "text", "doc_id", p)
+    assert "AS ranks" not in sets._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_many_sizes_and_frequent_words(spark, make_docs):
+    """Sizes on both sides of the size bands, sets at and beside the threshold, frequent words with and without rare ones."""
+    vocabulary = [f"v{i}" for i in range(300)]
+    rows = []
+    for d in range(120):
+        n = 1 + d * 7 % 90
+        line = vocabulary[d % 5 :][:n]
+        cut = lambda k: line[: max(1, len(line) - k)]
+        rows.append((d, "\n".join(" ".join(x) for x in (line, cut(len(line) // 5), cut(len(line) // 5 + 1), line + [f"r{d}x{i}" for i in range(n // 4)], [f"r{d}"] + cut(len(line) // 9), ["a\tb", *line[::2]]))))
+    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.removed) for r in line_dedup.line_report(make_docs(rows)).collect())
+    assert got == brute_lines(rows)
+
+
 def test_drop_lines(spark, make_docs):
     docs = make_docs([(1, "a b\n\nc d\ne f"), (2, "c d\nnew one\n \na b"), (3, None), (4, "e f")], CLASH)
     got = line_dedup.drop_lines(docs)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +39,8 @@ def text_of(column: str) -> Column:
 
 def split_words(trimmed: Column) -> Column:
     """The words of a text without white space at its ends; the usual single spaces are split without a pattern."""
-    return F.when(trimmed.rlike(r"[\x09-\x0D]|\x20\x20"), F.split(trimmed, SPACE_RUN)).otherwise(F.split(trimmed, " "))
+    other = functools.reduce(operator.or_, (trimmed.contains(F.lit(c)) for c in ("  ", *SPACE_CHARS[1:])))
+    return F.when(other, F.split(trimmed, SPACE_RUN)).otherwise(F.split(trimmed, " "))
 
 
 def words(text: Column) -> Column:

@@ -30,12 +30,18 @@ class LineParams:
     """threshold: smallest Jaccard similarity of word sets that makes a later line a match.
     rarity_buckets: size (a power of two) of the table of word counts by hash; it bounds what each task holds.
     lead_words: rarest words of a line that look for an earliest line.
-    rounds: parts of the words whose candidates are joined one after the other, which divides the disk they need."""
+    rounds: parts of the words whose candidates are joined one after the other, which divides the disk they need.
+    few: words that stand in at most about so many places make at most so many pairs a line, and look for no earliest line."""
 
     threshold: float = 0.8
     rarity_buckets: int = 1 << 20
     lead_words: int = 6
     rounds: int = 2
+    few: int = 32
+
+
+#: Ranks of words whose counts differ by a factor of two.
+RANKS_A_DOUBLING = 6
 
 
 def low_half(h: Column) -> Column:
@@ -46,14 +52,26 @@ def low_half(h: Column) -> Column:
 def word_rarity(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     """One row: the rank of each hash bucket, from the corpus count of its words on a log scale, as an array (its
     size is the parameter, not the data).  Any order keeps the join exact; a good one keeps it small."""
-    tokens = docs.select(F.explode(F.split(text_of(text), SPACE_RUN)).alias("w")).where("w != ''")
+    lines = docs.select(F.explode(F.split(text_of(text), "\n")).alias("line"))
+    tokens = lines.select(F.explode(split_words(F.col("line"))).alias("w")).where("w != ''")
     counts = tokens.groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    scale = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0).cast("long")) + 1) * 6), F.lit(127)).cast("tinyint")
+    scale = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0).cast("long")) + 1) * RANKS_A_DOUBLING), F.lit(127)).cast("tinyint")
     table = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", scale.alias("n")))), lambda x: x["n"]).alias("ranks"))
     return materialize(table, "line-rarity")
 
 
+def _rank_of(count: int) -> int:
+    """The lowest rank that only words of more than ``count`` places have, less one bucket of the scale at most."""
+    return math.floor(math.log2(count + 1) * RANKS_A_DOUBLING)
+
+
+def _prefix(n: Column, p: LineParams) -> Column:
+    """How many of the n words of a set, rarest first, any set of the similarity shares one of."""
+    num, den = ratio(p.threshold)
+    return (n - ceil_div(n.cast("long") * num, den) + 1).cast("int")
+
+
 def _parity(words: Column, n: Column) -> list[Column]:
     """128 parity bits of a set: each word flips one bit, so bits that differ bound the difference of two sets from
     below.  Sets of up to 64 words keep all in the first half (what the halves of a larger set give when combined)."""
@@ -64,23 +82,31 @@ def _parity(words: Column, n: Column) -> list[Column]:
 
 
 def line_sets(docs: DataFrame, rarity: DataFrame, text: str, doc_id: str, p: LineParams) -> DataFrame:
-    """(doc, line_no, key, n, words, b0, b1) of every line with a word; words: 32-bit hashes, rarest first."""
+    """(doc, line_no, key, n, few, words, b0, b1) of every line with a word; words: 32-bit hashes, rarest first; few: how
+    many words of the prefix stand in few places, so that they need no earliest line."""
     mask = F.lit(p.rarity_buckets - 1).cast("long")
-    trimmed = F.btrim("line", F.lit(SPACE_CHARS))
     lines = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "line"))
-    # one long per word: its rank above, half of its hash below; the ranks are read once per word, never copied to the rows
-    ranked = lambda h: F.shiftleft(F.get("ranks", h.bitwiseAND(mask).cast("int")).cast("long"), 32).bitwiseOR(low_half(h))
-    hashed = lines.where(trimmed != "").select("doc", "line_no", F.array_distinct(F.transform(split_words(trimmed), lambda w: F.xxhash64(w))).alias("hashes"))
-    # the same for any order of the words
-    key = F.xxhash64(F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h)), F.size("hashes"))
-    ordered = hashed.withColumn("ranks", rarity.scalar()).select("doc", "line_no", key.alias("key"), F.sort_array(F.transform("hashes", ranked)).alias("ordered"))
-    sets = ordered.select("doc", "line_no", "key", F.transform("ordered", lambda k: (low_half(k) - F.lit(1 << 31).cast("long")).cast("int")).alias("words"))
-    return sets.select("doc", "line_no", "key", F.size("words").alias("n"), "words", *_parity(F.col("words"), F.size("words")))
-
-
-def _close(x: str, y: str, num: int, den: int) -> Column:
+    worded = lines.withColumn("line", F.btrim("line", F.lit(SPACE_CHARS))).where("line != ''")
+    # one long per word: its rank above, half of its hash below; the ranks are read once per word, never copied to the rows.
+    # Arrays without nulls are sorted as they are, without a box for each number.
+    rank = lambda h: F.coalesce(F.get("ranks", h.bitwiseAND(mask).cast("int")), F.lit(0).cast("tinyint"))
+    ranked = lambda h: F.shiftleft(rank(h).cast("long"), 32).bitwiseOR(low_half(h))
+    hashed = worded.select("doc", "line_no", F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))).alias("hashes"))
+    # the same for any order of the words; it is made below the ranks: the step that adds them must use the hashes once, or
+    # Spark keeps the ranks as a column and copies them to every row
+    keyed = hashed.select("doc", "line_no", F.xxhash64(F.sort_array("hashes")).alias("key"), "hashes")
+    ordered = keyed.withColumn("ranks", rarity.scalar()).select("doc", "line_no", "key", F.sort_array(F.transform("hashes", ranked)).alias("ordered"))
+    n = F.size("ordered")
+    few = F.size(F.filter(F.slice("ordered", F.lit(1), _prefix(n, p)), lambda k: k < F.lit(_rank_of(p.few) << 32).cast("long")))
+    # numbers in the range of an int, so that the array is cast as a whole
+    words = F.transform("ordered", lambda k: low_half(k) - F.lit(1 << 31).cast("long")).cast("array<int>")
+    sets = ordered.select("doc", "line_no", "key", few.alias("few"), words.alias("words"))
+    return sets.select("doc", "line_no", "key", F.size("words").alias("n"), "few", "words", *_parity(F.col("words"), F.size("words")))
+
+
+def _close(x: str, y: str, num: int, den: int, n=lambda x: F.col(f"{x}.n")) -> Column:
     """Length filter and parity bound: false only for pairs below the threshold."""
-    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    a, b = n(x), n(y)
     d0, d1 = (F.col(f"{x}.{h}").bitwiseXOR(F.col(f"{y}.{h}")) for h in ("b0", "b1"))
     differ = F.when((a <= 64) == (b <= 64), F.bit_count(d0) + F.bit_count(d1)).otherwise(F.bit_count(d0.bitwiseXOR(d1)))
     return (a * den >= b * num) & (b * den >= a * num) & (differ * (num + den) <= (a + b) * (den - num))
@@ -108,7 +134,7 @@ def _classes(docs: DataFrame, text: str, doc_id: str, p: LineParams) -> DataFram
     classes = sets.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
     name = f"line_classes_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes.write.bucketBy(buckets, "key").option("path", scratch_path(spark, name)).saveAsTable(name)
+    classes.write.bucketBy(buckets, "key").option("compression", "zstd").option("path", scratch_path(spark, name)).saveAsTable(name)
     written = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the frame has its files; the catalog keeps nothing
     return written
@@ -118,24 +144,31 @@ def _candidates(prefixes: DataFrame, part: int, p: LineParams) -> DataFrame:
     """(x, y): pairs that share a prefix word (of this part of all words), pass the positional and length filters and have an
     open line as the later one.
 
-    The join key holds the word and a size band, two bands to the length filter's ratio: the smaller set goes to its own
-    band and the two above, with as many prefix words as the positional filter leaves against sizes of that band."""
+    The join key holds the word and a size band, one band to the length filter's ratio: the smaller set goes to its own
+    band and the one above, with as many prefix words as the positional filter leaves against sizes of that band."""
     num, den = ratio(p.threshold)
-    step = math.sqrt(den / num) if num < den else 2.0
+    step = den / num if num < den else 2.0
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(step) + 1e-9).cast("int")
-    me = ["key", "n", "b0", "b1", "open", "doc", "line_no"]
+    me = ["key", "n", "b0", "b1", "doc", "place"]
+    both = prefixes.withColumn("place", F.shiftleft(F.col("line_no").cast("long"), 1) + (~F.col("open")).cast("long"))
+    # word and band in one number
+    at = F.shiftleft(F.col("word").cast("long"), 16) + F.col("band")
     mine = F.pmod("word", F.lit(p.rounds)) == part
     floor = F.greatest(F.floor(F.pow(F.lit(step), F.col("band")) + 1e-6).cast("long"), F.col("n").cast("long"))
     last = F.col("n") - ceil_div((F.col("n") + floor) * num, num + den)
-    lower = prefixes.select(*me, "words", F.explode(F.sequence(band, band + 2)).alias("band")).withColumn("last", last.cast("int")).where("last >= 0")
-    a = lower.select(*me, "band", F.posexplode(F.slice("words", F.lit(1), F.col("last") + 1)).alias("pos", "word")).where(mine).alias("a")
-    b = prefixes.select(*me, band.alias("band"), F.posexplode("words").alias("pos", "word")).where(mine).alias("b")
-    order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.key") < F.col("b.key")))
-    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    enough = left * (num + den) >= (F.col("a.n") + F.col("b.n")) * num
+    lower = both.select(*me, "words", F.explode(F.sequence(band, band + 1)).alias("band")).withColumn("last", last.cast("int")).where("last >= 0")
+    slim = ["key", "b0", "b1", "doc", "place", at.alias("at"), (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("n_pos")]
+    a = lower.select(*me, "band", F.posexplode(F.slice("words", F.lit(1), F.col("last") + 1)).alias("pos", "word")).where(mine).select(*slim).alias("a")
+    b = both.select(*me, band.alias("band"), F.posexplode("words").alias("pos", "word")).where(mine).select(*slim).alias("b")
+    n = lambda x: F.shiftright(f"{x}.n_pos", 32)
+    line = lambda x: F.struct(f"{x}.doc", F.shiftright(f"{x}.place", 1))
+    open_ = lambda x: F.col(f"{x}.place").bitwiseAND(F.lit(1).cast("long")) == 0
+    order = (n("a") < n("b")) | ((n("a") == n("b")) & (F.col("a.key") < F.col("b.key")))
+    left = F.least(*[n(x) - low_half(F.col(f"{x}.n_pos")) for x in "ab"])
+    enough = left * (num + den) >= (n("a") + n("b")) * num
     # only a later line that is still open needs the pair
-    wanted = F.when(F.struct("a.doc", "a.line_no") < F.struct("b.doc", "b.line_no"), F.col("b.open")).otherwise(F.col("a.open"))
-    near = (F.col("a.word") == F.col("b.word")) & (F.col("a.band") == F.col("b.band")) & order & enough & wanted & _close("a", "b", num, den)
+    wanted = F.when(line("a") < line("b"), open_("b")).otherwise(open_("a"))
+    near = (F.col("a.at") == F.col("b.at")) & order & enough & wanted & _close("a", "b", num, den, n)
     return a.join(b.hint("shuffle_hash"), near).select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
 
 
@@ -146,18 +179,18 @@ def matched_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     Ties: rows that repeat a document id stand at the same place, one of them counts as the first."""
     num, den = ratio(params.threshold)
     classes = _classes(docs, text, doc_id, params)
-    prefix = F.col("n") - ceil_div(F.col("n").cast("long") * num, den) + 1
+    prefix = _prefix(F.col("n"), params)
     me = ["key", "n", "b0", "b1"]
 
-    # an earliest line for each of the rarest words
-    leads = classes.select("doc", "line_no", *me, F.explode(F.slice("words", F.lit(1), F.least(prefix, F.lit(params.lead_words)).cast("int"))).alias("word"))
+    # an earliest line for each of the rarest words that stand in many places
+    leads = classes.select("doc", "line_no", *me, F.explode(F.slice("words", F.col("few") + 1, F.least(prefix - F.col("few"), F.lit(params.lead_words)))).alias("word"))
     first = leads.groupBy("word").agg(F.min(F.struct("doc", "line_no", *me)).alias("x"))
     led = leads.select("word", F.struct(*me).alias("y")).join(first, "word")
     near = led.where("x.key != y.key").where(_close("x", "y", num, den)).select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
     settled = materialize(_verified(near, classes, num, den), "line-settled")
 
     # all candidates of the lines that are still open, a part of the words at a time
-    open_ = materialize(classes.join(settled.select("key", F.lit(True).alias("settled")), "key", "left").select(*me, "doc", "line_no", F.col("settled").isNull().alias("open"), F.slice("words", F.lit(1), prefix.cast("int")).alias("words")), "line-prefixes")
+    open_ = materialize(classes.join(settled.select("key", F.lit(True).alias("settled")), "key", "left").select(*me, "doc", "line_no", F.col("settled").isNull().alias("open"), F.slice("words", F.lit(1), prefix).alias("words")), "line-prefixes")
     parts = [materialize(_candidates(open_, k, params), "line-pairs") for k in range(params.rounds)]
     pairs = functools.reduce(DataFrame.unionByName, parts).distinct()
     found = settled.unionByName(_verified(pairs, classes, num, den)).distinct()
