@@ -5,7 +5,8 @@ sketch that bounds the symmetric difference) leave few candidate pairs, Jaccard
 earlier line, by (document id, line number), has the same words or a similarity of at least the threshold.
 
 Equal word sets collapse to one class before any join.  Most of a large family of similar lines is settled against
-the earliest line that shares a rare word, in linear work; only lines that are still unsettled meet all earlier candidates.
+the earliest line that shares a rare word of many places, in linear work; only lines that are still unsettled meet all
+earlier candidates.
 No bucket or partner is capped.  Sets are told apart by 64-bit hashes of 64-bit word hashes.  Filters and overlaps use the low
 32 bits of the word hashes; different sets that are equal in those differ in at least one word, and count so.  In other pairs
 two of the few words that differ coincide with a chance of about 4e-9 (4 words of each), which adds one to their overlap.
@@ -31,7 +32,7 @@ class LineParams:
     rarity_buckets: size (a power of two) of the table of word counts by hash; it bounds what each task holds.
     lead_words: rarest words of a line that look for an earliest line.
     rounds: parts of the words whose candidates are joined one after the other, which divides the disk they need.
-    few: words that stand in at most about so many places make at most so many pairs a line, and look for no earliest line."""
+    few: words of a lower rank than one of so many places make fewer pairs a line than that, and look for no earliest line."""
 
     threshold: float = 0.8
     rarity_buckets: int = 1 << 20
@@ -62,7 +63,7 @@ def word_rarity(docs: DataFrame, text: str, buckets: int) -> DataFrame:
 
 
 def _rank_of(count: int) -> int:
-    """The lowest rank that only words of more than ``count`` places have, less one bucket of the scale at most."""
+    """The rank of a word that stands in ``count`` places; words of a lower rank stand in fewer."""
     return math.floor(math.log2(count + 1) * RANKS_A_DOUBLING)
 
 
