@@ -209,6 +209,37 @@ def test_leaks_wherever_tokens_are_substituted(spark, make_docs):
     assert Counter(map(tuple, got.collect())) == Counter(want) and len({i for _, i, *_ in want}) == 16
 
 
+def test_hits_do_not_hold_the_document(spark, make_docs):
+    """Items that differ past a passage they share hit a long document again and again: no hit holds its tokens."""
+    shared = [f"t{i}" for i in range(26)]
+    items = [(k, " ".join([*shared, f"own{k}", f"end{k}"])) for k in range(900)]
+    docs = make_docs([(1, " ".join(["z"] * 20_000 + shared + ["y"] * 20_000)), (2, " ".join(shared[:9])), (3, " ".join(["v", *shared[5:]]))])
+    want = {(1, k, 20_000, 26, 28, 1) for k, _ in items} | {(3, k, -4, 21, 28, 1) for k, _ in items}
+    assert set(map(tuple, decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())) == want
+
+
+def test_few_windows_pass_the_seed_filter(spark, make_docs, monkeypatch):
+    """Beyond the broadcast limit, only seeds that the benchmark may have are shuffled, with any size of the filter."""
+    items = [(k, " ".join(f"i{k}t{j}" for j in range(20))) for k in range(300)]
+    rows = [(k, " ".join([f"d{k}w{j}" for j in range(400)] + items[k][1].split()[: 8 + k % 8])) for k in range(60)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), make_docs(rows)
+    written, write = {}, decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    for words in (6_000_000, 7, 1):
+        written.clear()
+        monkeypatch.setattr(decontaminate, "FILTER_WORDS", words)
+        got = decontaminate.leaks(docs, bench, params=decontaminate.LeakParams(broadcast_seeds=0))
+        assert set(map(tuple, got.collect())) == brute_leaks(rows, items)
+        assert written["seed-filter"].count() == (-(-min(written["benchmark-seeds"].count() // 4 + 1, words) // decontaminate.ROW_WORDS))
+    n = written["benchmark-seeds"].count()
+    words = n // 4 + 1
+    among = decontaminate.seed_filter(written["benchmark-seeds"], words)
+    row, word, bits = decontaminate._place(decontaminate.F.col("seed"), words)
+    passed = lambda df: df.join(among, decontaminate.F.col("row") == row).where(decontaminate.F.get("words", word).bitwiseAND(bits) == bits).count()
+    assert passed(written["benchmark-seeds"].selectExpr("item_seed seed")) == n
+    assert passed(spark.range(200_000).selectExpr("xxhash64(id) seed")) < 4_000
+
+
 def test_leaks_of_the_table_by_the_rule(spark):
     docs, items = (duckdb.sql(f"select {c}, text from '{SF}/{f}.parquet'").fetchall() for c, f in (("doc_id", "documents"), ("item_id", "benchmark")))
     got = queries.QUERIES["op4_spaced_seed_leaks"](spark, SF)
