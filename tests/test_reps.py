@@ -92,6 +92,32 @@ def test_search_on_representatives_equals_search_on_columns(spark, k):
             assert {q: sorted(map(order, x))[:k] for q, x in all_hits.items()} == {q: sorted(map(order, x)) for q, x in best.items()}
 
 
+def test_search_by_blocks_makes_no_pairs(spark, monkeypatch):
+    """Where blocks are compared, scores and weights are summed in the tasks: same tables and scores, and no pair is a row."""
+    from unionlake.operators import signature_blocks as B
+
+    v = random_lake(spark, 1).repartition(3)
+    some = v.where("table_name in ('t1', 't3', 'copy2', 'zero')")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    cases = [(v, 2, {}), (some, None, {}), (v, None, {"score": "signature", "bits": 100})]
+    found = lambda: [key(S.search(q, v, k=k, threshold=0.3, **kw)) for q, k, kw in cases]
+    want = found()
+    assert all(want) and want[0] == key(expanded_search(v, 2, 0.3))
+    monkeypatch.setattr(lsh, "MATCHES", 0)
+    monkeypatch.setattr(lsh, "PRODUCTS", 1 << 40)
+    pairs = B.compared
+    monkeypatch.setattr(B, "compared", lambda *a: None)
+    for size, hits, entries, tasks in ((2048, 1 << 20, 2_000_000, 3), (5, 3, 0, 40)):
+        monkeypatch.setattr(B.blocks, "__defaults__", (size,))
+        for name, value in (("HITS", hits), ("ENTRIES", entries), ("TASKS", tasks)):
+            monkeypatch.setattr(B, name, value)
+        assert found() == want
+    assert S.search(v.limit(0), v, k=2, threshold=0.3, dim=6).count() == 0
+    monkeypatch.setattr(B, "compared", pairs)
+    matched = S.search(v, v, k=2, threshold=0.3, with_matches=True)
+    assert key(matched.select("query_table", "rank", "cand_table", "score", "n_matched")) == want[0]
+
+
 def test_hits_do_not_grow_with_copies(spark):
     n = 40
     v = vecs_df(spark, [(f"t{i:03d}", c, x) for i in range(n) for c, x in (("a", [1.0, 0.2, 0.0]), ("b", [0.9, 0.3, 0.1]))])

@@ -73,11 +73,13 @@ def expand(scored: DataFrame, q_members: DataFrame, c_members: DataFrame) -> Dat
 
 @dataclass
 class RepHits:
-    """Scored pairs of representatives (q_id, c_id, score) and the columns behind them (id, table_name, column_name)."""
+    """Scored pairs of representatives (q_id, c_id, score) and the columns behind them (id, table_name, column_name).
+    blocks: what the pairs are found in, if blocks of vectors are compared."""
 
     pairs: DataFrame
     q_members: DataFrame
     c_members: DataFrame
+    blocks: signature_blocks.Blocks | None = None
 
     def columns(self) -> DataFrame:
         return expand(self.pairs, self.q_members, self.c_members)
@@ -234,7 +236,8 @@ def lookup(queries: DataFrame | None, index: Index, score: str = "exact") -> Rep
         by_id = lambda mem, ids: mem.join(ids, "key").select("id", TABLE, COLUMN)
         members = by_id(members, c_ids)
         pairs = signature_blocks.compared(q_blocks, c_blocks, index.threshold, index.bits, index.dim, score)
-        return RepHits(pairs, members if queries is None else by_id(q_mem, q_ids), members)
+        meeting = signature_blocks.Meeting(index.threshold, index.bits, index.dim, score)
+        return RepHits(pairs, members if queries is None else by_id(q_mem, q_ids), members, signature_blocks.Blocks(q_blocks, c_blocks, meeting))
     members = as_id(members)
     cand = q_bands.withColumnRenamed("key", "q_id").join(index.bands.withColumnRenamed("key", "c_id"), ["band_id", "band_key"]).select("q_id", "c_id").distinct()
     q, c = as_id(q_sig), as_id(index.reps)

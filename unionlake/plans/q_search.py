@@ -174,7 +174,7 @@ ENC_THRESHOLD = 0.3
 hits AS ({lsh.sql_lsh_hits('vecs', 'vecs', ENC_THRESHOLD)})
 SELECT * FROM ({S.sql_search_from_hits('hits', L.K)})""")
 def table_search_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = materialize(fx.embedding_vectors(spark, sf_dir), "encoded-vectors")
+    v = fx.embedding_vectors(spark, sf_dir)
     return S.search(v, v, k=L.K, threshold=ENC_THRESHOLD, method="lsh")
 
 
