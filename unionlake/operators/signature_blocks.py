@@ -116,15 +116,19 @@ class Meeting:
 
     def hits(self, q: tuple[np.ndarray, np.ndarray], c: tuple[np.ndarray, np.ndarray]):
         """(place in q, place in c, score times 10^6) of the pairs with a band in common whose score reaches the threshold, in parts."""
-        found = q[0] @ c[0].T
         if self.score == "signature":
-            found = np.cos(math.pi * ((self.bits - found) / 2) / self.bits)
-        i, j = np.nonzero(found >= self.threshold - MARGIN)
+            found = np.cos(math.pi * ((self.bits - q[0] @ c[0].T) / 2) / self.bits)
+            places, score = np.flatnonzero(found >= self.threshold - MARGIN), lambda x, y: found[x, y]
+        else:  # 32-bit products find the pairs, within the error they can have; scores are products of 64 bits
+            near = q[0].astype(np.float32) @ c[0].T.astype(np.float32)
+            places = np.flatnonzero(near >= np.float32(self.threshold - MARGIN - 1e-7 * (self.dim + 4)))
+            score = lambda x, y: np.einsum("ij,ij->i", q[0][x], c[0][y])
+        i, j = np.divmod(places, max(len(c[0]), 1))
         for s in range(0, len(i), 1 << 16):
             x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
             met = (q[1][x] == c[1][y]).any(axis=1)
             x, y = x[met], y[met]
-            near = np.round(found[x, y] * self.digits)
+            near = np.round(score(x, y) * self.digits)
             yes = near / self.digits >= self.threshold
             yield x[yes], y[yes], near[yes]
 
